@@ -62,7 +62,7 @@ def tokens(normalized: Column) -> Column:
 def meaningful_terms(text: Column, language: Column | None = None, ecosystem: Column | None = None,
                      stop: list[str] | None = None) -> Column:
     """Content tokens in order, repeats kept; preference words are excluded."""
-    stop_words = F.array(*[F.lit(w) for w in (stop or fv.GENERIC_WORDS)])
+    stop_words = F.split(F.lit(" ".join(stop or fv.GENERIC_WORDS)), " ")
     prefs = F.lit("")
     for pref in (language, ecosystem):
         if pref is not None:

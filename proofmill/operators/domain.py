@@ -64,7 +64,7 @@ def advisory_tasks(requests: DataFrame, max_capabilities: int = 6) -> tuple[Data
     """Task rows from short requests (task, purpose, capabilities), and violations."""
     shaped = requests.select(
         "task_id", tx.collapsed(F.col("task")).alias("task"), tx.plain_search_term(F.col("purpose")).alias("purpose"),
-        F.slice(F.array_distinct(F.filter(F.transform("capabilities", tx.plain_search_term), lambda c: c != "")),
+        F.slice(F.array_distinct(F.filter(F.transform("capabilities", lambda c: tx.plain_search_term(c)), lambda c: c != "")),
                 1, max_capabilities).alias("capabilities"))
     shaped = shaped.withColumn("evidence", F.rtrim(F.substring("task", 1, 600))).withColumn("reasons", tx.reasons(
         (F.col("task") == "", "task-empty"), (F.col("purpose") == "", "purpose-empty"),

@@ -175,7 +175,7 @@ union all
 select 't_' || replace(p_name, ' ', '_'), 'capability', 1, adjective, @arr('very ' || adjective), 'report ' || adjective
 from v_names where adjective <> 'old'
 union all
-select 't_' || replace(p_name, ' ', '_'), 'capability', 2, type_word, @noarr,
+select 't_' || replace(p_name, ' ', '_'), 'capability', 2, type_word, case length(noun) when 3 then @arr('retry budget') when 4 then @arr('runs the run') else @arr('json dumps') end,
   case when length(noun) = 4 then 'made up quote' else 'with ' || type_word || ' orders' end
 from v_names where adjective <> 'old'"""
 
@@ -393,11 +393,17 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+
+    def _register(self, text: str) -> None:
+        """Make the base tables a query names visible, reading only those."""
         for table in BASE_TABLES:
-            spark.read.parquet(f"{folder}/{table}.parquet").createOrReplaceTempView(table)
+            if re.search(rf"\b{table}\b", text):
+                self.spark.read.parquet(f"{self.folder}/{table}.parquet").createOrReplaceTempView(table)
 
     def __call__(self, name: str) -> DataFrame:
         return self.sql(f"select * from {name}")
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(with_views(text, "spark"))
+        full = with_views(text, "spark")
+        self._register(full)
+        return self.spark.sql(full)

@@ -49,16 +49,18 @@ def canon(v):
 def compare(df, con, sql) -> tuple[bool, str]:
     cols = sorted(df.columns)
     mine = [tuple(canon(r[c]) for c in cols) for r in df.select(*cols).collect()]
+    t1 = time.time()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     rows = cur.fetchall()
+    took = f"duck {time.time() - t1:.1f}s"
     if sorted(names) != cols:
         return False, f"columns {cols} vs {sorted(names)}"
     idx = [names.index(c) for c in cols]
     theirs = [tuple(canon(r[i]) for i in idx) for r in rows]
     a, b = Counter(mine), Counter(theirs)
     if a == b:
-        return True, f"{len(mine)} rows"
+        return True, f"{len(mine)} rows {took}"
     only_a, only_b = list((a - b).elements()), list((b - a).elements())
     return False, (f"rows {len(mine)} vs {len(theirs)}; differ {len(only_a)}/{len(only_b)}\n   cols {cols}\n   spark {sorted(only_a, key=str)[:3]}"
                    f"\n   duck  {sorted(only_b, key=str)[:3]}")
