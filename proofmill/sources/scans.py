@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from proofmill import fixed_values as fv
 from proofmill.functions import text as tx
 from proofmill.params import DEFAULT, Params
 
-RAW_REPOSITORY = T.StructType.fromDDL(
+RAW_REPOSITORY = (
     "full_name string, html_url string, description string, stargazers_count double, forks_count double, "
     "open_issues_count double, size double, archived boolean, fork boolean, default_branch string, pushed_at string, "
     "created_at string, license struct<spdx_id:string>, language string, topics array<string>")
-RAW_TREE = T.StructType.fromDDL(
+RAW_TREE = (
     "full_name string, revision string, truncated boolean, tree array<struct<path:string,type:string,sha:string,size:double>>")
 
 
