@@ -131,4 +131,4 @@ def join_path(base: Column, rel: Column) -> Column:
 
     empty = F.array().cast("array<string>")
     folded = F.array_join(F.aggregate(parts, empty, step), "/")
-    return F.when(folded == "", F.lit(".")).otherwise(folded)
+    return F.regexp_replace(folded, "^$", ".")

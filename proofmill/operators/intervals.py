@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.functions import text as tx
+from proofmill.functions.frames import stage
 
 BUCKET = 64
 
@@ -44,7 +45,7 @@ def interval_cover(intervals: DataFrame, slices: DataFrame, keys: list[str]) ->
         return F.struct(F.when(go, -pick["far"] + 1).otherwise(acc["next"]).alias("next"),
                         F.when(go, F.array_append(acc["ids"], pick["id"])).otherwise(acc["ids"]).alias("ids"))
 
-    done = listed.withColumn("r", F.aggregate("windows", begin, step))
+    done = stage(listed, r=F.aggregate("windows", begin, step))
     return done.filter(F.col("r.next") > F.col("end_line")).select(*keys, F.col("r.ids").alias("witnesses"))
 
 
@@ -68,7 +69,7 @@ def relation_support(relations: DataFrame, slices: DataFrame) -> DataFrame:
     `slices` must already be limited to pinned revisions (`same_revision`).
     """
     anchor = tx.line_anchor(F.col("source_url"))
-    edges = relations.withColumn("a", anchor).withColumn(
+    edges = stage(relations, a=anchor).withColumn(
         "located", (F.col("evidence_path") == F.col("src")) & F.col("a.start_line").isNotNull())
     cited = edges.filter("located").select(*EDGE, "revision", F.col("src").alias("path"), "a.start_line", "a.end_line")
     source = interval_cover(cited, slices, EDGE)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proofmill import fixed_values as fv
 from proofmill.functions import paths as pt
-from proofmill.functions import text as tx
+from proofmill.functions.frames import stage
 from proofmill.operators.structure import cap_per_group
 
 REQUIRE = r"(?<![A-Za-z0-9_])" + fv.REQUIRE_CALL
@@ -34,7 +34,7 @@ def script_candidates(base: Column) -> Column:
 def resolve_relative_imports(imports: DataFrame, tree: DataFrame) -> DataFrame:
     """Relative specifier -> file: the exact path wins, otherwise a unique candidate."""
     base = pt.join_path(pt.dirname(F.col("path")), F.col("specifier"))
-    asked = imports.filter(F.col("specifier").startswith(".")).select("full_name", "path", "specifier").distinct().withColumn("base", base)
+    asked = stage(imports.filter(F.col("specifier").startswith(".")).select("full_name", "path", "specifier").distinct(), base=base)
     options = asked.select("full_name", "path", "specifier", F.explode(F.concat(
         F.array(F.struct(F.lit(True).alias("exact"), F.col("base").alias("file"))),
         F.transform(script_candidates(F.col("base")), lambda c: F.struct(F.lit(False).alias("exact"), c.alias("file"))))).alias("o"))
@@ -91,7 +91,7 @@ def resolve_python_imports(imports: DataFrame, roots: DataFrame, tree: DataFrame
     inits = files.filter("path like '%__init__.py'").select("full_name", pt.dirname(F.col("path")).alias("loc"), F.lit(True).alias("has_init"))
     places = dirs.join(mods, ["full_name", "loc"], "full").join(inits, ["full_name", "loc"], "left").na.fill(False)
 
-    named = imports.withColumn("mod_path", F.when(F.col("module").rlike(IDENTIFIER), F.replace("module", F.lit("."), F.lit("/"))))
+    named = stage(imports, mod_path=F.when(F.col("module").rlike(IDENTIFIER), F.replace("module", F.lit("."), F.lit("/"))))
     # Absolute names: refuse a name any of whose prefixes exists in two places.
     absolute = named.filter("level = 0 and mod_path is not null").select("full_name", "module", "mod_path").distinct()
     parts = F.split("mod_path", "/")
@@ -104,10 +104,10 @@ def resolve_python_imports(imports: DataFrame, roots: DataFrame, tree: DataFrame
         "places > 1 or clash").select("full_name", "module").distinct().withColumn("level", F.lit(0).cast("long"))
 
     flat = named.join(ambiguous, ["full_name", "module", "level"], "left_anti")
-    at_roots = flat.filter("level = 0 and mod_path is not null").join(roots, "full_name").withColumn(
-        "base", pt.join_path(F.col("root"), F.col("mod_path")))
+    at_roots = stage(flat.filter("level = 0 and mod_path is not null").join(roots, "full_name"),
+                     base=pt.join_path(F.col("root"), F.col("mod_path")))
     # Relative names climb from the importing directory, bounded by the package depth.
-    here = flat.filter((F.col("level") > 0) & ((F.col("module") == "") | F.col("mod_path").isNotNull())).withColumn("dir", pt.dirname(F.col("path")))
+    here = stage(flat.filter((F.col("level") > 0) & ((F.col("module") == "") | F.col("mod_path").isNotNull())), dir=pt.dirname(F.col("path")))
     owners = (here.select("full_name", "dir").distinct().withColumn("root", F.explode(_ancestors(F.col("dir")))).join(roots, ["full_name", "root"])
               .groupBy("full_name", "dir").agg(F.max_by("root", F.length("root")).alias("owner")))
 
@@ -117,7 +117,7 @@ def resolve_python_imports(imports: DataFrame, roots: DataFrame, tree: DataFrame
     climbed = here.join(owners, ["full_name", "dir"], "left").withColumn("owner", F.coalesce("owner", F.lit(".")))
     climbed = climbed.filter(F.col("level") <= depth(F.col("dir")) - depth(F.col("owner")))
     up = F.array_join(F.slice(F.split("dir", "/"), 1, (depth(F.col("dir")) - F.col("level") + 1).cast("int")), "/")
-    relative = climbed.withColumn("base", pt.join_path(up, F.coalesce("mod_path", F.lit(""))))
+    relative = stage(climbed, base=pt.join_path(up, F.coalesce("mod_path", F.lit(""))))
     based = at_roots.select(*PY_KEY, "names", "base").unionByName(relative.select(*PY_KEY, "names", "base"))
 
     def tails(b: Column) -> Column:
@@ -159,34 +159,32 @@ def resolve_rust_imports(imports: DataFrame, tree: DataFrame) -> tuple[DataFrame
     scopes = F.when(F.coalesce("scope", F.lit("module")) == "module", F.array().cast("array<string>")).otherwise(
         F.filter(F.split("scope", "::"), lambda s: s != ""))
     segments = F.filter(F.transform(F.split(m, "::"), lambda s: F.trim(s)), lambda s: ~s.isin("", "self", "*"))
-    r = imports.withColumns({"owner": owner, "root": root, "scopes": scopes, "segments": segments})
+    r = stage(imports, owner=owner, root=root, scopes=scopes, segments=segments)
     supers = F.size("segments") - F.size(F.aggregate("segments", F.array().cast("array<string>"), lambda acc, s: F.when(
         (s == "super") & (F.size(acc) == 0), acc).otherwise(F.array_append(acc, s))))
     first = F.get("segments", F.lit(0))
-    r = r.withColumn("head", F.when(F.col("kind") == "module", "mod").when(F.col("root").isNull(), "no-root")
-                     .when(F.size("segments") == 0, "empty").when(first == "crate", "crate").when(first == "super", "super")
-                     .when(m.startswith("self::"), "self").otherwise("extern"))
-    r = r.withColumn("supers", F.when(F.col("head") == "super", supers).otherwise(0))
-    popped = F.least("supers", F.size("scopes"))
-    climbs = F.col("supers") - popped
+    r = stage(r, head=F.when(F.col("kind") == "module", "mod").when(F.col("root").isNull(), "no-root")
+              .when(F.size("segments") == 0, "empty").when(first == "crate", "crate").when(first == "super", "super")
+              .when(m.startswith("self::"), "self").otherwise("extern"), n_supers=supers)
+    n_supers = F.when(F.col("head") == "super", F.col("n_supers")).otherwise(0)
+    popped = F.least(n_supers, F.size("scopes"))
     owner_parts = F.split("owner", "/")
-    climbed = F.array_join(F.slice(owner_parts, 1, F.greatest(F.size(owner_parts) - climbs, F.lit(0))), "/")
-    kept_scopes = F.slice("scopes", 1, F.greatest(F.size("scopes") - popped, F.lit(0)))
-    escapes = (climbed != F.col("root")) & ~F.startswith(climbed, F.concat("root", F.lit("/")))
-    r = r.withColumn("escapes", (F.col("head") == "super") & escapes)
-    r = r.withColumn("base", F.when(F.col("head") == "crate", F.col("root")).when(F.col("head") == "super", F.concat_ws("/", F.nullif(climbed, F.lit("")), F.nullif(F.array_join(kept_scopes, "/"), F.lit(""))))
-                     .when(F.col("head") == "mod", F.concat_ws("/", "owner", F.nullif(F.array_join("scopes", "/"), F.lit("")), "module"))
-                     .otherwise(F.col("owner")))
-    rest = (F.when(F.col("head") == "crate", F.slice("segments", 2, F.greatest(F.size("segments") - 1, F.lit(0))))
-            .when(F.col("head") == "super", F.slice("segments", F.col("supers") + 1, F.greatest(F.size("segments") - F.col("supers"), F.lit(0))))
-            .otherwise(F.col("segments")))
-    r = r.withColumn("rest", rest)
+    climbed = F.array_join(F.slice(owner_parts, 1, F.greatest(F.size(owner_parts) - n_supers + popped, F.lit(0))), "/")
+    inner = F.array_join(F.slice("scopes", 1, F.greatest(F.size("scopes") - popped, F.lit(0))), "/")
+    used = F.when(F.col("head") == "crate", 1).otherwise(n_supers)
+    r = stage(r, climbed=climbed, inner=inner,
+              rest=F.slice("segments", used + 1, F.greatest(F.size("segments") - used, F.lit(0))))
+    escapes = (F.col("head") == "super") & (F.col("climbed") != F.col("root")) & ~F.startswith("climbed", F.concat("root", F.lit("/")))
     path_attr = F.exists(F.coalesce("context", F.array().cast("array<string>")), lambda c: c.rlike(r"^path([^A-Za-z0-9_]|$)"))
     early = (F.when((F.col("head") == "mod") & path_attr, "explicit-path-module-unsupported")
              .when(F.col("head") == "no-root", "source-outside-conventional-crate-root")
              .when(F.col("head") == "empty", "empty-or-unsupported-use-tree")
-             .when(F.col("escapes"), "use-escapes-crate-root").when(F.col("head") == "extern", "extern-prelude-or-ambiguous-bare-use"))
-    r = r.withColumn("early", early).withColumn("entry", (F.col("head") != "mod") & (F.size("rest") == 0))
+             .when(escapes, "use-escapes-crate-root").when(F.col("head") == "extern", "extern-prelude-or-ambiguous-bare-use"))
+    base = (F.when(F.col("head") == "crate", F.col("root"))
+            .when(F.col("head") == "super", F.array_join(F.filter(F.array("climbed", "inner"), lambda x: x != ""), "/"))
+            .when(F.col("head") == "mod", F.array_join(F.filter(F.array(F.col("owner"), F.col("inner"), m), lambda x: x != ""), "/"))
+            .otherwise(F.col("owner")))
+    r = stage(r, base=base, early=early, entry=(F.col("head") != "mod") & (F.size("rest") == 0))
     live = r.filter("early is null")
     none = F.array().cast("array<struct<len:int,file:string>>")
 

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from proofmill.sources.sinks import work_folder
+
 BASE_TABLES = ("customer documents events lineitem orders pages part benchmark labels conversations").split()
 
 _DIALECTS = {
@@ -355,15 +357,22 @@ select l_orderkey as concept_no, @i(l_linenumber) as line_no, @s(l_orderkey) ||
 from lineitem"""
 
 
-def needs(sql: str) -> list[str]:
-    """Views named in a query, dependencies first."""
+# Views that stand for landed tables (trees, file contents, parser output): they are
+# written once per data folder, so queries scan columns instead of rebuilding them.
+LANDED = ("v_files", "v_blobs", "v_tree", "v_symbols", "v_slices", "v_relations", "v_catalog", "v_style", "v_tasks",
+          "v_concepts", "v_task_text", "v_py_imports", "v_rs_imports", "v_claims", "v_bundle_slices")
+
+
+def needs(sql: str, stop: tuple[str, ...] = ()) -> list[str]:
+    """Views named in a query, dependencies first; views in `stop` are not looked into."""
     order: list[str] = []
 
     def visit(text: str) -> None:
         for name in re.findall(r"\b[vo]_[a-z_]+\b", text):
             if name in VIEWS and name not in order:
                 body = VIEWS[name]
-                visit(body if isinstance(body, str) else body["duck"])
+                if name not in stop:
+                    visit(body if isinstance(body, str) else body["duck"])
                 if name not in order:
                     order.append(name)
 
@@ -371,13 +380,13 @@ def needs(sql: str) -> list[str]:
     return order
 
 
-def with_views(sql: str, dialect: str) -> str:
-    """`sql` with a WITH clause that defines every view it names."""
-    names = needs(sql)
+def with_views(sql: str, dialect: str, stop: tuple[str, ...] = ()) -> str:
+    """`sql` with a WITH clause that defines every view it names (but those in `stop`)."""
     parts = []
-    for name in names:
-        body = VIEWS[name]
-        parts.append(f"{name} as ({render(body if isinstance(body, str) else body[dialect], dialect)})")
+    for name in needs(sql, stop):
+        if name not in stop:
+            body = VIEWS[name]
+            parts.append(f"{name} as ({render(body if isinstance(body, str) else body[dialect], dialect)})")
     text = render(sql, dialect).strip()
     if not parts:
         return text
@@ -387,6 +396,9 @@ def with_views(sql: str, dialect: str) -> str:
     return "with " + ",\n".join(parts) + "\n" + text
 
 
+_LANDED_AT: dict[tuple[str, str, str], str] = {}
+
+
 class Inputs:
     """Base tables of one data folder plus the derived views, as DataFrames."""
 
@@ -400,10 +412,26 @@ class Inputs:
             if re.search(rf"\b{table}\b", text):
                 self.spark.read.parquet(f"{self.folder}/{table}.parquet").createOrReplaceTempView(table)
 
+    def _land(self, name: str) -> None:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _LANDED_AT:
+            body = VIEWS[name]
+            text = body if isinstance(body, str) else body["spark"]
+            path = f"{work_folder(self.spark)}/{name}"
+            self._prepared(text).write.parquet(path)
+            _LANDED_AT[key] = path
+        self.spark.read.parquet(_LANDED_AT[key]).createOrReplaceTempView(name)
+
+    def _prepared(self, text: str) -> DataFrame:
+        for name in needs(text, LANDED):
+            if name in LANDED:
+                self._land(name)
+        full = with_views(text, "spark", LANDED)
+        self._register(full)
+        return self.spark.sql(full)
+
     def __call__(self, name: str) -> DataFrame:
-        return self.sql(f"select * from {name}")
+        return self._prepared(f"select * from {name}")
 
     def sql(self, text: str) -> DataFrame:
-        full = with_views(text, "spark")
-        self._register(full)
-        return self.spark.sql(full)
+        return self._prepared(text)
