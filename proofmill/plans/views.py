@@ -30,15 +30,24 @@ _DIALECTS = {
 
 
 def render(sql: str, dialect: str) -> str:
-    """Expand the ``@name(args)`` spots of a portable query, innermost first."""
+    """Expand the ``@name(args)`` spots of a portable query; spots may nest."""
     spots = _DIALECTS[dialect]
-    pattern = re.compile(r"@([a-z]+)\(([^@()]*(?:\([^@()]*(?:\([^@()]*\)[^@()]*)*\)[^@()]*)*)\)")
-    while True:
-        new = pattern.sub(lambda m: spots[m.group(1)].replace("{}", m.group(2)), sql)
-        if new == sql:
-            break
-        sql = new
-    return re.sub(r"@(noarr|nullarr)\b", lambda m: spots[m.group(1)], sql)
+    out, at = [], 0
+    for m in re.finditer(r"@([a-z]+)\b(\()?", sql):
+        if m.start() < at or m.group(1) not in spots:
+            continue
+        out.append(sql[at:m.start()])
+        if m.group(2) is None:
+            out.append(spots[m.group(1)])
+            at = m.end()
+            continue
+        depth, end = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out.append(spots[m.group(1)].replace("{}", render(sql[m.end():end - 1], dialect)))
+        at = end
+    return "".join(out) + sql[at:]
 
 
 VIEWS: dict[str, str | dict[str, str]] = {}
@@ -353,7 +362,11 @@ select f.full_name, f.doc_id, 'bu-none' from v_files f where f.k = 4 and f.doc_i
 VIEWS["v_claims"] = """
 select l_orderkey as concept_no, @i(l_linenumber) as line_no, @s(l_orderkey) || '-' || @s(l_linenumber) as claim_id,
   case (l_partkey + l_linenumber) % 5 when 0 then 'explicit' when 1 then 'inferred' when 2 then 'unknown' else 'observed' end as status,
-  round(l_discount * 10, 2) as confidence, @i(case when l_quantity > 40 then 0 else 1 end) as n_limitations, l_partkey, l_suppkey
+  least(round(l_discount * 10, 2), 1.0e0) as confidence, @i(case when l_quantity > 40 then 0 else 1 end) as n_limitations, l_partkey, l_suppkey,
+  case when l_linenumber % 3 = 0 then @arr('cs' || @s(l_partkey), 'cs' || @s(l_partkey + 1)) when l_suppkey % 9 = 8 then @noarr else @arr('cs' || @s(l_partkey)) end as slice_ids,
+  case when l_suppkey % 4 = 0 then @arr('cs' || @s(l_partkey)) when l_suppkey % 4 = 1 then @arr('cs' || @s(l_partkey + 2)) else @noarr end as counter_ids,
+  case when l_partkey % 11 = 10 then @noarr when l_partkey % 17 = 16 then @arr('cb' || @s(@div(l_partkey / 4)), 'cb-none') else @arr('cb' || @s(@div(l_partkey / 4))) end as bundle_ids,
+  case when l_partkey % 13 = 12 then @noarr when l_partkey % 19 = 18 then @arr('co-none') else @arr('co' || @s(@div(l_partkey / 2))) end as observation_ids
 from lineitem"""
 
 
