@@ -15,15 +15,15 @@ def _buckets(start: Column, end: Column) -> Column:
     return F.explode(F.sequence(F.floor(start / BUCKET), F.floor(end / BUCKET)))
 
 
-def interval_cover(intervals: DataFrame, slices: DataFrame, keys: list[str]) -> DataFrame:
+def interval_cover(intervals: DataFrame, slices: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
     """Greedy witnesses of every interval that slices cover completely.
 
     `keys` identify an interval; both sides carry full_name, revision, path and line
-    bounds.  The join is an equi-join on file and 64-line bucket, so one hot file is
+    bounds; `within` names further columns both sides must agree on.  The join is an equi-join on file and 64-line bucket, so one hot file is
     spread over its buckets.  Only the longest window per start line can be a witness,
     so windows are reduced to that before they are listed per interval.
     """
-    file = ["full_name", "revision", "path"]
+    file = [*(within or []), "full_name", "revision", "path"]
     valid = intervals.filter((F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")))
     wanted = valid.select(*dict.fromkeys([*keys, *file]), "start_line", "end_line",
                           _buckets(F.col("start_line"), F.col("end_line")).alias("bucket"))
