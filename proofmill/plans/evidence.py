@@ -49,10 +49,10 @@ select slice_id, bool_or(kind = 'tests') as tested from (
   select s.kind, s.target as slice_id from o_support s where located and covered and target is not null
   union all select s.kind, w.slice_id from o_support s join o_witness w on w.full_name = s.full_name and w.src = s.src and w.dst = s.dst and w.kind = s.kind and w.source_url = s.source_url where located and covered and target is not null) group by 1""")
 oracle_view("o_strength", f"""
-select s.slice_id, s.full_name, s.path, s.revision, {QM} as m, case when complete and (coalesce(r.tested, false) or coalesce(x.cross_modal, false) or f.slice_id is not null) then 4 when complete and r.slice_id is not null then 3 when complete then 2 else 1 end as rank,
+select s.slice_id, s.full_name, s.path, s.revision, s.m, case when complete and (coalesce(r.tested, false) or coalesce(x.cross_modal, false) or f.slice_id is not null) then 4 when complete and r.slice_id is not null then 3 when complete then 2 else 1 end as rank,
   concat_ws('|', 'bounded-text-window', case when complete then 'complete-semantic-unit' end, case when complete and (coalesce(r.tested, false) or coalesce(x.cross_modal, false) or f.slice_id is not null) then 'cross-modal-corroboration' end,
     case when r.slice_id is not null then 'static-relation-candidate' end) as signals
-from (select s.*, s.strategy <> 'line-window' and s.revision = 'r1' and (not exists (select 1 from v_symbols y where y.full_name = s.full_name and y.path = s.path)
+from (select s.*, {QM} as m, s.strategy <> 'line-window' and s.revision = 'r1' and (not exists (select 1 from v_symbols y where y.full_name = s.full_name and y.path = s.path)
         or exists (select 1 from v_symbols y where y.full_name = s.full_name and y.path = s.path and y.start_line >= s.start_line and y.end_line <= s.end_line)) as complete from v_slices s) s
 left join o_related r on r.slice_id = s.slice_id
 left join (select full_name, path, revision, bool_or(list_contains(m, 'implementation')) and bool_or(list_contains(m, 'test')) as cross_modal from (select *, {QM} as m from v_slices where strategy <> 'line-window') group by 1, 2, 3) x
