@@ -11,6 +11,7 @@ from proofmill import fixed_values as fv
 
 # Every character the semantics count as white space (ASCII plus Unicode spaces).
 SPACES = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+SPACE_CHARS = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 CJK = r"[\x{4e00}-\x{9fff}]"
 
 
@@ -20,7 +21,8 @@ def ascii_word(pattern: str, flags: str = "") -> str:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACES}+|{SPACES}+$", "")
+    """White space stripped at both ends; a character-set trim looks at the ends only."""
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def collapsed(c: Column) -> Column:

@@ -12,7 +12,9 @@ from proofmill.plans import discovery as disc
 from proofmill.plans import duck as d
 from proofmill.plans.registry import oracle_view, query
 
-NOW = F.lit("2002-01-01 00:00:00")
+def now():
+    """The fixed reference time of the queries."""
+    return F.lit("2002-01-01 00:00:00")
 
 FLAG_SQL = ", ".join([
     f"bool_or({d.is_test('path')} and {d.is_code('path')}) as has_tests",
@@ -80,7 +82,7 @@ def flagged(v):
 
 def assessed(v, requested=None):
     cand = disc.ranked(v).select("task_id", "full_name", "candidate_rank")
-    return sc.assess_repositories(cand, v("v_catalog"), sc.tree_flags(v("v_tree")), disc.domain(v), NOW, tree_key="tree_name")
+    return sc.assess_repositories(cand, v("v_catalog"), sc.tree_flags(v("v_tree")), disc.found_domain(v), now(), tree_key="tree_name")
 
 
 def _register_score(name, fn):
@@ -91,11 +93,11 @@ def _register_score(name, fn):
         return fn(flagged(v)).select("full_name", F.col(name).alias("score"), F.array_join(f"{name}_reasons", "|").alias("reasons"))
 
 
-_register_score("maturity", lambda df: sc.maturity(df, NOW))
+_register_score("maturity", lambda df: sc.maturity(df, now()))
 _register_score("transferability", sc.transferability)
 _register_score("clarity", sc.clarity)
 _register_score("design", sc.design)
-_register_score("risk", lambda df: sc.risk(df, NOW))
+_register_score("risk", lambda df: sc.risk(df, now()))
 
 
 @query("score_overall", "select task_id, full_name, overall from o_assessed")
@@ -155,7 +157,7 @@ def merged(v):
     asked = names.join(v("v_catalog").select("p_partkey", "full_name"), "p_partkey").select(
         "task_id", "full_name", F.lit(0).cast("long").alias("candidate_rank"))
     flags, dom = sc.tree_flags(v("v_tree")), disc.domain(v)
-    requested = sc.assess_repositories(asked, v("v_catalog"), flags, dom, NOW, tree_key="tree_name")
+    requested = sc.assess_repositories(asked, v("v_catalog"), flags, dom, now(), tree_key="tree_name")
     return sc.merge_assessments(requested, assessed(v))
 
 

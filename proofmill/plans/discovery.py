@@ -144,17 +144,28 @@ def _(v):
 
 
 def terms(v):
-    return dm.task_terms(v("v_tasks"), v("v_concepts"))
+    return v.memo("terms", lambda: dm.task_terms(v("v_tasks"), v("v_concepts")))
+
+
+def domain(v, repositories=None):
+    """Domain scores; only of `repositories` (full_name) when given."""
+    t, catalog = terms(v), v("v_catalog")
+    if repositories is not None:
+        catalog = catalog.join(repositories.select("full_name").distinct(), "full_name", "left_semi")
+    return dm.domain_signal(t, dm.term_matches(t, catalog))
+
+
+def hits(v):
+    return v.memo("hits", lambda: dm.search_topk(dm.plan_queries(v("v_tasks"), v("v_concepts")), v("v_catalog")))
 
 
-def domain(v):
-    t = terms(v)
-    return dm.domain_signal(t, dm.term_matches(t, v("v_catalog")))
+def found_domain(v):
+    """Only repositories some query found are matched against the vocabulary."""
+    return v.memo("found_domain", lambda: domain(v, hits(v)))
 
 
 def ranked(v):
-    hits = dm.search_topk(dm.plan_queries(v("v_tasks"), v("v_concepts")), v("v_catalog"))
-    return dm.fuse_search_hits(hits, domain(v))
+    return v.memo("ranked", lambda: dm.fuse_search_hits(hits(v), found_domain(v)))
 
 
 @query("term_matches", "select * from o_matches")

@@ -137,14 +137,17 @@ def code_sql(table):
     return "case phase_now " + " ".join(f"when '{p}' then '{c}'" for p, c in table.items()) + " end"
 
 
-@query("phase_audit_batch", f"""
+AUDIT_SQL = f"""
 select task_id, seq, tool, mode, phase_now, case when tool in ({d.words(fv.MUTATION_TOOLS)}) then case when mode = 'advisory' then {code_sql(fv.ADVISORY_SIGNALS)} else {code_sql(fv.STRICT_SIGNALS)} end end as signal
-from (select *, coalesce(last_value(phase ignore nulls) over (partition by task_id order by ts, seq rows between unbounded preceding and 1 preceding), 'idle') as phase_now from v_workflow) where tool is not null""")
+from (select *, coalesce(last_value(phase ignore nulls) over (partition by task_id order by ts, seq rows between unbounded preceding and 1 preceding), 'idle') as phase_now from v_workflow) where tool is not null"""
+
+
+@query("phase_audit_batch", AUDIT_SQL)
 def _(v):
     return phases.phase_audit_batch(v("v_workflow"))
 
 
-@query("phase_audit_stream")
+@query("phase_audit_stream", AUDIT_SQL)
 def _(v):
     folder = work_folder(v.spark)
     events = v("v_workflow")
@@ -153,7 +156,8 @@ def _(v):
     return summaries.run_to_table(phases.phase_audit_stream(stream), folder, "append")
 
 
-@query("eval_summary_stream")
+@query("eval_summary_stream", """
+select variant, count(*) as runs, count(case when verification_exit_code = 0 then 1 end) as verified, round(avg(duration_ms), 3) as avg_duration_ms, round(avg(changed_files), 6) as avg_changed_files from v_eval_runs group by 1""")
 def _(v):
     folder = work_folder(v.spark)
     runs = v("v_eval_runs")

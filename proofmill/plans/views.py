@@ -418,6 +418,13 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._made: dict = {}
+
+    def memo(self, key, make):
+        """One DataFrame per step of a query, however many later steps read it."""
+        if key not in self._made:
+            self._made[key] = make()
+        return self._made[key]
 
     def _register(self, text: str) -> None:
         """Make the base tables a query names visible, reading only those."""
@@ -444,7 +451,7 @@ class Inputs:
         return self.spark.sql(full)
 
     def __call__(self, name: str) -> DataFrame:
-        return self._prepared(f"select * from {name}")
+        return self.memo(name, lambda: self._prepared(f"select * from {name}"))
 
     def sql(self, text: str) -> DataFrame:
         return self._prepared(text)
