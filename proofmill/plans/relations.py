@@ -161,7 +161,18 @@ def _(v):
     return symbol_cover(v).select("full_name", "path", "name")
 
 
-@query("interval_witnesses")
+oracle_view("o_sym_first", """
+select y.full_name, y.path, y.name, y.end_line, arg_min(p.slice_id, row(-p.end_line, p.start_line, p.slice_id)) as slice_id, max(p.end_line) as far from v_symbols y
+join o_pinned p on p.full_name = y.full_name and p.path = y.path and p.start_line <= y.start_line and p.end_line >= y.start_line where y.end_line >= y.start_line group by 1, 2, 3, 4""")
+oracle_view("o_sym_second", """
+select f.full_name, f.path, f.name, arg_min(p.slice_id, row(-p.end_line, p.start_line, p.slice_id)) as slice_id, max(p.end_line) as far from o_sym_first f
+join o_pinned p on p.full_name = f.full_name and p.path = f.path and p.start_line <= f.far + 1 and p.end_line >= f.far + 1 where f.far < f.end_line group by 1, 2, 3""")
+
+
+# Ten-line windows at stride five: one or two of them always decide a five-line range.
+@query("interval_witnesses", """
+select f.full_name, f.path, f.name, concat_ws('|', f.slice_id, s.slice_id) as witnesses from o_sym_first f
+left join o_sym_second s on s.full_name = f.full_name and s.path = f.path and s.name = f.name where f.far >= f.end_line or s.far >= f.end_line""")
 def _(v):
     return symbol_cover(v).withColumn("witnesses", F.array_join("witnesses", "|"))
 

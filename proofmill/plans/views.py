@@ -403,9 +403,9 @@ def with_views(sql: str, dialect: str, stop: tuple[str, ...] = ()) -> str:
     text = render(sql, dialect).strip()
     if not parts:
         return text
-    head = re.match(r"(?is)with\s+", text)
+    head = re.match(r"(?is)with\s+(recursive\s+)?", text)
     if head:
-        return "with " + ",\n".join(parts) + ",\n" + text[head.end():]
+        return ("with recursive " if head.group(1) else "with ") + ",\n".join(parts) + ",\n" + text[head.end():]
     return "with " + ",\n".join(parts) + "\n" + text
 
 
