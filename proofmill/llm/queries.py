@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import decontamination
+from proofmill.llm import decontamination, pii
 from proofmill.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,18 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.find_matches(docs, table(spark, folder, "benchmark"))
     return found.select("doc_id", F.size("matches").cast("long").alias("n_items"), F.col("matches.item_id").alias("item_ids"),
                         F.col("matches.distance").alias("distances"), (F.size("matches") == 0).alias("kept"))
+
+
+def joined(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: counts of base spans by kind, their digest, and all spans."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
