@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import decontamination, pii, sentencepiece
+from proofmill.llm import decontamination, near_dedup, pii, sentencepiece
 from proofmill.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,10 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     coded = sentencepiece.decode(sentencepiece.encode(docs), into="decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@query("op9_near_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: the size of its set of two-word shingles, its component, and whether it stays."""
+    found = near_dedup.near_duplicates(table(spark, folder, "documents"), shingle_words=2)
+    return found.withColumnRenamed("id", "doc_id")
