@@ -22,7 +22,9 @@ which the models use as their space mark.
 
 from __future__ import annotations
 
+import gc
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Key of a piece id in the tree of pieces; no single character.
-END = ""
+NO_PIECE = ({}, -1)
 MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: Distinct words and stable pairs that a task remembers; when full, the memory starts anew. Results do not depend on it.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 700_000
 MEMORY_PAIRS = 500_000
+#: Bytes of text that are encoded together; the more, the longer the shared prefixes. Results do not depend on it.
+CHUNK_BYTES = 6_000_000
 #: What a character without a piece costs below the worst piece in a unigram model (as in the library).
 UNKNOWN_PENALTY = 10.0
 
@@ -48,6 +51,17 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def tree_of(ids: dict[str, int]) -> dict:
+    """The pieces as a tree: a node maps a character to (node below, id of the piece that ends here or -1)."""
+    tree: dict = {}
+    for piece, i in sorted(ids.items()):  # a piece comes after its prefixes
+        node = tree
+        for c in piece[:-1]:
+            node = node.setdefault(c, ({}, -1))[0]
+        node[piece[-1]] = ({}, i)
+    return tree
+
+
 class Vocabulary:
     """Pieces, scores and settings of a model file that normalises nothing."""
 
@@ -70,15 +84,10 @@ class Vocabulary:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("only models whose pieces do not span words are read")
         self.scores = [p.score for p in model.pieces]
+        self.tree = tree_of(self.ids)
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.size, self.texts = len(model.pieces), [p.piece for p in model.pieces]
-        self.tree: dict = {}
-        for piece, i in self.ids.items():
-            node = self.tree
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[END] = i
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         self.surface = [b"" if p.type == CONTROL else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode() for p in model.pieces]
         self._stable: dict[int, bool] = {}
@@ -107,27 +116,42 @@ class Vocabulary:
             known = self._stable[key] = self.merges("".join(parts)) == parts
         return known
 
-    def step(self, char: str, i: int, states: list[tuple]) -> tuple:
-        """Forward state of the prefix that ends with its i-th character.
+    def follow(self, word: str, states: list[tuple]) -> None:
+        """Adds the forward states of the prefixes of a word that are longer than those on the stack.
 
         A state is (score, start of the last piece, id of the last piece, open starts); open starts are (start, node of the piece
-        tree) for every start from which the characters so far begin some piece, so that only these are tried, longest first.
+        tree) for every start from which the characters so far begin some longer piece, so that only these are tried, longest first.
         """
-        best, following = None, []
-        for start, node in (*states[i - 1][3], (i - 1, self.tree)):
-            node = node.get(char)
-            if node is None:
-                continue
-            following.append((start, node))
-            piece = node.get(END)
-            if piece is None or self.bpe and (best is not None or not self.stable(states[start][2], piece)):
-                continue
-            score = states[start][0] + self.scores[piece]
-            if best is None or score > best[0]:
-                best = (score, start, piece)
-        if best is None or not self.bpe and best[1] < i - 1 and (char not in self.tree or END not in self.tree[char]) and states[i - 1][0] + self.worst > best[0]:
-            best = (states[i - 1][0] + self.worst, i - 1, -1)
-        return (*best, following)
+        root, scores, size, known, bpe = self.tree, self.scores, self.size, self._stable, self.bpe
+        for i in range(len(states), len(word) + 1):
+            char = word[i - 1]
+            best, chosen, following = None, None, []
+            for start, nodes in states[i - 1][3]:
+                node = nodes.get(char)
+                if node is None:
+                    continue
+                nodes, piece = node
+                if nodes:
+                    following.append((start, nodes))
+                if piece < 0:
+                    continue
+                before = states[start]
+                if bpe:
+                    if chosen is None:
+                        fits = known.get(before[2] * size + piece)
+                        if fits or fits is None and self.stable(before[2], piece):
+                            best, chosen = before[0] + scores[piece], (start, piece)
+                elif best is None or before[0] + scores[piece] > best:
+                    best, chosen = before[0] + scores[piece], (start, piece)
+            before = states[i - 1]
+            nodes, piece = root.get(char, NO_PIECE)
+            if nodes:
+                following.append((i - 1, nodes))
+            if chosen is None or not bpe:
+                score = before[0] + (scores[piece] if piece >= 0 else self.worst)
+                if best is None or score > best:
+                    best, chosen = score, (i - 1, piece)
+            states.append((best, *chosen, following))
 
     def piece_ids(self, word: str, states: list[tuple]) -> list[int]:
         out, i = [], len(word)
@@ -142,12 +166,15 @@ class Vocabulary:
             i = start
         return out[::-1]
 
-    def encode_words(self, words) -> dict[str, np.ndarray]:
-        """Ids of distinct marked words: depth-first over their trie, with the forward states of the current branch on a stack."""
-        out = {}
+    def encode_words(self, words) -> tuple[list[str], list[int], list[int]]:
+        """Distinct marked words in order, the ends of their ids, and all their ids one after another.
+
+        Depth-first over the trie of the words, with the forward states of the current branch on a stack.
+        """
+        words, ends, ids = sorted(words), [], []
         states: list[tuple] = [(0.0, 0, -1, ())]
         before = ""
-        for word in sorted(words):
+        for word in words:
             shared, most = 0, min(len(before), len(word))
             if before[:most] == word[:most]:
                 shared = most
@@ -155,11 +182,11 @@ class Vocabulary:
                 while before[shared] == word[shared]:
                     shared += 1
             del states[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                states.append(self.step(word[i - 1], i, states))
-            out[word] = np.array(self.piece_ids(word, states), dtype=np.int32)
+            self.follow(word, states)
+            ids += self.piece_ids(word, states)
+            ends.append(len(ids))
             before = word
-        return out
+        return words, ends, ids
 
     def marked(self, text: str) -> list[str]:
         if not text:
@@ -172,26 +199,40 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes batches of texts, remembering words within a bound."""
+    """Encodes lists of texts, remembering words within a bound."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.memory: dict[str, np.ndarray] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        cut = [None if t is None else self.vocabulary.marked(t) for t in texts]
-        new = {w for ws in cut if ws for w in ws if w not in self.memory}
-        if len(self.memory) + len(new) > MEMORY_WORDS:
-            self.memory = {}
-            new = {w for ws in cut if ws for w in ws}
-        self.memory |= self.vocabulary.encode_words(new)
-        get = self.memory.__getitem__
-        none = np.zeros(0, dtype=np.int32)
-        out = [None if ws is None else np.concatenate(list(map(get, ws))) if ws else none for ws in cut]
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.ends, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.places) + len(words) > MEMORY_WORDS:
+            self.forget()
+        new, ends, ids = self.vocabulary.encode_words(words.difference(self.places))
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+        self.ends = np.concatenate([self.ends, len(self.ids) + np.array(ends, dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, np.array(ids, dtype=np.int32)])
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's ids end, from 0); a null text has none."""
+        cut = [() if t is None else self.vocabulary.marked(t) for t in texts]
+        self.learn(set().union(*cut))
+        counts = np.cumsum([0, *map(len, cut)])
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=counts[-1])
+        lengths = self.ends[at + 1] - self.ends[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids[np.repeat(self.ends[at] - ends[:-1], lengths) + np.arange(ends[-1])]
+        bounds = ends[counts]
         if not self.vocabulary.bytes:  # neighbouring unknown characters of one text are one piece, also across words
-            unknown = self.vocabulary.unknown
-            out = [x if x is None else x[~((x == unknown) & (np.concatenate([[-1], x[:-1]]) == unknown))] if len(x) else x for x in out]
-        return out
+            same = (ids == self.vocabulary.unknown) & (np.concatenate([[-1], ids])[:-1] == self.vocabulary.unknown)
+            same[bounds[:-1][bounds[:-1] < len(ids)]] = False
+            bounds = np.concatenate([[0], np.cumsum(~same)])[bounds]
+            ids = ids[~same]
+        return ids, bounds
 
 
 def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", into: str = "ids") -> DataFrame:
@@ -202,13 +243,11 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", in
 
     def run(batches):
         encoder = Encoder(Vocabulary(path))
-        for batch in batches:
-            for part in slices(batch, text_col):
-                ids = encoder(part.column(text_col).to_pylist())
-                ends = np.cumsum([0, *(0 if x is None else len(x) for x in ids)]).astype(np.int32)
-                values = np.concatenate([np.zeros(0, dtype=np.int32), *(x for x in ids if x is not None)])
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array([x is None for x in ids]))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, into])
+        gc.freeze()  # the vocabulary stays; the collector need not walk it again and again
+        for part in chunks(batches, text_col):
+            ids, ends = encoder(part.column(text_col).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=part.column(text_col).is_null())
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, into])
 
     return docs.mapInArrow(run, schema)
 
@@ -221,17 +260,28 @@ def decode(docs: DataFrame, model: str | None = None, ids_col: str = "ids", into
 
     def run(batches):
         vocabulary = Vocabulary(path)
-        for batch in batches:
-            for part in slices(batch, ids_col):
-                texts = [None if x is None else vocabulary.decode(x) for x in part.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
+        for part in chunks(batches, ids_col):
+            texts = [None if x is None else vocabulary.decode(x) for x in part.column(ids_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
 
     return docs.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000):
-    """The batch in parts whose column holds few bytes, so that long texts do not add up."""
-    size = batch.column(column).nbytes
-    rows = max(1, batch.num_rows * most // max(1, size))
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def chunks(batches, column: str, size: int = CHUNK_BYTES):
+    """Record batches whose column holds about `size` bytes (one row at least): small ones are put together, large ones cut."""
+    held, total = [], 0
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(1, batch.column(column).nbytes))
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            held.append(part)
+            total += part.column(column).nbytes
+            if total >= size:
+                yield from together(held)
+                held, total = [], 0
+    yield from together(held)
+
+
+def together(batches: list[pa.RecordBatch]):
+    if batches:
+        yield from pa.Table.from_batches(batches).combine_chunks().to_batches()
