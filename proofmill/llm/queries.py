@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import decontamination, near_dedup, pii, sentencepiece
+from proofmill.llm import decontamination, near_dedup, pii, quality_classifier, sentencepiece
 from proofmill.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: the size of its set of two-word shingles, its component, and whether it stays."""
     found = near_dedup.near_duplicates(table(spark, folder, "documents"), shingle_words=2)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: its evidence, its site's prior, the posterior and whether it stays."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    found = quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, folder, "labels")))
+    return found.select("doc_id", *(F.round(c, 6).alias(c) for c in ("evidence", "prior", "posterior")), "kept")
