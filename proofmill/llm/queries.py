@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import decontamination, near_dedup, pii, quality_classifier, sentencepiece
+from proofmill.llm import decontamination, near_dedup, pii, quality_classifier, quality_rules, sentencepiece
 from proofmill.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     found = quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, folder, "labels")))
     return found.select("doc_id", *(F.round(c, 6).alias(c) for c in ("evidence", "prior", "posterior")), "kept")
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: the base counts, the base rule, the verdict of the weighed votes and its posterior."""
+    voted = quality_rules.stored_votes(table(spark, folder, "documents"))
+    found = quality_rules.judge(voted, quality_rules.fit(voted))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
