@@ -1,15 +1,17 @@
 """Near-duplicate classes by a signature-coordinate inverted join.
 
-1. Every document becomes the set of its word shingles (64-bit hashes), a digest of that set, and a MinHash signature of `COORDINATES` values.
-   Documents with equal sets are one class; only its representative (smallest id) goes on.
+1. Every document becomes the set of its word shingles (64-bit hashes), a digest of that set, and a MinHash signature: MINIMA minima, the
+   first COORDINATES of which make coordinates of WIDTH neighbouring minima each. Documents with equal sets are one class; only its
+   representative (smallest id) goes on.
 2. Inverted lists: a representative is posted under each coordinate-value pair. Pairs held by one representative only have no partner and fall away.
-3. Prefix merging: two documents at the threshold agree in at least `MATCHES` coordinates (see below), so with a document's m shared pairs in
-   order of rarity, one of its m - MATCHES + 1 rarest is common to both. Only these are merged; documents with fewer than MATCHES
-   shared pairs are skipped, and so are the long lists behind the prefixes.
-4. Collisions of a merged pair are counted over the whole signatures; pairs with MATCHES or more are confirmed on the full shingle sets.
+3. Prefix merging: two documents at the threshold agree in at least `matches_needed` coordinates, so with a document's m shared pairs in
+   order of rarity, one of its m - matches_needed + 1 rarest is common to both. Only these are merged; documents with fewer shared
+   pairs are skipped, and so are the long lists behind the prefixes.
+4. Collisions of a merged pair are counted over all MINIMA, one bit each; pairs that differ in at most `flips_allowed` bits are confirmed on
+   the full shingle sets.
 
-MATCHES is low enough (36 of 64 at a similarity of 0.8, more than 4.5 standard deviations below the mean) that a true link
-fails to reach it about once in 500 000 at the threshold, and far less above it.
+Both bounds lie 4.7 standard deviations beyond the mean of a pair at the threshold, so a true link is missed a few times in a
+million there, and far less above it.
 
 Large lists: all pairs of a list are never written out. First each member meets the list's most central member (a hub: most
 agreement with everybody else), and components are formed. A pair within one component needs no test any more. Then
@@ -33,19 +35,33 @@ from proofmill.llm.components import components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+MINIMA = 128
 COORDINATES = 64
+#: Neighbouring minima that make one coordinate's value.
+WIDTH = 2
 #: Words whose hashes a task remembers; when full, the memory starts anew. Results do not depend on it.
 MEMORY_WORDS = 500_000
 #: Pairs of different components, as a multiple of all postings, up to which each meets each without a further hub; more hubs only change the work.
-DIRECT = 2
-HUB_ROUNDS = 6
-A = np.random.default_rng(20240501).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-B = np.random.default_rng(20240502).integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+DIRECT = 64
+HUB_ROUNDS = 4
+A = np.random.default_rng(20240501).integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+B = np.random.default_rng(20240502).integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 
 
-def matches_needed(similarity: float, coordinates: int = COORDINATES) -> int:
-    """Agreeing coordinates that a pair at the threshold reaches but for about two in a million cases."""
-    return max(1, int(similarity * coordinates - 4.7 * (similarity * (1 - similarity) * coordinates) ** 0.5))
+def matches_needed(similarity: float, coordinates: int = COORDINATES, width: int = WIDTH) -> int:
+    """Agreeing coordinates that a pair at the threshold reaches but for about two in a million cases (4.7 standard deviations).
+
+    Coordinates that share minima agree together more often than independent ones; the variance counts these neighbours.
+    """
+    p = similarity**width
+    variance = p * (1 - p) + 2 * sum(similarity ** (width + d) - p * p for d in range(1, width))
+    return max(1, int(coordinates * p - 4.7 * (coordinates * variance) ** 0.5))
+
+
+def flips_allowed(similarity: float, minima: int = MINIMA) -> int:
+    """Differing bits that a pair at the threshold does not exceed but for about two in a million cases: a differing minimum differs in its bit half the time."""
+    p = (1 - similarity) / 2
+    return int(minima * p + 4.7 * (minima * p * (1 - p)) ** 0.5) + 1
 
 
 class WordHashes(dict):
@@ -77,16 +93,21 @@ def shingle_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Smallest value of each coordinate's hash function, its upper 32 bits as an int."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 1024):
-        np.minimum(least, (shingles[at : at + 1024, None] * A + B).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coordinates as ints, one bit of each minimum packed into longs); a minimum is the smallest value of its own hash function."""
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(MINIMA, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(x), 2048):
+        np.minimum(least, (x[at : at + 2048, None] * A + B).min(axis=0), out=least)
+    wide = mixed(least.astype(np.uint64))
+    value = np.zeros(COORDINATES, dtype=np.uint64)
+    for i in range(WIDTH):
+        value = mixed(value + np.roll(wide[:COORDINATES], -i))
+    return (value >> np.uint64(32)).astype(np.uint32).view(np.int32), np.packbits((wide & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """(id, n_shingles, digest, signature) of every row; digest and signature are null for an empty set."""
+    """(id, n_shingles, digest, coordinates, bits) of every row; the last three are null for an empty set."""
 
     def run(batches):
         hashes = WordHashes()
@@ -94,11 +115,11 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -
             rows = []
             for text in batch["the_text"]:
                 s = shingle_set(text, shingle_words, hashes)
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s)) if len(s) else (0, None, None))
-            yield pd.DataFrame({"id": batch["id"], "n_shingles": [r[0] for r in rows], "digest": [r[1] for r in rows], "signature": [r[2] for r in rows]})
+                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), *signature(s)) if len(s) else (0, None, None, None))
+            yield pd.DataFrame({"id": batch["id"]} | {c: [r[i] for r in rows] for i, c in enumerate(("n_shingles", "digest", "coordinates", "bits"))})
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("the_text"))
-    return texts.mapInPandas(run, "id bigint, n_shingles bigint, digest binary, signature array<int>")
+    return texts.mapInPandas(run, "id bigint, n_shingles bigint, digest binary, coordinates array<int>, bits array<bigint>")
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -106,12 +127,9 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9 and both > 0
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, needed: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree often enough and whose full sets reach the similarity; written to the shared folder."""
-    side = lambda k: reps.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("signature").alias(f"signature_{k}"))
-    agreeing = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    held = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9).where(agreeing >= needed)
-    held = written(held.select("a", "b").distinct(), "candidates")
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity; written to the shared folder."""
+    held = written(pairs.distinct(), "candidates")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("the_text"))
     wanted = held.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = texts.join(wanted, "id", "left_semi")
@@ -137,42 +155,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = matches_needed(similarity)
     rows = written(described(docs, id_col, text_col, shingle_words), "signatures")
     linked = rows.where("digest is not null and id is not null")
-    classes = linked.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = linked.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "coordinates", "bits")))
     classes = written(classes, "classes")
-    reps = classes.drop("digest")
 
-    postings = reps.select("rep", F.posexplode("signature").alias("coordinate", "value"))
+    postings = classes.select("rep", F.posexplode("coordinates").alias("coordinate", "value"))
     postings = postings.select("rep", (F.shiftleft(F.col("coordinate").cast("bigint"), 32).bitwiseOR(F.col("value").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    held = postings.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("size", "token"))).alias("held"))
-    held = held.where(F.size("held") >= needed).withColumn("central", F.aggregate("held", F.lit(0.0), lambda s, x: s + F.log(x["size"].cast("double"))))
-    lists = held.select("rep", "central", F.explode(F.slice("held", F.lit(1), F.size("held") - (needed - 1))).alias("x"))
-    lists = written(lists.select("rep", "central", F.col("x.token").alias("token")), "lists")
+    held = postings.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("size", "token"))).alias("held")).where(F.size("held") >= needed)
+    held = held.withColumn("central", F.aggregate("held", F.lit(0.0), lambda s, x: s + F.log(x["size"].cast("double"))))
+    held = held.withColumn("held", F.slice("held", F.lit(1), F.size("held") - (needed - 1)))
+    member = F.struct("rep", "n_shingles", "bits", "central").alias("member")
+    lists = written(held.join(classes.drop("coordinates"), "rep").select(F.explode("held.token").alias("token"), member), "lists")
 
     def links(pairs):
-        return confirmed(pairs, reps, docs, id_col, text_col, shingle_words, similarity, needed)
+        return confirmed(pairs, docs, id_col, text_col, shingle_words, similarity)
+
+    def pairs(left, right, *conditions):
+        """Distinct pairs of two lists' members under one token that their sizes and bits allow."""
+        met = left.join(right.withColumnRenamed("member", "other"), "token").where(may_link(F.col("member"), F.col("other"), similarity))
+        for c in conditions:
+            met = met.where(c)
+        return met.select(F.least("member.rep", "other.rep").alias("a"), F.greatest("member.rep", "other.rep").alias("b")).where("a < b")
 
-    hubs = lists.groupBy("token").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("hub"))
-    found = links(pairs_with(hubs, lists))
+    hubs = lists.groupBy("token").agg(F.max_by("member", F.struct("member.central", -F.col("member.rep"))).alias("member"))
+    found = links(pairs(lists, hubs))
     labels = written(components(found), "components")
     for turn in range(HUB_ROUNDS):
-        placed = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = lists.join(labels, F.col("member.rep") == F.col("node"), "left").select("token", "member", F.coalesce("component", "member.rep").alias("component"))
+        placed = written(placed, "placed")
         sizes = placed.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count("*").alias("parts"))
-        open_lists = written(sizes.where("parts > 1").select("token", "n", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("cross")), "open")
-        placed = written(placed.join(open_lists, "token").select("token", "rep", "component", "n"), "placed")
-        cross, all_rows = open_lists.agg(F.sum("cross"), F.sum("n")).first()
+        open_lists = sizes.where("parts > 1").select("token", "n", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("cross"))
+        cross, members = open_lists.agg(F.sum("cross"), F.sum("n")).first()
         if cross is None:
             break
-        if cross <= DIRECT * max(all_rows, 100_000) or turn == HUB_ROUNDS - 1:
-            left, right = placed.drop("n"), placed.select("token", F.col("rep").alias("b"), F.col("component").alias("other"))
-            pairs = left.withColumnRenamed("rep", "a").join(right, "token").where("component <> other and a < b").select("a", "b").distinct()
-            found = found.unionByName(links(pairs))
+        placed = placed.join(open_lists.select("token"), "token", "left_semi")
+        each = cross <= DIRECT * max(members, 100_000) or turn == HUB_ROUNDS - 1
+        if each:
+            right = placed.withColumnRenamed("component", "its_component")
+            new = pairs(placed, right, "component < its_component")
+        else:
+            right = placed.groupBy("token").agg(F.max_by(F.struct("member", "component"), F.xxhash64("member.rep", F.lit(turn))).alias("hub")).select("token", "hub.member", F.col("hub.component").alias("its_component"))
+            new = pairs(placed, right, "component <> its_component")
+        new = links(new)
+        if not new.isEmpty():
+            found = found.unionByName(new)
             labels = written(components(found), "components")
+        if each:
             break
-        hubs = placed.groupBy("token").agg(F.max_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
-        pairs = placed.join(hubs, "token").where("component <> hub.component").select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-        found = found.unionByName(links(pairs))
-        labels = written(components(found), "components")
 
     named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("id", "n_shingles", "digest").join(named, "digest", "left")
@@ -180,8 +209,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def pairs_with(hubs: DataFrame, lists: DataFrame) -> DataFrame:
-    return lists.join(hubs, "token").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+def may_link(x, y, similarity: float):
+    """Whether the sizes of two members and the bits of their minima allow a link."""
+    sizes = F.least(x["n_shingles"], y["n_shingles"]) >= similarity * F.greatest(x["n_shingles"], y["n_shingles"]) - 1e-9
+    flips = sum((F.bit_count(F.get(x["bits"], F.lit(i)).bitwiseXOR(F.get(y["bits"], F.lit(i)))) for i in range(1, MINIMA // 64)), F.bit_count(F.get(x["bits"], F.lit(0)).bitwiseXOR(F.get(y["bits"], F.lit(0)))))
+    return sizes & (flips <= flips_allowed(similarity))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
