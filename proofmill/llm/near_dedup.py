@@ -7,8 +7,10 @@
 3. Prefix merging: two documents at the threshold agree in at least `matches_needed` coordinates, so with a document's m shared pairs in
    order of rarity, one of its m - matches_needed + 1 rarest is common to both. Only these are merged; documents with fewer shared
    pairs are skipped, and so are the long lists behind the prefixes.
-4. Collisions of a merged pair are counted over all MINIMA, one bit each; pairs that differ in at most `flips_allowed` bits are confirmed on
-   the full shingle sets.
+4. Collisions of a merged pair are counted over all MINIMA, one bit each, inside the merge itself; so are the parities of the sets (below).
+   Pairs that differ in at most `flips_allowed` bits are confirmed on the full shingle sets.
+   Parities: each shingle flips one of PARITIES bits of its set, so two sets differ in at most as many bits as shingles. That bound holds
+   always; it tells pairs just below the threshold apart, of which a large group of loose copies has very many.
 
 Both bounds lie 4.7 standard deviations beyond the mean of a pair at the threshold, so a true link is missed a few times in a
 million there, and far less above it.
@@ -24,6 +26,8 @@ class; columns beyond the id and the text are not read by `near_duplicates` and
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -39,10 +43,11 @@ MINIMA = 128
 COORDINATES = 64
 #: Neighbouring minima that make one coordinate's value.
 WIDTH = 2
+PARITIES = 512
 #: Words whose hashes a task remembers; when full, the memory starts anew. Results do not depend on it.
 MEMORY_WORDS = 500_000
 #: Pairs of different components, as a multiple of all postings, up to which each meets each without a further hub; more hubs only change the work.
-DIRECT = 64
+DIRECT = 1000
 HUB_ROUNDS = 4
 A = np.random.default_rng(20240501).integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 B = np.random.default_rng(20240502).integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -106,8 +111,14 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (value >> np.uint64(32)).astype(np.uint32).view(np.int32), np.packbits((wide & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of PARITIES places, packed into longs."""
+    places = (shingles & np.uint64(PARITIES - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+
+
 def described(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """(id, n_shingles, digest, coordinates, bits) of every row; the last three are null for an empty set."""
+    """(id, n_shingles, digest, coordinates, bits, parity) of every row; the last four are null for an empty set."""
 
     def run(batches):
         hashes = WordHashes()
@@ -115,11 +126,11 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -
             rows = []
             for text in batch["the_text"]:
                 s = shingle_set(text, shingle_words, hashes)
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), *signature(s)) if len(s) else (0, None, None, None))
-            yield pd.DataFrame({"id": batch["id"]} | {c: [r[i] for r in rows] for i, c in enumerate(("n_shingles", "digest", "coordinates", "bits"))})
+                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), *signature(s), parities(s)) if len(s) else (0, None, None, None, None))
+            yield pd.DataFrame({"id": batch["id"]} | {c: [r[i] for r in rows] for i, c in enumerate(("n_shingles", "digest", "coordinates", "bits", "parity"))})
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("the_text"))
-    return texts.mapInPandas(run, "id bigint, n_shingles bigint, digest binary, coordinates array<int>, bits array<bigint>")
+    return texts.mapInPandas(run, "id bigint, n_shingles bigint, digest binary, coordinates array<int>, bits array<bigint>, parity array<bigint>")
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -155,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = matches_needed(similarity)
     rows = written(described(docs, id_col, text_col, shingle_words), "signatures")
     linked = rows.where("digest is not null and id is not null")
-    classes = linked.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "coordinates", "bits")))
+    classes = linked.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "coordinates", "bits", "parity")))
     classes = written(classes, "classes")
 
     postings = classes.select("rep", F.posexplode("coordinates").alias("coordinate", "value"))
@@ -164,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = postings.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("size", "token"))).alias("held")).where(F.size("held") >= needed)
     held = held.withColumn("central", F.aggregate("held", F.lit(0.0), lambda s, x: s + F.log(x["size"].cast("double"))))
     held = held.withColumn("held", F.slice("held", F.lit(1), F.size("held") - (needed - 1)))
-    member = F.struct("rep", "n_shingles", "bits", "central").alias("member")
+    member = F.struct("rep", "n_shingles", "bits", "parity", "central").alias("member")
     lists = written(held.join(classes.drop("coordinates"), "rep").select(F.explode("held.token").alias("token"), member), "lists")
 
     def links(pairs):
@@ -210,10 +221,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def may_link(x, y, similarity: float):
-    """Whether the sizes of two members and the bits of their minima allow a link."""
-    sizes = F.least(x["n_shingles"], y["n_shingles"]) >= similarity * F.greatest(x["n_shingles"], y["n_shingles"]) - 1e-9
-    flips = sum((F.bit_count(F.get(x["bits"], F.lit(i)).bitwiseXOR(F.get(y["bits"], F.lit(i)))) for i in range(1, MINIMA // 64)), F.bit_count(F.get(x["bits"], F.lit(0)).bitwiseXOR(F.get(y["bits"], F.lit(0)))))
-    return sizes & (flips <= flips_allowed(similarity))
+    """Whether the sizes, the bits of the minima and the parities of two members allow a link."""
+    n, m = x["n_shingles"], y["n_shingles"]
+    sizes = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+    flips = differing(x["bits"], y["bits"], MINIMA // 64) <= flips_allowed(similarity)
+    return sizes & flips & (differing(x["parity"], y["parity"], PARITIES // 64) <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-9)
+
+
+def differing(a, b, longs: int):
+    return reduce(lambda s, i: s + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))), range(longs), F.lit(0))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
