@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import gc
 import re
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -36,8 +37,8 @@ NO_PIECE = ({}, -1)
 MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
-#: Distinct words and stable pairs that a task remembers; when full, the memory starts anew. Results do not depend on it.
-MEMORY_WORDS = 700_000
+#: Distinct words and stable pairs that a worker remembers; when full, the memory starts anew. Results do not depend on it.
+MEMORY_WORDS = 900_000
 MEMORY_PAIRS = 500_000
 #: Bytes of text that are encoded together; the more, the longer the shared prefixes. Results do not depend on it.
 CHUNK_BYTES = 6_000_000
@@ -235,6 +236,14 @@ class Encoder:
         return ids, bounds
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a model file; a worker keeps it, with what it remembers, for its next tasks."""
+    encoder = Encoder(Vocabulary(path))
+    gc.freeze()  # the vocabulary stays; the collector need not walk it again and again
+    return encoder
+
+
 def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", into: str = "ids") -> DataFrame:
     """docs with one more column `into` of piece ids (a column of that name is replaced); one pass, no shuffle."""
     path = model or default_model()
@@ -242,8 +251,7 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", in
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        encoder = Encoder(Vocabulary(path))
-        gc.freeze()  # the vocabulary stays; the collector need not walk it again and again
+        encoder = encoder_of(path)
         for part in chunks(batches, text_col):
             ids, ends = encoder(part.column(text_col).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=part.column(text_col).is_null())
@@ -259,7 +267,7 @@ def decode(docs: DataFrame, model: str | None = None, ids_col: str = "ids", into
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches):
-        vocabulary = Vocabulary(path)
+        vocabulary = encoder_of(path).vocabulary
         for part in chunks(batches, ids_col):
             texts = [None if x is None else vocabulary.decode(x) for x in part.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
