@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import decontamination, near_dedup, pii, quality_classifier, quality_rules, sentencepiece
+from proofmill.llm import decontamination, near_dedup, pii, quality_classifier, quality_rules, sentencepiece, warc
 from proofmill.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     voted = quality_rules.stored_votes(table(spark, folder, "documents"))
     found = quality_rules.judge(voted, quality_rules.fit(voted))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
+
+
+@query("op5_warc")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Per page: its record as the archives give it back."""
+    archives = warc.write_archives(table(spark, folder, "pages"), warc.archive_folder(spark))
+    found = warc.read_archives(spark, archives)
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
