@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import decontamination, near_dedup, pii, quality_classifier, quality_rules, sentencepiece, warc
+from proofmill.llm import decontamination, near_dedup, pii, quality_classifier, quality_rules, sentencepiece, substring_dedup, warc
 from proofmill.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     archives = warc.write_archives(table(spark, folder, "pages"), warc.archive_folder(spark))
     found = warc.read_archives(spark, archives)
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: its words, those removed, and the digest of what is left."""
+    found = substring_dedup.repeated_passages(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
