@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import decontamination, near_dedup, pii, quality_classifier, quality_rules, sentencepiece, substring_dedup, warc
+from proofmill.llm import decontamination, near_dedup, pii, quality_classifier, quality_rules, sentencepiece, substring_dedup, toxicity, warc
 from proofmill.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: its words, those removed, and the digest of what is left."""
     found = substring_dedup.repeated_passages(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: whether it is held out of training, its score, and the prediction."""
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    found = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"), allowed=remainder != 1)
+    found = found.withColumnRenamed("row_id", "doc_id")
+    return found.select("doc_id", (remainder == 1).alias("held_out"), "score", "predicted")
