@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import decontamination, near_dedup, pii, quality_classifier, quality_rules, sentencepiece, substring_dedup, toxicity, warc
+from proofmill.llm import decontamination, html_extract, near_dedup, pii, quality_classifier, quality_rules, sentencepiece, substring_dedup, toxicity, warc
 from proofmill.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"), allowed=remainder != 1)
     found = found.withColumnRenamed("row_id", "doc_id")
     return found.select("doc_id", (remainder == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op7_html_extraction")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Per page: its main text and the text's length."""
+    return html_extract.extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
