@@ -1,4 +1,4 @@
-"""Registered queries of the training-data operators and, where SQL can say it, their equivalents."""
+"""Registered queries of the training-data operators (their SQL is in oracles.py)."""
 
 from __future__ import annotations
 
@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from proofmill.llm import decontamination, html_extract, near_dedup, pii, quality_classifier, quality_rules, sentencepiece, substring_dedup, toxicity, warc
 from proofmill.llm.common import prepared, table
+from proofmill.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
-def query(key: str, sql: str | None = None):
+def query(key: str):
     def register(fn):
         QUERIES[key] = lambda spark, folder: fn(prepared(spark), folder)
-        if sql is not None:
-            ORACLES[key] = sql
         return fn
 
     return register
