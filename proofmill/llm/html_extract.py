@@ -3,7 +3,8 @@
 The pages of one host are merged into a tree of presentation paths (tags with their classes and ids from the root down). Over the pages that
 have a path, two entropies are taken: that of its presentation (which children it has) and that of its content (which texts stand
 directly in it; a text found on many pages counts for little). They give the path's importance, between 0 (the same everywhere) and 1. From
-each page the branches go whose nodes are all of low importance.
+each page the branches go whose nodes are all of low importance; a page that would lose all its text keeps it. Copies of a page on one
+host count once.
 
 Some importance is known beforehand from the element itself: menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and
 styles have none, articles have all of it. Inside an article only the former are removed, however often a paragraph is repeated on the
@@ -178,6 +179,9 @@ class Page:
                         keeps.add(id(node))
             for node in self.nodes[1:]:
                 node.low = node.parent.low or id(node) not in keeps
+            if all(n.unwanted or n.low or t.isspace() for n, t in (x for x in self.items if x)):
+                for node in self.nodes:
+                    node.low = False
         held = {n.area for n, t in (x for x in self.items if x) if not n.unwanted and not n.low and not t.isspace()}
         area = max(held, default=0)
         blocks, block = [], []
@@ -196,10 +200,10 @@ def signed(x: int) -> int:
 
 
 def keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(row columns, key1, key2, host): the key is made of a row's content, so equal rows share one."""
+    """(row columns, key1, key2, host): host and key tell pages apart by their html, so copies on one host share one."""
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    return named.withColumns({"key1": F.xxhash64("page_id", "url", "html"), "key2": F.hash("page_id", "url", "html"), "host": host})
+    return named.withColumns({"key1": F.xxhash64("html"), "key2": F.hash("html"), "host": host})
 
 
 def site_features(rows: DataFrame) -> DataFrame:
@@ -215,6 +219,7 @@ def site_features(rows: DataFrame) -> DataFrame:
 
 def importance(features: DataFrame) -> DataFrame:
     """(host, path, pages, importance) of the site style trees."""
+    features = features.drop("undecided").distinct()  # copies of a page count once
     counted = features.groupBy("host", "path", "content", "feature").agg(F.count("*").cast("double").alias("n"))
     sums = lambda content, x: F.sum(F.when(F.col("content") == content, x))
     n_log_n = F.col("n") * F.log("n")
@@ -231,8 +236,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     features = written(site_features(rows), "page-features")
     unimportant = written(importance(features).where(F.col("importance") < low).select("host", "path"), "low-paths")
     mine = features.where("undecided and not content").select("key1", "key2", "host", "path")
-    lists = mine.join(unimportant, ["host", "path"]).groupBy("key1", "key2").agg(F.collect_set("path").alias("low"))
-    met = rows.drop("host").join(written(lists, "page-lows"), ["key1", "key2"], "left").select("page_id", "url", "html", "low")
+    lists = mine.join(unimportant, ["host", "path"]).groupBy("host", "key1", "key2").agg(F.collect_set("path").alias("low"))
+    met = rows.join(written(lists, "page-lows"), ["host", "key1", "key2"], "left").select("page_id", "url", "html", "low")
 
     def run(batches):
         for batch in batches:

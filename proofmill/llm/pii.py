@@ -22,6 +22,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -272,7 +273,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_passages: int = TRAIN_PAS
                     held = [(k, x - a, y - a) for k, x, y in base if a <= x and y <= b]
                     if len(held) == 1 and b - a <= 4 * CONTEXT:
                         rows.append((text[a:b], *held[0]))
-            yield batch.iloc[:0].reindex(columns=[]).assign(**{c: [r[i] for r in rows] for i, c in enumerate(("passage", "kind", "a", "b"))})
+            yield pd.DataFrame(rows, columns=["passage", "kind", "a", "b"])
 
     texts = docs.select(F.col(text_col).alias("passage_text")).where(F.col("passage_text").rlike("[0-9@]"))
     found = texts.mapInPandas(gold, "passage string, kind int, a int, b int")
