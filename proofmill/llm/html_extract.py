@@ -41,6 +41,7 @@ DIGITS = re.compile(r"\d+")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
+UNSEEN = {"script", "style", "template", "link", "meta"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS_OPEN = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "aside", "nav", "footer", "header", "blockquote", "select"}
@@ -91,7 +92,7 @@ class Page:
             if m[2] is None:
                 continue
             tag = m[2].lower()
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in UNSEEN:
                 self.items.append(None)
             if m[1]:
                 here = self.closed(here, tag)

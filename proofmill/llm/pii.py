@@ -220,7 +220,7 @@ def rewritings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str,
         d = digits[-10:].rjust(10, "5")
         new += [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"{d[:3]} {d[3:6]} {d[6:]}"]
     d = digits.rjust(12, "7")
-    plain = [f"20{d[:2]}-0{int(d[2]) % 9 + 1}-1{d[3]}", f"1{d[4]}.0{int(d[2]) % 9 + 1}.20{d[:2]}", f"{d[:3]},{d[3:6]}.00", d[:8], d[:10], f"{d[0]}.{d[1:9]}", f"20{d[:2]}-20{d[2:4]}",
+    plain = [f"20{d[:2]}-0{int(d[2]) % 9 + 1}-1{d[3]}", f"1{d[4]}.0{int(d[2]) % 9 + 1}.20{d[:2]}", f"{d[:3]},{d[3:6]}.00", d[:8], d[:10], f"{d[0]}.{d[1:9]}", f"{d[0]}.{d}{d[:3]}", f"20{d[:2]}-20{d[2:4]}",
              f"{d[0]}.{d[1:3]}.{d[3:5]}", f"{d[:3]} {d[3:6]} {d[6:9]}", f"{d[:4]} {d[4:8]}", f"{d[:2]}:{d[2:4]}", "look at the. Then"]
     made = [(text[:a] + x + text[b:], [(kind, a, a + len(x))]) for x in new]
     return made + [(text[:a] + x + text[b:], []) for x in plain]
