@@ -57,10 +57,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
-def rows_of(batches, *columns):
-    """Lists of the named columns of each pandas batch."""
-    for batch in batches:
-        yield batch, *(batch[c].tolist() for c in columns)
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, wherever the optimizer moves the expression (an alias may be copied into each of its uses)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def text_or_empty(value) -> str:

@@ -17,12 +17,13 @@ counts with its smallest label; other columns of docs pass through `classify`, e
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import words, written
+from proofmill.llm.common import bound, words, written
 
 #: Upper bounds of the bins of each statistic, in hundredths (n_words: as it stands).
 BINS = {
@@ -40,10 +41,9 @@ SALTS = 16
 RESULTS = ("evidence", "prior", "posterior", "kept")
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Counts of a text that the bins are made from."""
+def statistics(text: Column, ws: Column) -> dict[str, Column]:
+    """Counts of a text that the bins are made from; ws are its words."""
     t = F.coalesce(text, F.lit(""))
-    ws = words(text)
     return {
         "n_words": F.size(ws), "distinct_words": F.size(F.array_distinct(ws)), "chars": F.length(t),
         "symbol_chars": F.regexp_count(t, F.lit("[#*$%&|<>]")), "shout_chars": F.regexp_count(t, F.lit("!")),
@@ -68,10 +68,13 @@ def binned(c: dict[str, Column]) -> dict[str, Column]:
     return out
 
 
-def with_bins(docs: DataFrame, text_col: str, into: str) -> DataFrame:
-    """docs with one more column: an array of the bin numbers in the order of BINS."""
-    counts = docs.withColumn(into, F.struct(*(v.alias(k) for k, v in statistics(F.col(text_col)).items())))
-    return counts.withColumn(into, F.array(*binned({k: F.col(f"{into}.{k}") for k in ("n_words", "distinct_words", "chars", "symbol_chars", "shout_chars", "capital_pairs")}).values()))
+def bins_of(text: Column) -> Column:
+    """The bin numbers of a text in the order of BINS; words and counts are bound, so they are computed once."""
+    def of_words(ws: Column) -> Column:
+        counts = statistics(text, ws)
+        return bound(F.struct(*(v.alias(k) for k, v in counts.items())), lambda c: F.array(*binned({k: c[k] for k in counts}).values()))
+
+    return bound(words(text), of_words)
 
 
 def fit_evidence(bins: DataFrame) -> list[list[float]]:
@@ -90,10 +93,7 @@ def fit_evidence(bins: DataFrame) -> list[list[float]]:
 
 
 def evidence_of(bins: Column, ratios: list[list[float]]) -> Column:
-    total = F.lit(0.0)
-    for s, values in enumerate(ratios):
-        total = total + F.get(F.array(*map(F.lit, values)), F.get(bins, F.lit(s)))
-    return total
+    return bound(bins, lambda b: reduce(lambda total, s: total + F.get(F.array(*map(F.lit, ratios[s])), F.get(b, F.lit(s))), range(len(ratios)), F.lit(0.0)))
 
 
 def logistic(x: Column) -> Column:
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """(log-likelihood ratios, site priors), learned from all rows."""
     named = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
-    bins = written(with_bins(named, "text", "bins").select("id", "host", "path", "bins"), "quality-bins")
+    bins = written(named.select("id", "host", "path", bins_of(F.col("text")).alias("bins")), "quality-bins")
     bins = bins.join(marks, "id", "left")
     ratios = fit_evidence(bins)
     good, bad = bins.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
@@ -154,7 +154,7 @@ def classify(docs: DataFrame, model: tuple[list[list[float]], DataFrame], text_c
     while any(c.startswith(tag) for c in docs.columns):
         tag += "q"
     salted = priors.select(F.col("host").alias(f"{tag}_host"), F.col("path").alias(f"{tag}_path"), "prior", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(f"{tag}_of"))
-    left = with_bins(docs, text_col, f"{tag}_bins").withColumn("evidence", evidence_of(F.col(f"{tag}_bins"), ratios)).drop(f"{tag}_bins")
+    left = docs.withColumn("evidence", evidence_of(bins_of(F.col(text_col)), ratios))
     left = left.withColumn(f"{tag}_salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
     met = left.join(salted, F.col(host_col).eqNullSafe(F.col(f"{tag}_host")) & F.col(path_col).eqNullSafe(F.col(f"{tag}_path")) & (F.col(f"{tag}_salt") == F.col(f"{tag}_of")), "left")
     met = met.withColumn("posterior", logistic(logit(F.coalesce("prior", F.lit(0.5))) + F.col("evidence"))).withColumn("kept", F.col("posterior") >= threshold)

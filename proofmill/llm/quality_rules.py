@@ -22,7 +22,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import words, written
+from proofmill.llm.common import bound, words, written
 
 WINDOW = 8
 BASE_WORDS = 20
@@ -59,11 +59,6 @@ def repeated_words(hashes: Column) -> Column:
     return F.when(n <= WINDOW, 0).otherwise(bound(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(covered(w))))
 
 
-def bound(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def statistics(text: Column, ws: Column) -> dict[str, Column]:
     """Counts of a text; ws are its words."""
     t = F.coalesce(text, F.lit(""))
