@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def at_most(rank: Column, n: float | None) -> Column:
+    """Whether a rank lies within a limit; no limit keeps every row."""
+    return F.lit(True) if n is None else rank <= n
+
+
 def stage(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed once.
 

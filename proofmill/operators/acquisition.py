@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill import fixed_values as fv
 from proofmill.functions import paths as pt
+from proofmill.functions.frames import at_most
 from proofmill.operators.structure import cap_per_group, category_paths, role_path_hints
 from proofmill.operators.windows import READ_ORDER, semantic_roles, with_terms
 from proofmill.params import DEFAULT, Params
@@ -15,12 +18,10 @@ from proofmill.params import DEFAULT, Params
 READS = "full_name string, path string, read_order bigint, reasons array<string>, status string, stop_reason string, covered array<string>, missing array<string>"
 
 
-def acquisition_rows(ranked: DataFrame, terms: DataFrame, evidence: DataFrame, symbols: DataFrame, edges: DataFrame, failures: DataFrame, limit: int = 64) -> DataFrame:
-    """One narrow row per file that could be read within the largest budget.
+def acquisition_rows(ranked: DataFrame, terms: DataFrame, evidence: DataFrame, symbols: DataFrame, edges: DataFrame, failures: DataFrame, limit: int | None = None) -> DataFrame:
+    """One narrow row per file that could be read: those of a category, role hint or term match, and the ends of known edges.
 
-    A read budget is at most 64 files, so the first 64 of each category, role hint or
-    term match, and the ends of known edges (at most 500 per repository), are all that
-    the greedy pass can ever reach; nothing else enters a group.
+    With a read budget of `limit` files, the first `limit` of each are all that the greedy pass can reach; nothing else enters a group.
     """
     file = ["full_name", "path"]
     cats = category_paths(ranked.select(*file))
@@ -28,8 +29,8 @@ def acquisition_rows(ranked: DataFrame, terms: DataFrame, evidence: DataFrame, s
     hints = ranked.select(*file, F.explode(role_path_hints(F.col("path"))).alias("category"))
     listed = cats.unionByName(hints.withColumn("category", F.concat(F.lit("hint:"), "category"))).join(rank, file)
     w = Window.partitionBy("full_name", "category").orderBy("read_rank")
-    near = listed.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= limit).select(*file)
-    capped = cap_per_group(edges.select("full_name", "src", "dst", "reason").distinct(), ["full_name"], ["src", "dst", "reason"], 500)
+    near = listed.withColumn("nth", F.row_number().over(w)).filter(at_most(F.col("nth"), limit)).select(*file)
+    capped = edges.select("full_name", "src", "dst", "reason").distinct()
     ends = capped.select("full_name", F.explode(F.array("src", "dst")).alias("path"))
     named = with_terms(rank, terms)
     term_hit = F.exists("terms", lambda t: F.contains(F.lower("path"), t))
@@ -50,6 +51,8 @@ def acquisition_rows(ranked: DataFrame, terms: DataFrame, evidence: DataFrame, s
 
 
 def _plan(params: Params):
+    most_files, most_characters, most_bytes = (math.inf if n is None else n for n in (params.atlas_files, params.atlas_characters, params.max_file_bytes))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         files = {r.path: r for r in pdf.sort_values("read_rank").itertuples(index=False)}
         have = {c for r in files.values() for c in r.categories}
@@ -92,7 +95,7 @@ def _plan(params: Params):
         def satisfied():
             return len(roles) == len(fv.SEMANTIC_ROLES) and have <= good and not pending()
 
-        while len(tried) < params.atlas_files and used < params.atlas_characters:
+        while len(tried) < most_files and used < most_characters:
             if satisfied():
                 break
             path, why = pick()
@@ -101,8 +104,8 @@ def _plan(params: Params):
             r = files[path]
             done.add(path)
             status = "failed"
-            if not r.failed and r.size <= params.max_file_bytes:
-                room = params.atlas_characters - used
+            if not r.failed and r.size <= most_bytes:
+                room = most_characters - used
                 used += min(room, r.size)
                 status = "read" if r.size <= room else "truncated"
             reasons = sorted({*why, *nominated.get(path, [])})
@@ -119,7 +122,7 @@ def _plan(params: Params):
                     roles.add("relationship")
         if satisfied():
             stop = "satisfied"
-        elif len(tried) >= params.atlas_files or used >= params.atlas_characters:
+        elif len(tried) >= most_files or used >= most_characters:
             stop = "budget-exhausted"
         covered = [x for x in fv.SEMANTIC_ROLES if x in roles]
         missing = [x for x in fv.SEMANTIC_ROLES if x not in roles]

@@ -81,7 +81,7 @@ def build_bundles(candidates: DataFrame, relations: DataFrame, atlases: DataFram
     limits = tx.reasons((~F.col("explicit"), "no-explicit-rationale"), (F.col("relations") == 0, "no-resolved-relation"),
                         (~F.array_contains("evidence_kinds", "test"), "no-direct-test"))
     bundles = kept.select("bundle_id", *keys, F.when(F.col("explicit"), "explicit").otherwise("observed").alias("ceiling"), "evidence_kinds",
-                          "slices", F.least("relations", F.lit(24)).alias("relations"), limits.alias("limitations"))
+                          "slices", "relations", limits.alias("limitations"))
     return bundles, picked.join(kept.select("bundle_id"), "bundle_id", "left_semi").select("bundle_id", "full_name", "slice_id", "path", "start_line", "place")
 
 

@@ -131,15 +131,14 @@ def select_cover(selected: DataFrame, candidates: DataFrame, relations: DataFram
     """Greedy weighted cover per task over its (at most two) repositories, in selection order.
 
     Candidates are reduced first; what reaches a group is the frontier of each feature
-    set plus slices of relation endpoints (at most 500 edges per repository).  The
+    set plus slices of relation endpoints (all its edges).  The
     second repository's budget depends on the first, hence one group per task.
     """
     reduced = reduce_candidates(candidates)
     a = tx.line_anchor(F.col("source_url"))
     edge = stage(relations, a=a).select("full_name", "src", "dst", F.coalesce("a.start_line", F.lit(0)).alias("s"), F.coalesce("a.end_line", F.lit(0)).alias("e"),
                                         ((F.col("evidence_path") == F.col("src")) & F.col("a.start_line").isNotNull()).alias("located"))
-    capped = edge.withColumn("rn", F.row_number().over(Window.partitionBy("full_name").orderBy("src", "dst", "s", "e"))).filter("rn <= 500")
-    listed = capped.groupBy("full_name").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "s", "e", "located"))).alias("edges"))
+    listed = edge.groupBy("full_name").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "s", "e", "located"))).alias("edges"))
     rows = selected.select("task_id", "full_name", "selection_rank").join(reduced, "full_name").join(listed, "full_name", "left").withColumn(
         "edges", F.coalesce("edges", F.expr("cast(array() as array<struct<src:string,dst:string,s:bigint,e:bigint,located:boolean>>)")))
     return rows.groupBy("task_id").applyInPandas(_cover_task(params), COVER)

@@ -46,7 +46,7 @@ def resolve_relative_imports(imports: DataFrame, tree: DataFrame) -> DataFrame:
     return found.select("full_name", "path", "specifier", target.alias("target")).filter("target is not null")
 
 
-def build_relations(imports: DataFrame, tree: DataFrame, limit: int | None = 500) -> DataFrame:
+def build_relations(imports: DataFrame, tree: DataFrame, limit: int | None = None) -> DataFrame:
     """Distinct edges; kind `tests` when the source is a test path."""
     resolved = imports.join(resolve_relative_imports(imports, tree), ["full_name", "path", "specifier"])
     kind = F.when(pt.is_test(F.col("path")), "tests").otherwise("imports")
@@ -206,7 +206,7 @@ def resolve_rust_imports(imports: DataFrame, tree: DataFrame) -> tuple[DataFrame
     return edges, unresolved
 
 
-def unresolved_imports(parts: list[DataFrame], limit: int | None = 200) -> DataFrame:
+def unresolved_imports(parts: list[DataFrame], limit: int | None = None) -> DataFrame:
     """Union of unresolved imports (full_name, path, line, module, reason), capped per repository."""
     columns = ["full_name", "path", "line", "module", "reason"]
     out = parts[0].select(*columns)
@@ -215,7 +215,7 @@ def unresolved_imports(parts: list[DataFrame], limit: int | None = 200) -> DataF
     return cap_per_group(out, ["full_name"], ["path", "line", "module", "reason"], limit)
 
 
-def link_fixtures(symbols: DataFrame, limit: int | None = 200) -> DataFrame:
+def link_fixtures(symbols: DataFrame, limit: int | None = None) -> DataFrame:
     """Test/fixture request -> the lexically visible fixture, when exactly one is visible."""
     scope = F.array_join(F.slice(F.split("name", r"\."), 1, F.greatest(F.size(F.split("name", r"\.")) - 1, F.lit(0))), ".")
     s = symbols.withColumn("scope", scope)

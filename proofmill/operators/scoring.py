@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proofmill import fixed_values as fv
 from proofmill.functions import paths as pt
 from proofmill.functions import text as tx
+from proofmill.functions.frames import at_most
 from proofmill.params import DEFAULT, Params
 
 
@@ -187,18 +188,18 @@ def coverage_score(qualified: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return out.withColumn("sufficient", (F.col("score") >= params.min_coverage) & (F.size("missing_required") == 0))
 
 
-def coverage_samples(qualified: DataFrame, per_category: int = 6) -> DataFrame:
-    """The first few source paths behind each category."""
+def coverage_samples(qualified: DataFrame, per_category: int | None = None) -> DataFrame:
+    """The ranked source paths behind each category."""
     w = Window.partitionBy("full_name", "category").orderBy("path")
     return (qualified.select("full_name", "category", "path").distinct().withColumn("sample", F.row_number().over(w).cast("long"))
-            .filter(F.col("sample") <= per_category))
+            .filter(at_most(F.col("sample"), per_category)))
 
 
 def coverage_gate(assessments: DataFrame, coverage: DataFrame, read_failures: DataFrame, params: Params = DEFAULT,
                   key: str = "full_name") -> DataFrame:
     """Add coverage rejections to assessments."""
     w = Window.partitionBy(key).orderBy("path")
-    failures = (read_failures.withColumn("rn", F.row_number().over(w)).filter("rn <= 3").groupBy(key).agg(F.array_join(
+    failures = (read_failures.withColumn("rn", F.row_number().over(w)).groupBy(key).agg(F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "path", "reason"))),
                     lambda s: F.concat(s["path"], F.lit(": "), s["reason"])), "; ").alias("failed")))
     joined = assessments.join(coverage.select(

@@ -37,16 +37,16 @@ def classify_atlas_category(tree: DataFrame) -> DataFrame:
         "ecosystem": F.when(p.rlike(fv.MANIFEST_FILE), pt.ecosystem(p))})
 
 
-def architecture_documents(tree: DataFrame, limit: int | None = 80) -> DataFrame:
+def architecture_documents(tree: DataFrame, limit: int | None = None) -> DataFrame:
     p = F.col("path")
     docs = tree.filter(pt.is_arch_doc(p)).select("full_name", "path", pt.doc_kind(p).alias("kind"))
     return cap_per_group(docs, REPO, ["path"], limit)
 
 
-def eligible_text_paths(tree: DataFrame, max_bytes: int = 120_000) -> DataFrame:
+def eligible_text_paths(tree: DataFrame, max_bytes: int | None = None) -> DataFrame:
     p = F.col("path")
     return tree.filter((F.col("type") == "blob") & (p.rlike(fv.SLICE_TEXT_FILE) | pt.is_code(p)) & ~p.rlike(fv.SLICE_EXCLUDED)
-                       & ~pt.is_build_support(p) & (F.coalesce("size", F.lit(0)) < max_bytes))
+                       & ~pt.is_build_support(p) & (F.lit(True) if max_bytes is None else F.coalesce("size", F.lit(0)) < max_bytes))
 
 
 def role_path_hints(p: Column) -> Column:
@@ -62,7 +62,7 @@ def filter_text_blobs(tree: DataFrame, blobs: DataFrame, params: Params = DEFAUL
     """Readable text files and named read failures; sizes are checked before content is joined."""
     key = ["full_name", "revision", "path"]
     files = tree.filter("type = 'blob'").select(*key, "size")
-    over = F.coalesce("size", F.lit(0)) > params.max_file_bytes
+    over = F.lit(False) if params.max_file_bytes is None else F.coalesce("size", F.lit(0)) > params.max_file_bytes
     small = files.filter(~over).join(blobs.select(*key, "content"), key, "left")
     reason = (F.when(F.col("content").isNull(), "missing-content")
               .when(F.contains("content", F.lit("\u0000")), "binary-content")
@@ -129,7 +129,7 @@ def qualified_files(readable: DataFrame, symbols: DataFrame, relations: DataFram
     return counted.select("full_name", "path", "category").unionByName(edges)
 
 
-def test_file_index(tree: DataFrame, symbols: DataFrame, limit: int | None = 120) -> DataFrame:
+def test_file_index(tree: DataFrame, symbols: DataFrame, limit: int | None = None) -> DataFrame:
     """Test-path code files plus Rust files holding a bodied inline test."""
     p = F.col("path")
     named = tree.filter(pt.is_test(p) & pt.is_code(p)).select("full_name", "path")
@@ -137,7 +137,7 @@ def test_file_index(tree: DataFrame, symbols: DataFrame, limit: int | None = 120
     return cap_per_group(named.union(inline).distinct(), REPO, ["path"], limit)
 
 
-def entry_point_union(tree: DataFrame, declared: DataFrame, limit: int | None = 40) -> DataFrame:
+def entry_point_union(tree: DataFrame, declared: DataFrame, limit: int | None = None) -> DataFrame:
     """Conventional entry paths plus manifest-declared targets (full_name, path)."""
     p = F.col("path")
     usual = tree.filter(pt.is_implementation(p) & p.rlike(fv.ENTRY_FILE)).select("full_name", "path")
@@ -167,7 +167,7 @@ def module_root(p: Column) -> Column:
             .when(p.rlike(fv.RUST_FILE), module(rust_root, "library")))
 
 
-def module_summary(tree: DataFrame, entry_points: DataFrame, limit: int | None = 80) -> DataFrame:
+def module_summary(tree: DataFrame, entry_points: DataFrame, limit: int | None = None) -> DataFrame:
     """Module roots with kind, file count and entry points; a root's kind is that of its first file."""
     p = F.col("path")
     test = pt.is_test(p) & pt.is_code(p)

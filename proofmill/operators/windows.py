@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from proofmill import fixed_values as fv
 from proofmill.functions import paths as pt
 from proofmill.functions import text as tx
-from proofmill.functions.frames import stage
+from proofmill.functions.frames import at_most, stage
 from proofmill.operators.intervals import semantic_window
 from proofmill.operators.structure import cap_per_group, category_paths, parsed_files
 from proofmill.params import DEFAULT, Params
@@ -57,8 +57,8 @@ def _structural_score() -> Column:
             + F.when(F.size(_matches(F.lower(p))) > 0, 30).otherwise(0) + F.when(pt.is_test(p), 10).otherwise(0) - pt.depth(p)).cast("long")
 
 
-def rank_structural_files(tree: DataFrame, terms: DataFrame, limit: int | None = 64) -> DataFrame:
-    """Structural read order of each repository; 64 is the largest read budget there is."""
+def rank_structural_files(tree: DataFrame, terms: DataFrame, limit: int | None = None) -> DataFrame:
+    """Structural read order of each repository."""
     p = F.col("path")
     wanted = (p.rlike(fv.MANIFEST_FILE) | pt.is_implementation(p) | (pt.is_test(p) & pt.is_code(p)) | pt.is_test_support(p)
               | p.rlike(fv.OVERVIEW_FILE) | p.rlike(fv.DESIGN_FILE) | p.rlike(fv.SECURITY_FILE) | p.rlike(fv.AUTOMATION_FILE))
@@ -91,7 +91,7 @@ def slice_read_candidates(ranked: DataFrame, params: Params = DEFAULT) -> DataFr
     """The files each modality may contribute: never more than the whole read budget."""
     w = Window.partitionBy("full_name", "modality").orderBy("marker", F.desc("score"), "path")
     out = ranked.withColumn("modality_rank", F.row_number().over(w).cast("long"))
-    return out if params.files_per_repository is None else out.filter(F.col("modality_rank") <= params.files_per_repository)
+    return out.filter(at_most(F.col("modality_rank"), params.files_per_repository))
 
 
 READ_ORDER = ["source", "test", "manifest", "overview", "design", "automation"]
@@ -101,12 +101,14 @@ def top_files_per_category(ranked: DataFrame, params: Params = DEFAULT) -> DataF
     """Rotate over categories, best file first, within the file and character budgets."""
     cats = category_paths(ranked.select("full_name", "path")).join(ranked.select("full_name", "path", "size", "read_rank"), ["full_name", "path"])
     w = Window.partitionBy("full_name", "category").orderBy("read_rank")
-    top = cats.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= params.atlas_files)
+    top = cats.withColumn("nth", F.row_number().over(w)).filter(at_most(F.col("nth"), params.atlas_files))
     order = F.array_position(F.array(*[F.lit(c) for c in READ_ORDER]), F.col("category"))
     turn = top.groupBy("full_name", "path", "size").agg(F.min(F.struct("nth", order.alias("turn"))).alias("slot"))
     by_turn = Window.partitionBy(*REPO).orderBy("slot.nth", "slot.turn", "path")
-    read = turn.withColumn("read_order", F.row_number().over(by_turn).cast("long")).filter(F.col("read_order") <= params.atlas_files)
+    read = turn.withColumn("read_order", F.row_number().over(by_turn).cast("long")).filter(at_most(F.col("read_order"), params.atlas_files))
     before = Window.partitionBy(*REPO).orderBy("read_order").rowsBetween(Window.unboundedPreceding, -1)
+    if params.atlas_characters is None:
+        return read.select("full_name", "path", "read_order", F.col("size").alias("chars"), F.lit(False).alias("truncated"))
     left = F.lit(params.atlas_characters) - F.coalesce(F.sum("size").over(before), F.lit(0))
     out = read.withColumn("left", left).filter("left > 0")
     return out.select("full_name", "path", "read_order", F.least("left", "size").alias("chars"), (F.col("left") < F.col("size")).alias("truncated"))
@@ -288,15 +290,15 @@ def dedupe_slices(slices: DataFrame, relations: DataFrame) -> DataFrame:
         F.col("slice_id") == F.col("winner"), "kept").otherwise("duplicate").alias("status"))
 
 
-def diverse_slices(candidates: DataFrame, keys: list[str], limit: int = 6) -> DataFrame:
+def diverse_slices(candidates: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
     """One best slice per leading kind, then the most relevant rest, per group."""
     order = ["documentation", "manifest", "implementation", "test"]
     kind = pt.primary_kind(F.col("path"), F.col("evidence_roles"), F.col("architecture_roles"))
     rows = candidates.withColumn("kind", kind)
     per_kind = Window.partitionBy(*keys, "kind").orderBy(F.desc("relevance"), "path", "start_line", "slice_id")
     # Only the first `limit` of a kind can be chosen, which prunes before the second ranking.
-    rows = rows.withColumn("nth", F.row_number().over(per_kind)).filter(F.col("nth") <= limit)
+    rows = rows.withColumn("nth", F.row_number().over(per_kind)).filter(at_most(F.col("nth"), limit))
     slot = F.when(F.col("nth") == 1, F.array_position(F.array(*[F.lit(k) for k in order]), F.col("kind"))).otherwise(0)
     rows = rows.withColumn("slot", F.when(slot == 0, len(order) + 1).otherwise(slot))
     w = Window.partitionBy(*keys).orderBy("slot", F.desc("relevance"), "path", "start_line", "slice_id")
-    return rows.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= limit).drop("nth", "slot")
+    return rows.withColumn("place", F.row_number().over(w).cast("long")).filter(at_most(F.col("place"), limit)).drop("nth", "slot")

@@ -1,6 +1,7 @@
 """Tunable limits of every operator, as one frozen dataclass.
 
-``None`` for a cap means "no cap".  Defaults are the documented ones.
+``None`` means "no cap", and is the default wherever a limit would only cut a result.  Numbers remain
+where they are the feature: top-k searches and picks, selection budgets, thresholds.
 """
 
 from __future__ import annotations
@@ -25,34 +26,34 @@ class Params:
     allowed_licenses: tuple[str, ...] = field(default_factory=lambda: tuple(fv.ALLOWED_LICENSES))
     # slicing
     max_repositories: int = 2
-    files_per_repository: int | None = 12
+    files_per_repository: int | None = None
     lines_per_slice: int = 60
     max_slices: int = 48
     slice_characters: int = 120_000
     # structural reads
-    atlas_files: int = 12
-    atlas_characters: int = 120_000
-    max_file_bytes: int = 120_000
+    atlas_files: int | None = None
+    atlas_characters: int | None = None
+    max_file_bytes: int | None = None
     min_coverage: int = 50
     required_categories: tuple[str, ...] = ("source", "test")
     # bundles
-    bundles_per_repository: int = 8
-    slices_per_bundle: int = 6
+    bundles_per_repository: int | None = None
+    slices_per_bundle: int | None = None
     min_kinds: int = 2
     # review
     min_confidence: float = 0.7
     min_cited_slices: int = 1
     max_review_risk: str = "medium"
     # observations and advisory
-    observations_per_repository: int = 80
-    witnesses_per_observation: int = 12
+    observations_per_repository: int | None = None
+    witnesses_per_observation: int | None = None
     benefit_threshold: int = 60
     brief_observations: int = 5
     # workspaces
     workspace_files: int = 48
     workspace_characters: int = 160_000
     workspace_file_characters: int = 40_000
-    workspace_candidates: int = 256
+    workspace_candidates: int | None = None
     # payloads
     payload_characters: int = 60_000
     # recency, in days

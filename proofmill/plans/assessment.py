@@ -204,8 +204,7 @@ ARCH = f"({d.rx('path', fv.OVERVIEW_FILE)} or {d.rx('path', fv.DESIGN_FILE)} or
 
 @query("doc_kind", f"""
 select full_name, path, case when {d.rx('path', fv.SECURITY_FILE)} then 'security' when {d.rx('path', fv.DESIGN_FILE)} then
-  case when regexp_matches(path, '(?i)ADR|RFC') then 'decision' else 'architecture' end else 'overview' end as kind from v_tree where {ARCH}
-qualify row_number() over (partition by full_name order by path) <= 80""")
+  case when regexp_matches(path, '(?i)ADR|RFC') then 'decision' else 'architecture' end else 'overview' end as kind from v_tree where {ARCH}""")
 def _(v):
     return st.architecture_documents(v("v_tree"))
 
@@ -237,7 +236,7 @@ def _(v):
     return v("v_tree").filter(F.size(h) > 0).select("full_name", "path", F.array_join(h, "|").alias("hints"))
 
 
-oracle_view("o_readable", "select full_name, revision, path, content from v_blobs where length(content) <= 120000 and not contains(content, chr(0)) and regexp_matches(content, '[^\\s]')")
+oracle_view("o_readable", "select full_name, revision, path, content from v_blobs where not contains(content, chr(0)) and regexp_matches(content, '[^\\s]')")
 oracle_view("o_parsed", """
 select full_name, path, language, bool_or(role = 'implementation') as any_implementation, bool_or(role = 'implementation' and kind <> 'module') as any_declaration,
   bool_or(role = 'test' and coalesce(has_body, true)) as any_test, bool_or(role = 'test' and kind <> 'class' and coalesce(has_body, true)) as any_test_function
@@ -305,7 +304,7 @@ def _(v):
 
 
 @query("coverage_samples", """
-select full_name, category, path, row_number() over (partition by full_name, category order by path) as sample from (select distinct * from o_qualified) qualify sample <= 6""")
+select full_name, category, path, row_number() over (partition by full_name, category order by path) as sample from (select distinct * from o_qualified)""")
 def _(v):
     return sc.coverage_samples(qualified(v))
 
@@ -360,7 +359,7 @@ def _(v):
 
 @query("test_file_index", f"""
 select full_name, path from (select full_name, path from v_tree where {d.is_test('path')} and {d.is_code('path')}
-  union select full_name, path from v_symbols where role = 'test' and coalesce(has_body, true) and path like '%.rs') qualify row_number() over (partition by full_name order by path) <= 120""")
+  union select full_name, path from v_symbols where role = 'test' and coalesce(has_body, true) and path like '%.rs')""")
 def _(v):
     return st.test_file_index(v("v_tree"), v("v_symbols"))
 
@@ -368,8 +367,7 @@ def _(v):
 DECLARED = "select a.full_name, b.path from v_extra a join v_files b on a.full_name = b.full_name and contains(a.content, b.path) where a.k = 12"
 oracle_view("o_entries", f"""
 select full_name, path, case when {d.rx('path', fv.ENTRY_FILE)} then 'conventional entry-point path' else 'declared by a package manifest' end as reason from (
-  select full_name, path from v_tree where {d.is_impl('path')} and {d.rx('path', fv.ENTRY_FILE)} union {DECLARED})
-qualify row_number() over (partition by full_name order by path) <= 40""")
+  select full_name, path from v_tree where {d.is_impl('path')} and {d.rx('path', fv.ENTRY_FILE)} union {DECLARED})""")
 
 
 def entries(v):
@@ -393,7 +391,7 @@ with g as (select full_name, path, {d.is_impl('path')} as g0, {d.is_test('path')
 m as (select full_name, path, root, kind, unnest(list_filter([case when g0 then 0 end, case when g1 then 1 end, case when g2 then 2 end], lambda x: x is not null)) as grp from g where root is not null)
 select m.full_name, m.root, arg_min(kind, grp || ' ' || path) as kind, count(*) as files,
   any_value((select count(*) from o_entries e where e.full_name = m.full_name and (e.path = m.root or starts_with(e.path, m.root || '/')))) as entries
-from m group by m.full_name, m.root qualify row_number() over (partition by m.full_name order by m.root) <= 80""")
+from m group by m.full_name, m.root""")
 
 
 def modules(v):

@@ -102,18 +102,15 @@ def _(v):
 
 
 VIEWS["v_odd_blobs"] = """
-select full_name, revision, path, case when doc_id % 9 = 4 then '  ' || chr(10) when doc_id % 9 = 5 then content || chr(0) else content end as content from v_blobs where coalesce(doc_id, 0) % 10 <> 6"""
+select full_name, revision, path, case when coalesce(doc_id, 0) % 10 = 6 then null when doc_id % 9 = 4 then '  ' || chr(10) when doc_id % 9 = 5 then content || chr(0) else content end as content from v_blobs"""
 
 
 @query("filter_text_blobs", """
-select t.full_name, t.path, case when t.size > 4000 then 'file-size-budget' when b.content is null then 'missing-content' when contains(b.content, chr(0)) then 'binary-content'
-  when not regexp_matches(b.content, '[^\\s]') then 'empty-content' end as reason, case when t.size <= 4000 and not contains(b.content, chr(0)) and regexp_matches(b.content, '[^\\s]') then length(b.content) end as chars
+select t.full_name, t.path, case when b.content is null then 'missing-content' when contains(b.content, chr(0)) then 'binary-content'
+  when not regexp_matches(b.content, '[^\\s]') then 'empty-content' end as reason, case when not contains(b.content, chr(0)) and regexp_matches(b.content, '[^\\s]') then length(b.content) end as chars
 from v_tree t left join v_odd_blobs b on t.full_name = b.full_name and t.path = b.path""")
 def _(v):
-    from dataclasses import replace
-
-    from proofmill.params import DEFAULT
-    ok, bad = st.filter_text_blobs(v("v_tree"), v("v_odd_blobs"), replace(DEFAULT, max_file_bytes=4000))
+    ok, bad = st.filter_text_blobs(v("v_tree"), v("v_odd_blobs"))
     return ok.select("full_name", "path", F.lit(None).cast("string").alias("reason"), F.length("content").cast("long").alias("chars")).unionByName(
         bad.select("full_name", "path", "reason"), allowMissingColumns=True)
 

@@ -109,8 +109,7 @@ def _(v):
 
 
 @query("unresolved_imports", """
-select * from (select full_name, path, line, module, reason from o_py_unresolved union all select full_name, path, line, module, reason from o_rs_unresolved)
-qualify row_number() over (partition by full_name order by path, line, module, reason) <= 200""")
+select * from (select full_name, path, line, module, reason from o_py_unresolved union all select full_name, path, line, module, reason from o_rs_unresolved)""")
 def _(v):
     return rl.unresolved_imports([py(v)[1], rs(v)[1]])
 

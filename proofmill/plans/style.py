@@ -79,7 +79,7 @@ def sources(v):
     return scans.scan_workspaces(v("v_style"))[0]
 
 
-@query("scan_workspaces", "select workspace, path, length(content) as chars from o_style qualify row_number() over (partition by workspace order by path) <= 256")
+@query("scan_workspaces", "select workspace, path, length(content) as chars from o_style")
 def _(v):
     return sources(v).select("workspace", "path", F.length("content").cast("long").alias("chars"))
 
@@ -88,7 +88,7 @@ WHY = "case when b.n >= 20 then 'maximum-files-reached' when 40000 - b.used <= 0
 
 
 @query("budget_workspace_files", f"""
-with recursive f as (select workspace, path, cast(length(content) as bigint) as chars, row_number() over (partition by workspace order by path) as nth from o_style qualify nth <= 256),
+with recursive f as (select workspace, path, cast(length(content) as bigint) as chars, row_number() over (partition by workspace order by path) as nth from o_style),
 b as (select distinct workspace, cast(0 as bigint) as nth, cast(0 as bigint) as n, cast(0 as bigint) as used, cast(null as varchar) as path, cast(null as varchar) as reason from f
   union all select f.workspace, f.nth, b.n + case when {WHY} is null then 1 else 0 end, b.used + case when {WHY} is null then f.chars else 0 end, f.path, {WHY} from b join f on f.workspace = b.workspace and f.nth = b.nth + 1)
 select workspace, path, reason from b where nth > 0""")

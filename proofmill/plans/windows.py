@@ -53,7 +53,7 @@ select *, row_number() over (partition by full_name order by score desc, path) a
   select f.full_name, path, size, cast(case when {d.rx('path', fv.MANIFEST_FILE)} then 100 else 0 end + case when {d.rx('path', fv.ENTRY_FILE)} and not {d.rx('path', fv.PACKAGE_MARKER)} then 60 else 0 end
     + case when {HITS} > 0 then 30 else 0 end + case when {d.is_test('path')} then 10 else 0 end - len(split(path, '/')) as bigint) as score
   from v_tree f join o_term_list t on f.full_name = t.full_name where {d.rx('path', fv.MANIFEST_FILE)} or {d.is_impl('path')} or ({d.is_test('path')} and {d.is_code('path')}) or {d.is_support('path')}
-    or {d.rx('path', fv.OVERVIEW_FILE)} or {d.rx('path', fv.DESIGN_FILE)} or {d.rx('path', fv.SECURITY_FILE)} or {d.rx('path', fv.AUTOMATION_FILE)}) qualify read_rank <= 64""")
+    or {d.rx('path', fv.OVERVIEW_FILE)} or {d.rx('path', fv.DESIGN_FILE)} or {d.rx('path', fv.SECURITY_FILE)} or {d.rx('path', fv.AUTOMATION_FILE)})""")
 
 
 def structural(v):
@@ -85,7 +85,7 @@ def _(v):
     return slice_paths(v)
 
 
-@query("slice_read_candidates", "select *, row_number() over (partition by full_name, modality order by marker, score desc, path) as modality_rank from o_slice_paths qualify modality_rank <= 12")
+@query("slice_read_candidates", "select *, row_number() over (partition by full_name, modality order by marker, score desc, path) as modality_rank from o_slice_paths")
 def _(v):
     return wn.slice_read_candidates(slice_paths(v))
 
@@ -100,15 +100,11 @@ TURN = "case category " + " ".join(f"when '{c}' then {i}" for i, c in enumerate(
 
 
 @query("top_files_per_category", f"""
-with c as (select s.full_name, s.path, s.size, category, row_number() over (partition by s.full_name, category order by read_rank) as nth from o_structural s join o_categories_all c on c.full_name = s.full_name and c.path = s.path qualify nth <= 12),
-r as (select full_name, path, size, row_number() over (partition by full_name order by min(nth * 10 + {TURN}), path) as read_order from c group by 1, 2, 3 qualify read_order <= 12),
-b as (select *, 9000 - coalesce(sum(size) over (partition by full_name order by read_order rows between unbounded preceding and 1 preceding), 0) as rest from r)
-select full_name, path, read_order, cast(least(rest, size) as bigint) as chars, rest < size as truncated from b where rest > 0""")
+with c as (select s.full_name, s.path, s.size, category, row_number() over (partition by s.full_name, category order by read_rank) as nth from o_structural s join o_categories_all c on c.full_name = s.full_name and c.path = s.path),
+r as (select full_name, path, size, row_number() over (partition by full_name order by min(nth * 10 + {TURN}), path) as read_order from c group by 1, 2, 3)
+select full_name, path, read_order, size as chars, false as truncated from r""")
 def _(v):
-    from dataclasses import replace
-
-    from proofmill.params import DEFAULT
-    return wn.top_files_per_category(structural(v), replace(DEFAULT, atlas_characters=9000))
+    return wn.top_files_per_category(structural(v))
 
 
 STRUCT_RX = d.lit(r"\b(" + fv.STRUCTURE_WORDS + r")\b")
@@ -173,6 +169,6 @@ def _(v):
 @query("diverse_slices", f"""
 with k as (select *, {d.primary_kind()} as kind from v_slices), n as (select *, row_number() over (partition by full_name, kind order by relevance desc, path, start_line, slice_id) as nth from k)
 select full_name, slice_id, kind, row_number() over (partition by full_name order by case when nth = 1 then case kind when 'documentation' then 1 when 'manifest' then 2 when 'implementation' then 3 when 'test' then 4 else 5 end else 5 end,
-  relevance desc, path, start_line, slice_id) as place from n qualify place <= 6""")
+  relevance desc, path, start_line, slice_id) as place from n""")
 def _(v):
     return wn.diverse_slices(v("v_slices"), ["full_name"]).select("full_name", "slice_id", "kind", "place")

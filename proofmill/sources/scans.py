@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofmill import fixed_values as fv
 from proofmill.functions import text as tx
+from proofmill.functions.frames import at_most
 from proofmill.params import DEFAULT, Params
 
 RAW_REPOSITORY = (
@@ -72,31 +73,36 @@ def scan_trees(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def decode_blobs(encoded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Base64 text -> string after white space is stripped and the shape is checked."""
+    """Base64 text -> string after white space is stripped and the shape is checked; bytes that are not UTF-8 are set aside."""
     stripped = encoded.withColumn("encoded", F.regexp_replace("encoded", f"{tx.SPACES}+", ""))
     ok = F.coalesce((F.length("encoded") > 0) & (F.length("encoded") % 4 == 0)
                     & F.col("encoded").rlike(r"^[A-Za-z0-9+/]*={0,2}$"), F.lit(False))
-    good = stripped.filter(ok).withColumn(
-        "content", F.decode(F.try_to_binary("encoded", F.lit("base64")), "UTF-8")).drop("encoded")
-    return good, stripped.filter(~ok).drop("encoded").withColumn("reason", F.lit("invalid-base64"))
+    decoded = stripped.filter(ok).withColumn("raw", F.try_to_binary("encoded", F.lit("base64")).cast("string")).drop("encoded")
+    readable = F.coalesce(F.is_valid_utf8("raw"), F.lit(False))
+    good = decoded.filter(readable).withColumnRenamed("raw", "content")
+    unreadable = decoded.filter(~readable).drop("raw").withColumn("reason", F.lit("invalid-utf8"))
+    return good, stripped.filter(~ok).drop("encoded").withColumn("reason", F.lit("invalid-base64")).unionByName(unreadable)
 
 
 def read_workspaces(spark: SparkSession, root: str) -> DataFrame:
-    """(workspace, path, content) of every file below `root`/<workspace>/."""
+    """(workspace, path, content) of every style source below `root`/<workspace>/; names are filtered before contents are read, and bytes that are not UTF-8 are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.substring_index("path", root.rstrip("/") + "/", -1), r"\\", "/")
-    return files.select(F.substring_index(rel, "/", 1).alias("workspace"), F.regexp_replace(rel, "^[^/]*/", "").alias("path"),
-                        F.decode("content", "UTF-8").alias("content"))
+    named = files.filter(rel.rlike(fv.STYLE_FILE) | rel.rlike(fv.STYLE_CONFIG))
+    rows = named.select(F.substring_index(rel, "/", 1).alias("workspace"), F.regexp_replace(rel, "^[^/]*/", "").alias("path"), F.col("content").cast("string").alias("content"))
+    return rows.filter(F.is_valid_utf8("content"))
 
 
 def scan_workspaces(files: DataFrame, params: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Style sources by name rules outside ignored directories; candidates beyond the limit are skipped."""
+    """Style sources by name rules outside ignored directories; with a limit, candidates beyond it are skipped."""
     path = F.replace("path", F.lit("\\"), F.lit("/"))
     parts = F.split(path, "/")
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     kept = (files.withColumn("path", path)
             .filter((path.rlike(fv.STYLE_FILE) | path.rlike(fv.STYLE_CONFIG))
                     & ~F.exists(folders, lambda s: s.isin(fv.STYLE_IGNORED_DIRS))))
+    if params.workspace_candidates is None:
+        return kept, kept.limit(0).select("workspace", "path", F.lit("maximum-candidates-reached").alias("reason"))
     w = Window.partitionBy("workspace").orderBy("path")
     ranked = kept.select("workspace", "path").withColumn("nth", F.row_number().over(w))
     inside = ranked.filter(F.col("nth") <= params.workspace_candidates).select("workspace", "path")
@@ -112,7 +118,7 @@ def budget_workspace_files(sources: DataFrame, params: Params = DEFAULT) -> tupl
     candidate limit bounds each list, and content is joined back afterwards."""
     sizes = sources.select("workspace", "path", F.length("content").alias("chars"))
     w = Window.partitionBy("workspace").orderBy("path")
-    bounded = sizes.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= params.workspace_candidates)
+    bounded = sizes.withColumn("nth", F.row_number().over(w)).filter(at_most(F.col("nth"), params.workspace_candidates))
     listed = bounded.groupBy("workspace").agg(F.array_sort(F.collect_list(F.struct("path", "chars"))).alias("files"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"),
                      F.array().cast("array<struct<path:string,reason:string>>").alias("out"))

@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder for intermediate tables: in the cluster's shared folder when it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="proofmill-")
+    """A fresh folder for intermediate tables, in the folder that the driver and all executors share (spark.checkpoint.dir).
+
+    Where it is unset, only a Spark in one process may use a folder of its own; a cluster must name one.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="proofmill-")
 
 
 def write_pack(tables: dict[str, DataFrame], folder: str, partition: str = "pack_id") -> None:

@@ -43,26 +43,34 @@ def phase_audit_batch(events: DataFrame) -> DataFrame:
 OUTPUT = "task_id string, seq bigint, tool string, mode string, phase_now string, signal string"
 
 
-def _audit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Advance one task's phase over the new events and report its tool calls."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    phase = state.get[0] if state.exists else "idle"
-    rows = []
-    for batch in batches:
-        for e in batch.sort_values(["ts", "seq"]).itertuples(index=False):
+def _audit(expiry_ms: int):
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Advance one task's phase over the new events and report its tool calls.
+
+        A task's events of one trigger may come in several Arrow batches; they are put in order together.
+        """
+        if state.hasTimedOut:
+            state.remove()
+            return
+        phase = state.get[0] if state.exists else "idle"
+        rows = []
+        for e in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples(index=False):
             if isinstance(e.tool, str):
                 table = fv.ADVISORY_SIGNALS if e.mode == "advisory" else fv.STRICT_SIGNALS
                 rows.append((key[0], e.seq, e.tool, e.mode, phase, table.get(phase) if e.tool in fv.MUTATION_TOOLS else None))
             if isinstance(e.phase, str):
                 phase = e.phase
-    state.update((phase,))
-    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 7 * 24 * 3_600_000)
-    yield pd.DataFrame(rows, columns=["task_id", "seq", "tool", "mode", "phase_now", "signal"])
+        state.update((phase,))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + expiry_ms)
+        yield pd.DataFrame(rows, columns=["task_id", "seq", "tool", "mode", "phase_now", "signal"])
 
+    return advance
 
-def phase_audit_stream(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """The same audit, incrementally; idle tasks expire a week after the watermark."""
+
+def phase_audit_stream(events: DataFrame, lateness: str = "1 hour", expiry_hours: int = 7 * 24) -> DataFrame:
+    """The same audit, incrementally; a task idle for expiry_hours beyond the watermark is forgotten and starts anew.
+
+    What one trigger reads bounds what is put in order at once (maxFilesPerTrigger).
+    """
     return (events.withWatermark("ts", lateness).groupBy("task_id")
-            .applyInPandasWithState(_audit, OUTPUT, "phase string", "append", GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(_audit(expiry_hours * 3_600_000), OUTPUT, "phase string", "append", GroupStateTimeout.EventTimeTimeout))

@@ -18,10 +18,11 @@ def run_to_table(stream: DataFrame, folder: str, mode: str) -> DataFrame:
     spark = stream.sparkSession
     rows = f"{folder}/rows"
 
-    def save(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(rows)
+    def save(batch: DataFrame, number: int) -> None:
+        # A batch that is retried after a failure replaces what it wrote before.
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={number}" if mode == "append" else rows)
 
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
              .trigger(availableNow=True).foreachBatch(save).start())
     query.awaitTermination()
-    return spark.read.parquet(rows)
+    return spark.read.parquet(rows).drop("batch")
