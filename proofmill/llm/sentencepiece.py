@@ -38,10 +38,10 @@ MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: Distinct words and stable pairs that a worker remembers; when full, the memory starts anew. Results do not depend on it.
-MEMORY_WORDS = 900_000
+MEMORY_WORDS = 450_000
 MEMORY_PAIRS = 500_000
 #: Bytes of text that are encoded together; the more, the longer the shared prefixes. Results do not depend on it.
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 4_000_000
 #: What a character without a piece costs below the worst piece in a unigram model (as in the library).
 UNKNOWN_PENALTY = 10.0
 
@@ -117,74 +117,74 @@ class Vocabulary:
             known = self._stable[key] = self.merges("".join(parts)) == parts
         return known
 
-    def follow(self, word: str, states: list[tuple]) -> None:
-        """Adds the forward states of the prefixes of a word that are longer than those on the stack.
+    def follow(self, word: str, scores: list, starts: list, pieces: list, opens: list) -> None:
+        """Adds the forward states of the prefixes of a word that are longer than those on the stacks.
 
-        A state is (score, start of the last piece, id of the last piece, open starts); open starts are (start, node of the piece
-        tree) for every start from which the characters so far begin some longer piece, so that only these are tried, longest first.
+        A state is the prefix's best score, and where its last piece starts and which it is (-1: a character without one). Its open
+        starts are (start, node of the piece tree) for every start from which the characters so far begin some longer piece, so that
+        only these are tried, longest first. With a BPE model the first stable piece is the only one, so it is not looked further.
         """
-        root, scores, size, known, bpe = self.tree, self.scores, self.size, self._stable, self.bpe
-        for i in range(len(states), len(word) + 1):
+        root, worth, size, known, bpe = self.tree.get, self.scores, self.size, self._stable, self.bpe
+        for i in range(len(scores), len(word) + 1):
             char = word[i - 1]
-            best, chosen, following = None, None, []
-            for start, nodes in states[i - 1][3]:
+            best, chosen, at, following = None, -1, i - 1, []
+            for start, nodes in opens[i - 1]:
                 node = nodes.get(char)
-                if node is None:
-                    continue
-                nodes, piece = node
-                if nodes:
-                    following.append((start, nodes))
-                if piece < 0:
-                    continue
-                before = states[start]
-                if bpe:
-                    if chosen is None:
-                        fits = known.get(before[2] * size + piece)
-                        if fits or fits is None and self.stable(before[2], piece):
-                            best, chosen = before[0] + scores[piece], (start, piece)
-                elif best is None or before[0] + scores[piece] > best:
-                    best, chosen = before[0] + scores[piece], (start, piece)
-            before = states[i - 1]
-            nodes, piece = root.get(char, NO_PIECE)
+                if node is not None:
+                    nodes, piece = node
+                    if nodes:
+                        following.append((start, nodes))
+                    if piece >= 0:
+                        if bpe:
+                            if best is None:
+                                fits = known.get(pieces[start] * size + piece)
+                                if fits or fits is None and self.stable(pieces[start], piece):
+                                    best, chosen, at = scores[start] + worth[piece], piece, start
+                        elif best is None or scores[start] + worth[piece] > best:
+                            best, chosen, at = scores[start] + worth[piece], piece, start
+            nodes, piece = root(char, NO_PIECE)
             if nodes:
                 following.append((i - 1, nodes))
-            if chosen is None or not bpe:
-                score = before[0] + (scores[piece] if piece >= 0 else self.worst)
+            if best is None or not bpe:
+                score = scores[i - 1] + (worth[piece] if piece >= 0 else self.worst)
                 if best is None or score > best:
-                    best, chosen = score, (i - 1, piece)
-            states.append((best, *chosen, following))
-
-    def piece_ids(self, word: str, states: list[tuple]) -> list[int]:
-        out, i = [], len(word)
-        while i:
-            _, start, piece, _ = states[i]
-            if piece >= 0:
-                out.append(piece)
-            elif self.bytes:
-                out += [self.bytes[b] for b in reversed(word[start:i].encode("utf-8", "surrogatepass"))]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-            i = start
-        return out[::-1]
+                    best, chosen, at = score, piece, i - 1
+            scores.append(best)
+            starts.append(at)
+            pieces.append(chosen)
+            opens.append(following)
 
     def encode_words(self, words) -> tuple[list[str], list[int], list[int]]:
         """Distinct marked words in order, the ends of their ids, and all their ids one after another.
 
-        Depth-first over the trie of the words, with the forward states of the current branch on a stack.
+        Depth-first over the trie of the words, with the forward states of the current branch on stacks.
         """
         words, ends, ids = sorted(words), [], []
-        states: list[tuple] = [(0.0, 0, -1, ())]
+        stacks = [0.0], [0], [-1], [()]
+        _, starts, pieces, _ = stacks
         before = ""
         for word in words:
-            shared, most = 0, min(len(before), len(word))
-            if before[:most] == word[:most]:
-                shared = most
+            if word.startswith(before):
+                shared = len(before)
             else:
+                shared = 0
                 while before[shared] == word[shared]:
                     shared += 1
-            del states[shared + 1 :]
-            self.follow(word, states)
-            ids += self.piece_ids(word, states)
+            for stack in stacks:
+                del stack[shared + 1 :]
+            self.follow(word, *stacks)
+            i, found = len(word), []
+            while i:
+                start = starts[i]
+                if pieces[i] >= 0:
+                    found.append(pieces[i])
+                elif self.bytes:
+                    found += [self.bytes[b] for b in reversed(word[start:i].encode("utf-8", "surrogatepass"))]
+                elif not found or found[-1] != self.unknown:
+                    found.append(self.unknown)
+                i = start
+            found.reverse()
+            ids += found
             ends.append(len(ids))
             before = word
         return words, ends, ids
@@ -213,7 +213,13 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         if len(self.places) + len(words) > MEMORY_WORDS:
             self.forget()
-        new, ends, ids = self.vocabulary.encode_words(words.difference(self.places))
+        collecting = gc.isenabled()
+        gc.disable()  # the states are many small objects without cycles; walking them costs more than the encoding
+        try:
+            new, ends, ids = self.vocabulary.encode_words(words.difference(self.places))
+        finally:
+            if collecting:
+                gc.enable()
         self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
         self.ends = np.concatenate([self.ends, len(self.ids) + np.array(ends, dtype=np.int64)])
         self.ids = np.concatenate([self.ids, np.array(ids, dtype=np.int32)])
