@@ -38,10 +38,10 @@ MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: Distinct words and stable pairs that a worker remembers; when full, the memory starts anew. Results do not depend on it.
-MEMORY_WORDS = 450_000
-MEMORY_PAIRS = 500_000
+MEMORY_WORDS = 300_000
+MEMORY_PAIRS = 300_000
 #: Bytes of text that are encoded together; the more, the longer the shared prefixes. Results do not depend on it.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 3_000_000
 #: What a character without a piece costs below the worst piece in a unigram model (as in the library).
 UNKNOWN_PENALTY = 10.0
 
