@@ -144,15 +144,22 @@ def domain_signal(terms: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def search_topk(queries: DataFrame, repositories: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Top repositories by stars for each query; all query tokens must occur."""
+    """Top repositories by stars for each query; all query tokens must occur.
+
+    A query meets repositories on its rarest token, by an index of tokens and names only; the other tokens are checked on these candidates.
+    """
     usable = repositories.filter(~F.col("archived") & ~F.col("fork") & (F.col("stars") >= params.min_stars))
     docs = usable.select("full_name", "stars", F.lower("language").alias("repo_language"),
                          tx.tokens(tx.normalize_text(repository_text(usable))).alias("doc_tokens"))
-    index = docs.select("*", F.explode("doc_tokens").alias("token"))
+    index = docs.select("full_name", F.explode(F.array_distinct("doc_tokens")).alias("token"))
     asked = (queries.select("query", F.lower("language").alias("language")).distinct()
-             .withColumn("query_tokens", tx.tokens(tx.normalize_text(F.col("query"))))
-             .withColumn("token", F.col("query_tokens")[0]))
-    found = (index.join(asked, "token")
+             .withColumn("query_tokens", tx.tokens(tx.normalize_text(F.col("query")))))
+    each = asked.select("query", "language", F.explode("query_tokens").alias("token"))
+    common = index.join(each.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    key = F.struct(F.coalesce("n", F.lit(0)), "token")
+    rarest = each.join(common, "token", "left").groupBy(F.col("query").alias("of_query"), F.col("language").alias("of_language")).agg(F.min_by("token", key).alias("token"))
+    keyed = asked.join(rarest, F.col("query").eqNullSafe(F.col("of_query")) & F.col("language").eqNullSafe(F.col("of_language"))).drop("of_query", "of_language")
+    found = (index.join(keyed, "token").drop("token").join(docs, "full_name")
              .filter((F.size(F.array_except("query_tokens", "doc_tokens")) == 0)
                      & (F.col("language").isNull() | (F.col("language") == F.col("repo_language")))))
     w = Window.partitionBy("query", "language").orderBy(F.desc("stars"), "full_name")

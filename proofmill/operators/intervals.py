@@ -11,7 +11,7 @@ from proofmill.functions.frames import stage
 BUCKET = 64
 
 
-def _buckets(start: Column, end: Column) -> Column:
+def buckets(start: Column, end: Column) -> Column:
     return F.explode(F.sequence(F.floor(start / BUCKET), F.floor(end / BUCKET)))
 
 
@@ -26,9 +26,9 @@ def interval_cover(intervals: DataFrame, slices: DataFrame, keys: list[str], wit
     file = [*(within or []), "full_name", "revision", "path"]
     valid = intervals.filter((F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")))
     wanted = valid.select(*dict.fromkeys([*keys, *file]), "start_line", "end_line",
-                          _buckets(F.col("start_line"), F.col("end_line")).alias("bucket"))
+                          buckets(F.col("start_line"), F.col("end_line")).alias("bucket"))
     windows = slices.select(*file, "slice_id", F.col("start_line").alias("w_start"), F.col("end_line").alias("w_end"),
-                            _buckets(F.col("start_line"), F.col("end_line")).alias("bucket"))
+                            buckets(F.col("start_line"), F.col("end_line")).alias("bucket"))
     pairs = wanted.join(windows, [*file, "bucket"]).filter(
         (F.col("w_start") <= F.col("end_line")) & (F.col("w_end") >= F.col("start_line")))
     best = pairs.groupBy(*keys, "start_line", "end_line", "w_start").agg(
