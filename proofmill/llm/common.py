@@ -20,6 +20,8 @@ def prepared(spark: SparkSession) -> SparkSession:
     """Settings that the operators rely on; smaller batches set by the caller are kept."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # A union of differently partitioned parts must not be taken for one partitioning (it fails at run time when parts are coalesced).
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, BATCH_ROWS):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
