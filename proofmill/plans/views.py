@@ -373,7 +373,8 @@ from lineitem"""
 # Views that stand for landed tables (trees, file contents, parser output): they are
 # written once per data folder, so queries scan columns instead of rebuilding them.
 LANDED = ("v_files", "v_blobs", "v_tree", "v_symbols", "v_slices", "v_relations", "v_catalog", "v_style", "v_tasks",
-          "v_concepts", "v_task_text", "v_py_imports", "v_rs_imports", "v_claims", "v_bundle_slices")
+          "v_concepts", "v_task_text", "v_py_imports", "v_rs_imports", "v_claims", "v_bundle_slices", "v_extra", "v_bundles",
+          "v_reviews", "v_review_slices", "v_review_bundles")
 
 
 def needs(sql: str, stop: tuple[str, ...] = ()) -> list[str]:
