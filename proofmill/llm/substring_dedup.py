@@ -2,7 +2,7 @@
 
 A window is WINDOW consecutive words of one document. Every word covered by a window that also starts in a document with a smaller id goes.
 
-1. Anchors. The smallest hash among the 8-word grams of a window is its anchor, so equal windows have equal anchors, and a document has few
+1. Anchors. The smallest hash among the GRAM-word grams of a window is its anchor, so equal windows have equal anchors, and a document has few
    distinct ones. Only anchors of two or more documents can belong to a recurring window.
 2. Recurring passages are confirmed: the windows under such anchors are hashed whole (128 bits) and counted; those of two or more
    documents recur. Neighbouring ones that always occur together, in all their documents, form one passage. (Two windows always occur together
@@ -32,7 +32,8 @@ from proofmill.llm.common import text_or_empty, written
 from proofmill.llm.near_dedup import WordHashes, mixed
 
 WINDOW = 50
-GRAM = 8
+#: Words in the grams that anchors are taken from. Longer ones meet by chance less often; the result does not depend on it.
+GRAM = 24
 SHARD_WORDS = 1_000_000
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -206,7 +207,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     anchored = classes.select("rep", "digest", F.explode("anchors").alias("anchor"))
     shared = anchored.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     wanted = anchored.join(shared, "anchor").groupBy("rep", "digest").agg(F.collect_list("anchor").alias("recurring"))
-    found = written(candidate_windows(texts.join(wanted, F.col("id") == F.col("rep")).select("id", "text", "digest", "recurring"), window, gram), "candidates")
+    sharing = written(texts.join(wanted, F.col("id") == F.col("rep")).select("id", "text", "digest", "recurring"), "sharing")  # later steps read these texts only
+    found = written(candidate_windows(sharing, window, gram), "candidates")
 
     place = F.struct("id", "place")
     windows = found.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.max("id").alias("last"), F.count("*").alias("places"), F.bit_xor(F.xxhash64("id", "place")).alias("here"),
@@ -218,8 +220,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     starts = passages.select("h1", "h2", "first")
     there = found.select("h1", "h2", "id").join(starts, ["h1", "h2"]).where("id > first").select("h1", "h2", "id").distinct()
     there = written(there.withColumn("shard", shard), "occurrences")
-    dealt = passage_texts(texts, passages, window).join(there.select("h1", "h2", "shard").distinct(), ["h1", "h2"])
-    reps = texts.join(there.select("id").distinct(), "id", "left_semi").withColumn("shard", shard)
+    dealt = passage_texts(sharing, passages, window).join(there.select("h1", "h2", "shard").distinct(), ["h1", "h2"])
+    reps = sharing.select("id", "text").join(there.select("id").distinct(), "id", "left_semi").withColumn("shard", shard)
     located = reps.groupBy("shard").cogroup(dealt.select("shard", "first", "passage").groupBy("shard")).applyInPandas(locate, "id bigint, digest binary, n_removed bigint, kept_sha256 string, spans array<struct<start:int,end:int>>")
     located = written(located.distinct(), "located")
 
