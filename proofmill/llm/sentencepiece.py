@@ -25,7 +25,7 @@ from __future__ import annotations
 import gc
 import re
 from functools import cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,10 @@ NO_PIECE = ({}, -1)
 MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
-#: Distinct words and stable pairs that a worker remembers; when full, the memory starts anew. Results do not depend on it.
+#: Distinct words and stable pairs that a worker remembers within a task and between tasks; when full, what came last goes. Results do not depend on it.
 MEMORY_WORDS = 450_000
-MEMORY_PAIRS = 500_000
+KEPT_WORDS = 120_000
+MEMORY_PAIRS = 300_000
 #: Bytes of text that are encoded together; the more, the longer the shared prefixes. Results do not depend on it.
 CHUNK_BYTES = 4_000_000
 #: What a character without a piece costs below the worst piece in a unigram model (as in the library).
@@ -204,15 +205,19 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.forget()
-
-    def forget(self) -> None:
         self.places: dict[str, int] = {}
         self.ends, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
+    def trim(self, most: int = KEPT_WORDS) -> None:
+        """Forget all but the words that were learned first; common words come early."""
+        if len(self.places) > most:
+            self.places = dict(islice(self.places.items(), most))
+            self.ends = self.ends[: most + 1].copy()
+            self.ids = self.ids[: self.ends[-1]].copy()
+
     def learn(self, words: set[str]) -> None:
         if len(self.places) + len(words) > MEMORY_WORDS:
-            self.forget()
+            self.trim()
         collecting = gc.isenabled()
         gc.disable()  # the states are many small objects without cycles; walking them costs more than the encoding
         try:
@@ -258,7 +263,7 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", in
 
     def run(batches):
         encoder = encoder_of(path)
-        for part in chunks(batches, text_col):
+        for part in released(chunks(batches, text_col), encoder):
             ids, ends = encoder(part.column(text_col).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=part.column(text_col).is_null())
             yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, into])
@@ -281,6 +286,14 @@ def decode(docs: DataFrame, model: str | None = None, ids_col: str = "ids", into
     return docs.mapInArrow(run, schema)
 
 
+def released(parts, encoder: Encoder):
+    """The parts; after the last, a waiting worker holds little."""
+    try:
+        yield from parts
+    finally:
+        encoder.trim()
+
+
 def chunks(batches, column: str, size: int = CHUNK_BYTES):
     """Record batches whose column holds about `size` bytes (one row at least): small ones are put together, large ones cut."""
     held, total = [], 0
