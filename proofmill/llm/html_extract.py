@@ -218,10 +218,10 @@ def site_features(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "key1 bigint, key2 int, host string, path bigint, content boolean, feature bigint, undecided boolean")
 
 
-def importance(features: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the site style trees."""
-    features = features.drop("undecided").distinct()  # copies of a page count once
-    counted = features.groupBy("host", "path", "content", "feature").agg(F.count("*").cast("double").alias("n"))
+def importance(features: DataFrame, copies: DataFrame) -> DataFrame:
+    """(host, path, pages, importance) of the site style trees; copies: (host, key1, key2, copies) of pages found more than once, which count once together."""
+    weighed = features.join(copies, ["host", "key1", "key2"], "left").withColumn("weight", 1 / F.coalesce("copies", F.lit(1)))
+    counted = weighed.groupBy("host", "path", "content", "feature").agg(F.round(F.sum("weight")).alias("n"))
     sums = lambda content, x: F.sum(F.when(F.col("content") == content, x))
     n_log_n = F.col("n") * F.log("n")
     merged = counted.groupBy("host", "path").agg(sums(False, F.col("n")).alias("pages"), sums(False, n_log_n).alias("looks"), sums(True, F.col("n")).alias("texts"), sums(True, n_log_n).alias("repeated"))
@@ -235,7 +235,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text) of every row."""
     rows = keyed(pages, id_col, url_col, html_col)
     features = written(site_features(rows), "page-features")
-    unimportant = written(importance(features).where(F.col("importance") < low).select("host", "path"), "low-paths")
+    copies = written(rows.groupBy("host", "key1", "key2").agg(F.count("*").alias("copies")).where("copies > 1"), "page-copies")
+    unimportant = written(importance(features, copies).where(F.col("importance") < low).select("host", "path"), "low-paths")
     mine = features.where("undecided and not content").select("key1", "key2", "host", "path")
     lists = mine.join(unimportant, ["host", "path"]).groupBy("host", "key1", "key2").agg(F.collect_set("path").alias("low"))
     met = rows.join(written(lists, "page-lows"), ["host", "key1", "key2"], "left").select("page_id", "url", "html", "low")
