@@ -39,7 +39,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: Distinct words and stable pairs that a worker remembers within a task and between tasks; when full, what came last goes. Results do not depend on it.
 MEMORY_WORDS = 450_000
-KEPT_WORDS = 120_000
+KEPT_WORDS = 80_000
 MEMORY_PAIRS = 300_000
 #: Bytes of text that are encoded together; the more, the longer the shared prefixes. Results do not depend on it.
 CHUNK_BYTES = 4_000_000
@@ -64,15 +64,32 @@ def tree_of(ids: dict[str, int]) -> dict:
     return tree
 
 
+def read_model(path: str):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    return model
+
+
+class Surfaces:
+    """What each piece stands for in a text; all that decoding needs."""
+
+    def __init__(self, model):
+        self.dummy_prefix = model.normalizer_spec.add_dummy_prefix
+        self.surface = [b"" if p.type == CONTROL else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode() for p in model.pieces]
+
+    def decode(self, ids) -> str:
+        text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
+        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+
+
 class Vocabulary:
     """Pieces, scores and settings of a model file that normalises nothing."""
 
     def __init__(self, path: str):
-        from sentencepiece import sentencepiece_model_pb2 as proto
-
-        model = proto.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
+        model = read_model(path)
         spec = model.normalizer_spec
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only models without normalisation and with leading space marks are read")
@@ -91,7 +108,7 @@ class Vocabulary:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.size, self.texts = len(model.pieces), [p.piece for p in model.pieces]
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
-        self.surface = [b"" if p.type == CONTROL else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode() for p in model.pieces]
+        self.surfaces = Surfaces(model)
         self._stable: dict[int, bool] = {}
 
     def merges(self, text: str) -> list[str]:
@@ -196,8 +213,7 @@ class Vocabulary:
         return MARKED_WORD.findall((MARK if self.dummy_prefix else "") + text.replace(" ", MARK))
 
     def decode(self, ids) -> str:
-        text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return self.surfaces.decode(ids)
 
 
 class Encoder:
@@ -255,6 +271,11 @@ def encoder_of(path: str) -> Encoder:
     return encoder
 
 
+@cache
+def surfaces_of(path: str) -> Surfaces:
+    return Surfaces(read_model(path))
+
+
 def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", into: str = "ids") -> DataFrame:
     """docs with one more column `into` of piece ids (a column of that name is replaced); one pass, no shuffle."""
     path = model or default_model()
@@ -278,9 +299,9 @@ def decode(docs: DataFrame, model: str | None = None, ids_col: str = "ids", into
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches):
-        vocabulary = encoder_of(path).vocabulary
+        surfaces = surfaces_of(path)
         for part in chunks(batches, ids_col):
-            texts = [None if x is None else vocabulary.decode(x) for x in part.column(ids_col).to_pylist()]
+            texts = [None if x is None else surfaces.decode(x) for x in part.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
 
     return docs.mapInArrow(run, schema)
