@@ -45,7 +45,7 @@ COORDINATES = 64
 WIDTH = 2
 PARITIES = 512
 #: Words whose hashes a task remembers; when full, the memory starts anew. Results do not depend on it.
-MEMORY_WORDS = 250_000
+MEMORY_WORDS = 150_000
 #: Pairs of different components, as a multiple of all postings, up to which each meets each without a further hub; more hubs only change the work.
 DIRECT = 1000
 HUB_ROUNDS = 4
