@@ -219,8 +219,8 @@ class Vocabulary:
 class Encoder:
     """Encodes lists of texts, remembering words within a bound."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, memory_words: int = MEMORY_WORDS):
+        self.vocabulary, self.memory_words = vocabulary, memory_words
         self.places: dict[str, int] = {}
         self.ends, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
@@ -232,8 +232,8 @@ class Encoder:
             self.ids = self.ids[: self.ends[-1]].copy()
 
     def learn(self, words: set[str]) -> None:
-        if len(self.places) + len(words) > MEMORY_WORDS:
-            self.trim()
+        if len(self.places) + len(words) > self.memory_words:
+            self.trim(min(KEPT_WORDS, self.memory_words // 2))
         collecting = gc.isenabled()
         gc.disable()  # the states are many small objects without cycles; walking them costs more than the encoding
         try:
@@ -264,9 +264,9 @@ class Encoder:
 
 
 @cache
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, memory_words: int = MEMORY_WORDS) -> Encoder:
     """The encoder of a model file; a worker keeps it, with what it remembers, for its next tasks."""
-    encoder = Encoder(Vocabulary(path))
+    encoder = Encoder(Vocabulary(path), memory_words)
     gc.freeze()  # the vocabulary stays; the collector need not walk it again and again
     return encoder
 
@@ -276,15 +276,19 @@ def surfaces_of(path: str) -> Surfaces:
     return Surfaces(read_model(path))
 
 
-def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", into: str = "ids") -> DataFrame:
-    """docs with one more column `into` of piece ids (a column of that name is replaced); one pass, no shuffle."""
+def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", into: str = "ids", memory_words: int = MEMORY_WORDS,
+           chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """docs with one more column `into` of piece ids (a column of that name is replaced); one pass, no shuffle.
+
+    memory_words and chunk_bytes trade memory for time; results do not depend on them.
+    """
     path = model or default_model()
     docs = docs.drop(into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        encoder = encoder_of(path)
-        for part in released(chunks(batches, text_col), encoder):
+        encoder = encoder_of(path, memory_words)
+        for part in released(chunks(batches, text_col, chunk_bytes), encoder):
             ids, ends = encoder(part.column(text_col).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=part.column(text_col).is_null())
             yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, into])
