@@ -7,8 +7,10 @@ each page the branches go whose nodes are all of low importance; a page that wou
 host count once.
 
 Some importance is known beforehand from the element itself: menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and
-styles have none, articles have all of it. Inside an article only the former are removed, however often a paragraph is repeated on the
-site. A page without an article falls back to its main element, then to the whole body.
+styles have none. Article and main elements only have a prior: their paths count as important on `PRIOR_PAGES` further pages, so what the whole
+site repeats inside articles goes too, an inline element only with its block. Articles that would lose all their text keep it, unless the page has
+more text of importance elsewhere. The text is taken from articles alone if they hold `AREA_SHARE` of the important text, else from articles and
+main elements under the same condition, else from the whole body.
 
 Merging is grouped sums by (host, path, feature) and then by (host, path), so a host with a third of all pages costs one row per task and feature. Pages
 meet the low paths of their host by joining their own undecided paths; only these lists, never html, pass through that join.
@@ -32,6 +34,10 @@ from proofmill.llm.common import text_or_empty, written
 LOW = 0.35
 #: Paths on fewer pages of a host are not judged.
 MIN_PAGES = 3
+#: Pages on which a path inside an article or main element counts as important beforehand.
+PRIOR_PAGES = 3
+#: Share of the important text of a page that articles, or articles and main elements, must hold to be its main text alone.
+AREA_SHARE = 0.7
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 GAPS = re.compile(r"\s+")
@@ -155,36 +161,55 @@ class Page:
             x = x.parent
         return here
 
-    def features(self) -> list[tuple[int, bool, int, bool]]:
-        """(path, is content, feature, undecided) of the page, distinct: how it looks at each path, and the texts directly there."""
+    def features(self) -> list[tuple[int, bool, int, bool, bool]]:
+        """(path, is content, feature, undecided, in an article or main element) of the page, distinct: how it looks at each path, and the texts directly there."""
         looks: dict[int, set[str]] = {}
-        out, undecided = set(), {}
+        out, undecided, prior = set(), {}, {}
         for node in self.nodes[1:]:
             if node.unwanted and node.parent.unwanted:
                 continue
             looks.setdefault(node.path, set()).update(node.children)
-            undecided[node.path] = undecided.get(node.path, False) or not (node.unwanted or node.area)
+            undecided[node.path] = undecided.get(node.path, False) or not node.unwanted
+            prior[node.path] = prior.get(node.path, False) or node.area > 0
             out.update((node.path, True, xxhash.xxh3_64_intdigest(GAPS.sub(" ", t).strip().encode("utf-8", "surrogatepass"))) for t in node.texts)
         out.update((path, False, xxhash.xxh3_64_intdigest("\n".join(sorted(x)).encode("utf-8", "surrogatepass"))) for path, x in looks.items())
-        return [(signed(p), content, signed(f), undecided[p]) for p, content, f in out]
+        return [(signed(p), content, signed(f), undecided[p], prior[p]) for p, content, f in out]
+
+    def sizes(self, fits) -> list[int]:
+        """Characters of wanted text in nodes that fit, by area."""
+        out = [0] * (ARTICLE + 1)
+        for node, text in (x for x in self.items if x):
+            if not node.unwanted and fits(node):
+                out[node.area] += sum(map(len, text.split()))
+        return out
+
+    def mark(self, low: set[int]) -> None:
+        """Marks the nodes of branches that are of low importance throughout."""
+        keeps: set[int] = set()  # nodes with something of importance in or below them
+        for node in reversed(self.nodes):
+            if id(node) in keeps or not node.unwanted and node.path not in low:
+                keeps.add(id(node.parent))
+                if not node.unwanted:
+                    keeps.add(id(node))
+        within: set[int] = set()  # inline elements of a block that has important text of its own
+        for node in self.nodes[1:]:
+            parent = node.parent
+            if node.area and node.tag in INLINE and not parent.low and (id(parent) in within or parent.texts and parent.path not in low):
+                within.add(id(node))
+            node.low = parent.low or id(node) not in keeps and id(node) not in within
+        for area in (ARTICLE, MAIN, 0):
+            left = self.sizes(lambda n: not n.low)
+            lost = self.sizes(lambda n: n.low)
+            if not sum(left[area:]) and sum(lost[area:]) >= sum(left):
+                for node in self.nodes:
+                    node.low = node.low and node.area < area
 
     def main_text(self, low_paths: set[int]) -> str:
         """The text without unwanted elements and without branches whose nodes all have low importance."""
-        low = low_paths and {int(p) & 0xFFFFFFFFFFFFFFFF for p in low_paths}
-        if low:
-            keeps: set[int] = set()  # nodes with something of importance in or below them
-            for node in reversed(self.nodes):
-                if id(node) in keeps or not node.unwanted and (node.area or node.path not in low):
-                    keeps.add(id(node.parent))
-                    if not node.unwanted:
-                        keeps.add(id(node))
-            for node in self.nodes[1:]:
-                node.low = node.parent.low or id(node) not in keeps
-            if all(n.unwanted or n.low or t.isspace() for n, t in (x for x in self.items if x)):
-                for node in self.nodes:
-                    node.low = False
-        held = {n.area for n, t in (x for x in self.items if x) if not n.unwanted and not n.low and not t.isspace()}
-        area = max(held, default=0)
+        if low_paths:
+            self.mark({int(p) & 0xFFFFFFFFFFFFFFFF for p in low_paths})
+        sizes = self.sizes(lambda n: not n.low)
+        area = next((a for a in (ARTICLE, MAIN) if sum(sizes[a:]) >= AREA_SHARE * sum(sizes)), 0)
         blocks, block = [], []
         for item in [*self.items, None]:
             if item is None:
@@ -208,26 +233,28 @@ def keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
 
 
 def site_features(rows: DataFrame) -> DataFrame:
-    """(key1, key2, host, path, content, feature, undecided) of every page."""
+    """(key1, key2, host, path, content, feature, undecided, prior) of every page."""
 
     def run(batches):
         for batch in batches:
             found = [(k1, k2, host, *f) for k1, k2, host, html in zip(batch["key1"], batch["key2"], batch["host"], batch["html"]) for f in Page(text_or_empty(html)).features()]
-            yield pd.DataFrame(found, columns=["key1", "key2", "host", "path", "content", "feature", "undecided"])
+            yield pd.DataFrame(found, columns=["key1", "key2", "host", "path", "content", "feature", "undecided", "prior"])
 
-    return rows.mapInPandas(run, "key1 bigint, key2 int, host string, path bigint, content boolean, feature bigint, undecided boolean")
+    return rows.mapInPandas(run, "key1 bigint, key2 int, host string, path bigint, content boolean, feature bigint, undecided boolean, prior boolean")
 
 
 def importance(features: DataFrame, copies: DataFrame) -> DataFrame:
     """(host, path, pages, importance) of the site style trees; copies: (host, key1, key2, copies) of pages found more than once, which count once together."""
     weighed = features.join(copies, ["host", "key1", "key2"], "left").withColumn("weight", 1 / F.coalesce("copies", F.lit(1)))
-    counted = weighed.groupBy("host", "path", "content", "feature").agg(F.round(F.sum("weight")).alias("n"))
+    counted = weighed.groupBy("host", "path", "content", "feature").agg(F.round(F.sum("weight")).alias("n"), F.max("prior").alias("prior"))
     sums = lambda content, x: F.sum(F.when(F.col("content") == content, x))
     n_log_n = F.col("n") * F.log("n")
-    merged = counted.groupBy("host", "path").agg(sums(False, F.col("n")).alias("pages"), sums(False, n_log_n).alias("looks"), sums(True, F.col("n")).alias("texts"), sums(True, n_log_n).alias("repeated"))
+    merged = counted.groupBy("host", "path").agg(sums(False, F.col("n")).alias("pages"), sums(False, n_log_n).alias("looks"), sums(True, F.col("n")).alias("texts"), sums(True, n_log_n).alias("repeated"), F.max("prior").alias("prior"))
     presentation = 1 - F.col("looks") / (F.col("pages") * F.log("pages"))
     content = 1 - F.col("repeated") / (F.col("texts") * F.log("pages"))
-    value = F.when(F.col("pages") < MIN_PAGES, 1.0).otherwise(F.coalesce(content, presentation))
+    seen = F.coalesce(content, presentation)
+    raised = F.when(F.col("prior"), (F.col("pages") * seen + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)).otherwise(seen)
+    value = F.when(F.col("pages") < MIN_PAGES, 1.0).otherwise(raised)
     return merged.select("host", "path", "pages", value.alias("importance"))
 
 

@@ -288,6 +288,27 @@ def test_article_pages(ready):
         assert r.text == " ".join(x for b in blocks if (x := " ".join(unescape(b).split()))) and r.n_chars == len(r.text)
 
 
+def extracted(ready, pages, **options):
+    rows = [(i, *p) for i, p in enumerate(pages)]
+    return [r.text for r in html_extract.extract(ready.createDataFrame(rows, "page_id bigint, url string, html string"), **options).orderBy("page_id").collect()]
+
+
+def test_style_tree_decides_inside_articles(ready):
+    shell = "<body><article><h1>Head {0}</h1><p>Story {0} with <a>more</a> words</p><div class=outro><p>Read our other stories</p></div></article></body>"
+    pages = [("http://tree.example/a", shell.format(i)) for i in range(8)]
+    assert extracted(ready, pages) == [f"Head {i} Story {i} with more words" for i in range(8)]
+    assert extracted(ready, pages, low=0.0) == [f"Head {i} Story {i} with more words Read our other stories" for i in range(8)]
+    same = [("http://same.example/a", f"<body><div class=x{'ab'[i % 2]}>{i}</div><article><p>The one story</p></article></body>") for i in range(8)]
+    assert all("The one story" in t for t in extracted(ready, same))
+
+
+def test_area_by_share_of_text(ready):
+    story, card = prose(1, 40), "<article class=card>Read next</article>"
+    pages = [("http://s0.example/", f"<body><main><p>{story}</p></main>{card}</body>"), ("http://s1.example/", f"<body><div class=story><p>{story}</p></div>{card}</body>"),
+             ("http://s2.example/", f"<body><p>Teaser</p><main><p>Teaser</p><article>{story}</article></main></body>"), ("http://s3.example/", f"<body><p>Teaser</p><main>{story}</main></body>")]
+    assert extracted(ready, pages) == [f"{story} Read next", f"{story} Read next", story, story]
+
+
 def test_pipeline_by_its_parts(ready):
     """Every stage against a plain restatement of what it decides, on all rows its predecessor kept."""
     docs = table(ready, SMALL, "documents")
