@@ -309,6 +309,15 @@ def test_area_by_share_of_text(ready):
     assert extracted(ready, pages) == [f"{story} Read next", f"{story} Read next", story, story]
 
 
+def test_word_list_spares_articles_and_what_holds_them(ready):
+    bodies = ["<article class='post category-social'><p>One</p></article>", "<div class='layout with-sidebar'><p>One</p></div>", "<h1 class='page-header'>One</h1>", "<div class=sidebar><main><p>One</p></main></div>",
+              "<main><div id=social><article>One</article></div></main>", "<form class=widget><div class=content>One</div></form>", "<nav>no</nav><div class=notice>One</div>", "<p>One</p><div class='side related'>no</div><div id=cookieNotice>no</div>",
+              "<article>One<div class=comments><article>no</article></div></article>", "<div class=header><h1 class=header>no</h1></div><p>One</p>"]
+    assert extracted(ready, [(f"http://w{i}.example/", f"<body>{b}</body>") for i, b in enumerate(bodies)]) == ["One"] * len(bodies)
+    shell = "<body><div class=brand>Site name</div><div class=widget><p>Story {}</p></div></body>"
+    assert extracted(ready, [("http://widget.example/", shell.format(i)) for i in range(8)]) == [f"Story {i}" for i in range(8)]
+
+
 def test_pipeline_by_its_parts(ready):
     """Every stage against a plain restatement of what it decides, on all rows its predecessor kept."""
     docs = table(ready, SMALL, "documents")
