@@ -48,6 +48,8 @@ RUN = re.compile(r"[+(]?[0-9][0-9\x20()+./-]*[0-9]")
 GROUP = re.compile("[0-9]+")
 AT, DOT = r"(?: ?@ ?| ?[\[(] ?[Aa][Tt] ?[\])] ?| at )", r"(?: ?\. ?| ?[\[(] ?[Dd][Oo][Tt] ?[\])] ?| dot )"
 SPELLED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{AT}[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{2,63}}){{1,4}}")
+#: What an address has behind its local part, up to its first dot.
+ADDRESS = re.compile(rf"{AT}(?=[A-Za-z0-9-]{{1,63}}{DOT})")
 #: Words just before a span that tell its type.
 CUES = {"email": {"email", "mail", "contact", "write"}, "ip": {"ip", "host", "server", "address"},
         "card": {"card", "visa", "credit", "debit", "mastercard"}, "phone": {"tel", "phone", "call", "fax", "mobile", "cell"}}
@@ -88,11 +90,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def passages(text: str) -> list[tuple[int, int]]:
-    """Stretches of the text around digits, at signs and spelled-out dots; no candidate crosses a border of one."""
+    """Stretches of the text around digits, at signs, spelled-out dots and addresses, of whole words; no candidate crosses a border of one."""
+    spans = [m.span() for m in SIGNAL.finditer(text)]
+    for m in ADDRESS.finditer(text):
+        start = m.start()
+        while start > max(0, m.start() - 65) and text[start - 1] in LOCAL:
+            start -= 1
+        if found := SPELLED.match(text, start):
+            spans.append(found.span())
+    near: list[list[int]] = []
+    for x, y in sorted(spans):
+        a, b = max(0, x - CONTEXT), min(len(text), y + CONTEXT)
+        if near and a <= near[-1][1]:
+            near[-1][1] = max(b, near[-1][1])
+        else:
+            near.append([a, b])
     out: list[list[int]] = []
-    for m in SIGNAL.finditer(text):
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if out and a <= out[-1][1]:
+    for i, (a, b) in enumerate(near):
+        free, until = out[-1][1] if out else 0, near[i + 1][0] if i + 1 < len(near) else len(text)
+        while a > free and text[a] in LOCAL and text[a - 1] in LOCAL:
+            a -= 1
+        while b < until and text[b] in LOCAL and text[b - 1] in LOCAL:
+            b += 1
+        if out and a <= free:
             out[-1][1] = b
         else:
             out.append([a, b])
@@ -212,7 +232,8 @@ def rewritings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str,
     new: list[str] = [span]
     if kind == 0:
         user, _, host = span.partition("@")
-        new += [f"{user} at {host.replace('.', ' dot ')}", f"{user} (at) {host.replace('.', ' (dot) ')}", f"{user}[at]{host.replace('.', '[dot]')}", f"{user} @ {host}"]
+        new += [f"{user} at {host.replace('.', ' dot ')}", f"{user} (at) {host.replace('.', ' (dot) ')}", f"{user}[at]{host.replace('.', '[dot]')}", f"{user} @ {host}",
+                f"{user} [at] {host}", f"{user}(at){host}", f"{user} (at) {host}", f"{user}[at]{host}"]
     elif kind == 2:
         flipped = digits[:-1] + str((int(digits[-1]) + 3) % 10)
         new += [" ".join(digits[i : i + 4] for i in range(0, len(digits), 4)), "-".join(digits[i : i + 4] for i in range(0, len(digits), 4)), flipped, " ".join(flipped[i : i + 4] for i in range(0, len(flipped), 4))]
@@ -223,6 +244,9 @@ def rewritings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str,
     plain = [f"20{d[:2]}-0{int(d[2]) % 9 + 1}-1{d[3]}", f"1{d[4]}.0{int(d[2]) % 9 + 1}.20{d[:2]}", f"{d[:3]},{d[3:6]}.00", d[:8], d[:10], f"{d[0]}.{d[1:9]}", f"{d[0]}.{d}{d[:3]}", f"20{d[:2]}-20{d[2:4]}",
              f"{d[0]}.{d[1:3]}.{d[3:5]}", f"{d[:3]} {d[3:6]} {d[6:9]}", f"{d[:4]} {d[4:8]}", f"{d[:2]}:{d[2:4]}", "look at the. Then"]
     made = [(text[:a] + x + text[b:], [(kind, a, a + len(x))]) for x in new]
+    if kind == 0:  # a plain "at" before a host is an address only where a word before says so
+        made += [(text[:a] + f"{cue} {user} at {host}" + text[b:], [(kind, a + len(cue) + 1, a + len(f"{cue} {user} at {host}"))]) for cue in ("mail", "write to")]
+        plain += [f"found at {host}", f"read more at www.{host}"]
     return made + [(text[:a] + x + text[b:], []) for x in plain]
 
 

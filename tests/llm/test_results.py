@@ -218,6 +218,27 @@ def test_field_adds_spelled_out_data(ready):
         assert kinds(text) == []
 
 
+def test_field_adds_addresses_with_a_spelled_out_at(ready):
+    weights = pii.fit(table(ready, f"{DATA}/sf0.01", "documents"))
+    kinds = lambda text: [k for k, *_ in pii.find(text, weights)]
+    for text in ("write to joe [at] example.com today", "ask joe(at)example.com", "ask joe[at]mail.example.com for more", "mail joe at example.com today"):
+        assert kinds(text) == ["email"], text
+    for text in ("read it at example.com today", "look at the. Then", "we met at noon. Then we left", "the at and. Of"):
+        assert kinds(text) == [], text
+    assert pii.masked("ask joe(at)example.com.", weights) == "ask <EMAIL>."
+
+
+def test_spelled_out_addresses_lie_whole_in_passages():
+    r = random.Random(8)
+    tokens = ["joe", "a.b-c", "x" * 60, "y" * 70, " at ", "[at]", " ( At ) ", "(at)", "@", " @ ", ".", " . ", " dot ", "[dot]", "( dot )", "mail", "Z-9", "com", " ", "  ", ", ", "filler words without any sign " * 4]
+    for _ in range(3000):
+        text = "".join(r.choice(tokens) for _ in range(r.randint(1, 30)))
+        held = pii.passages(text)
+        assert all(x < y for (_, x), (y, _) in zip(held, held[1:]))
+        slices = {(a + m.start(), a + m.end()) for a, b in held for m in pii.SPELLED.finditer(text[a:b])}
+        assert {m.span() for m in pii.SPELLED.finditer(text)} == slices, text
+
+
 def test_toxicity_on_held_out_labels(ready):
     folder = f"{DATA}/sf0.1"
     out = QUERIES["op4_toxicity"](ready, folder)
