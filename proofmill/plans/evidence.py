@@ -131,9 +131,15 @@ def cover_rows(v):
     return cv.cover_candidates(kept, v("v_relations"), v("v_terms"))
 
 
+def cover_tasks(selection, size=DEFAULT.max_repositories):
+    """Every repository of a selection in tasks of `size` by rank; the first task of a selection keeps its name."""
+    at = F.col("selection_rank") - 1
+    turn = F.floor(at / size)
+    return selection.select(F.when(turn == 0, F.col("task_id")).otherwise(F.concat_ws("#", "task_id", turn)).alias("task_id"), "full_name", (at % size + 1).alias("selection_rank"))
+
+
 def cover(v):
-    selected = v("v_cover_selection").filter("selection_rank <= 2")
-    return cv.select_cover(selected, cover_rows(v), v("v_relations"))
+    return cv.select_cover(cover_tasks(v("v_cover_selection")), cover_rows(v), v("v_relations"))
 
 
 @query("select_cover")
