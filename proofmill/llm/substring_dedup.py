@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import text_or_empty, written
+from proofmill.llm.common import text_or_empty, words, written
 from proofmill.llm.near_dedup import WordHashes, mixed
 
 WINDOW = 50
@@ -207,15 +207,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     anchored = classes.select("rep", "digest", F.explode("anchors").alias("anchor"))
     shared = anchored.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     wanted = anchored.join(shared, "anchor").groupBy("rep", "digest").agg(F.collect_list("anchor").alias("recurring"))
-    sharing = written(texts.join(wanted, F.col("id") == F.col("rep")).select("id", "text", "digest", "recurring"), "sharing")  # later steps read these texts only
+    several = rows.where("id is not null").groupBy(F.col("id").alias("rep"), "digest").agg((F.count("*") > 1).alias("several")).where("several")
+    met = texts.join(wanted.join(several, ["rep", "digest"], "left"), F.col("id") == F.col("rep"))
+    met = written(met.select("id", "text", "digest", "recurring", F.coalesce("several", F.lit(False)).alias("several")), "sharing")  # later steps read these texts only
+    # A row given more than once counts once, or its places would cancel in the xor below.
+    once = met.where("several").groupBy("id", "digest", F.array_join(words(F.col("text")), " ").alias("text")).agg(F.first("recurring").alias("recurring"))
+    sharing = met.where("not several").drop("several").unionByName(once.select("id", "text", "digest", "recurring"))
     found = written(candidate_windows(sharing, window, gram), "candidates")
 
     place = F.struct("id", "place")
     windows = found.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.max("id").alias("last"), F.count("*").alias("places"), F.bit_xor(F.xxhash64("id", "place")).alias("here"),
                                             F.bit_xor(F.xxhash64("id", F.col("place") - 1)).alias("before")).where("last > at.id")
     passages = written(passages_of(windows.select("h1", "h2", F.col("at.id").alias("first"), "at.place", "places", "here", "before")), "passages")
-    words = classes.join(wanted.select("digest"), "digest", "left_semi").agg(F.sum("n_words")).first()[0] or 0
-    shard = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-words // SHARD_WORDS)))).cast("int")
+    total = classes.join(wanted.select("digest"), "digest", "left_semi").agg(F.sum("n_words")).first()[0] or 0
+    shard = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // SHARD_WORDS)))).cast("int")
 
     starts = passages.select("h1", "h2", "first")
     there = found.select("h1", "h2", "id").join(starts, ["h1", "h2"]).where("id > first").select("h1", "h2", "id").distinct()
