@@ -137,7 +137,41 @@ from judged
 """
 
 
+PREFIX_TRIE = r"""
+with t as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as p
+  from conversations where conv_id is not null),
+convs as (
+  select c, c - c % 20 as base, list_reduce(list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(c::varchar, '.'), lambda x: ascii(x)::ubigint)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), list_transform(range(0, 8), lambda i: i::ubigint)), lambda k, i: xor(k >> 1, 3988292384::ubigint * (k & 1::ubigint)))) as crc
+  from (select distinct c from t)),
+h as (select c, base, (xor(crc, 4294967295::ubigint) % 4)::bigint as h from convs),
+rows as (
+  select h.c, 0 as part, p, role, text from h join t on t.c = h.base where p < h
+  union all select h.c, 1 as part, p, role, text from h join t on t.c = h.c where p >= h),
+turns as (
+  select c, row_number() over (partition by c order by part, p) as d, md5(length(role) || ':' || role || text) as k,
+         len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) as words
+  from rows),
+places as (
+  select c, d, words, md5(array_to_string(list(k) over (partition by c order by d), '')) as node from turns
+  union all select c, 0, 0, '' from h),
+nodes as (select node, d, min(c) as conv_id, count(*) as n_convs, any_value(words) as words from places group by 1, 2),
+edges as (select distinct a.node, b.node as up, b.d as up_d from places a join places b on a.c = b.c and a.d = b.d + 1),
+below as (select distinct a.node, b.node as top from places a join places b on a.c = b.c and a.d >= b.d),
+kids as (select up, count(*) as n_children, any_value(up_d) from edges group by 1),
+sums as (
+  select top, count(*) filter (k.up is null) as n_leaves, sum((n_convs - 1) * words) as saved_tokens
+  from below join nodes using (node) left join kids k on k.up = node group by 1),
+ends as (
+  select node, sha256(string_agg(c::varchar, ',' order by c)) as sha from (select p.* from places p join (select c, max(d) as d from places group by 1) using (c, d)) group by 1)
+select n.conv_id, n.d::bigint as depth, u.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens::bigint as saved_tokens, coalesce(sha, sha256('')) as ends_sha256
+from nodes n left join edges e on e.node = n.node left join nodes u on u.node = e.up left join kids k on k.up = n.node join sums s on s.top = n.node left join ends on ends.node = n.node
+"""
+
 ORACLES = {
+    "op12_prefix_trie": PREFIX_TRIE,
     "op1_quality_classifier": quality_classifier_sql(),
     "op3_quality_rules": quality_rules_sql(),
     "op5_warc": WARC,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import decontamination, html_extract, near_dedup, pii, quality_classifier, quality_rules, sentencepiece, substring_dedup, toxicity, warc
+from proofmill.llm import alignment, decontamination, html_extract, near_dedup, packing, pii, prefix_trie, quality_classifier, quality_rules, sentencepiece, substring_dedup, toxicity, warc
 from proofmill.llm.common import prepared, table
 from proofmill.llm.oracles import ORACLES
 
@@ -107,3 +107,21 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Per page: its main text and the text's length."""
     return html_extract.extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Per piece of a document: its tokens, and its place in a sequence."""
+    return packing.pack(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_prefix_trie")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Per node of the conversations' prefix trie: its members, children and leaves, and the tokens that sharing saves."""
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: tokens of both tokenizers, their groups and links, and what the links count in the whole table."""
+    return alignment.align(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
