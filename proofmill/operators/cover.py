@@ -1,9 +1,8 @@
-"""Greedy evidence cover of a repository: exact, on narrow rows and reduced candidates."""
+"""Greedy evidence cover of a repository: exact, in rounds over narrow rows and reduced candidates."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill import fixed_values as fv
@@ -13,8 +12,7 @@ from proofmill.functions.frames import stage
 from proofmill.operators.intervals import semantic_window
 from proofmill.operators.windows import with_terms
 from proofmill.params import DEFAULT, Params
-
-COVER = "task_id string, full_name string, slice_id string, place bigint, status string, gain bigint, gains array<string>"
+from proofmill.sources.sinks import landed
 
 
 def cover_candidates(kept: DataFrame, relations: DataFrame, terms: DataFrame) -> DataFrame:
@@ -48,100 +46,124 @@ def reduce_candidates(rows: DataFrame) -> DataFrame:
     return best.unionByName(rows.filter("endpoint"))
 
 
-def _weight(name: str) -> int:
-    return 1000 if name.startswith("modality:") else 200 if name.startswith("role:") else 20
-
-
-def _covers(spans: list[tuple[int, int]], start: int, end: int) -> bool:
-    for s, e in sorted(spans):
-        if s <= start <= e:
-            start = e + 1
-    return start > end
-
-
-def _supported(edge, chosen) -> bool:
-    target = any(c.path == edge["dst"] for c in chosen)
-    spans = [(c.start_line, c.end_line) for c in chosen if c.path == edge["src"]]
-    return bool(target and edge["located"] and _covers(spans, edge["s"], edge["e"]))
-
-
-def greedy_cover(items: list, edges: list[dict], max_slices: int, max_chars: int) -> list[tuple]:
-    """Picks (item, gain, gained features) in order: most new weight, then relevance, shorter, id."""
-    by_path: dict[str, list[dict]] = {}
-    for e in edges:
-        for p in {e["src"], e["dst"]}:
-            by_path.setdefault(p, []).append(e)
-    pool, chosen, covered, used = list(items), [], set(), 0
-    while pool and len(chosen) < max_slices:
-        best = None
-        for it in pool:
-            if it.chars > max_chars - used:
-                continue
-            gains = {f: _weight(f) for f in it.features if f not in covered}
-            for e in by_path.get(it.path, []):
-                if _supported(e, [c for c, _g, _f in chosen] + [it]):
-                    gains["role:relationship"] = 200
-                elif it.path == e["src"] and it.anchor:
-                    gains["relationship:anchor"] = 80
-                elif it.path == e["dst"] and "role:relationship" not in covered:
-                    gains["relationship:target"] = 40
-            gains = {f: w for f, w in gains.items() if f not in covered}
-            total = sum(gains.values())
-            rank = (-total, -it.relevance, it.chars, it.slice_id)
-            if best is None or rank < best[0]:
-                best = (rank, it, total, sorted(gains))
-        if best is None or best[2] == 0:
-            break
-        _rank, it, total, names = best
-        pool.remove(it)
-        chosen.append((it, total, names))
-        covered.update(names)
-        used += it.chars
-    return chosen
-
-
-def _cover_task(params: Params):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, slices_used, chars_used = [], 0, 0
-        groups = [g for _, g in pdf.sort_values(["selection_rank", "slice_id"]).groupby("selection_rank", sort=True)]
-        for i, g in enumerate(groups):
-            left = len(groups) - i
-            budget = (params.max_slices - slices_used) // left
-            chars = (params.slice_characters - chars_used) // left
-            edges = [dict(src=e["src"], dst=e["dst"], s=e["s"], e=e["e"], located=e["located"]) for e in g.edges.iloc[0]]
-            picked = greedy_cover(list(g.itertuples(index=False)), edges, budget, chars)
-            for n, (it, gain, names) in enumerate(picked, 1):
-                out.append((it.task_id, it.full_name, it.slice_id, n, "selected", gain, names))
-            chosen = {it.slice_id for it, _g, _f in picked}
-            spent = sum(it.chars for it, _g, _f in picked)
-            for it in g.itertuples(index=False):
-                if it.slice_id not in chosen:
-                    full = it.chars > chars - spent or len(picked) >= budget
-                    out.append((it.task_id, it.full_name, it.slice_id, None, "budget" if full else "redundant", 0, []))
-            slices_used += len(picked)
-            chars_used += spent
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in COVER.split(", ")])
-        frame["place"] = frame["place"].astype("Int64")
-        return frame
-
-    return run
+def _weight(feature: Column) -> Column:
+    return F.when(feature.startswith("modality:"), 1000).when(feature.startswith("role:"), 200).when(
+        feature == "relationship:anchor", 80).when(feature == "relationship:target", 40).otherwise(20)
+
+
+def _covers(spans: Column, start: Column, end: Column) -> Column:
+    """Whether line spans together cover start to end: each span, in order, moves the first uncovered line on."""
+    reach = F.aggregate(F.array_sort(spans), start.cast("long"), lambda at, s: F.when((s["s"] <= at) & (at <= s["e"]), s["e"] + 1).otherwise(at))
+    return reach > end
+
+
+def _backed(live: DataFrame, edges: DataFrame) -> DataFrame:
+    """(task_id, slice_id, as_source, as_target, as_both): edges of a candidate's file that it would back together with the chosen windows.
+
+    An edge needs its target file chosen and its cited lines covered by chosen windows of its source file, so only edges with their other
+    end among the chosen files can count (or both ends in the candidate's own).  Edges meet chosen files and candidates by key.
+    """
+    ends = edges.filter("located").select("full_name", F.explode(F.array_distinct(F.array("src", "dst"))).alias("path"), F.when(F.col("path") == F.col("src"), F.col("dst")).otherwise(F.col("src")).alias("other"),
+                                          "src", "dst", "s", "e")
+    own = ends.filter("src = dst").withColumn("task_id", F.lit(None).cast("string"))
+    near = live.filter("endpoint").select("task_id", "full_name", "slice_id", "path", "start_line", "end_line", "chosen")
+    files = near.select("task_id", "full_name", "chosen").distinct().select("task_id", "full_name", F.explode(F.array_distinct(F.col("chosen.path"))).alias("other"))
+    open_ends = files.join(ends.filter("src <> dst"), ["full_name", "other"])
+    met = near.join(open_ends, ["task_id", "full_name", "path"]).unionByName(near.join(own.drop("task_id"), ["full_name", "path"]).select(*near.columns, "other", "src", "dst", "s", "e"))
+    mine = F.transform(F.filter("chosen", lambda c: c["path"] == F.col("src")), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))
+    it = F.array(F.struct(F.col("start_line").alias("s"), F.col("end_line").alias("e")))
+    spans = F.when(F.col("path") == F.col("src"), F.concat(mine, it)).otherwise(mine)
+    held = met.filter(_covers(spans, F.col("s"), F.col("e")))
+    both = F.col("src") == F.col("dst")
+    return held.groupBy("task_id", "slice_id").agg(F.count_if(F.col("path") == F.col("src")).alias("as_source"), F.count_if(F.col("path") == F.col("dst")).alias("as_target"), F.count_if(both).alias("as_both"))
+
+
+def _pick(state: DataFrame, pool: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """The state after one more pick of every task: most new weight, then relevance, shorter, id.
+
+    Weights are recomputed for all candidates that still fit; the best is a minimum with partial aggregates, so the candidates of
+    one task are spread over many tasks of the cluster and one row each leaves them.
+    """
+    live = pool.join(state.filter("going").select("task_id", "full_name", "room", "covered", "chosen"), ["task_id", "full_name"]).filter(
+        (F.col("chars") <= F.col("room")) & ~F.exists("chosen", lambda c: c["slice_id"] == F.col("slice_id")))
+    gained = F.filter("features", lambda f: ~F.array_contains("covered", f))
+    if edges is None:
+        rows = live.withColumn("gained", gained)
+    else:
+        rows = live.join(_backed(live, edges), ["task_id", "slice_id"], "left").na.fill(0, ["as_source", "as_target", "as_both"])
+        new = lambda name: ~F.array_contains("covered", name)
+        backs = (F.col("as_source") + F.col("as_target") > 0) & new("role:relationship")
+        anchors = F.col("anchor") & (F.col("out_edges") > F.col("as_source")) & new("relationship:anchor")
+        # An edge within one file counts as the anchor's, where the window is one.
+        aimed = F.when(F.col("anchor"), F.col("in_edges") - F.col("own_edges") > F.col("as_target") - F.col("as_both")).otherwise(F.col("in_edges") > F.col("as_target"))
+        targets = aimed & new("role:relationship") & new("relationship:target")
+        rows = rows.withColumn("gained", F.array_sort(F.array_distinct(F.concat(gained, tx.reasons((backs, "role:relationship"), (anchors, "relationship:anchor"), (targets, "relationship:target"))))))
+    total = F.aggregate("gained", F.lit(0), lambda t, f: t + _weight(f)).cast("long")
+    rank = F.struct((-total).alias("loss"), (-F.col("relevance")).alias("r"), "chars", "slice_id", "path", "start_line", "end_line", F.array_sort("gained").alias("gained"))
+    best = rows.groupBy("task_id").agg(F.min(rank).alias("b"))
+    took = F.coalesce(F.col("b.loss") < 0, F.lit(False))
+    item = F.struct("b.slice_id", "b.path", F.col("b.start_line").alias("s"), F.col("b.end_line").alias("e"), (-F.col("b.loss")).alias("gain"), F.col("b.gained").alias("gains"), F.col("b.chars").alias("chars"))
+    return state.join(best, "task_id", "left").select(
+        "task_id", "full_name", F.when(took, F.col("slots") - 1).otherwise(F.col("slots")).alias("slots"), F.when(took, F.col("room") - F.col("b.chars")).otherwise(F.col("room")).alias("room"),
+        F.when(took, F.concat("covered", "b.gained")).otherwise(F.col("covered")).alias("covered"), F.when(took, F.array_append("chosen", item)).otherwise(F.col("chosen")).alias("chosen"),
+        (F.col("going") & took & (F.col("slots") > 1)).alias("going"))
 
 
 def select_cover(selected: DataFrame, candidates: DataFrame, relations: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Greedy weighted cover per task over its (at most two) repositories, in selection order.
+    """Greedy weighted cover per task over its repositories, in selection order.
 
-    Candidates are reduced first; what reaches a group is the frontier of each feature
-    set plus slices of relation endpoints (all its edges).  The
-    second repository's budget depends on the first, hence one group per task.
+    Candidates are reduced first, to the frontier of each feature set plus the slices of relation endpoints.  Picks are rounds over
+    all tasks at once (`_pick`); between two rounds a task is one row, whose lists are bounded by the slice budget, landed in the shared
+    folder.  A repository's budget depends on what the task's repositories before it used, so repositories of equal rank go together.
     """
     reduced = reduce_candidates(candidates)
+    edges, at = relation_ends(relations)
+    rows = selected.select("task_id", "full_name", "selection_rank").join(reduced, "full_name").join(at, ["full_name", "path"], "left").na.fill(0, ["out_edges", "in_edges", "own_edges"])
+    rows = landed(rows, "cover-candidates")
+    named = rows.select("task_id", "full_name", "selection_rank").distinct()
+    turns = landed(named.withColumn("turn", F.row_number().over(Window.partitionBy("task_id").orderBy("selection_rank")))
+                   .withColumn("turns", F.count("*").over(Window.partitionBy("task_id"))), "cover-turns")
+    edges = landed(edges, "cover-edges")
+    known = None if edges.isEmpty() else edges
+    none = F.expr("cast(array() as array<string>)")
+    items = F.expr("cast(array() as array<struct<slice_id:string,path:string,s:bigint,e:bigint,gain:bigint,gains:array<string>,chars:bigint>>)")
+    used = turns.select("task_id").distinct().select("task_id", F.lit(0).cast("long").alias("slices"), F.lit(0).cast("long").alias("spent"))
+    done = []
+    for turn in range(1, (turns.agg(F.max("turn")).first()[0] or 0) + 1):
+        left = F.col("turns") - F.col("turn") + 1
+        slots = F.floor((F.lit(params.max_slices) - F.col("slices")) / left)
+        room = F.floor((F.lit(params.slice_characters) - F.col("spent")) / left)
+        state = landed(turns.filter(F.col("turn") == turn).join(used, "task_id").select("task_id", "full_name", slots.alias("slots"), room.alias("room"), none.alias("covered"), items.alias("chosen"),
+                                                                                       (slots > 0).alias("going")), "cover-state")
+        pool = rows.join(turns.filter(F.col("turn") == turn).select("task_id", "full_name"), ["task_id", "full_name"], "left_semi")
+        if turn > 1 or not turns.filter("turn > 1").isEmpty():
+            pool = landed(pool, "cover-pool")
+        while not state.filter("going").isEmpty():
+            state = landed(_pick(state, pool, known), "cover-state")
+        done.append(state)
+        here = state.select("task_id", F.size("chosen").cast("long").alias("n"), F.aggregate("chosen", F.lit(0).cast("long"), lambda t, c: t + c["chars"]).alias("c"))
+        used = used.join(here, "task_id", "left").select("task_id", (F.col("slices") + F.coalesce("n", F.lit(0))).alias("slices"), (F.col("spent") + F.coalesce("c", F.lit(0))).alias("spent"))
+    final = done[0] if done else turns.limit(0).select("task_id", "full_name", F.lit(0).alias("slots"), F.lit(0).alias("room"), none.alias("covered"), items.alias("chosen"))
+    for state in done[1:]:
+        final = final.unionByName(state)
+    picked = final.select("task_id", "full_name", F.posexplode("chosen").alias("nth", "c")).select(
+        "task_id", "full_name", "c.slice_id", (F.col("nth") + 1).cast("long").alias("place"), F.lit("selected").alias("status"), "c.gain", "c.gains")
+    rest = rows.select("task_id", "full_name", "slice_id", "chars").join(final.select("task_id", "full_name", "slots", "room"), ["task_id", "full_name"]).join(
+        picked.select("task_id", "full_name", "slice_id"), ["task_id", "full_name", "slice_id"], "left_anti")
+    full = (F.col("chars") > F.col("room")) | (F.col("slots") <= 0)
+    return picked.unionByName(rest.select("task_id", "full_name", "slice_id", F.lit(None).cast("long").alias("place"), F.when(full, "budget").otherwise("redundant").alias("status"),
+                                          F.lit(0).cast("long").alias("gain"), none.alias("gains")))
+
+
+def relation_ends(relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges with their cited lines, and how many each file has as source, as target and within itself."""
     a = tx.line_anchor(F.col("source_url"))
-    edge = stage(relations, a=a).select("full_name", "src", "dst", F.coalesce("a.start_line", F.lit(0)).alias("s"), F.coalesce("a.end_line", F.lit(0)).alias("e"),
-                                        ((F.col("evidence_path") == F.col("src")) & F.col("a.start_line").isNotNull()).alias("located"))
-    listed = edge.groupBy("full_name").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "s", "e", "located"))).alias("edges"))
-    rows = selected.select("task_id", "full_name", "selection_rank").join(reduced, "full_name").join(listed, "full_name", "left").withColumn(
-        "edges", F.coalesce("edges", F.expr("cast(array() as array<struct<src:string,dst:string,s:bigint,e:bigint,located:boolean>>)")))
-    return rows.groupBy("task_id").applyInPandas(_cover_task(params), COVER)
+    edges = stage(relations, a=a).select("full_name", "src", "dst", F.coalesce("a.start_line", F.lit(0)).cast("long").alias("s"), F.coalesce("a.end_line", F.lit(0)).cast("long").alias("e"),
+                                         ((F.col("evidence_path") == F.col("src")) & F.col("a.start_line").isNotNull()).alias("located")).distinct()
+    both = edges.select("full_name", F.explode(F.array_distinct(F.array("src", "dst"))).alias("path"), "src", "dst")
+    counts = both.groupBy("full_name", "path").agg(F.count_if(F.col("path") == F.col("src")).alias("out_edges"), F.count_if(F.col("path") == F.col("dst")).alias("in_edges"),
+                                                   F.count_if(F.col("src") == F.col("dst")).alias("own_edges"))
+    return edges, counts
 
 
 def role_coverage(chosen: DataFrame, supported: DataFrame) -> DataFrame:

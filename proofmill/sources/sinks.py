@@ -23,6 +23,13 @@ def work_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="proofmill-")
 
 
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: the lineage ends there, and a lost executor loses nothing."""
+    path = f"{work_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_pack(tables: dict[str, DataFrame], folder: str, partition: str = "pack_id") -> None:
     """One Parquet table per name, partitioned by pack, plus a one-row-per-pack manifest as JSON."""
     counts = None

@@ -10,6 +10,7 @@ from proofmill.fixed_values import BLUEPRINT_SECTIONS, STRENGTH_LEVELS
 from proofmill.operators import cover, intervals, observations
 from proofmill.params import DEFAULT
 from proofmill.sources import scans
+from tests import greedy
 
 
 def naive_cover(windows, start, end):
@@ -57,20 +58,61 @@ def test_reduced_candidates_give_the_same_cover(spark):
     df = spark.createDataFrame(rows, ROW)
     reduced = cover.reduce_candidates(df).collect()
     for slots, chars in ((48, 10_000), (6, 90), (3, 40)):
-        full = cover.greedy_cover(df.collect(), [], slots, chars)
-        small = cover.greedy_cover(reduced, [], slots, chars)
+        full = greedy.greedy_cover(df.collect(), [], slots, chars)
+        small = greedy.greedy_cover(reduced, [], slots, chars)
         assert [(x.slice_id, g) for x, g, _ in full] == [(x.slice_id, g) for x, g, _ in small]
         assert sum(x.chars for x, _g, _f in full) <= chars
     assert len(reduced) < 400
 
 
+def test_cover_rounds_match_the_loop(spark):
+    rng = random.Random(13)
+    names = ["modality:test", "modality:implementation", "modality:documentation", "role:contract", "role:failure", "task:a", "task:b", "task:c"]
+    repos, items, edges = [f"r{i}" for i in range(7)], [], []
+    for repo in repos[:-1]:
+        for i in range(40):
+            start = rng.randint(1, 30)
+            items.append((repo, f"{repo}-s{i:03d}", f"p{rng.randint(0, 6)}", start, start + rng.randint(0, 20), rng.randint(0, 6), "v", rng.randint(5, 60), False, rng.random() < 0.4,
+                          sorted(rng.sample(names, rng.randint(0, 3))), True))
+        for _ in range(rng.choice([0, 3, 12])):
+            src, dst, start = f"p{rng.randint(0, 6)}", f"p{rng.randint(0, 6)}", rng.randint(1, 30)
+            edges.append(dict(full_name=repo, src=src, dst=dst, s=start, e=start + rng.randint(0, 25), located=rng.random() < 0.8))
+    selected = [("t1", "r0", 1), ("t1", "r1", 2), ("t2", "r2", 1), ("t3", "r6", 1), ("t3", "r3", 4), ("t3", "r4", 7), ("t4", "r0", 2), ("t5", "r5", 1), ("t6", "r6", 1)]
+    candidates = spark.createDataFrame(items, ROW)
+    relations = spark.createDataFrame([(e["full_name"], e["src"], e["dst"], e["src"] if e["located"] else "other", f"https://host.example/x#L{e['s']}-L{e['e']}") for e in edges],
+                                      "full_name string, src string, dst string, evidence_path string, source_url string")
+    chosen = spark.createDataFrame(selected, "task_id string, full_name string, selection_rank long")
+    backed = 0
+    for slices, chars in ((48, 100_000), (5, 100_000), (48, 130), (1, 60)):
+        out = cover.select_cover(chosen, candidates, relations, replace(DEFAULT, max_slices=slices, slice_characters=chars)).collect()
+        got = {(r.task_id, r.full_name, r.slice_id): (r.place, r.status, r.gain, tuple(r.gains)) for r in out}
+        want = greedy.cover_of_tasks(selected, candidates.collect(), edges, slices, chars)
+        assert len(out) == len(got)
+        for k, v in want.items():
+            assert got[k] == v, k
+        backed += sum("role:relationship" in v[3] for v in want.values())
+    assert backed > 3
+
+
+def test_cover_spreads_the_candidates_of_one_task(spark):
+    rows = spark.range(0, 200_000, 1, 8).selectExpr("'r' full_name", "cast(id as string) slice_id", "concat('p', id % 5000) path", "1L start_line", "9L end_line", "id % 7 relevance", "'v' revision",
+                                                    "id % 900 + 1 chars", "false plain", "false anchor", "array(concat('task:', id % 11), concat('task:', id % 13)) features", "true endpoint")
+    relations = spark.createDataFrame([], "full_name string, src string, dst string, evidence_path string, source_url string")
+    one = spark.createDataFrame([("t", "r", 1)], "task_id string, full_name string, selection_rank long")
+    out = cover.select_cover(one, rows, relations)
+    assert out.filter("status = 'selected'").count() >= 7 and out.count() == 200_000
+    import inspect
+
+    assert "InPandas" not in inspect.getsource(cover)
+
+
 def test_supported_edge_completes_the_relationship():
     edge = dict(src="a", dst="b", s=1, e=4, located=True)
 
     def item(i, path, anchor, s, e):
         return SimpleNamespace(slice_id=i, path=path, anchor=anchor, start_line=s, end_line=e, relevance=1, chars=5, features=["modality:implementation"])
 
-    picked = cover.greedy_cover([item("x", "a", True, 1, 4), item("y", "b", False, 1, 9)], [edge], 10, 100)
+    picked = greedy.greedy_cover([item("x", "a", True, 1, 4), item("y", "b", False, 1, 9)], [edge], 10, 100)
     assert [(p.slice_id, g) for p, g, _ in picked] == [("x", 1080), ("y", 200)]
 
 
