@@ -57,7 +57,7 @@ def _covers(spans: Column, start: Column, end: Column) -> Column:
     return reach > end
 
 
-def _backed(live: DataFrame, edges: DataFrame) -> DataFrame:
+def _backed(live: DataFrame, state: DataFrame, edges: DataFrame) -> DataFrame:
     """(task_id, slice_id, as_source, as_target, as_both): edges of a candidate's file that it would back together with the chosen windows.
 
     An edge needs its target file chosen and its cited lines covered by chosen windows of its source file, so only edges with their other
@@ -65,11 +65,11 @@ def _backed(live: DataFrame, edges: DataFrame) -> DataFrame:
     """
     ends = edges.filter("located").select("full_name", F.explode(F.array_distinct(F.array("src", "dst"))).alias("path"), F.when(F.col("path") == F.col("src"), F.col("dst")).otherwise(F.col("src")).alias("other"),
                                           "src", "dst", "s", "e")
-    own = ends.filter("src = dst").withColumn("task_id", F.lit(None).cast("string"))
+    own = ends.filter("src = dst")
     near = live.filter("endpoint").select("task_id", "full_name", "slice_id", "path", "start_line", "end_line", "chosen")
-    files = near.select("task_id", "full_name", "chosen").distinct().select("task_id", "full_name", F.explode(F.array_distinct(F.col("chosen.path"))).alias("other"))
+    files = state.filter("going").select("task_id", "full_name", F.explode(F.array_distinct(F.col("chosen.path"))).alias("other"))
     open_ends = files.join(ends.filter("src <> dst"), ["full_name", "other"])
-    met = near.join(open_ends, ["task_id", "full_name", "path"]).unionByName(near.join(own.drop("task_id"), ["full_name", "path"]).select(*near.columns, "other", "src", "dst", "s", "e"))
+    met = near.join(open_ends, ["task_id", "full_name", "path"]).unionByName(near.join(own, ["full_name", "path"]).select(*near.columns, "other", "src", "dst", "s", "e"))
     mine = F.transform(F.filter("chosen", lambda c: c["path"] == F.col("src")), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))
     it = F.array(F.struct(F.col("start_line").alias("s"), F.col("end_line").alias("e")))
     spans = F.when(F.col("path") == F.col("src"), F.concat(mine, it)).otherwise(mine)
@@ -90,7 +90,7 @@ def _pick(state: DataFrame, pool: DataFrame, edges: DataFrame | None) -> DataFra
     if edges is None:
         rows = live.withColumn("gained", gained)
     else:
-        rows = live.join(_backed(live, edges), ["task_id", "slice_id"], "left").na.fill(0, ["as_source", "as_target", "as_both"])
+        rows = live.join(_backed(live, state, edges), ["task_id", "slice_id"], "left").na.fill(0, ["as_source", "as_target", "as_both"])
         new = lambda name: ~F.array_contains("covered", name)
         backs = (F.col("as_source") + F.col("as_target") > 0) & new("role:relationship")
         anchors = F.col("anchor") & (F.col("out_edges") > F.col("as_source")) & new("relationship:anchor")
