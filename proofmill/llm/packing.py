@@ -77,13 +77,13 @@ class Tokens:
         lines = [plain[i : i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
         found = self.tokenizer.encode_batch_fast([b" ".join([words[i] for i in line]).decode() for line in lines], add_special_tokens=False)
         for line, encoded in zip(lines, found):
-            ids = np.array(encoded.ids, dtype=np.int64)
+            ids = encoded.ids  # a new list at every access
             at = np.flatnonzero(self.ends[ids]) + 1
             parts = np.cumsum([len(ASCII_PARTS.findall(words[i])) for i in line])
             if len(at) == parts[-1]:
                 cuts = at[parts - 1].tolist()
                 for i, a, b in zip(line, [0, *cuts], cuts):
-                    rows[i] = encoded.ids[a:b]
+                    rows[i] = ids[a:b]
         rest = [i for i, row in enumerate(rows) if row is None]
         for i, ids in zip(rest, self.alone([words[i] for i in rest])):
             rows[i] = ids
