@@ -139,6 +139,33 @@ def test_observation_selection_matches_the_naive_greedy(spark):
     assert [r.discriminator for r in got.collect()] == want
 
 
+def test_whole_observation_order_of_several_repositories(spark):
+    rng = random.Random(17)
+    obs = [(f"r{rng.randint(0, 3)}", rng.choice(BLUEPRINT_SECTIONS), f"d{i:03d}", rng.choice(STRENGTH_LEVELS), sorted({f"p{rng.randint(0, 9)}" for _ in range(rng.randint(0, 3))}),
+            sorted({f"s{rng.randint(0, 50)}" for _ in range(rng.randint(1, 4))})) for i in range(300)]
+    obs += [("r9", "contracts", f"same{i:03d}", "syntactic", ["one"], ["s1"]) for i in range(60)]  # all compete for the same things
+    slices = [(f"s{i}", i * 40) for i in range(45)]
+    rel, rank, want = dict(slices), {s: i for i, s in enumerate(STRENGTH_LEVELS)}, []
+    for repo in sorted({o[0] for o in obs}):
+        left, secs, paths, ids = [o for o in obs if o[0] == repo], set(), set(), set()
+        n = 0
+        while left:
+            def score(o):
+                known = [rel[x] for x in o[5] if x in rel]
+                return ((o[1] not in secs) * 1000 + rank[o[3]] * 100 + 20 * len(set(o[4]) - paths) + 10 * len(set(o[5]) - ids) + min(9, max([0, *known]) / 100))
+            left.sort(key=lambda o: (-score(o), BLUEPRINT_SECTIONS.index(o[1]), o[2]))
+            n += 1
+            want.append((repo, left[0][1], left[0][2], n, round(score(left[0]), 6)))
+            o = left.pop(0)
+            secs.add(o[1])
+            paths |= set(o[4])
+            ids |= set(o[5])
+    df = spark.createDataFrame(obs, "full_name string, section string, discriminator string, strength string, paths array<string>, slice_ids array<string>")
+    got = observations.select_observations(df, spark.createDataFrame(slices, "slice_id string, relevance long"))
+    assert sorted((r.full_name, r.section, r.discriminator, r.place, round(r.utility, 6)) for r in got.collect()) == sorted(want)
+    assert observations.select_observations(df.limit(0), spark.createDataFrame(slices, "slice_id string, relevance long")).count() == 0
+
+
 def test_workspace_budget_skips_but_goes_on(spark):
     rng = random.Random(11)
     files = [(f"w{i % 3}", f"f{i:03d}.css", "x" * rng.randint(0, 90)) for i in range(90)]
