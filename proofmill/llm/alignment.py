@@ -23,7 +23,7 @@ import hashlib
 import heapq
 import re
 from functools import cache
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -101,8 +101,8 @@ class Pair:
         text = " " + text
         return [text] if self.whole.search(text) else UNIT.findall(text)
 
-    def __call__(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """By unit: pair numbers of its links; numbers of A tokens, B tokens, groups, and 1 if both give it back; its groups as text."""
+    def __call__(self, units: list[str]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+        """The units, and for them: pair numbers of its links; numbers of A tokens, B tokens, groups, and 1 if both give it back; its groups as text."""
         ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         ids_b = self.b.encode(units, num_threads=1)
         good = [b"".join([self.bytes_a[i] for i in a]) == x and b"".join([self.bytes_b[i] for i in b]) == x for x, a, b in zip((u.encode("utf-8", "replace") for u in units), ids_a, ids_b)]
@@ -126,7 +126,7 @@ class Pair:
         at = np.concatenate([[0], np.cumsum(groups)]).tolist()
         told = [";".join(texts[x:y]).encode() for x, y in zip(at, at[1:])]
         facts = np.stack([n_a, n_b, groups, np.array(good, dtype=np.int64)], axis=1)
-        return [(links, flat_b[of_b] << A_BITS | flat_a[of_a]), (np.full(len(units), 4), facts.reshape(-1)),
+        return units, [(links, flat_b[of_b] << A_BITS | flat_a[of_a]), (np.full(len(units), 4), facts.reshape(-1)),
                 (np.fromiter(map(len, told), dtype=np.int64, count=len(told)), np.frombuffer(b"".join(told), dtype=np.uint8))]
 
 
@@ -170,7 +170,7 @@ def aligned(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str],
                 continue
             chunk = task + next(numbers)
             cut = [memory.pair.units(t) for t in texts]
-            at, ends = memory.at(cut)
+            at, ends = memory.at(list(chain.from_iterable(cut))), np.cumsum([0, *map(len, cut)])
             n = len(texts)
             of = np.repeat(np.arange(n), np.diff(ends))
             facts = memory.values[1].reshape(-1, 4)[at]

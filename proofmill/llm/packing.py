@@ -28,6 +28,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +39,12 @@ from proofmill.llm.sentencepiece import chunks
 
 CAPACITY = 2048
 PARTITION_ROWS = 20_000
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 4_000_000
 #: Words that are tokenized as one line where it is certain which ids belong to which word.
-LINE_WORDS = 100
-#: Parts into which the pre-tokenizer cuts a plain ASCII word (no apostrophe: contractions; no "<|": special strings).
-ASCII_PARTS = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
-PLAIN = re.compile(rb"(?!.*<\|)[\x21-\x26\x28-\x7e]+")
+LINE_WORDS = 500
+#: Plain words (ASCII and Latin-1 letters; no apostrophe: contractions; no "<|": special strings) and the parts into which the pre-tokenizer cuts them.
+PLAIN = re.compile(r"(?!.*<\|)[\x21-\x26\x28-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+PARTS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]|[^A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: Largest k of the rounding functions u(k).
 LARGEST_K = 100
 
@@ -68,26 +69,26 @@ class Tokens:
                 ends[i] = piece.endswith(mark)
         self.ends = ends if mark else None
 
-    def alone(self, words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-
-    def __call__(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        rows: list = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if self.ends is not None and PLAIN.fullmatch(w)]
-        lines = [plain[i : i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
-        found = self.tokenizer.encode_batch_fast([b" ".join([words[i] for i in line]).decode() for line in lines], add_special_tokens=False)
-        for line, encoded in zip(lines, found):
-            ids = encoded.ids  # a new list at every access
-            at = np.flatnonzero(self.ends[ids]) + 1
-            parts = np.cumsum([len(ASCII_PARTS.findall(words[i])) for i in line])
-            if len(at) == parts[-1]:
-                cuts = at[parts - 1].tolist()
-                for i, a, b in zip(line, [0, *cuts], cuts):
-                    rows[i] = ids[a:b]
-        rest = [i for i, row in enumerate(rows) if row is None]
-        for i, ids in zip(rest, self.alone([words[i] for i in rest])):
-            rows[i] = ids
-        return [ragged(rows)]
+    def alone(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def __call__(self, words: list[str]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+        parts = [1 if w.isalpha() and w.isascii() else len(PARTS.findall(w)) if PLAIN.fullmatch(w) else 0 for w in words] if self.ends is not None else [0] * len(words)
+        plain, counts = [w for w, n in zip(words, parts) if n], [n for n in parts if n]
+        order, lengths, values = [], [], []
+        others = [w for w, n in zip(words, parts) if not n]
+        lines = range(0, len(plain), LINE_WORDS)
+        for at, ids in zip(lines, self.alone([" ".join(plain[i : i + LINE_WORDS]) for i in lines])):
+            ids = np.array(ids, dtype=np.int64)
+            ends, cuts = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(counts[at : at + LINE_WORDS])
+            if len(ends) == cuts[-1]:
+                order += plain[at : at + LINE_WORDS]
+                lengths.append(np.diff(ends[cuts - 1], prepend=0))
+                values.append(ids)
+            else:
+                others += plain[at : at + LINE_WORDS]
+        rest_lengths, rest = ragged(self.alone(others))
+        return [*order, *others], [(np.concatenate([*lengths, rest_lengths]), np.concatenate([*values, rest]))]
 
 
 @cache
@@ -96,6 +97,16 @@ def memory_of(path: str) -> Remembered:
     return Remembered(Tokens(path), 1)
 
 
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(the words of all texts one after another, where each text's words end, from 0)."""
+    lists = pc.ascii_split_whitespace(texts.fill_null(""))
+    words = lists.flatten()
+    of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    there = pc.not_equal(words, "")  # white space at a text's ends leaves empty words
+    counts = np.bincount(of[there.to_numpy(zero_copy_only=False)], minlength=len(lists))
+    return words.filter(there).dictionary_encode(), np.concatenate([[0], np.cumsum(counts)])
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(id, piece, start, length, ids_crc32, place) per piece of every row; place is a number of its own for every piece.  One pass, no shuffle."""
     path = tokenizer or default_tokenizer()
@@ -103,12 +114,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     def run(batches):
         memory, task, numbers = memory_of(path), TaskContext.get().partitionId() << 40, count()
         for part in chunks(batches, "the_text", CHUNK_BYTES):
-            cut = [(t or b"").split() for t in part.column("the_text").cast(pa.binary()).to_pylist()]
-            at, ends = memory.at(cut)
+            words, ends = words_of(part.column("the_text"))
+            at = memory.at(words.dictionary.to_pylist())[words.indices.to_numpy()]
             values, word_ends = memory.gather(0, at)
             bounds = word_ends[ends] + np.arange(len(ends))  # every text before has one more id
             ids = np.full(bounds[-1], end_id, dtype="<u4")
-            ids[np.arange(len(values)) + np.repeat(np.arange(len(cut)), np.diff(word_ends[ends]))] = values
+            ids[np.arange(len(values)) + np.repeat(np.arange(part.num_rows), np.diff(word_ends[ends]))] = values
             rows = [(i, k, at - a, min(capacity, b - at), zlib.crc32(ids[at : min(at + capacity, b)]), task + next(numbers))
                     for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) for k, at in enumerate(range(a, b, capacity))]
             if not rows:
