@@ -6,8 +6,11 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A word is a run of anything but the ASCII white space below.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,6 +67,27 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def computed(docs: DataFrame, source: str, into: str, kind: str | T.DataType, make) -> DataFrame:
+    """docs with the column `into` computed from the column `source`; a column of that name is replaced in its place.
+
+    make() is called once a task and gives a function from a list of values to as many new values.  All other columns stay in Arrow, so
+    integers beside nulls keep their value.
+    """
+    kind = T.StructType.fromDDL(f"x {kind}")[0].dataType if isinstance(kind, str) else kind
+    field = T.StructField(into, kind)
+    schema = T.StructType([field if f.name == into else f for f in docs.schema.fields] if into in docs.columns else [*docs.schema.fields, field])
+    made = to_arrow_type(kind)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            columns[into] = pa.array(work(columns[source].to_pylist()), made)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return docs.mapInArrow(run, schema)
+
+
 def text_or_empty(value) -> str:
     """A nullable text cell of a pandas batch."""
     return value if isinstance(value, str) else ""

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import text_or_empty, written
+from proofmill.llm.common import computed, text_or_empty, written
 from proofmill.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -120,17 +120,18 @@ def parities(shingles: np.ndarray) -> np.ndarray:
 def described(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
     """(id, n_shingles, digest, coordinates, bits, parity) of every row; the last four are null for an empty set."""
 
-    def run(batches):
+    def describe():
         hashes = WordHashes()
-        for batch in batches:
-            rows = []
-            for text in batch["the_text"]:
-                s = shingle_set(text, shingle_words, hashes)
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), *signature(s), parities(s)) if len(s) else (0, None, None, None, None))
-            yield pd.DataFrame({"id": batch["id"]} | {c: [r[i] for r in rows] for i, c in enumerate(("n_shingles", "digest", "coordinates", "bits", "parity"))})
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("the_text"))
-    return texts.mapInPandas(run, "id bigint, n_shingles bigint, digest binary, coordinates array<int>, bits array<bigint>, parity array<bigint>")
+        def of(text):
+            s = shingle_set(text, shingle_words, hashes)
+            return (len(s), xxhash.xxh3_128_digest(s.tobytes()), *(x.tolist() for x in (*signature(s), parities(s)))) if len(s) else (0, None, None, None, None)
+
+        return lambda texts: [of(t) for t in texts]
+
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("the_text"))
+    kind = "struct<n_shingles:bigint,digest:binary,coordinates:array<int>,bits:array<bigint>,parity:array<bigint>>"
+    return computed(texts, "the_text", "described", kind, describe).select("id", "described.*")
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -175,8 +176,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = postings.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("size", "token"))).alias("held")).where(F.size("held") >= needed)
     held = held.withColumn("central", F.aggregate("held", F.lit(0.0), lambda s, x: s + F.log(x["size"].cast("double"))))
     held = held.withColumn("held", F.slice("held", F.lit(1), F.size("held") - (needed - 1)))
+    held = written(held.select("rep", "central", F.col("held.token").alias("prefix")), "prefixes")  # each in order of (size, token)
     member = F.struct("rep", "n_shingles", "bits", "parity", "central").alias("member")
-    lists = written(held.join(classes.drop("coordinates"), "rep").select(F.explode("held.token").alias("token"), member), "lists")
+    lists = written(held.join(classes.drop("coordinates"), "rep").select(F.explode("prefix").alias("token"), member), "lists")
 
     def links(pairs):
         return confirmed(pairs, docs, id_col, text_col, shingle_words, similarity)
@@ -201,9 +203,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         placed = placed.join(open_lists.select("token"), "token", "left_semi")
         each = cross <= DIRECT * max(members, 100_000) or turn == HUB_ROUNDS - 1
-        if each:
-            right = placed.withColumnRenamed("component", "its_component")
-            new = pairs(placed, right, "component < its_component")
+        if each:  # a pair comes out under the first token that both prefixes hold, and only there
+            placed = placed.join(held.select(F.col("rep").alias("holder"), "prefix"), F.col("member.rep") == F.col("holder")).drop("holder")
+            right = placed.withColumnRenamed("component", "its_component").withColumnRenamed("prefix", "its_prefix")
+            new = pairs(placed, right, "component < its_component", F.get(F.array_intersect("prefix", "its_prefix"), F.lit(0)) == F.col("token"))
         else:
             right = placed.groupBy("token").agg(F.max_by(F.struct("member", "component"), F.xxhash64("member.rep", F.lit(turn))).alias("hub")).select("token", "hub.member", F.col("hub.component").alias("its_component"))
             new = pairs(placed, right, "component <> its_component")
@@ -232,13 +235,19 @@ def differing(a, b, longs: int):
     return reduce(lambda s, i: s + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))), range(longs), F.lit(0))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is their class's smallest, with all columns; of several rows with one such id, the one with the smallest text stays."""
-    copies = "copies"
-    while copies in docs.columns:
-        copies += "_"
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept and id is not null").groupBy("id").agg(F.count("*").alias(copies)).withColumnRenamed("id", f"{copies}_id")
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs whose id is their class's smallest, with all columns; of several rows with one such id, one of each shingle set stays (the smallest text)."""
+    copies, digest = "copies", "set_digest"
+    while copies in docs.columns or digest in docs.columns:
+        copies, digest = copies + "_", digest + "_"
+    kept = near_duplicates(docs, id_col, text_col, shingle_words, similarity).where("kept and id is not null").groupBy("id").agg(F.count("*").alias(copies)).withColumnRenamed("id", f"{copies}_id")
     there = docs.join(kept, F.col(id_col).cast("bigint") == F.col(f"{copies}_id")).drop(f"{copies}_id")
     single = there.where(F.col(copies) == 1).drop(copies)
-    several = there.where(F.col(copies) > 1).drop(copies).groupBy(F.col(id_col).alias(copies)).agg(F.min_by(F.struct(*docs.columns), F.coalesce(text_col, F.lit(""))).alias("row")).select("row.*")
+
+    def digests():
+        hashes = WordHashes()
+        return lambda texts: [xxhash.xxh3_128_digest(shingle_set(t, shingle_words, hashes).tobytes()) for t in texts]
+
+    several = computed(there.where(F.col(copies) > 1).drop(copies), text_col, digest, "binary", digests)
+    several = several.groupBy(F.col(id_col).alias(copies), digest).agg(F.min_by(F.struct(*docs.columns), F.coalesce(text_col, F.lit(""))).alias("row")).select("row.*")
     return single.unionByName(several).unionByName(docs.where(F.col(id_col).isNull()))
