@@ -19,14 +19,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import text_or_empty
+from proofmill.llm.common import computed, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_GROUPS = 8
@@ -155,7 +157,12 @@ def number_features(text: str, run: tuple[int, int], start: int, end: int) -> li
 
 def candidates(text: str, blocked: list[tuple[int, int]]) -> list[tuple[int, int, int, list[str]]]:
     """(start, end, kind number, features) of candidate segments of a passage that touch no blocked span; features of all kinds are conjoined with the kind."""
-    free = lambda a, b: all(b <= x or y <= a for x, y in blocked)
+    starts, ends = [x for x, _ in blocked], list(accumulate((y for _, y in blocked), max))
+
+    def free(a: int, b: int) -> bool:
+        before = bisect_left(starts, b)  # the blocked spans that start before b; they are in order
+        return before == 0 or ends[before - 1] <= a
+
     out = []
     for m in SPELLED.finditer(text):
         span = m[0]
@@ -169,12 +176,12 @@ def candidates(text: str, blocked: list[tuple[int, int]]) -> list[tuple[int, int
     for run in RUN.finditer(text):
         groups = [g.span() for g in GROUP.finditer(text, *run.span())]
         for i, (a, _) in enumerate(groups):
-            starts = [a, a - 1] if a > run.start() and text[a - 1] in "+(" else [a]
+            firsts = [a, a - 1] if a > run.start() and text[a - 1] in "+(" else [a]
             for j in range(i, min(len(groups), i + MAX_GROUPS)):
                 b = groups[j][1]
                 if b - a > MAX_CHARS or sum(y - x for x, y in groups[i : j + 1]) > 19:
                     break
-                for s in starts:
+                for s in firsts:
                     if free(s, b):
                         out += [(s, b, kind, f) for kind, f in number_features(text, run.span(), s, b)]
     return [(a, b, k, [f"{KINDS[k]}:{f}" for f in (*fs, "bias")]) for a, b, k, fs in out]
@@ -277,8 +284,12 @@ def find(text: str, weights: dict[str, float], threshold: float = 0.0) -> list[t
     base = base_spans(text)
     found = [(*s, True) for s in base]
     if weights:
+        by_place = sorted((x, y) for _, x, y in base)
+        starts, ends = [x for x, _ in by_place], list(accumulate((y for _, y in by_place), max))
         for a, b in passages(text):
-            blocked = [(x - a, y - a) for _, x, y in base if x < b and y > a]
+            # Spans that start before b and reach beyond a: in order of their starts, with the furthest end so far, they are neighbours.
+            near = by_place[bisect_right(ends, a) : bisect_left(starts, b)]
+            blocked = [(x - a, y - a) for x, y in near if y > a]
             segments = [(s, e, k, sum(weights.get(f, 0.0) for f in fs) - threshold) for s, e, k, fs in candidates(text[a:b], blocked)]
             found += [(k, a + s, a + e, False) for s, e, k in best_segments([s for s in segments if s[3] > 0])]
     return [(KINDS[k], a, b, is_base) for k, a, b, is_base in sorted(found)]
@@ -307,29 +318,16 @@ def fit(docs: DataFrame, text_col: str = "text", train_passages: int = TRAIN_PAS
 
 def find_spans(docs: DataFrame, weights: dict[str, float], text_col: str = "text", into: str = "spans") -> DataFrame:
     """docs with one more column `into` of all spans by kind and start (a column of that name is replaced)."""
-    out = docs.drop(into)
-    schema = out.withColumn(into, F.array().cast(SPAN_TYPE)).schema
     held = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def search(batches):
-        for batch in batches:
-            batch[into] = [find(text_or_empty(t), held.value) for t in batch[text_col]]
-            yield batch
-
-    return out.mapInPandas(search, schema)
+    search = lambda: lambda texts: [find(text_or_empty(t), held.value) for t in texts]
+    return computed(docs.drop(into), text_col, into, SPAN_TYPE, search)
 
 
 def mask(docs: DataFrame, weights: dict[str, float], text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; a null text stays null."""
-    schema = docs.schema
     held = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def rewrite(batches):
-        for batch in batches:
-            batch[text_col] = [masked(t, held.value) if isinstance(t, str) else None for t in batch[text_col]]
-            yield batch
-
-    return docs.mapInPandas(rewrite, schema)
+    rewrite = lambda: lambda texts: [None if t is None else masked(t, held.value) for t in texts]
+    return computed(docs, text_col, text_col, docs.schema[text_col].dataType, rewrite)
 
 
 def masked(text: str, weights: dict[str, float]) -> str:
