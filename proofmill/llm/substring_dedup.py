@@ -28,13 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import text_or_empty, words, written
+from proofmill.llm.common import computed, text_or_empty, words, written
 from proofmill.llm.near_dedup import WordHashes, mixed
 
 WINDOW = 50
 #: Words in the grams that anchors are taken from. Longer ones meet by chance less often; the result does not depend on it.
 GRAM = 24
 SHARD_WORDS = 1_000_000
+#: Words of a passage that enter an automaton together, and distinct words of one automaton (characters are fewer than 1,112,064).
+PIECE_WORDS = 100_000
+MOST_LETTERS = 1_000_000
+#: Parts by id into which the places of each window are dealt.
+PLACE_PARTS = 16
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,21 +85,21 @@ def digest(ws: list[bytes]) -> bytes:
 def described(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(id, digest, n_words, sha256, anchors) of every row."""
 
-    def run(batches):
+    def describe():
         memory = WordHashes()
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                ws = split(text)
-                anchors = np.zeros(0, dtype=np.uint64)
-                if len(ws) >= window:
-                    a = window_anchors(hashes_of(ws, memory), window, gram)
-                    anchors = np.unique(a[np.concatenate([[True], a[1:] != a[:-1]])])
-                whole = b" ".join(ws)
-                rows.append((xxhash.xxh3_128_digest(whole), len(ws), hashlib.sha256(whole).hexdigest(), anchors.view(np.int64)))
-            yield pd.DataFrame({"id": batch["id"]} | {c: [r[i] for r in rows] for i, c in enumerate(("digest", "n_words", "sha256", "anchors"))})
 
-    return docs.mapInPandas(run, "id bigint, digest binary, n_words bigint, sha256 string, anchors array<bigint>")
+        def of(text):
+            ws = split(text)
+            anchors = np.zeros(0, dtype=np.uint64)
+            if len(ws) >= window:
+                a = window_anchors(hashes_of(ws, memory), window, gram)
+                anchors = np.unique(a[np.concatenate([[True], a[1:] != a[:-1]])])
+            whole = b" ".join(ws)
+            return xxhash.xxh3_128_digest(whole), len(ws), hashlib.sha256(whole).hexdigest(), anchors.view(np.int64).tolist()
+
+        return lambda texts: [of(t) for t in texts]
+
+    return computed(docs, "text", "described", "struct<digest:binary,n_words:bigint,sha256:string,anchors:array<bigint>>", describe).select("id", "described.*")
 
 
 def candidate_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -150,20 +155,16 @@ def passage_texts(docs: DataFrame, passages: DataFrame, window: int) -> DataFram
 class Automaton:
     """An Aho-Corasick automaton over words: every distinct word of the passages is one character."""
 
-    def __init__(self, passages):
+    def __init__(self):
         import ahocorasick
 
         self.letters: dict[bytes, str] = {}
         self.machine = ahocorasick.Automaton()
-        self.filled = False
-        for first, passage in passages:
-            ws = split(passage)
-            key = "".join([self.letter(w) for w in ws])
-            if first < self.machine.get(key, (first + 1, 0))[0]:
-                self.machine.add_word(key, (first, len(ws)))
-                self.filled = True
-        if self.filled:
-            self.machine.make_automaton()
+
+    def add(self, first: int, ws: list[bytes]) -> None:
+        key = "".join([self.letter(w) for w in ws])
+        if first < self.machine.get(key, (first + 1, 0))[0]:
+            self.machine.add_word(key, (first, len(ws)))
 
     def letter(self, word: bytes) -> str:
         known = self.letters.get(word)
@@ -172,30 +173,55 @@ class Automaton:
             known = self.letters[word] = chr(n if n < 0xD800 else n + 0x800)  # surrogates are no characters
         return known
 
+    def matches(self, ws: list[bytes]):
+        get = self.letters.get
+        return self.machine.iter("".join([get(w, "\0") for w in ws]))
+
+
+class Automata:
+    """The passages of a shard in as few automata as their letters allow.
+
+    A long passage enters as pieces of at most PIECE_WORDS words that overlap by all but one word of a window: their windows are the
+    passage's windows, so the same words are covered.
+    """
+
+    def __init__(self, passages, window: int, piece_words: int = PIECE_WORDS, most_letters: int = MOST_LETTERS):
+        self.all: list[Automaton] = []
+        for first, passage in passages:
+            ws = split(passage)
+            for at in range(0, max(1, len(ws) - window + 1), piece_words - window + 1):
+                if not self.all or len(self.all[-1].letters) + piece_words > most_letters:
+                    self.all.append(Automaton())
+                self.all[-1].add(first, ws[at : at + piece_words])
+        for automaton in self.all:
+            automaton.machine.make_automaton()
+
     def covered(self, row_id: int, ws: list[bytes]) -> np.ndarray:
         """Which words lie in an occurrence of a passage from a smaller id."""
         edges = np.zeros(len(ws) + 1, dtype=np.int64)
-        if self.filled:
-            get = self.letters.get
-            for end, (first, n) in self.machine.iter("".join([get(w, "\0") for w in ws])):
+        for automaton in self.all:
+            for end, (first, n) in automaton.matches(ws):
                 if first < row_id:
                     edges[end - n + 1] += 1
                     edges[end + 1] -= 1
         return np.cumsum(edges[:-1]) > 0
 
 
-def locate(key, docs: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
-    """One shard: (id, digest, n_removed, kept_sha256, spans) of its documents."""
-    automaton = Automaton(zip(passages["first"].tolist(), passages["passage"]))
-    rows = []
-    for row_id, text in zip(docs["id"].tolist(), docs["text"]):
-        ws = split(text)
-        gone = automaton.covered(row_id, ws)
-        kept = b" ".join([w for w, g in zip(ws, gone.tolist()) if not g])
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-        spans = [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])]
-        rows.append((row_id, digest(ws), int(gone.sum()), hashlib.sha256(kept).hexdigest(), spans))
-    return pd.DataFrame(rows, columns=["id", "digest", "n_removed", "kept_sha256", "spans"])
+def locator(window: int):
+    def locate(key, docs: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
+        """One shard: (id, digest, n_removed, kept_sha256, spans) of its documents."""
+        automata = Automata(zip(passages["first"].tolist(), passages["passage"]), window)
+        rows = []
+        for row_id, text in zip(docs["id"].tolist(), docs["text"]):
+            ws = split(text)
+            gone = automata.covered(row_id, ws)
+            kept = b" ".join([w for w, g in zip(ws, gone.tolist()) if not g])
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+            spans = [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])]
+            rows.append((row_id, digest(ws), int(gone.sum()), hashlib.sha256(kept).hexdigest(), spans))
+        return pd.DataFrame(rows, columns=["id", "digest", "n_removed", "kept_sha256", "spans"])
+
+    return locate
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -223,11 +249,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shard = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // SHARD_WORDS)))).cast("int")
 
     starts = passages.select("h1", "h2", "first")
-    there = found.select("h1", "h2", "id").join(starts, ["h1", "h2"]).where("id > first").select("h1", "h2", "id").distinct()
+    # The places of a common passage are put together by part of the ids before they meet the passage, so they do not all go to one task.
+    part = F.pmod(F.xxhash64("id", "h1"), F.lit(PLACE_PARTS))
+    dealt_starts = starts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PLACE_PARTS - 1).cast("bigint"))))
+    there = found.select("h1", "h2", "id", part.alias("part")).join(dealt_starts, ["h1", "h2", "part"]).where("id > first").select("h1", "h2", "id").distinct()
     there = written(there.withColumn("shard", shard), "occurrences")
     dealt = passage_texts(sharing, passages, window).join(there.select("h1", "h2", "shard").distinct(), ["h1", "h2"])
     reps = sharing.select("id", "text").join(there.select("id").distinct(), "id", "left_semi").withColumn("shard", shard)
-    located = reps.groupBy("shard").cogroup(dealt.select("shard", "first", "passage").groupBy("shard")).applyInPandas(locate, "id bigint, digest binary, n_removed bigint, kept_sha256 string, spans array<struct<start:int,end:int>>")
+    located = reps.groupBy("shard").cogroup(dealt.select("shard", "first", "passage").groupBy("shard")).applyInPandas(locator(window), "id bigint, digest binary, n_removed bigint, kept_sha256 string, spans array<struct<start:int,end:int>>")
     located = written(located.distinct(), "located")
 
     named = rows.drop("anchors").join(classes.select("digest", "rep"), "digest", "left").join(located, ["id", "digest"], "left")
