@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import text_or_empty
+from proofmill.llm.common import computed, text_or_empty
 
 TOKEN = re.compile(r"\w+")
 SIMILARITY = 0.8
@@ -167,22 +167,23 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     out = docs.drop(into)
     names = out.columns
     out = out.withColumn(into, F.array().cast(MATCH_TYPE))
+    places = F.struct(F.col(text_col).alias("text"), F.col(into).alias("known"))
     for block in blocks(benchmark, item_col, item_text_col, block_chars):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
-        def search(batches, held=held):
+        def search(held=held):
             items = Items(held.value, similarity)
-            for batch in batches:
-                found = [items.find(tokens(t)) for t in batch[text_col]]
-                batch[into] = [sorted([*map(as_tuple, old), *new]) for old, new in zip(batch[into], found)]
-                yield batch
+            return lambda rows: [sorted([*map(as_tuple, r["known"]), *items.find(tokens(r["text"]))]) for r in rows]
 
-        out = out.mapInPandas(search, out.schema)
+        both = "text_and_matches"
+        while both in names:
+            both += "_"
+        out = computed(out.withColumn(both, places), both, into, MATCH_TYPE, search).drop(both)
     return out.select(*names, into)
 
 
-def as_tuple(match) -> tuple:
-    return tuple(match.values()) if isinstance(match, dict) else tuple(match)
+def as_tuple(match: dict) -> tuple:
+    return tuple(match.values())
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:

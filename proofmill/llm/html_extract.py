@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import text_or_empty, written
+from proofmill.llm.common import computed, text_or_empty, written
 
 LOW = 0.35
 #: Paths on fewer pages of a host are not judged.
@@ -299,10 +299,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     lists = mine.join(unimportant, ["host", "path"]).groupBy("host", "key1", "key2").agg(F.collect_set("path").alias("low"))
     met = rows.join(written(lists, "page-lows"), ["host", "key1", "key2"], "left").select("page_id", "url", "html", "low")
 
-    def run(batches):
-        for batch in batches:
-            texts = [Page(text_or_empty(html)).main_text(set() if paths is None else set(paths)) for html, paths in zip(batch["html"], batch["low"])]
-            yield batch[["page_id", "url"]].assign(text=texts)
+    def read():
+        return lambda rows: [Page(text_or_empty(r["html"])).main_text(set(r["low"] or ())) for r in rows]
 
-    schema = met.select("page_id", "url", F.lit("").alias("text")).schema
-    return met.mapInPandas(run, schema)
+    given = met.select("page_id", "url", F.struct("html", "low").alias("page"))
+    return computed(given, "page", "text", "string", read).select("page_id", "url", "text")

@@ -28,7 +28,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import text_or_empty, written
+from proofmill.llm.common import computed, text_or_empty, written
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, STEP = 24, 4, 0.25
@@ -138,12 +138,11 @@ def with_features(texts: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     """(row_id, features) from (row_id, the_text)."""
     held = texts.sparkSession.sparkContext.broadcast(lexicon)
 
-    def run(batches):
+    def counted():
         words = Words(held.value)
-        for batch in batches:
-            yield pd.DataFrame({"row_id": batch["row_id"], "features": [features(t, words) for t in batch["the_text"]]})
+        return lambda rows: [[float(x) for x in features(t, words)] for t in rows]
 
-    return texts.select("row_id", "the_text").mapInPandas(run, "row_id bigint, features array<double>")
+    return computed(texts.select("row_id", "the_text"), "the_text", "features", "array<double>", counted).select("row_id", "features")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", allowed=None, threshold: float = THRESHOLD,

@@ -106,10 +106,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 class Stream:
-    """Bytes of an archive from an offset on, read in pieces as far as they are asked for."""
+    """Bytes of an archive from an offset on, read in pieces as far as they are asked for; what was dropped is read again if need be."""
 
     def __init__(self, source, size: int, at: int):
-        self.source, self.size, self.base, self.buffer = source, size, at, b""
+        self.source, self.size, self.base, self.buffer = source, size, at, bytearray()
         source.seek(at)
 
     def more(self) -> bytes:
@@ -118,15 +118,19 @@ class Stream:
         return piece
 
     def at(self, offset: int, n: int) -> bytes:
-        """Up to n bytes from an offset that is not before what was dropped."""
+        """Up to n bytes from an offset."""
+        if not self.base <= offset <= self.base + len(self.buffer):
+            self.base, self.buffer = offset, bytearray()
+            self.source.seek(offset)
         while self.base + len(self.buffer) < offset + n and self.more():
             pass
-        return self.buffer[offset - self.base : offset - self.base + n]
+        return bytes(self.buffer[offset - self.base : offset - self.base + n])
 
     def drop(self, offset: int) -> None:
         """Forget what lies before the offset."""
         if offset - self.base > 16 * READ_BYTES:
-            self.buffer, self.base = self.buffer[offset - self.base :], offset
+            del self.buffer[: offset - self.base]
+            self.base = offset
 
 
 def foreign_offset(head: bytes) -> int | None:
@@ -153,6 +157,8 @@ def read_member(stream: Stream, offset: int, keep: bool) -> tuple[dict, int] | N
                 return None
             text = inflate.decompress(data)
             at += len(data)
+            if fields is not None:  # a record by its headers: the bytes before are hardly needed again
+                stream.drop(at)
             if http is None:
                 head += text
                 if fields is None:
