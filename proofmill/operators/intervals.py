@@ -21,7 +21,9 @@ def interval_cover(intervals: DataFrame, slices: DataFrame, keys: list[str], wit
     `keys` identify an interval; both sides carry full_name, revision, path and line
     bounds; `within` names further columns both sides must agree on.  The join is an equi-join on file and 64-line bucket, so one hot file is
     spread over its buckets.  Only the longest window per start line can be a witness,
-    so windows are reduced to that before they are listed per interval.
+    so windows are reduced to that by partial aggregates before they are listed per
+    interval: a list is bounded by the lines that the interval and its windows span, and
+    walked once.
     """
     file = [*(within or []), "full_name", "revision", "path"]
     valid = intervals.filter((F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")))
@@ -34,18 +36,24 @@ def interval_cover(intervals: DataFrame, slices: DataFrame, keys: list[str], wit
     best = pairs.groupBy(*keys, "start_line", "end_line", "w_start").agg(
         F.min(F.struct((-F.col("w_end")).alias("far"), "slice_id")).alias("b"))
     listed = best.groupBy(*keys, "start_line", "end_line").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("b.far").alias("far"), F.col("w_start").alias("start"), F.col("b.slice_id").alias("id")))).alias("windows"))
-    begin = F.struct(F.col("start_line").alias("next"), F.array().cast("array<string>").alias("ids"))
-
-    def step(acc: Column, _w: Column) -> Column:
-        # Windows are sorted by (furthest end, start, id): the first usable one is the pick.
-        usable = F.filter("windows", lambda w: (w["start"] <= acc["next"]) & (-w["far"] >= acc["next"]))
-        pick = F.get(usable, F.lit(0))
-        go = (acc["next"] <= F.col("end_line")) & pick.isNotNull()
-        return F.struct(F.when(go, -pick["far"] + 1).otherwise(acc["next"]).alias("next"),
-                        F.when(go, F.array_append(acc["ids"], pick["id"])).otherwise(acc["ids"]).alias("ids"))
-
-    done = stage(listed, r=F.aggregate("windows", begin, step))
+        F.col("w_start").alias("start"), (-F.col("b.far")).alias("far"), F.col("b.slice_id").alias("id")))).alias("windows"))
+    # One pass over the windows in order of their starts: `pick` is the furthest-reaching one that is usable at line `next`; it is taken
+    # when a window starts beyond `next`, or at the end.
+    none = F.struct(F.lit(0).cast("long").alias("far"), F.lit(None).cast("string").alias("id"))
+    begin = F.struct(F.col("start_line").cast("long").alias("next"), none.alias("pick"), F.array().cast("array<string>").alias("ids"))
+
+    def taken(acc: Column) -> Column:
+        usable = (acc["pick"]["far"] >= acc["next"]) & (acc["next"] <= F.col("end_line"))
+        return F.struct(F.when(usable, acc["pick"]["far"] + 1).otherwise(acc["next"]).alias("next"), acc["pick"].alias("pick"),
+                        F.when(usable, F.array_append(acc["ids"], acc["pick"]["id"])).otherwise(acc["ids"]).alias("ids"))
+
+    def step(acc: Column, w: Column) -> Column:
+        now = F.when(w["start"] > acc["next"], taken(acc)).otherwise(acc)
+        this = F.struct(w["far"].alias("far"), w["id"].alias("id"))
+        return F.get(F.transform(F.array(now), lambda n: F.struct(
+            n["next"].alias("next"), F.when((w["start"] <= n["next"]) & (w["far"] > n["pick"]["far"]), this).otherwise(n["pick"]).alias("pick"), n["ids"].alias("ids"))), F.lit(0))
+
+    done = stage(listed, r=F.aggregate("windows", begin, step, taken))
     return done.filter(F.col("r.next") > F.col("end_line")).select(*keys, F.col("r.ids").alias("witnesses"))
 
 

@@ -9,6 +9,7 @@ from proofmill import fixed_values as fv
 from proofmill.functions import paths as pt
 from proofmill.functions.frames import stage
 from proofmill.operators.structure import cap_per_group
+from proofmill.sources.sinks import landed
 
 REQUIRE = r"(?<![A-Za-z0-9_])" + fv.REQUIRE_CALL
 DYNAMIC = r"(?<![A-Za-z0-9_])" + fv.DYNAMIC_IMPORT
@@ -82,62 +83,72 @@ def _ancestors(directory: Column) -> Column:
 PY_KEY = ["full_name", "path", "line", "level", "module"]
 
 
-def resolve_python_imports(imports: DataFrame, roots: DataFrame, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, unresolved) of Python imports; only unambiguous conventional layouts resolve."""
+def module_places(tree: DataFrame) -> DataFrame:
+    """The module paths of each repository as a table: (full_name, loc, is_dir, is_py, has_init) for every directory and Python file."""
     files = tree.filter("type = 'blob'").select("full_name", "path")
-    py = F.regexp_replace("path", r"\.py$", "")
-    dirs = files.select("full_name", F.explode(_ancestors(pt.dirname(F.col("path")))).alias("loc")).distinct().withColumn("is_dir", F.lit(True))
-    mods = files.filter("path like '%.py'").select("full_name", py.alias("loc"), F.lit(True).alias("is_py"))
-    inits = files.filter("path like '%__init__.py'").select("full_name", pt.dirname(F.col("path")).alias("loc"), F.lit(True).alias("has_init"))
-    places = dirs.join(mods, ["full_name", "loc"], "full").join(inits, ["full_name", "loc"], "left").na.fill(False)
+    dirs = files.select("full_name", F.explode(_ancestors(pt.dirname(F.col("path")))).alias("loc"), F.lit("dir").alias("kind"))
+    mods = files.filter("path like '%.py'").select("full_name", F.regexp_replace("path", r"\.py$", "").alias("loc"), F.lit("py").alias("kind"))
+    inits = files.filter("path like '%__init__.py'").select("full_name", pt.dirname(F.col("path")).alias("loc"), F.lit("init").alias("kind"))
+    seen = lambda kind: F.bool_or(F.col("kind") == kind)
+    return dirs.union(mods).union(inits).groupBy("full_name", "loc").agg(seen("dir").alias("is_dir"), seen("py").alias("is_py"), seen("init").alias("has_init")).filter("is_dir or is_py")
+
+
+def _depth(c: Column) -> Column:
+    return F.when(c == ".", 0).otherwise(F.size(F.split(c, "/")))
+
+
+def resolve_python_imports(imports: DataFrame, roots: DataFrame, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, unresolved) of Python imports; only unambiguous conventional layouts resolve.
+
+    Names are resolved once per distinct name (`asked`: an absolute module, or the place that a relative one climbs to), against the
+    landed tables of module places and files; import rows meet the answers by key.
+    """
+    files = landed(tree.filter("type = 'blob'").select("full_name", F.col("path").alias("file")), "python-files")
+    roots = landed(roots.select("full_name", "root").distinct(), "python-roots")
+    mod_path = F.when(F.col("module").rlike(IDENTIFIER), F.replace("module", F.lit("."), F.lit("/")))
+    named = landed(imports.select(*PY_KEY, "names", mod_path.alias("mod_path"), pt.dirname(F.col("path")).alias("dir")).distinct(), "python-names")
 
-    named = stage(imports, mod_path=F.when(F.col("module").rlike(IDENTIFIER), F.replace("module", F.lit("."), F.lit("/"))))
     # Absolute names: refuse a name any of whose prefixes exists in two places.
     absolute = named.filter("level = 0 and mod_path is not null").select("full_name", "module", "mod_path").distinct()
     parts = F.split("mod_path", "/")
     prefixes = absolute.select("full_name", "module", F.size(parts).alias("n"), F.posexplode(F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("i", "prefix"))
     located = prefixes.join(roots, "full_name").withColumn("loc", pt.join_path(F.col("root"), F.col("prefix"))).select(
-        "full_name", "module", "n", "i", "loc").distinct().join(places, ["full_name", "loc"])
+        "full_name", "module", "n", "i", "loc").distinct().join(landed(module_places(tree), "python-places"), ["full_name", "loc"])
     clash = F.col("is_py") & ((F.col("i") + 1 < F.col("n")) | F.col("has_init"))
     ambiguous = located.groupBy("full_name", "module", "i").agg(F.count("*").alias("places"), F.bool_or(clash).alias("clash")).filter(
-        "places > 1 or clash").select("full_name", "module").distinct().withColumn("level", F.lit(0).cast("long"))
+        "places > 1 or clash").select("full_name", "module").distinct()
+    ambiguous = landed(ambiguous, "python-ambiguous")
 
-    flat = named.join(ambiguous, ["full_name", "module", "level"], "left_anti")
-    at_roots = stage(flat.filter("level = 0 and mod_path is not null").join(roots, "full_name"),
-                     base=pt.join_path(F.col("root"), F.col("mod_path")))
     # Relative names climb from the importing directory, bounded by the package depth.
-    here = stage(flat.filter((F.col("level") > 0) & ((F.col("module") == "") | F.col("mod_path").isNotNull())), dir=pt.dirname(F.col("path")))
-    owners = (here.select("full_name", "dir").distinct().withColumn("root", F.explode(_ancestors(F.col("dir")))).join(roots, ["full_name", "root"])
+    owners = (named.filter("level > 0").select("full_name", "dir").distinct().withColumn("root", F.explode(_ancestors(F.col("dir")))).join(roots, ["full_name", "root"])
               .groupBy("full_name", "dir").agg(F.max_by("root", F.length("root")).alias("owner")))
-
-    def depth(c: Column) -> Column:
-        return F.when(c == ".", 0).otherwise(F.size(F.split(c, "/")))
-
-    climbed = here.join(owners, ["full_name", "dir"], "left").withColumn("owner", F.coalesce("owner", F.lit(".")))
-    climbed = climbed.filter(F.col("level") <= depth(F.col("dir")) - depth(F.col("owner")))
-    up = F.array_join(F.slice(F.split("dir", "/"), 1, (depth(F.col("dir")) - F.col("level") + 1).cast("int")), "/")
-    relative = stage(climbed, base=pt.join_path(up, F.coalesce("mod_path", F.lit(""))))
-    based = at_roots.select(*PY_KEY, "names", "base").unionByName(relative.select(*PY_KEY, "names", "base"))
-
-    def tails(b: Column) -> Column:
-        return F.array(F.concat(b, F.lit(".py")), F.concat(b, F.lit("/__init__.py")))
-
-    child_names = F.filter("names", lambda n: (n != "*") & n.rlike(IDENTIFIER))
-    slots = based.select(*PY_KEY, F.explode(F.concat(
-        F.transform(tails(F.col("base")), lambda f: F.struct(F.lit("").alias("name"), f.alias("file"))),
-        F.flatten(F.transform(child_names, lambda n: F.transform(
-            tails(F.concat_ws("/", "base", F.replace(n, F.lit("."), F.lit("/")))), lambda f: F.struct(n.alias("name"), pt.join_path(F.lit("."), f).alias("file"))))))).alias("s"))
-    hits = slots.select(*PY_KEY, "s.name", "s.file").join(files.withColumnRenamed("path", "file"), ["full_name", "file"])
-    per_slot = hits.groupBy(*PY_KEY, "name").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"), F.max("file").alias("file"))
-    module = per_slot.filter("name = ''").select(*PY_KEY, F.col("n").alias("module_hits"), F.when(F.col("files") == 1, F.col("file")).alias("module_file"))
-    child = per_slot.filter("name <> '' and files = 1").select(*PY_KEY, F.col("file").alias("child_file"))
-    blocked = module.filter((F.col("module_hits") > 1) | (F.col("module_file").isNotNull() & ~F.col("module_file").endswith("/__init__.py")))
-    edges = module.filter("module_hits = 1").select(*PY_KEY, F.col("module_file").alias("dst")).unionByName(
-        child.join(blocked.select(*PY_KEY), PY_KEY, "left_anti").select(*PY_KEY, F.col("child_file").alias("dst"))).distinct()
-    missing = imports.select(*PY_KEY).distinct().join(edges.select(*PY_KEY).distinct(), PY_KEY, "left_anti")
-    unresolved = missing.join(ambiguous.withColumn("clashes", F.lit(True)), ["full_name", "module", "level"], "left").select(
-        *PY_KEY, F.when(F.col("clashes"), "ambiguous-package-prefix").otherwise("external-missing-or-unsupported-target").alias("reason"))
+    up = F.array_join(F.slice(F.split("dir", "/"), 1, F.greatest(_depth(F.col("dir")) - F.col("level") + 1, F.lit(0)).cast("int")), "/")
+    climbs = (F.col("level") > 0) & ((F.col("module") == "") | F.col("mod_path").isNotNull()) & (F.col("level") <= _depth(F.col("dir")) - _depth(F.coalesce("owner", F.lit("."))))
+    place = F.when(climbs, pt.join_path(up, F.coalesce("mod_path", F.lit(""))))
+    rows = stage(named.join(owners, ["full_name", "dir"], "left"), place=place)
+    fine = rows.join(ambiguous.withColumn("clashes", F.lit(True)), ["full_name", "module"], "left").withColumn("clashes", F.coalesce("clashes", F.lit(False)) & (F.col("level") == 0))
+    asked = F.when((F.col("level") == 0) & F.col("mod_path").isNotNull() & ~F.col("clashes"), F.concat(F.lit("module:"), "module")).otherwise(F.concat(F.lit("place:"), "place"))
+    rows = landed(fine.select(*PY_KEY, "mod_path", "place", "clashes", asked.alias("asked"), F.filter("names", lambda n: (n != "*") & n.rlike(IDENTIFIER)).alias("names")), "python-asked")
+
+    live = rows.filter("asked is not null")
+    bases = live.filter("level = 0").select("full_name", "asked", "mod_path").distinct().join(roots, "full_name").select("full_name", "asked", pt.join_path(F.col("root"), F.col("mod_path")).alias("base")).unionByName(
+        live.filter("level > 0").select("full_name", "asked", F.col("place").alias("base"))).distinct()
+    names = live.select("full_name", "asked", F.explode(F.concat(F.array(F.lit("")), F.coalesce("names", F.expr("cast(array() as array<string>)")))).alias("name")).distinct()
+    stem = F.when(F.col("name") == "", F.col("base")).otherwise(F.concat_ws("/", "base", F.replace("name", F.lit("."), F.lit("/"))))
+    options = F.transform(F.array(F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py"))), lambda f: F.when(F.col("name") == "", f).otherwise(pt.join_path(F.lit("."), f)))
+    slots = bases.join(names, ["full_name", "asked"]).select("full_name", "asked", "name", F.explode(options).alias("file"))
+    hits = slots.join(files, ["full_name", "file"]).groupBy("full_name", "asked", "name").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"), F.max("file").alias("file"))
+    hits = landed(hits, "python-hits")
+
+    module = hits.filter("name = ''").select("full_name", "asked", F.col("n").alias("module_hits"), F.when(F.col("files") == 1, F.col("file")).alias("module_file"))
+    closed = (F.col("module_hits") > 1) | (F.col("module_file").isNotNull() & ~F.col("module_file").endswith("/__init__.py"))
+    met = live.join(module, ["full_name", "asked"], "left")
+    children = met.filter(~F.coalesce(closed, F.lit(False))).select(*PY_KEY, "asked", F.explode("names").alias("name")).join(
+        hits.filter("name <> '' and files = 1").select("full_name", "asked", "name", "file"), ["full_name", "asked", "name"])
+    edges = landed(met.filter("module_hits = 1").select(*PY_KEY, F.col("module_file").alias("dst")).unionByName(children.select(*PY_KEY, F.col("file").alias("dst"))).distinct(), "python-edges")
+    missing = rows.groupBy(*PY_KEY).agg(F.bool_or("clashes").alias("clashes")).join(edges.select(*PY_KEY), PY_KEY, "left_anti")
+    unresolved = missing.select(*PY_KEY, F.when(F.col("clashes"), "ambiguous-package-prefix").otherwise("external-missing-or-unsupported-target").alias("reason"))
     return edges, unresolved
 
 

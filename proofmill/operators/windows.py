@@ -10,9 +10,10 @@ from proofmill import fixed_values as fv
 from proofmill.functions import paths as pt
 from proofmill.functions import text as tx
 from proofmill.functions.frames import at_most, stage
-from proofmill.operators.intervals import semantic_window
+from proofmill.operators.intervals import BUCKET, buckets, semantic_window
 from proofmill.operators.structure import cap_per_group, category_paths, parsed_files
 from proofmill.params import DEFAULT, Params
+from proofmill.sources.sinks import landed
 
 REPO = ["full_name"]
 NO_TEXT = "cast(array() as array<string>)"
@@ -198,15 +199,15 @@ def _supplements(max_lines: int, max_windows: int):
 
 
 def supplement_windows(symbols: DataFrame, primary: DataFrame, max_lines: int = 60, max_windows: int = 4) -> DataFrame:
-    """Up to three more declarations per file for roles the primary window lacks.
+    """Further declarations of a file for roles the primary window lacks: with it at most `max_windows` windows.
 
-    Groups are single files, which the parser bounds to 200 declarations.
+    Groups are the declarations of single files.
     """
     rows = symbols.join(primary.select("full_name", "path", F.col("start_line").alias("primary_start"), F.col("end_line").alias("primary_end")), ["full_name", "path"])
     hidden = ~is_public(F.col("name"), F.col("language"), F.col("visibility"))
     narrow = rows.select("full_name", "path", "name", "start_line", "end_line", F.coalesce("has_body", F.lit(True)).alias("has_body"),
                          hidden.alias("hidden"), architecture_roles(rows).alias("roles"), "primary_start", "primary_end")
-    return narrow.groupBy("full_name", "path").applyInPandas(_supplements(max_lines, min(4, max(1, max_windows))), SUPPLEMENT)
+    return narrow.groupBy("full_name", "path").applyInPandas(_supplements(max_lines, max(1, max_windows)), SUPPLEMENT)
 
 
 def candidate_windows(ranked: DataFrame, blobs: DataFrame, symbols: DataFrame, imports: DataFrame, relations: DataFrame, terms: DataFrame,
@@ -219,16 +220,17 @@ def candidate_windows(ranked: DataFrame, blobs: DataFrame, symbols: DataFrame, i
     """
     file = ["full_name", "path"]
     m = params.lines_per_slice
-    chosen = ranked.select(*file, "score", F.col("reason").alias("path_reason"))
-    texts = blobs.join(chosen.select(*file), file, "left_semi").filter(~F.contains("content", F.lit("\u0000")))
-    sym = symbols.join(chosen.select(*file), file, "left_semi")
+    chosen = landed(ranked.select(*file, "score", F.col("reason").alias("path_reason")), "window-files")
+    terms = landed(terms, "window-terms")
+    texts = landed(blobs.join(chosen.select(*file), file, "left_semi").filter(~F.contains("content", F.lit("\u0000"))), "window-texts")
+    sym = landed(symbols.join(chosen.select(*file), file, "left_semi"), "window-declarations")
     parsed = parsed_files(sym).select(*file, F.lit(True).alias("parsed"))
-    semantic = best_symbol_window(sym, texts, terms, m)
+    semantic = landed(best_symbol_window(sym, texts, terms, m), "window-semantic")
     plain = best_line_window(texts.join(semantic.select(*file), file, "left_anti"), terms, m)
     columns = [*file, "start_line", "end_line", "relevance", "strategy", "origin"]
     strategy = F.when(F.col("language") == "python", "python-ast").when(F.col("language") == "rust", "rust-syntax").otherwise("typescript-ast")
     declared = sym.filter((F.col("kind") != "module") & ~((F.col("role") == "test") & ~F.coalesce("has_body", F.lit(True))))
-    anchors = imports.join(chosen.select(*file), file, "left_semi").join(parsed, file, "left_semi")
+    anchors = landed(imports.join(chosen.select(*file), file, "left_semi").join(parsed, file, "left_semi").select(*file, "line"), "window-anchors")
     edge = stage(relations.select("full_name", F.col("src").alias("path"), "source_url"), a=tx.line_anchor(F.col("source_url")))
     union = (semantic.withColumn("origin", F.lit(0)).select(*columns)
              .unionByName(plain.withColumns({"strategy": F.lit("line-window"), "origin": F.lit(0)}).select(*columns))
@@ -240,14 +242,17 @@ def candidate_windows(ranked: DataFrame, blobs: DataFrame, symbols: DataFrame, i
     valid = union.filter((F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")) & (F.col("end_line") - F.col("start_line") < m))
     span = [*file, "start_line", "end_line"]
     first = valid.groupBy(*span).agg(F.min_by(F.struct("relevance", "strategy"), F.struct("origin", -F.col("relevance"), "strategy")).alias("w")).select(*span, "w.*")
-    # Declarations inside a window: files are bounded, so the equi-join on file is too.
+    first = landed(first, "window-spans")
+    # Declarations inside a window and anchors in it: both start in one 64-line block of the window, so they meet by file and block.
+    blocks = first.select(*span, buckets(F.col("start_line"), F.col("end_line")).alias("block"))
+    block = lambda line: F.floor(F.col(line) / BUCKET)
     inner = sym.select(*file, F.col("start_line").alias("s"), F.col("end_line").alias("e"), "role", "kind", semantic_roles(sym).alias("roles"),
                        F.coalesce("has_body", F.lit(True)).alias("body"))
-    held = first.select(*span).join(inner, file).filter((F.col("s") >= F.col("start_line")) & (F.col("e") <= F.col("end_line"))).groupBy(*span).agg(
+    held = blocks.join(inner.withColumn("block", block("s")), [*file, "block"]).filter((F.col("s") >= F.col("start_line")) & (F.col("e") <= F.col("end_line"))).groupBy(*span).agg(
         F.count("*").alias("held"), F.array_distinct(F.flatten(F.collect_list("roles"))).alias("roles"),
         F.bool_or((F.col("role") == "implementation") & (F.col("kind") != "module")).alias("impl"), F.bool_or(F.col("role") == "test").alias("test"),
         F.bool_or((F.col("role") == "test") & F.col("body")).alias("bodied_test"), F.bool_or((F.col("role") == "test") & F.col("body") & (F.col("kind") != "class")).alias("test_function"))
-    anchored = first.select(*span).join(anchors.select(*file, "line"), file).filter((F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line"))).select(
+    anchored = blocks.join(anchors.select(*file, "line", block("line").alias("block")), [*file, "block"]).filter((F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line"))).select(
         *span).distinct().withColumn("anchor", F.lit(True))
     has_test = sym.groupBy(*file).agg(F.bool_or(F.col("role") == "test").alias("file_has_test"))
     rows = (first.join(held, span, "left").join(anchored, span, "left").join(parsed, file, "left").join(has_test, file, "left").join(chosen, file)

@@ -46,6 +46,22 @@ def test_interval_cover(spark):
     assert "NestedLoop" not in out._jdf.queryExecution().toString()
 
 
+def test_interval_cover_of_very_many_windows(spark):
+    """One interval under 100,000 windows: the list is walked once."""
+    import time
+
+    windows = spark.range(100_000).selectExpr("'r' full_name", "'v' revision", "'p' path", "concat('s', lpad(id, 6, '0')) slice_id", "id + 1 start_line", "id + 300 end_line")
+    one = spark.createDataFrame([("r", "v", "p", 1, 5, 100_000)], "full_name string, revision string, path string, n long, start_line long, end_line long")
+    begun = time.time()
+    found = intervals.interval_cover(one, windows, ["path", "n"]).first().witnesses
+    assert time.time() - begun < 90
+    at, want = 5, []
+    while at <= 100_000:  # the window that starts at the line reaches furthest
+        want.append(f"s{at - 1:06d}")
+        at += 300
+    assert list(found) == want
+
+
 ROW = ("full_name string, slice_id string, path string, start_line long, end_line long, relevance long, revision string, chars long, plain boolean, "
        "anchor boolean, features array<string>, endpoint boolean")
 
