@@ -55,6 +55,50 @@ def build_relations(imports: DataFrame, tree: DataFrame, limit: int | None = Non
     return cap_per_group(edges, ["full_name"], ["src", "ord", "dst"], limit).drop("ord")
 
 
+TYPED = ["full_name", "src", "dst", "kind", "language", "line", "resolution"]
+NO_NAMES = "cast(array() as array<string>)"
+
+
+def typed_relations(tree: DataFrame, blobs: DataFrame, script_imports: DataFrame, python_imports: DataFrame, python_edges: DataFrame, rust_imports: DataFrame, rust_edges: DataFrame) -> DataFrame:
+    """One edge table of all languages: TYPED, the import's scope, context (array) and aliases (array).
+
+    * Scripts: parsed imports (script_imports: full_name, path, line, module, scope, context, aliases) of the files that have any, otherwise
+      what the text shows; an edge of two files and a kind counts once, at its first import.  Edges from text have no line and no resolution.
+    * Python and Rust: the resolved edges (PY_KEY or RS_KEY and dst), once per line.
+
+    An edge is a test's where its source is a test file, or, in Rust, where the import stands under cfg(test).
+    """
+    plain = F.when(pt.is_test(F.col("path")), "tests").otherwise("imports")
+    parsed = script_imports.select("full_name", "path").distinct()
+    read = script_imports.filter(F.col("module").startswith(".")).select("full_name", "path", F.col("module").alias("specifier"), F.col("line").alias("ord"), "line", F.coalesce("scope", F.lit("module")).alias("scope"), "context", "aliases",
+                                                                       F.lit("static-candidate").alias("resolution"))
+    texts = scan_imports_js(blobs.join(parsed, ["full_name", "path"], "left_anti")).select(
+        "full_name", "path", "specifier", F.col("ord").cast("long").alias("ord"), F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("scope"), F.expr(NO_NAMES).alias("context"),
+        F.expr(NO_NAMES).alias("aliases"), F.lit(None).cast("string").alias("resolution"))
+    scripts = landed(read.unionByName(texts), "script-imports")
+    found = scripts.join(resolve_relative_imports(scripts, tree), ["full_name", "path", "specifier"])
+    facts = ["line", "resolution", "scope", "context", "aliases"]
+
+    def once(rows: DataFrame, key: list[str], language: str) -> DataFrame:
+        first = rows.groupBy(*key).agg(F.min(F.struct("ord", *[f for f in facts if f not in key])).alias("f"))
+        rest = [F.col(f"f.{f}").alias(f) for f in facts if f not in key]
+        return first.select(*key, *rest).withColumn("language", F.lit(language)).select(*TYPED, "scope", "context", "aliases")
+
+    ends = ["full_name", "src", "dst", "kind"]
+    script = once(found.select("full_name", F.col("path").alias("src"), F.col("target").alias("dst"), plain.alias("kind"), "ord", *facts), ends, "script")
+
+    def backed(imports: DataFrame, edges: DataFrame, key: list[str], names: str, resolution: str, kind: Column) -> DataFrame:
+        blank = {c: F.lit(None).cast("string") if c == "scope" else F.expr(NO_NAMES) for c in ("scope", "context", names) if c not in imports.columns}
+        rows = imports.withColumns(blank).withColumns({"scope": F.coalesce("scope", F.lit("module")), "context": F.coalesce("context", F.expr(NO_NAMES)), "aliases": F.coalesce(names, F.expr(NO_NAMES))})
+        return edges.join(rows.select(*key, "scope", "context", "aliases"), key).select(
+            "full_name", F.col("path").alias("src"), "dst", kind.alias("kind"), "line", F.lit(resolution).alias("resolution"), F.col("module").alias("ord"), "scope", "context", "aliases")
+
+    under_test = F.exists("context", lambda c: c.rlike(r"cfg\s*\(\s*test\s*\)"))
+    python = once(backed(python_imports, python_edges, PY_KEY, "aliases", "static-candidate", plain), [*ends, "line"], "python")
+    rust = once(backed(rust_imports, rust_edges, RS_KEY, "aliases", "rust-module-candidate", F.when(under_test, "tests").otherwise(plain)), [*ends, "line"], "rust")
+    return script.unionByName(python).unionByName(rust)
+
+
 IDENTIFIER = r"^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*$"
 
 

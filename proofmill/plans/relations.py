@@ -114,6 +114,28 @@ def _(v):
     return rl.unresolved_imports([py(v)[1], rs(v)[1]])
 
 
+# Parsed imports of every other script file, with their lines; the rest is read from text.
+VIEWS["v_js_parsed"] = """
+select full_name, path, @i(1) as line, './m' || @s(doc_id + 200) as module, cast(null as string) as scope, @noarr as context, @arr('run') as aliases from v_files where k = 3 and doc_id % 2 = 0
+union all select full_name, path, 1, '../../src/core/m' || @s(doc_id - 20), 'module', @noarr, @arr('run') from v_files where k = 4 and doc_id % 2 = 0
+union all select full_name, path, 2, '../../src/core/m' || @s(doc_id + 180) || '.js', 'later', @arr('dynamic'), @noarr from v_files where k = 4 and doc_id % 2 = 0
+union all select full_name, path, 7, '../../src/core/m' || @s(doc_id - 20), 'module', @noarr, @arr('again') from v_files where k = 4 and doc_id % 2 = 0
+union all select full_name, path, 3, 'react', 'module', @noarr, @arr('x') from v_files where k = 4 and doc_id % 2 = 0"""
+oracle_view("o_typed", """
+select e.full_name, e.path as src, e.target as dst, case when e.path like 'test/%' then 'tests' else 'imports' end as kind, 'script' as language, case when e.doc_id % 2 = 0 then case when e.specifier like '%.js' then 2 else 1 end end as line,
+  case when e.doc_id % 2 = 0 then 'static-candidate' end as resolution, case when e.doc_id % 2 = 0 then case when e.specifier like '%.js' then 'later' else 'module' end end as scope,
+  case when e.doc_id % 2 = 0 and e.specifier like '%.js' then 'dynamic' else '' end as context, case when e.doc_id % 2 = 0 and e.specifier not like '%.js' then 'run' else '' end as aliases from o_js_edges e
+union all select distinct full_name, path, dst, case when path like 'tests/%' then 'tests' else 'imports' end, 'python', line, 'static-candidate', 'module', '', '' from o_py_edges
+union all select distinct e.full_name, e.path, e.dst, case when array_to_string(i.context, '|') like '%cfg(test)%' or e.path like 'tests/%' then 'tests' else 'imports' end, 'rust', e.line, 'rust-module-candidate', i.scope, array_to_string(i.context, '|'), ''
+  from o_rs_edges e join v_rs_imports i on i.full_name = e.full_name and i.path = e.path and i.line = e.line and i.module = e.module""")
+
+
+@query("typed_relations", "select full_name, src, dst, kind, language, cast(line as bigint) as line, resolution, scope, context, aliases from o_typed")
+def _(v):
+    out = rl.typed_relations(v("v_tree"), v("v_blobs"), v("v_js_parsed"), v("v_py_imports"), py(v)[0], v("v_rs_imports"), rs(v)[0])
+    return out.select(*rl.TYPED, "scope", *[F.array_join(c, "|").alias(c) for c in ("context", "aliases")])
+
+
 oracle_view("o_links", """
 select f.full_name, f.path as test_path, 'test_run_' || f.doc_id as test_symbol, r.request, case when r.request = 'missing_res' then 'unresolved' else 'candidate' end as status,
   case r.request when 'local_res' then f.path when 'shared' then 'tests/conftest.py' end as fixture_path, case when r.request <> 'missing_res' then r.request end as fixture_symbol,
