@@ -12,61 +12,79 @@ from pyspark.sql import functions as F
 from proofmill import fixed_values as fv
 from proofmill.functions import strength as sg
 from proofmill.functions import text as tx
+from proofmill.sources.sinks import landed
 
 CLAIM = ["concept_no", "claim_id"]
 
 
-def _cited(claims: DataFrame, column: str, name: str) -> DataFrame:
-    return claims.select(*CLAIM, "status", F.explode(F.array_distinct(column)).alias(name))
+def citations(claims: DataFrame) -> DataFrame:
+    """One row per distinct citation of a claim: CLAIM, status, role (bundle, support, counter, observation), id, and whether a supporting slice is a counter slice too."""
+    roles = {"bundle_ids": "bundle", "slice_ids": "support", "counter_ids": "counter", "observation_ids": "observation"}
+
+    def cited(column: str, role: str):
+        ids = F.array_distinct(F.coalesce(column, F.expr("cast(array() as array<string>)")))
+        both = lambda i: F.coalesce(F.array_contains("counter_ids", i), F.lit(False)) if role == "support" else F.lit(False)
+        return F.transform(ids, lambda i: F.struct(F.lit(role).alias("role"), i.alias("id"), both(i).alias("both")))
+
+    parts = [cited(column, role) for column, role in roles.items()]
+    return claims.select(*CLAIM, "status", F.explode(F.concat(*parts)).alias("c")).select(*CLAIM, "status", "c.role", "c.id", "c.both")
 
 
 def claim_checks(claims: DataFrame, bundles: DataFrame, bundle_slices: DataFrame, slices: DataFrame, observations: DataFrame,
                  observation_slices: DataFrame) -> DataFrame:
-    """All claim rules; one row per broken rule (CLAIM, reason, cited)."""
-    none = F.lit("")
-    cb = _cited(claims, "bundle_ids", "bundle_id")
-    support = _cited(claims, "slice_ids", "slice_id").withColumn("positive", F.lit(True))
-    counter = _cited(claims, "counter_ids", "slice_id").withColumn("positive", F.lit(False))
-    known_bundles = cb.join(bundles.select("bundle_id", "ceiling"), "bundle_id", "left")
-    unknown_bundle = known_bundles.filter("ceiling is null").select(*CLAIM, F.lit("unknown-bundle").alias("reason"), F.col("bundle_id").alias("cited"))
-    allowed = cb.join(bundle_slices.select("bundle_id", "slice_id"), "bundle_id").select(*CLAIM, "slice_id").distinct().withColumn("allowed", F.lit(True))
-    cited = support.unionByName(counter).join(slices.select("slice_id", "path").distinct(), "slice_id", "left").join(allowed, [*CLAIM, "slice_id"], "left")
-    bad_slice = cited.select(*CLAIM, F.explode(tx.reasons((F.col("path").isNull(), "unknown-slice"), (F.col("allowed").isNull(), "slice-outside-bundles"))).alias("reason"),
-                             F.col("slice_id").alias("cited"))
-    co = _cited(claims, "observation_ids", "observation_id")
-    known_obs = co.join(observations.select("observation_id", "strength"), "observation_id", "left")
-    unknown_obs = known_obs.filter("strength is null").select(*CLAIM, F.lit("unknown-observation").alias("reason"), F.col("observation_id").alias("cited"))
-    aligned = support.select(*CLAIM, "slice_id").join(allowed, [*CLAIM, "slice_id"]).drop("allowed").withColumn("aligned", F.lit(True))
-    backing = co.join(observation_slices, "observation_id").join(aligned, [*CLAIM, "slice_id"], "left")
-    whole = backing.groupBy(*CLAIM, "observation_id").agg(F.count("*").alias("n"), F.count("aligned").alias("m"))
-    partial = whole.select(*CLAIM, F.explode(tx.reasons((F.col("m") == 0, "observation-not-backed"), (F.col("m") < F.col("n"), "observation-slices-missing"))).alias("reason"),
-                           F.col("observation_id").alias("cited"))
-    observed = backing.filter("aligned").select(*CLAIM, "slice_id").distinct()
-    lonely = support.filter("status <> 'unknown'").select(*CLAIM, "slice_id").join(observed, [*CLAIM, "slice_id"], "left_anti").select(
-        *CLAIM, F.lit("evidence-without-observation").alias("reason"), F.col("slice_id").alias("cited"))
-    both = common_evidence(claims.filter("status <> 'unknown'")).select(*CLAIM, F.lit("supporting-and-counter").alias("reason"), F.col("slice_id").alias("cited"))
-    # Claim-level rules need one aggregate per citation table.
-    a = known_bundles.groupBy(*CLAIM).agg(F.bool_or(F.col("ceiling") == "explicit").alias("explicit_bundle"))
-    b = cited.filter("positive").groupBy(*CLAIM).agg(F.bool_or(F.col("path").rlike(fv.DESIGN_DECISION)).alias("design_slice"))
-    c = known_obs.filter("strength is not null").groupBy(*CLAIM).agg(F.min(sg.rank(F.col("strength"))).alias("weakest"))
-    j = claims.join(a, CLAIM, "left").join(b, CLAIM, "left").join(c, CLAIM, "left")
+    """All claim rules; one row per broken rule (CLAIM, reason, cited).
+
+    What claims cite is one table of facts, joined once with what is known of bundles, slices and observations and once with the slices
+    that bundles and observations hold.  One aggregate per cited slice decides the slice rules and whether it backs the claim's
+    observations; one per observation and one per claim decide the others.  Broken rules are an array of names in each of them.
+    """
+    kind = F.when(F.col("role").isin("support", "counter"), "slice").otherwise(F.col("role")).alias("kind")
+    facts = landed(citations(claims).select(*CLAIM, "status", "role", kind, "id", "both"), "citations")
+    told = bundles.select(F.lit("bundle").alias("kind"), F.col("bundle_id").alias("id"), F.col("ceiling").alias("info")).unionByName(
+        slices.groupBy(F.lit("slice").alias("kind"), F.col("slice_id").alias("id")).agg(F.max("path").alias("info"))).unionByName(
+        observations.select(F.lit("observation").alias("kind"), F.col("observation_id").alias("id"), F.col("strength").alias("info")))
+    held = bundle_slices.select(F.lit("bundle").alias("role"), F.col("bundle_id").alias("id"), "slice_id").unionByName(
+        observation_slices.select(F.lit("observation").alias("role"), F.col("observation_id").alias("id"), "slice_id"))
+    known = facts.join(told, ["kind", "id"], "left").select(*CLAIM, "status", "role", "id", "info", F.when(F.col("kind") == "slice", F.col("id")).alias("slice_id"), "both")
+    inside = facts.filter("kind <> 'slice'").join(held, ["role", "id"]).select(*CLAIM, "status", F.concat(F.lit("in-"), "role").alias("role"), "id", F.lit(None).cast("string").alias("info"), "slice_id", F.lit(False).alias("both"))
+    rows = landed(known.unionByName(inside), "claim-facts")
+
+    role = lambda name: F.col("role") == name
+    sure = F.col("status") != "unknown"
+    by_slice = rows.filter("slice_id is not null").groupBy(*CLAIM, "slice_id").agg(
+        F.count_if(role("support")).alias("support"), F.count_if(role("counter")).alias("counter"), F.count_if(role("support") & sure).alias("sure"), F.count_if(F.col("both") & sure).alias("both"),
+        F.max("info").alias("path"), F.bool_or(role("in-bundle")).alias("allowed"), F.collect_list(F.when(role("in-observation"), F.col("id"))).alias("observed"))
+    by_slice = by_slice.withColumn("aligned", (F.col("support") > 0) & F.col("allowed"))
+    # Each citation of the slice that breaks a rule is a violation of its own.
+    cites = F.col("support") + F.col("counter")
+    broken = [(F.when(F.col("path").isNull(), cites), "unknown-slice"), (F.when(~F.col("allowed"), cites), "slice-outside-bundles"),
+              (F.when(~(F.col("allowed") & (F.size("observed") > 0)), F.col("sure")), "evidence-without-observation"), (F.col("both"), "supporting-and-counter")]
+    reasons = F.concat(*[F.array_repeat(F.lit(name), F.coalesce(n, F.lit(0)).cast("int")) for n, name in broken])
+    design = (F.col("support") > 0) & F.coalesce(F.col("path").rlike(fv.DESIGN_DECISION), F.lit(False))
+    by_slice = landed(by_slice.select(*CLAIM, "slice_id", "aligned", "observed", reasons.alias("reasons"), design.alias("design")), "claim-slices")
+    slice_rules = by_slice.filter(F.size("reasons") > 0).select(*CLAIM, F.explode("reasons").alias("reason"), F.col("slice_id").alias("cited"))
+    backing = by_slice.select(*CLAIM, F.explode("observed").alias("id"), "aligned").groupBy(*CLAIM, "id").agg(F.count("*").alias("n"), F.count_if("aligned").alias("m"))
+    backing = backing.select(*CLAIM, F.explode(tx.reasons((F.col("m") == 0, "observation-not-backed"), (F.col("m") < F.col("n"), "observation-slices-missing"))).alias("reason"), F.col("id").alias("cited"))
+    missing = rows.filter(F.col("info").isNull() & F.col("role").isin("bundle", "observation")).select(*CLAIM, F.concat(F.lit("unknown-"), "role").alias("reason"), F.col("id").alias("cited"))
+
+    # Claim-level rules: one aggregate over the facts and the slices that are design documents.
+    seen = rows.filter(F.col("role").isin("bundle", "observation")).select(*CLAIM, (role("bundle") & (F.col("info") == "explicit")).alias("explicit"), F.when(role("observation") & F.col("info").isNotNull(), sg.rank(F.col("info"))).alias("rank"), F.lit(False).alias("design"))
+    seen = seen.unionByName(by_slice.filter("design").select(*CLAIM, F.lit(False).alias("explicit"), F.lit(None).cast("int").alias("rank"), F.lit(True).alias("design")))
+    seen = seen.groupBy(*CLAIM).agg(F.bool_or("explicit").alias("explicit_bundle"), F.bool_or("design").alias("design_slice"), F.min("rank").alias("weakest"))
+    j = claims.select(*CLAIM, "status", "confidence", "n_limitations", *[F.size(c).alias(f"n_{c}") for c in ("slice_ids", "bundle_ids", "observation_ids")]).join(seen, CLAIM, "left")
     no = F.lit(False)
     status, conf = F.col("status"), F.col("confidence")
-    empty = F.size("slice_ids") == 0
     limit = sg.ceiling(F.coalesce("weakest", F.lit(0)))
     per_claim = j.select(*CLAIM, F.explode(tx.reasons(
-        ((status != "unknown") & (F.size("bundle_ids") == 0), "no-bundle"), ((status != "unknown") & (F.size("observation_ids") == 0), "no-observation"),
+        ((status != "unknown") & (F.col("n_bundle_ids") == 0), "no-bundle"), ((status != "unknown") & (F.col("n_observation_ids") == 0), "no-observation"),
         ((status == "explicit") & ~F.coalesce("explicit_bundle", no), "explicit-without-explicit-bundle"),
         ((status == "explicit") & ~F.coalesce("design_slice", no), "explicit-without-design-document"),
-        (status.isin("explicit", "observed", "inferred") & empty, "no-supporting-evidence"),
+        (status.isin("explicit", "observed", "inferred") & (F.col("n_slice_ids") == 0), "no-supporting-evidence"),
         (status.isin("observed", "inferred") & (conf > limit), "confidence-above-ceiling"),
         ((status == "inferred") & (F.col("n_limitations") == 0), "inferred-without-limitations"), ((status == "inferred") & (conf > 0.8), "inferred-confidence"),
         ((status == "unknown") & (F.col("n_limitations") == 0), "unknown-without-limitations"), ((status == "unknown") & (conf > 0.2), "unknown-confidence"))).alias("reason"),
-        none.alias("cited"))
-    out = per_claim
-    for part in (unknown_bundle, bad_slice, unknown_obs, partial, lonely, both):
-        out = out.unionByName(part)
-    return out
+        F.lit("").alias("cited"))
+    return per_claim.unionByName(missing).unionByName(slice_rules).unionByName(backing)
 
 
 def common_evidence(claims: DataFrame) -> DataFrame:
@@ -87,16 +105,17 @@ def concept_lineage(concepts: DataFrame, concept_claims: DataFrame, concept_slic
     key = ["concept_no"]
     links = concept_claims.select("concept_no", "claim_id")
     c = claims.select("claim_id", "status", "slice_ids", "observation_ids")
-    joined = links.distinct().join(c, "claim_id", "left")
+    counted = links.groupBy("concept_no", "claim_id").agg(F.count("*").alias("n"))
+    joined = landed(counted.join(c, "claim_id", "left"), "concept-claims")
     unknown_claim = joined.filter("status is null").select(*key, F.lit("unknown-claim").alias("reason"), F.col("claim_id").alias("cited"))
-    repeated = links.groupBy("concept_no", "claim_id").agg(F.count("*").alias("n")).filter("n > 1").select(
-        *key, F.lit("duplicate-claim").alias("reason"), F.col("claim_id").alias("cited"))
-    bare = concepts.select(*key).join(links.select(*key).distinct(), key, "left_anti").select(*key, F.lit("no-claims").alias("reason"), F.lit("").alias("cited"))
+    repeated = joined.filter("n > 1").select(
+        *key, F.lit("duplicate-claim").alias("reason"), F.col("claim_id").alias("cited")).distinct()
+    bare = concepts.select(*key).join(joined.select(*key).distinct(), key, "left_anti").select(*key, F.lit("no-claims").alias("reason"), F.lit("").alias("cited"))
     mine = joined.filter("status is not null")
-    from_claims = mine.select(*key, F.explode("slice_ids").alias("slice_id")).distinct()
-    own = concept_slices.select(*key, "slice_id").distinct()
-    extra = own.join(from_claims, [*key, "slice_id"], "left_anti").select(*key, F.lit("evidence-not-from-claims").alias("reason"), F.col("slice_id").alias("cited"))
-    omitted = from_claims.join(own, [*key, "slice_id"], "left_anti").select(*key, F.lit("claim-evidence-omitted").alias("reason"), F.col("slice_id").alias("cited"))
+    # Both sides of the comparison in one aggregate: what only one of them holds is a violation.
+    both = mine.select(*key, F.explode("slice_ids").alias("slice_id"), F.lit(False).alias("own")).unionByName(concept_slices.select(*key, "slice_id", F.lit(True).alias("own")))
+    sides = both.groupBy(*key, "slice_id").agg(F.bool_and("own").alias("only_own"), F.bool_or("own").alias("own")).filter("only_own or not own")
+    uneven = sides.select(*key, F.when(F.col("own"), "evidence-not-from-claims").otherwise("claim-evidence-omitted").alias("reason"), F.col("slice_id").alias("cited"))
     status = mine.groupBy(*key).agg(F.bool_or(F.col("status") == "unknown").alias("any_unknown"), F.bool_or(F.col("status") == "inferred").alias("any_inferred"))
     seen = mine.select(*key, F.explode("observation_ids").alias("observation_id")).distinct().join(observations.select("observation_id", "section", "strength"), "observation_id").filter(
         "strength <> 'missing'")
@@ -119,7 +138,7 @@ def concept_lineage(concepts: DataFrame, concept_claims: DataFrame, concept_slic
         (~inferred & (F.col("kind") == "specification") & lacks(["failureSemantics"]), "no-failure-section"),
         (~inferred & (F.col("kind") == "test") & lacks(["testConcepts"]), "no-test-section"))
     out = live.select(*key, F.explode(rules).alias("reason"), F.lit("").alias("cited"))
-    for part in (unknown_claim, repeated, bare, extra, omitted):
+    for part in (unknown_claim, repeated, bare, uneven):
         out = out.unionByName(part)
     return out
 
