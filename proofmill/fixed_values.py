@@ -181,6 +181,9 @@ STYLE_CONFIG = (
     r"(?i)(^|/)(?:tailwind\.config|theme|themes|tokens|design-tokens|styles?|palette)"
     r"(?:\.[a-z0-9_-]+)?\.(?:ts|js|mjs|cjs|json)$"
 )
+STYLE_EXTENSIONS = ["css", "scss", "sass", "less", "html", "htm", "tsx", "jsx", "vue", "svelte"]
+STYLE_CONFIG_STARTS = ["tailwind.config", "theme", "tokens", "design-tokens", "style", "palette"]
+STYLE_CONFIG_EXTENSIONS = ["ts", "js", "mjs", "cjs", "json"]
 STYLE_IGNORED_DIRS = [
     ".git", ".next", ".nuxt", "node_modules", "dist", "build", "coverage", "target", "vendor",
 ]

@@ -84,9 +84,22 @@ def decode_blobs(encoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, stripped.filter(~ok).drop("encoded").withColumn("reason", F.lit("invalid-base64")).unionByName(unreadable)
 
 
+def style_glob() -> str:
+    """A file name pattern, of any case, that holds every name the style rules accept; files it refuses are not even listed for reading."""
+    def any_case(word: str) -> str:
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+    names = [f"*.{any_case(e)}" for e in fv.STYLE_EXTENSIONS]
+    names += [f"{any_case(start)}*.{any_case(e)}" for start in fv.STYLE_CONFIG_STARTS for e in fv.STYLE_CONFIG_EXTENSIONS]
+    return "{" + ",".join(names) + "}"
+
+
 def read_workspaces(spark: SparkSession, root: str) -> DataFrame:
-    """(workspace, path, content) of every style source below `root`/<workspace>/; names are filtered before contents are read, and bytes that are not UTF-8 are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """(workspace, path, content) of every style source below `root`/<workspace>/.
+
+    Files are listed by name (`style_glob`), so contents of others are never read; bytes that are not UTF-8 are left out.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", style_glob()).load(root)
     rel = F.regexp_replace(F.substring_index("path", root.rstrip("/") + "/", -1), r"\\", "/")
     named = files.filter(rel.rlike(fv.STYLE_FILE) | rel.rlike(fv.STYLE_CONFIG))
     rows = named.select(F.substring_index(rel, "/", 1).alias("workspace"), F.regexp_replace(rel, "^[^/]*/", "").alias("path"), F.col("content").cast("string").alias("content"))

@@ -170,3 +170,49 @@ def test_refinement_keeps_marginal_evidence_and_audits_duplicates(spark):
     assert {(r.slice_id, r.status, r.gain) for r in out} == {("test", "selected", 1420), ("one", "selected", 1200)}
     roles = cover.role_coverage(kept, edges).first()
     assert roles.covered == ["contract", "invariant", "test"] and roles.missing == ["failure", "relationship"]
+
+
+def test_multi_line_strings_of_manifests(spark):
+    from proofmill.sources.manifests import python_manifest_facts
+
+    text = '''[project]
+name = """demo"""
+description = """
+several lines with a [list and "quotes"
+dependencies = ["not-this"]
+"""
+# a comment with """ and [ in it
+dependencies = [
+    "one>=1",  # why """
+    "two",
+]
+readme = ''' + "'''a\n[b\'\'\'" + '''
+
+[project.scripts]
+run = "demo:main"
+'''
+    files = spark.createDataFrame([("r", "v", "pyproject.toml", text)], "full_name string, revision string, path string, content string")
+    row = python_manifest_facts(files).first()
+    import tomllib
+
+    want = tomllib.loads(text)["project"]
+    assert (row.package_name, row.dependencies, row.scripts, row.entry_targets, row.status) == (want["name"], want["dependencies"], ["run"], ["demo:main"], "parsed")
+
+
+def test_style_names_are_listed_before_reading(spark, tmp_path):
+    import fnmatch
+    import re
+
+    from proofmill import fixed_values as fv
+    from proofmill.sources import scans
+
+    names = ["a.css", "B.SCSS", "x.vue", "tailwind.config.ts", "Theme.json", "themes.js", "tokens.dark.mjs", "design-tokens.cjs", "styles.ts", "style.json", "palette.js", "a.txt", "server.ts", "main.rs", "theme.py"]
+    glob = scans.style_glob()
+    for name in names:
+        accepted = bool(re.search(fv.STYLE_FILE, name) or re.search(fv.STYLE_CONFIG, name))
+        assert not accepted or any(fnmatch.fnmatchcase(name, g) for g in glob.strip("{}").split(",")), name
+        (tmp_path / "ws").mkdir(exist_ok=True)
+        (tmp_path / "ws" / name).write_text("x")
+    read = scans.read_workspaces(spark, str(tmp_path))
+    assert {r.path for r in read.collect()} == {n for n in names if re.search(fv.STYLE_FILE, n) or re.search(fv.STYLE_CONFIG, n)}
+    assert not any(f.endswith((".txt", ".rs", ".py", "server.ts")) for f in read.inputFiles())
