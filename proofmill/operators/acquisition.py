@@ -12,7 +12,7 @@ from proofmill import fixed_values as fv
 from proofmill.functions import paths as pt
 from proofmill.functions.frames import at_most
 from proofmill.operators.structure import cap_per_group, category_paths, role_path_hints
-from proofmill.operators.windows import READ_ORDER, semantic_roles, with_terms
+from proofmill.operators.windows import READ_ORDER, inspected_roles, with_terms
 from proofmill.params import DEFAULT, Params
 
 READS = "full_name string, path string, read_order bigint, reasons array<string>, status string, stop_reason string, covered array<string>, missing array<string>"
@@ -36,7 +36,7 @@ def acquisition_rows(ranked: DataFrame, terms: DataFrame, evidence: DataFrame, s
     term_hit = F.exists("terms", lambda t: F.contains(F.lower("path"), t))
     hit = cap_per_group(named.filter(term_hit), ["full_name"], ["read_rank"], limit)
     reach = near.union(ends).union(hit.select(*file)).distinct()
-    roles = symbols.select(*file, F.explode_outer(semantic_roles(symbols)).alias("r")).groupBy(*file).agg(F.collect_set("r").alias("roles"))  # four role names
+    roles = symbols.select(*file, F.explode_outer(inspected_roles(symbols)).alias("r")).groupBy(*file).agg(F.collect_set("r").alias("roles"))  # four role names
     grouped = cats.groupBy(*file).agg(F.collect_set("category").alias("categories"))  # six category names
     out_edges = capped.groupBy("full_name", F.col("src").alias("path")).agg(F.array_sort(F.collect_list(F.struct("dst", "reason"))).alias("targets"))
     bad = failures.select(*file, F.lit(True).alias("failed")).distinct()

@@ -33,21 +33,42 @@ def is_public(name: Column, language: Column, visibility: Column) -> Column:
     return ~name.startswith("_") & ((language != "rust") | F.coalesce(visibility, F.lit("")).startswith("pub"))
 
 
+def told(symbols: DataFrame, name: str, default: str) -> Column:
+    """A column that only some parsers give (exported, error_signals, variants), or its default."""
+    return F.coalesce(F.col(name), F.expr(default)) if name in symbols.columns else F.expr(default)
+
+
+def public_surface(symbols: DataFrame) -> Column:
+    """Whether a declaration is exported by name, or public by the rules of its language."""
+    return told(symbols, "exported", "false") | is_public(F.col("name"), F.col("language"), F.col("visibility"))
+
+
+def failure_signals(symbols: DataFrame) -> Column:
+    """What a declaration raises, catches or signals as an error: sorted distinct names."""
+    return F.array_sort(F.array_distinct(F.concat("raises", "catches", told(symbols, "error_signals", NO_TEXT))))
+
+
 def semantic_roles(symbols: DataFrame) -> Column:
     """contract, invariant, failure, test roles of a parsed declaration."""
-    fails = (F.size("raises") > 0) | (F.size("catches") > 0) | (F.col("unsafe_count") > 0)
+    fails = (F.size(failure_signals(symbols)) > 0) | (F.col("unsafe_count") > 0)
     return tx.reasons(
-        ((F.col("role") == "implementation") & (F.col("kind") != "module")
-         & is_public(F.col("name"), F.col("language"), F.col("visibility")), "contract"),
+        ((F.col("role") == "implementation") & (F.col("kind") != "module") & public_surface(symbols), "contract"),
         (F.col("assertion_count") > 0, "invariant"), (fails, "failure"),
         ((F.col("role") == "test") & F.coalesce("has_body", F.lit(True)), "test"))
 
 
+def inspected_roles(symbols: DataFrame) -> Column:
+    """The roles that reading a file shows: as `semantic_roles`, but neither private members nor test classes count."""
+    hidden = F.coalesce(F.col("visibility").isin("private", "protected"), F.lit(False))
+    return F.filter(semantic_roles(symbols), lambda r: ~((r == "contract") & hidden) & ~((r == "test") & (F.col("kind") == "class")))
+
+
 def architecture_roles(symbols: DataFrame) -> Column:
     """The second role set, used for supplements of one file."""
-    fails = (F.size("raises") > 0) | (F.size("catches") > 0) | (F.col("unsafe_count") > 0)
+    fails = (F.size(failure_signals(symbols)) > 0) | (F.col("unsafe_count") > 0)
     return tx.reasons(
-        (F.col("kind").isin("class", "struct", "union", "enum", "trait", "impl", "type"), "contract"), (F.size("fields") > 0, "data-model"),
+        (F.col("kind").isin("class", "struct", "union", "enum", "trait", "impl", "type"), "contract"),
+        ((F.size("fields") > 0) | (F.size(told(symbols, "variants", NO_TEXT)) > 0), "data-model"),
         (fails, "failure"), (F.col("kind").isin("trait", "impl") | F.exists("bases", lambda b: b.rlike("(?i)protocol|abstract|abc")), "extension-point"),
         (F.col("role").isin("test", "fixture"), "test"))
 

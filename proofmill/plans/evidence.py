@@ -167,7 +167,7 @@ def observations(v):
 @query("compile_observations")
 def _(v):
     out = observations(v)
-    return out.select("full_name", "section", "discriminator", "strength", "summary", *[F.array_join(c, "|").alias(c) for c in ("paths", "symbols", "slice_ids")])
+    return out.select("full_name", "section", "discriminator", "strength", "summary", *[F.array_join(c, "|").alias(c) for c in ("paths", "symbols", "slice_ids", "limitations")])
 
 
 oracle_view("o_contracts", f"""

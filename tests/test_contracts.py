@@ -216,3 +216,19 @@ def test_style_names_are_listed_before_reading(spark, tmp_path):
     read = scans.read_workspaces(spark, str(tmp_path))
     assert {r.path for r in read.collect()} == {n for n in names if re.search(fv.STYLE_FILE, n) or re.search(fv.STYLE_CONFIG, n)}
     assert not any(f.endswith((".txt", ".rs", ".py", "server.ts")) for f in read.inputFiles())
+
+
+def test_roles_of_exports_error_signals_and_variants(spark):
+    from proofmill.operators import windows as wn
+
+    base = "name string, language string, visibility string, role string, kind string, raises array<string>, catches array<string>, unsafe_count long, assertion_count long, has_body boolean, fields array<string>, bases array<string>"
+    more = base + ", exported boolean, error_signals array<string>, variants array<string>"
+    row = lambda name, visibility="", role="implementation", kind="function", fields=(), exported=None, signals=(), variants=(): (
+        name, "typescript", visibility, role, kind, [], [], 0, 0, True, list(fields), [], exported, list(signals), list(variants))
+    rows = [row("_hidden"), row("_shared", exported=True), row("parse", signals=["ParseError"]), row("Shape", kind="enum", variants=["Square"]), row("inner", visibility="private"), row("Suite", role="test", kind="class")]
+    full = spark.createDataFrame(rows, more)
+    found = {r.name: r for r in full.select("name", wn.semantic_roles(full).alias("s"), wn.architecture_roles(full).alias("a"), wn.inspected_roles(full).alias("i"), wn.failure_signals(full).alias("f")).collect()}
+    assert found["_hidden"].s == [] and found["_shared"].s == ["contract"] and found["parse"].s == ["contract", "failure"] and found["parse"].f == ["ParseError"]
+    assert found["Shape"].a == ["contract", "data-model"] and found["inner"].s == ["contract"] and found["inner"].i == [] and found["Suite"].s == ["test"] and found["Suite"].i == []
+    few = spark.createDataFrame([r[:12] for r in rows], base)
+    assert {r.name: r.s for r in few.select("name", wn.semantic_roles(few).alias("s")).collect()}["_shared"] == []
