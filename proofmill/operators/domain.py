@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from proofmill.functions import text as tx
 from proofmill.params import DEFAULT, Params
+from proofmill.sources.sinks import landed
 
 
 def lexical_anchors(tasks: DataFrame, limit: int = 12) -> DataFrame:
@@ -103,17 +104,21 @@ def _index_keys(normalized: Column) -> Column:
     return F.array_distinct(F.concat(tx.tokens(normalized), cjk))
 
 
-def _lookup_key(term: Column) -> Column:
-    return F.when(tx.has_cjk(term), F.regexp_extract(term, f"({tx.CJK})", 1)).otherwise(F.split(term, " ")[0])
+def _lookup_keys(term: Column) -> Column:
+    """Keys that every text with the term has: its tokens, or a CJK character of it."""
+    return F.when(tx.has_cjk(term), F.array(F.regexp_extract(term, f"({tx.CJK})", 1))).otherwise(F.array_distinct(tx.tokens(term)))
 
 
 def match_terms(texts: DataFrame, ids: list[str], normalized: str, terms: DataFrame) -> DataFrame:
     """(ids, term) for every normalised `term` that occurs in a normalised text.
 
-    The index carries ids and tokens only; texts rejoin just the phrase candidates.
+    The index carries ids and tokens only and is landed once.  A term meets it on the rarest of its tokens; texts rejoin just the phrase
+    candidates.
     """
-    index = texts.select(*ids, F.explode(_index_keys(F.col(normalized))).alias("key"))
-    keyed = terms.select("term").distinct().filter("term <> ''").withColumn("key", _lookup_key(F.col("term")))
+    index = landed(texts.select(*ids, F.explode(_index_keys(F.col(normalized))).alias("key")), "text-index")
+    each = terms.select("term").distinct().filter("term <> ''").withColumn("key", F.explode(_lookup_keys(F.col("term"))))
+    counts = index.join(each.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    keyed = each.join(counts, "key", "left").groupBy("term").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
     hits = index.join(keyed, "key").drop("key")
     phrase = F.contains("term", F.lit(" ")) | tx.has_cjk(F.col("term"))
     single = hits.filter(~phrase)
@@ -151,9 +156,10 @@ def search_topk(queries: DataFrame, repositories: DataFrame, params: Params = DE
     usable = repositories.filter(~F.col("archived") & ~F.col("fork") & (F.col("stars") >= params.min_stars))
     docs = usable.select("full_name", "stars", F.lower("language").alias("repo_language"),
                          tx.tokens(tx.normalize_text(repository_text(usable))).alias("doc_tokens"))
+    docs = landed(docs, "search-tokens")
     index = docs.select("full_name", F.explode(F.array_distinct("doc_tokens")).alias("token"))
-    asked = (queries.select("query", F.lower("language").alias("language")).distinct()
-             .withColumn("query_tokens", tx.tokens(tx.normalize_text(F.col("query")))))
+    queries = landed(queries.select("task_id", "query_no", "query", F.lower("language").alias("language")), "search-queries")
+    asked = queries.select("query", "language").distinct().withColumn("query_tokens", tx.tokens(tx.normalize_text(F.col("query"))))
     each = asked.select("query", "language", F.explode("query_tokens").alias("token"))
     common = index.join(each.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     key = F.struct(F.coalesce("n", F.lit(0)), "token")
@@ -165,8 +171,8 @@ def search_topk(queries: DataFrame, repositories: DataFrame, params: Params = DE
     w = Window.partitionBy("query", "language").orderBy(F.desc("stars"), "full_name")
     top = (found.withColumn("hit_rank", F.row_number().over(w).cast("long"))
            .filter(F.col("hit_rank") <= params.candidate_limit).select("query", "language", "hit_rank", "full_name", "stars"))
-    q = queries.select("task_id", "query_no", "query", F.lower("language").alias("language"))
-    same = (q["query"] == top["query"]) & q["language"].eqNullSafe(top["language"])
+    q = queries.withColumnRenamed("query", "asked_query").withColumnRenamed("language", "asked_language")
+    same = (q["asked_query"] == top["query"]) & q["asked_language"].eqNullSafe(top["language"])
     return q.join(top, same).select("task_id", "query_no", "hit_rank", "full_name", "stars")
 
 

@@ -8,6 +8,7 @@ from proofmill.functions import text as tx
 from proofmill.operators import domain as dm
 from proofmill.plans import duck as d
 from proofmill.plans.registry import oracle_view, query
+from proofmill.sources.sinks import landed
 
 
 @query("normalize_text", f"select full_name, {d.norm('full_name || chr(32) || description || chr(32) || upper(description)')} as norm from v_catalog")
@@ -144,7 +145,7 @@ def _(v):
 
 
 def terms(v):
-    return v.memo("terms", lambda: dm.task_terms(v("v_tasks"), v("v_concepts")))
+    return v.memo("terms", lambda: landed(dm.task_terms(v("v_tasks"), v("v_concepts")), "terms"))
 
 
 def domain(v, repositories=None):
@@ -156,12 +157,12 @@ def domain(v, repositories=None):
 
 
 def hits(v):
-    return v.memo("hits", lambda: dm.search_topk(dm.plan_queries(v("v_tasks"), v("v_concepts")), v("v_catalog")))
+    return v.memo("hits", lambda: landed(dm.search_topk(dm.plan_queries(v("v_tasks"), v("v_concepts")), v("v_catalog")), "hits"))
 
 
 def found_domain(v):
     """Only repositories some query found are matched against the vocabulary."""
-    return v.memo("found_domain", lambda: domain(v, hits(v)))
+    return v.memo("found_domain", lambda: landed(domain(v, hits(v)), "domain"))
 
 
 def ranked(v):
