@@ -194,10 +194,10 @@ SPRIO = "case section " + " ".join(f"when '{n}' then {i}" for n, i in fv.SECTION
 
 
 @query("brief_observations", f"""
-select task_id, o.full_name, observation_id, section, strength from v_cover_selection s join v_observed o on o.full_name = s.full_name where selection_rank <= 2 and section <> 'negativeSpace' and {SRANK} >= 2
+select task_id, o.full_name, observation_id, section, strength from v_cover_selection s join v_observed o on o.full_name = s.full_name where section <> 'negativeSpace' and {SRANK} >= 2
 qualify row_number() over (partition by task_id order by {SRANK} desc, {SPRIO} desc, observation_id) <= 5""")
 def _(v):
-    return ob.brief_observations(v("v_observed"), v("v_cover_selection").filter("selection_rank <= 2"))
+    return ob.brief_observations(v("v_observed"), v("v_cover_selection"))
 
 
 # -- advisory -------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from proofmill import fixed_values as fv
 from proofmill.operators import lineage as ln
 from proofmill.operators import review as rv
+from proofmill.params import DEFAULT
 from proofmill.plans import duck as d
 from proofmill.plans.registry import oracle_view, query
 from proofmill.plans.views import VIEWS
@@ -162,14 +163,11 @@ def _(v):
 
 
 @query("cited_evidence_payload", f"""
-select pack_id, slice_id, substring(content, 1, greatest(0, 3000 - prior)) as content, greatest(0, 3000 - prior) < length(content) as truncated from (
+select pack_id, slice_id, substring(content, 1, greatest(0, {DEFAULT.payload_characters} - prior)) as content, greatest(0, {DEFAULT.payload_characters} - prior) < length(content) as truncated from (
   select c.pack_id, s.slice_id, s.content, cast(coalesce(sum(length(s.content)) over (partition by c.pack_id order by {d.dirname('s.path')}, s.path, s.start_line, s.slice_id rows between unbounded preceding and 1 preceding), 0) as bigint) as prior
   from (select distinct repository as pack_id, slice_id from v_review_slices) c join v_slices s on s.slice_id = c.slice_id)""")
 def _(v):
-    from dataclasses import replace
-
-    from proofmill.params import DEFAULT
-    return rv.cited_evidence_payload(v("v_slices"), v("v_review_slices").withColumnRenamed("repository", "pack_id"), replace(DEFAULT, payload_characters=3000))
+    return rv.cited_evidence_payload(v("v_slices"), v("v_review_slices").withColumnRenamed("repository", "pack_id"))
 
 
 # -- claims, concepts, mappings -------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from proofmill import fixed_values as fv
 from proofmill.functions import text as tx
 from proofmill.operators import style as sy
+from proofmill.params import DEFAULT
 from proofmill.plans import duck as d
 from proofmill.plans.registry import oracle_view, query
 from proofmill.sources import scans
@@ -84,7 +85,9 @@ def _(v):
     return sources(v).select("workspace", "path", F.length("content").cast("long").alias("chars"))
 
 
-WHY = "case when b.n >= 20 then 'maximum-files-reached' when 40000 - b.used <= 0 then 'maximum-characters-reached' when f.chars > 6000 or f.chars > 40000 - b.used then 'file-exceeds-remaining-character-budget' end"
+ROOM = f"{DEFAULT.workspace_characters} - b.used"
+WHY = (f"case when b.n >= {DEFAULT.workspace_files} then 'maximum-files-reached' when {ROOM} <= 0 then 'maximum-characters-reached' "
+       f"when f.chars > {DEFAULT.workspace_file_characters} or f.chars > {ROOM} then 'file-exceeds-remaining-character-budget' end")
 
 
 @query("budget_workspace_files", f"""
@@ -93,10 +96,7 @@ b as (select distinct workspace, cast(0 as bigint) as nth, cast(0 as bigint) as
   union all select f.workspace, f.nth, b.n + case when {WHY} is null then 1 else 0 end, b.used + case when {WHY} is null then f.chars else 0 end, f.path, {WHY} from b join f on f.workspace = b.workspace and f.nth = b.nth + 1)
 select workspace, path, reason from b where nth > 0""")
 def _(v):
-    from dataclasses import replace
-
-    from proofmill.params import DEFAULT
-    kept, skipped = scans.budget_workspace_files(sources(v), replace(DEFAULT, workspace_files=20, workspace_characters=40_000, workspace_file_characters=6_000))
+    kept, skipped = scans.budget_workspace_files(sources(v))
     return kept.select("workspace", "path", F.lit(None).cast("string").alias("reason")).unionByName(skipped)
 
 

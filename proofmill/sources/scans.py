@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from proofmill import fixed_values as fv
 from proofmill.functions import text as tx
-from proofmill.functions.frames import at_most
 from proofmill.params import DEFAULT, Params
 
 RAW_REPOSITORY = (
@@ -127,24 +126,31 @@ def scan_workspaces(files: DataFrame, params: Params = DEFAULT) -> tuple[DataFra
 
 def budget_workspace_files(sources: DataFrame, params: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Keep files in path order within file and character budgets; a file that does not
-    fit is skipped and later ones may still fit.  Folds over (path, length) only; the
-    candidate limit bounds each list, and content is joined back afterwards."""
+    fit is skipped and later ones may still fit.
+
+    Whether a file fits depends on every file kept before it, so the choice is one walk over a workspace's
+    (path, length) pairs that remembers the kept paths only (`workspace_files` at most); reasons follow from
+    running sums over what was kept, and content is joined back afterwards.
+    """
     sizes = sources.select("workspace", "path", F.length("content").alias("chars"))
     w = Window.partitionBy("workspace").orderBy("path")
-    bounded = sizes.withColumn("nth", F.row_number().over(w)).filter(at_most(F.col("nth"), params.workspace_candidates))
+    bounded = sizes if params.workspace_candidates is None else sizes.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= params.workspace_candidates).drop("nth")
     listed = bounded.groupBy("workspace").agg(F.array_sort(F.collect_list(F.struct("path", "chars"))).alias("files"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"),
-                     F.array().cast("array<struct<path:string,reason:string>>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
+
+    def reason(n: Column, used: Column, chars: Column) -> Column:
+        left = F.lit(params.workspace_characters) - used
+        return (F.when(n >= params.workspace_files, "maximum-files-reached").when(left <= 0, "maximum-characters-reached")
+                .when((chars > params.workspace_file_characters) | (chars > left), "file-exceeds-remaining-character-budget"))
 
     def step(acc: Column, f: Column) -> Column:
-        left = F.lit(params.workspace_characters) - acc["used"]
-        reason = (F.when(acc["n"] >= params.workspace_files, "maximum-files-reached")
-                  .when(left <= 0, "maximum-characters-reached")
-                  .when((f["chars"] > params.workspace_file_characters) | (f["chars"] > left), "file-exceeds-remaining-character-budget"))
-        kept = reason.isNull().cast("int")
-        return F.struct((acc["n"] + kept).alias("n"), (acc["used"] + kept * f["chars"]).alias("used"),
-                        F.array_append(acc["out"], F.struct(f["path"].alias("path"), reason.alias("reason"))).alias("out"))
-
-    judged = listed.select("workspace", F.inline(F.aggregate("files", start, step)["out"]))
+        fits = reason(F.size(acc["kept"]), acc["used"], f["chars"]).isNull()
+        return F.when(fits, F.struct((acc["used"] + f["chars"]).alias("used"), F.array_append(acc["kept"], f["path"]).alias("kept"))).otherwise(acc)
+
+    chosen = listed.select("workspace", F.explode(F.aggregate("files", start, step)["kept"]).alias("path")).withColumn("kept", F.lit(1))
+    marked = bounded.join(chosen, ["workspace", "path"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    judged = marked.withColumns({"n": F.coalesce(F.sum("kept").over(before), F.lit(0)), "used": F.coalesce(F.sum(F.col("kept") * F.col("chars")).over(before), F.lit(0))})
+    judged = judged.select("workspace", "path", F.when(F.col("kept") == 0, reason(F.col("n"), F.col("used"), F.col("chars"))).alias("reason"))
     kept = sources.join(judged.filter("reason is null").select("workspace", "path"), ["workspace", "path"], "left_semi")
     return kept, judged.filter("reason is not null")
