@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from proofmill import fixed_values as fv
@@ -250,6 +248,6 @@ def _(v):
     evidence = st.text_evidence(readable, v("v_symbols"))
     edges = v("v_relations").select("full_name", "src", "dst", F.concat(F.lit("import-target:"), "src").alias("reason"))
     rows = aq.acquisition_rows(ranked, v("v_terms"), evidence, v("v_symbols"), edges, failures)
-    out = aq.acquire_role_evidence(rows, replace(DEFAULT, atlas_characters=60_000))
+    out = aq.acquire_role_evidence(rows)
     return out.select("full_name", "path", "read_order", F.array_join("reasons", "|").alias("reasons"), "status", "stop_reason", F.array_join("covered", "|").alias("covered"),
                       F.array_join("missing", "|").alias("missing"))
