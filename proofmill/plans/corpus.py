@@ -85,9 +85,7 @@ VIEWS["v_encoded"] = {
 select full_name, path, case when ok then sha256(decode(from_base64(e))) end as content_hash, case when not ok then 'invalid-base64' end as reason from (
   select full_name, path, regexp_replace(encoded, '\\s+', '', 'g') as e, length(regexp_replace(encoded, '\\s+', '', 'g')) % 4 = 0 and regexp_matches(regexp_replace(encoded, '\\s+', '', 'g'), '^[A-Za-z0-9+/]*={0,2}$') as ok from v_encoded)""")
 def _(v):
-    good, bad = scans.decode_blobs(v("v_encoded"))
-    return good.select("full_name", "path", F.sha2("content", 256).alias("content_hash"), F.lit(None).cast("string").alias("reason")).unionByName(
-        bad.select("full_name", "path", "reason"), allowMissingColumns=True)
+    return scans.judged_blobs(v("v_encoded")).select("full_name", "path", F.sha2("content", 256).alias("content_hash"), "reason")
 
 
 VIEWS["v_odd_paths"] = """

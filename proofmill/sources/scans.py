@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofmill import fixed_values as fv
 from proofmill.functions import text as tx
+from proofmill.functions.frames import stage
 from proofmill.params import DEFAULT, Params
 
 RAW_REPOSITORY = (
@@ -71,16 +72,24 @@ def scan_trees(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, judged.filter(F.size("reasons") > 0).select("full_name", "revision", F.explode("reasons").alias("reason"))
 
 
+def judged_blobs(encoded: DataFrame) -> DataFrame:
+    """Every encoded file with its content, or with the reason why it has none; white space is stripped, the shape checked and the text
+    decoded once per file."""
+    bare = stage(encoded, bare=F.regexp_replace("encoded", f"{tx.SPACES}+", "")).drop("encoded")
+    n = F.octet_length("bare")  # a text of the right shape is ASCII
+    ok = (n > 0) & (n % 4 == 0) & F.col("bare").rlike(r"^[A-Za-z0-9+/]*={0,2}$")
+    raw = stage(bare, raw=F.when(ok, F.struct(F.try_to_binary("bare", F.lit("base64")).cast("string").alias("text")))).drop("bare")
+    judged = stage(raw, reason=F.when(F.col("raw").isNull(), "invalid-base64").when(~F.coalesce(F.is_valid_utf8("raw.text"), F.lit(False)), "invalid-utf8"))
+    return judged.withColumn("content", F.when(F.col("reason").isNull(), F.col("raw.text"))).drop("raw")
+
+
 def decode_blobs(encoded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Base64 text -> string after white space is stripped and the shape is checked; bytes that are not UTF-8 are set aside."""
-    stripped = encoded.withColumn("encoded", F.regexp_replace("encoded", f"{tx.SPACES}+", ""))
-    ok = F.coalesce((F.length("encoded") > 0) & (F.length("encoded") % 4 == 0)
-                    & F.col("encoded").rlike(r"^[A-Za-z0-9+/]*={0,2}$"), F.lit(False))
-    decoded = stripped.filter(ok).withColumn("raw", F.try_to_binary("encoded", F.lit("base64")).cast("string")).drop("encoded")
-    readable = F.coalesce(F.is_valid_utf8("raw"), F.lit(False))
-    good = decoded.filter(readable).withColumnRenamed("raw", "content")
-    unreadable = decoded.filter(~readable).drop("raw").withColumn("reason", F.lit("invalid-utf8"))
-    return good, stripped.filter(~ok).drop("encoded").withColumn("reason", F.lit("invalid-base64")).unionByName(unreadable)
+    """Base64 text -> string after white space is stripped and the shape is checked; bytes that are not UTF-8 are set aside.
+
+    Each of the two reads `judged_blobs`; who wants both in one pass reads that.
+    """
+    judged = judged_blobs(encoded)
+    return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null").drop("content")
 
 
 def style_glob() -> str:
