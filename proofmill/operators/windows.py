@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,6 +161,23 @@ def best_line_window(blobs: DataFrame, terms: DataFrame, max_lines: int = 60) ->
                        F.coalesce("best.score", F.lit(1)).cast("long").alias("relevance"))
 
 
+def with_text(rows: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
+    """Line ranges of files with their `text`, the number of lines of the file and `columns` of it.
+
+    The ranges of a file meet its lines as one list, so the lines are not copied to every range.
+    """
+    file = ["full_name", "path"]
+    own = [c for c in rows.columns if c not in file]
+    listed = rows.groupBy(*file).agg(F.collect_list(F.struct(*own)).alias("ranges"))
+    lined = texts.select(*file, *columns, tx.lines(F.col("content")).alias("all_lines"))
+
+    def cut(r: Column) -> Column:
+        text = F.array_join(F.slice("all_lines", r["start_line"].cast("int"), (r["end_line"] - r["start_line"] + 1).cast("int")), "\n")
+        return F.struct(*[r[c].alias(c) for c in own], F.size("all_lines").alias("file_lines"), text.alias("text"))
+
+    return listed.join(lined, file).select(*file, *columns, F.inline(F.transform("ranges", cut)))
+
+
 def best_symbol_window(symbols: DataFrame, blobs: DataFrame, terms: DataFrame, max_lines: int = 60) -> DataFrame:
     """Best complete declaration of each parsed file, by the rules of its language."""
     length = F.col("end_line") - F.col("start_line") + 1
@@ -170,9 +186,8 @@ def best_symbol_window(symbols: DataFrame, blobs: DataFrame, terms: DataFrame, m
     fits = (length <= max_lines) & (
         ((lang == "python") & (~pt.is_test(p) | ((role == "test") & (kind != "class") & body)))
         | ((lang == "rust") & (kind != "module") & ((role != "test") | body)) | ((lang == "typescript") & (length >= 2)))
-    rows = symbols.filter(fits).join(blobs.select("full_name", "path", tx.lines(F.col("content")).alias("all_lines")), ["full_name", "path"])
-    text = F.array_join(F.expr("slice(all_lines, int(start_line), int(end_line - start_line + 1))"), "\n")
-    rows = stage(with_terms(rows, terms).withColumn("text", text).drop("all_lines"),
+    narrow = symbols.filter(fits).select("full_name", "revision", "path", "name", "kind", "language", "role", "visibility", "start_line", "end_line")
+    rows = stage(with_terms(with_text(narrow, blobs), terms),
                  body_norm=tx.normalize_text(F.col("text")), name_norm=tx.normalize_text(F.col("name")))
 
     def phrase(where: str) -> Column:
@@ -193,42 +208,36 @@ def best_symbol_window(symbols: DataFrame, blobs: DataFrame, terms: DataFrame, m
             "full_name", "revision", "path", "b.*")
 
 
-SUPPLEMENT = "full_name string, path string, name string, start_line bigint, end_line bigint, relevance bigint, role string"
 ROLE_RELEVANCE = {"contract": 3, "data-model": 4, "failure": 6, "extension-point": 5, "test": 7}
 
 
-def _supplements(max_lines: int, max_windows: int):
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        spans = [(first.primary_start, first.primary_end)]
-        inside = pdf[(pdf.start_line >= spans[0][0]) & (pdf.end_line <= spans[0][1])]
-        seen = {r for roles in inside.roles for r in roles}
-        usable = pdf[pdf.has_body & (pdf.end_line - pdf.start_line < max_lines)].sort_values(["hidden", "start_line", "name"])
-        out = []
-        for role in fv.ARCHITECTURE_ROLES:
-            if len(spans) >= max_windows or role in seen:
-                continue
-            for s in usable.itertuples(index=False):
-                if role in s.roles and all(s.end_line < a or b < s.start_line for a, b in spans):
-                    out.append((s.full_name, s.path, s.name, s.start_line, s.end_line, ROLE_RELEVANCE[role], role))
-                    spans.append((s.start_line, s.end_line))
-                    seen.update(s.roles)
-                    break
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SUPPLEMENT.split(", ")])
-
-    return pick
-
-
 def supplement_windows(symbols: DataFrame, primary: DataFrame, max_lines: int = 60, max_windows: int = 4) -> DataFrame:
     """Further declarations of a file for roles the primary window lacks: with it at most `max_windows` windows.
 
-    Groups are the declarations of single files.
+    One role after the other takes the first declaration that has it and meets no window so far.  What a file has taken is a short list
+    on its rows, so every step is a minimum over the file, and all steps share one shuffle.
     """
-    rows = symbols.join(primary.select("full_name", "path", F.col("start_line").alias("primary_start"), F.col("end_line").alias("primary_end")), ["full_name", "path"])
-    hidden = ~is_public(F.col("name"), F.col("language"), F.col("visibility"))
-    narrow = rows.select("full_name", "path", "name", "start_line", "end_line", F.coalesce("has_body", F.lit(True)).alias("has_body"),
-                         hidden.alias("hidden"), architecture_roles(rows).alias("roles"), "primary_start", "primary_end")
-    return narrow.groupBy("full_name", "path").applyInPandas(_supplements(max_lines, max(1, max_windows)), SUPPLEMENT)
+    rows = symbols.join(primary.select("full_name", "path", F.struct(F.col("start_line").cast("long").alias("a"), F.col("end_line").cast("long").alias("b")).alias("main")), ["full_name", "path"])
+    file = Window.partitionBy("full_name", "path")
+    c = F.col
+    hidden = ~is_public(c("name"), c("language"), c("visibility"))
+    usable = F.coalesce("has_body", F.lit(True)) & (c("end_line") - c("start_line") < max_lines)
+    rows = rows.select("full_name", "path", F.min("main").over(file).alias("main"), usable.alias("usable"), F.struct(
+        hidden.alias("hidden"), c("start_line").cast("long").alias("start_line"), "name", c("end_line").cast("long").alias("end_line"), architecture_roles(rows).alias("roles")).alias("s"))
+    inside = (c("s.start_line") >= c("main.a")) & (c("s.end_line") <= c("main.b"))
+    rows = rows.withColumns({"spans": F.array("main"), "seen": F.array_compact(F.array(*[
+        F.when(F.max(inside & F.array_contains("s.roles", role)).over(file), F.lit(role)) for role in fv.ARCHITECTURE_ROLES]))})
+    for n, role in enumerate(fv.ARCHITECTURE_ROLES):
+        apart = F.forall("spans", lambda x: (c("s.end_line") < x["a"]) | (x["b"] < c("s.start_line")))
+        fits = (F.size("spans") < max(1, max_windows)) & ~F.array_contains("seen", role) & c("usable") & F.array_contains("s.roles", role) & apart
+        rows = rows.withColumn(f"took{n}", F.min(F.when(fits, c("s"))).over(file))
+        took = c(f"took{n}")
+        rows = rows.withColumns({
+            "spans": F.when(took.isNull(), c("spans")).otherwise(F.array_append("spans", F.struct(took["start_line"].alias("a"), took["end_line"].alias("b")))),
+            "seen": F.when(took.isNull(), c("seen")).otherwise(F.array_union("seen", took["roles"]))})
+    picks = F.array(*[F.struct(c(f"took{n}").alias("s"), F.lit(ROLE_RELEVANCE[role]).cast("long").alias("relevance"), F.lit(role).alias("role")) for n, role in enumerate(fv.ARCHITECTURE_ROLES)])
+    files = rows.groupBy("full_name", "path").agg(F.first(F.filter(picks, lambda p: p["s"].isNotNull())).alias("picks"))
+    return files.select("full_name", "path", F.inline("picks")).select("full_name", "path", "s.name", "s.start_line", "s.end_line", "relevance", "role")
 
 
 def candidate_windows(ranked: DataFrame, blobs: DataFrame, symbols: DataFrame, imports: DataFrame, relations: DataFrame, terms: DataFrame,
@@ -277,10 +286,8 @@ def candidate_windows(ranked: DataFrame, blobs: DataFrame, symbols: DataFrame, i
         *span).distinct().withColumn("anchor", F.lit(True))
     has_test = sym.groupBy(*file).agg(F.bool_or(F.col("role") == "test").alias("file_has_test"))
     rows = (first.join(held, span, "left").join(anchored, span, "left").join(parsed, file, "left").join(has_test, file, "left").join(chosen, file)
-            .join(texts.select(*file, "revision", tx.lines(F.col("content")).alias("all_lines")), file)
             .na.fill(False, ["impl", "test", "bodied_test", "test_function", "anchor", "parsed", "file_has_test"]).na.fill(0, ["held"]))
-    rows = rows.filter(F.col("end_line") <= F.size("all_lines")).withColumn(
-        "content", F.array_join(F.expr("slice(all_lines, int(start_line), int(end_line - start_line + 1))"), "\n")).drop("all_lines")
+    rows = with_text(rows, texts, "revision").filter(F.col("end_line") <= F.col("file_lines")).withColumnRenamed("text", "content")
     rows = rows.filter(~tx.is_blank(F.col("content")))
     p, c = F.col("path"), F.col("content")
     rust, python = p.rlike(fv.RUST_FILE), p.rlike(fv.PYTHON_FILE)

@@ -18,3 +18,22 @@ def test_encoded_files_are_stripped_and_decoded_once(spark):
     assert optimized(judged).count("regexp_replace") == 1
     good, bad = scans.decode_blobs(rows)
     assert [tuple(r) for r in good.collect()] == [("a", "hi")] and bad.count() == 4
+
+
+def test_supplements_and_texts_need_no_python_group_and_no_copied_lines(spark):
+    from proofmill.operators import windows
+
+    shape = ("full_name string, revision string, path string, name string, kind string, language string, role string, visibility string, start_line bigint, end_line bigint, has_body boolean, "
+             "raises array<string>, catches array<string>, bases array<string>, fields array<string>, assertion_count bigint, unsafe_count bigint")
+    one = lambda name, kind, at, role="implementation", **k: ("r", "r1", "f", name, kind, "python", role, None, at, at + 4, True, k.get("raises", []), [], k.get("bases", []), k.get("fields", []), 0, 0)
+    symbols = spark.createDataFrame([one("main", "class", 1), one("_late", "function", 10, raises=["X"]), one("fails", "function", 20, raises=["X"], fields=["a"]), one("over", "function", 22, fields=["a"]),
+                                     one("Base", "class", 30, bases=["Protocol"]), one("t", "function", 40, role="test")], shape)
+    primary = spark.createDataFrame([("r", "f", 1, 5)], "full_name string, path string, start_line bigint, end_line bigint")
+    out = windows.supplement_windows(symbols, primary)
+    assert sorted((r.name, r.start_line, r.role, r.relevance) for r in out.collect()) == [("Base", 30, "extension-point", 5), ("fails", 20, "data-model", 4), ("t", 40, "test", 7)]
+    assert len(windows.supplement_windows(symbols, primary, max_windows=2).collect()) == 1
+    assert "Pandas" not in optimized(out)
+    texts = spark.createDataFrame([("r", "f", "a\nb\nc")], "full_name string, path string, content string")
+    ranges = spark.createDataFrame([("r", "f", 1, 2), ("r", "f", 3, 3)], "full_name string, path string, start_line bigint, end_line bigint")
+    cut = windows.with_text(ranges, texts)
+    assert sorted((r.start_line, r.text, r.file_lines) for r in cut.collect()) == [(1, "a\nb", 3), (3, "c", 3)]
