@@ -6,12 +6,13 @@ the ids it needs and equi-joins, so work follows the number of citations.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmill import fixed_values as fv
 from proofmill.functions import strength as sg
 from proofmill.functions import text as tx
+from proofmill.functions.frames import stage
 from proofmill.sources.sinks import landed
 
 CLAIM = ["concept_no", "claim_id"]
@@ -30,61 +31,78 @@ def citations(claims: DataFrame) -> DataFrame:
     return claims.select(*CLAIM, "status", F.explode(F.concat(*parts)).alias("c")).select(*CLAIM, "status", "c.role", "c.id", "c.both")
 
 
+def _world(bundles: DataFrame, bundle_slices: DataFrame, slices: DataFrame, observations: DataFrame, observation_slices: DataFrame) -> DataFrame:
+    """What can be cited, one row per (kind, id): whether it is known, whether it is explicit (a bundle) or a design document (a slice), the
+    rank of an observation, and the slices that a bundle or an observation holds."""
+    def rows(df: DataFrame, kind: str, key: str, **columns):
+        given = {"known": F.lit(False), "explicit": F.lit(False), "rank": F.lit(None).cast("int"), "slice_id": F.lit(None).cast("string")} | columns
+        return df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), *[value.alias(name) for name, value in given.items()])
+
+    c = F.col
+    every = (rows(bundles, "bundle", "bundle_id", known=c("ceiling").isNotNull(), explicit=c("ceiling") == "explicit")
+             .unionByName(rows(slices, "slice", "slice_id", known=c("path").isNotNull(), explicit=F.coalesce(c("path").rlike(fv.DESIGN_DECISION), F.lit(False))))
+             .unionByName(rows(observations, "observation", "observation_id", known=c("strength").isNotNull(), rank=F.when(c("strength").isNotNull(), sg.rank(c("strength"))).cast("int")))
+             .unionByName(rows(bundle_slices, "bundle", "bundle_id", slice_id=c("slice_id")))
+             .unionByName(rows(observation_slices, "observation", "observation_id", slice_id=c("slice_id"))))
+    return every.groupBy("kind", "id").agg(F.bool_or("known").alias("known"), F.coalesce(F.bool_or("explicit"), F.lit(False)).alias("explicit"), F.min("rank").alias("rank"),
+                                           F.collect_set("slice_id").alias("held"))
+
+
 def claim_checks(claims: DataFrame, bundles: DataFrame, bundle_slices: DataFrame, slices: DataFrame, observations: DataFrame,
                  observation_slices: DataFrame) -> DataFrame:
     """All claim rules; one row per broken rule (CLAIM, reason, cited).
 
-    What claims cite is one table of facts, joined once with what is known of bundles, slices and observations and once with the slices
-    that bundles and observations hold.  One aggregate per cited slice decides the slice rules and whether it backs the claim's
-    observations; one per observation and one per claim decide the others.  Broken rules are an array of names in each of them.
+    Citations meet what can be cited (`_world`) in one join and come back together as one row per claim; its rules are decided on that row.
     """
-    kind = F.when(F.col("role").isin("support", "counter"), "slice").otherwise(F.col("role")).alias("kind")
-    facts = landed(citations(claims).select(*CLAIM, "status", "role", kind, "id", "both"), "citations")
-    told = bundles.select(F.lit("bundle").alias("kind"), F.col("bundle_id").alias("id"), F.col("ceiling").alias("info")).unionByName(
-        slices.groupBy(F.lit("slice").alias("kind"), F.col("slice_id").alias("id")).agg(F.max("path").alias("info"))).unionByName(
-        observations.select(F.lit("observation").alias("kind"), F.col("observation_id").alias("id"), F.col("strength").alias("info")))
-    held = bundle_slices.select(F.lit("bundle").alias("role"), F.col("bundle_id").alias("id"), "slice_id").unionByName(
-        observation_slices.select(F.lit("observation").alias("role"), F.col("observation_id").alias("id"), "slice_id"))
-    known = facts.join(told, ["kind", "id"], "left").select(*CLAIM, "status", "role", "id", "info", F.when(F.col("kind") == "slice", F.col("id")).alias("slice_id"), "both")
-    inside = facts.filter("kind <> 'slice'").join(held, ["role", "id"]).select(*CLAIM, "status", F.concat(F.lit("in-"), "role").alias("role"), "id", F.lit(None).cast("string").alias("info"), "slice_id", F.lit(False).alias("both"))
-    rows = landed(known.unionByName(inside), "claim-facts")
-
-    role = lambda name: F.col("role") == name
-    sure = F.col("status") != "unknown"
-    by_slice = rows.filter("slice_id is not null").groupBy(*CLAIM, "slice_id").agg(
-        F.count_if(role("support")).alias("support"), F.count_if(role("counter")).alias("counter"), F.count_if(role("support") & sure).alias("sure"), F.count_if(F.col("both") & sure).alias("both"),
-        F.max("info").alias("path"), F.bool_or(role("in-bundle")).alias("allowed"), F.collect_list(F.when(role("in-observation"), F.col("id"))).alias("observed"))
-    by_slice = by_slice.withColumn("aligned", (F.col("support") > 0) & F.col("allowed"))
-    # Each citation of the slice that breaks a rule is a violation of its own.
-    cites = F.col("support") + F.col("counter")
-    broken = [(F.when(F.col("path").isNull(), cites), "unknown-slice"), (F.when(~F.col("allowed"), cites), "slice-outside-bundles"),
-              (F.when(~(F.col("allowed") & (F.size("observed") > 0)), F.col("sure")), "evidence-without-observation"), (F.col("both"), "supporting-and-counter")]
-    reasons = F.concat(*[F.array_repeat(F.lit(name), F.coalesce(n, F.lit(0)).cast("int")) for n, name in broken])
-    design = (F.col("support") > 0) & F.coalesce(F.col("path").rlike(fv.DESIGN_DECISION), F.lit(False))
-    by_slice = landed(by_slice.select(*CLAIM, "slice_id", "aligned", "observed", reasons.alias("reasons"), design.alias("design")), "claim-slices")
-    slice_rules = by_slice.filter(F.size("reasons") > 0).select(*CLAIM, F.explode("reasons").alias("reason"), F.col("slice_id").alias("cited"))
-    backing = by_slice.select(*CLAIM, F.explode("observed").alias("id"), "aligned").groupBy(*CLAIM, "id").agg(F.count("*").alias("n"), F.count_if("aligned").alias("m"))
-    backing = backing.select(*CLAIM, F.explode(tx.reasons((F.col("m") == 0, "observation-not-backed"), (F.col("m") < F.col("n"), "observation-slices-missing"))).alias("reason"), F.col("id").alias("cited"))
-    missing = rows.filter(F.col("info").isNull() & F.col("role").isin("bundle", "observation")).select(*CLAIM, F.concat(F.lit("unknown-"), "role").alias("reason"), F.col("id").alias("cited"))
-
-    # Claim-level rules: one aggregate over the facts and the slices that are design documents.
-    seen = rows.filter(F.col("role").isin("bundle", "observation")).select(*CLAIM, (role("bundle") & (F.col("info") == "explicit")).alias("explicit"), F.when(role("observation") & F.col("info").isNotNull(), sg.rank(F.col("info"))).alias("rank"), F.lit(False).alias("design"))
-    seen = seen.unionByName(by_slice.filter("design").select(*CLAIM, F.lit(False).alias("explicit"), F.lit(None).cast("int").alias("rank"), F.lit(True).alias("design")))
-    seen = seen.groupBy(*CLAIM).agg(F.bool_or("explicit").alias("explicit_bundle"), F.bool_or("design").alias("design_slice"), F.min("rank").alias("weakest"))
-    j = claims.select(*CLAIM, "status", "confidence", "n_limitations", *[F.size(c).alias(f"n_{c}") for c in ("slice_ids", "bundle_ids", "observation_ids")]).join(seen, CLAIM, "left")
-    no = F.lit(False)
-    status, conf = F.col("status"), F.col("confidence")
-    limit = sg.ceiling(F.coalesce("weakest", F.lit(0)))
-    per_claim = j.select(*CLAIM, F.explode(tx.reasons(
-        ((status != "unknown") & (F.col("n_bundle_ids") == 0), "no-bundle"), ((status != "unknown") & (F.col("n_observation_ids") == 0), "no-observation"),
-        ((status == "explicit") & ~F.coalesce("explicit_bundle", no), "explicit-without-explicit-bundle"),
-        ((status == "explicit") & ~F.coalesce("design_slice", no), "explicit-without-design-document"),
-        (status.isin("explicit", "observed", "inferred") & (F.col("n_slice_ids") == 0), "no-supporting-evidence"),
-        (status.isin("observed", "inferred") & (conf > limit), "confidence-above-ceiling"),
-        ((status == "inferred") & (F.col("n_limitations") == 0), "inferred-without-limitations"), ((status == "inferred") & (conf > 0.8), "inferred-confidence"),
-        ((status == "unknown") & (F.col("n_limitations") == 0), "unknown-without-limitations"), ((status == "unknown") & (conf > 0.2), "unknown-confidence"))).alias("reason"),
-        F.lit("").alias("cited"))
-    return per_claim.unionByName(missing).unionByName(slice_rules).unionByName(backing)
+    c, no = F.col, F.lit(False)
+    kind = F.when(c("role").isin("support", "counter"), "slice").otherwise(c("role")).alias("kind")
+    facts = citations(claims).select(*CLAIM, (c("status") != "unknown").alias("sure"), "role", kind, "id", "both")
+    entry = F.struct("role", "id", "sure", "both", F.coalesce("known", no).alias("known"), F.coalesce("explicit", no).alias("explicit"), "rank",
+                     F.coalesce("held", F.expr("cast(array() as array<string>)")).alias("held"))
+    cited = facts.join(_world(bundles, bundle_slices, slices, observations, observation_slices), ["kind", "id"], "left").select(*CLAIM, entry.alias("entry"))
+    head = F.struct("status", "confidence", c("n_limitations").cast("long").alias("n_limitations"), *[F.size(name).alias(f"n_{name}") for name in ("slice_ids", "bundle_ids", "observation_ids")])
+    rows = cited.unionByName(claims.select(*CLAIM, head.alias("head")), allowMissingColumns=True).groupBy(*CLAIM).agg(
+        F.collect_list("entry").alias("entries"), F.collect_list("head").alias("heads"))
+
+    def having(*roles: str):
+        return F.filter("entries", lambda e: e["role"].isin(*roles))
+
+    rows = stage(rows, bundles=having("bundle"), seen=having("observation"), cites=having("support", "counter"), backs=having("support"))
+    rows = stage(rows, allowed=F.array_distinct(F.flatten(c("bundles.held"))), observed=F.array_distinct(F.flatten(c("seen.held"))))
+    rows = stage(rows, aligned=F.array_intersect(c("backs.id"), "allowed"), backed=F.array_distinct(F.transform("seen", lambda e: F.struct(e["id"].alias("id"), e["held"].alias("held")))))
+
+    def broken(condition, name: str, e) -> Column:
+        return F.when(condition, F.struct(F.lit(name).alias("reason"), e["id"].alias("cited")))
+
+    def rules(entries: str, *checks):
+        return F.flatten(F.transform(entries, lambda e: F.array_compact(F.array(*[broken(check(e), name, e) for check, name in checks]))))
+
+    allowed = lambda e: F.array_contains("allowed", e["id"])
+    aligned = lambda e: F.size(F.array_intersect(e["held"], c("aligned")))
+    # Each citation of a slice that breaks a rule is a violation of its own.
+    by_citation = F.concat(
+        rules("cites", (lambda e: ~e["known"], "unknown-slice"), (lambda e: ~allowed(e), "slice-outside-bundles")),
+        rules("backs", (lambda e: e["sure"] & ~(allowed(e) & F.array_contains("observed", e["id"])), "evidence-without-observation"),
+              (lambda e: e["sure"] & e["both"], "supporting-and-counter")),
+        rules("bundles", (lambda e: ~e["known"], "unknown-bundle")),
+        rules("seen", (lambda e: ~e["known"], "unknown-observation")),
+        rules("backed", (lambda e: (F.size(e["held"]) > 0) & (aligned(e) == 0), "observation-not-backed"),
+              (lambda e: aligned(e) < F.size(e["held"]), "observation-slices-missing")))
+
+    def of_claim(h):
+        status, conf = h["status"], h["confidence"]
+        limit = sg.ceiling(F.coalesce(F.array_min(F.transform("seen", lambda e: e["rank"])), F.lit(0)))
+        names = tx.reasons(
+            ((status != "unknown") & (h["n_bundle_ids"] == 0), "no-bundle"), ((status != "unknown") & (h["n_observation_ids"] == 0), "no-observation"),
+            ((status == "explicit") & ~F.exists("bundles", lambda e: e["explicit"]), "explicit-without-explicit-bundle"),
+            ((status == "explicit") & ~F.exists("backs", lambda e: e["explicit"]), "explicit-without-design-document"),
+            (status.isin("explicit", "observed", "inferred") & (h["n_slice_ids"] == 0), "no-supporting-evidence"),
+            (status.isin("observed", "inferred") & (conf > limit), "confidence-above-ceiling"),
+            ((status == "inferred") & (h["n_limitations"] == 0), "inferred-without-limitations"), ((status == "inferred") & (conf > 0.8), "inferred-confidence"),
+            ((status == "unknown") & (h["n_limitations"] == 0), "unknown-without-limitations"), ((status == "unknown") & (conf > 0.2), "unknown-confidence"))
+        return F.transform(names, lambda n: F.struct(n.alias("reason"), F.lit("").alias("cited")))
+
+    return rows.select(*CLAIM, F.inline(F.concat(F.flatten(F.transform("heads", of_claim)), by_citation)))
 
 
 def common_evidence(claims: DataFrame) -> DataFrame:

@@ -37,3 +37,16 @@ def test_supplements_and_texts_need_no_python_group_and_no_copied_lines(spark):
     ranges = spark.createDataFrame([("r", "f", 1, 2), ("r", "f", 3, 3)], "full_name string, path string, start_line bigint, end_line bigint")
     cut = windows.with_text(ranges, texts)
     assert sorted((r.start_line, r.text, r.file_lines) for r in cut.collect()) == [(1, "a\nb", 3), (3, "c", 3)]
+
+
+def test_citations_meet_what_they_cite_in_one_join(spark):
+    from proofmill.operators import lineage
+
+    claims = spark.createDataFrame([(1, "a", "observed", 0.1, 1, ["s1"], ["s1", "s9"], ["b1"], ["o1"]), (1, "b", "unknown", 0.1, 1, [], [], [], [])],
+                                   "concept_no long, claim_id string, status string, confidence double, n_limitations long, slice_ids array<string>, counter_ids array<string>, bundle_ids array<string>, observation_ids array<string>")
+    pair = lambda rows, a, b: spark.createDataFrame(rows, f"{a} string, {b} string")
+    out = lineage.claim_checks(claims, pair([("b1", "observed")], "bundle_id", "ceiling"), pair([("b1", "s1")], "bundle_id", "slice_id"), pair([("s1", "x.py"), ("s2", "y.py")], "slice_id", "path"),
+                               pair([("o1", "syntactic")], "observation_id", "strength"), pair([("o1", "s1"), ("o1", "s2")], "observation_id", "slice_id"))
+    assert sorted((r.claim_id, r.reason, r.cited) for r in out.collect()) == [
+        ("a", "observation-slices-missing", "o1"), ("a", "slice-outside-bundles", "s9"), ("a", "supporting-and-counter", "s1"), ("a", "unknown-slice", "s9")]
+    assert len(re.findall(r"\bJoin\b", optimized(out))) == 1
