@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofmill import fixed_values as fv
 from proofmill.functions import text as tx
+from proofmill.sources.sinks import landed
 
 CLASS_ATTRIBUTE = r"(?i)(?<![A-Za-z0-9_])" + fv.CLASS_ATTRIBUTE
 COLOR = fv.COLOR_LITERAL.replace("(?:WORD_END)", r"(?![A-Za-z0-9_])")
@@ -149,12 +150,14 @@ SPEC_LIMITS = {"colors": 8, "font-sizes": 8, "radii": 6}
 
 
 def style_spec_facts(metrics: DataFrame) -> DataFrame:
-    """Leading colours, type sizes and radii of a workspace, plus token count and responsiveness."""
+    """Leading colours, type sizes and radii of a workspace, plus token count and responsiveness.
+
+    The metrics are landed and read from there, as they come from whole texts; all buckets are ranked together.
+    """
+    metrics = landed(metrics.select("workspace", "bucket", "value", "count"), "style-metrics")
     w = Window.partitionBy("workspace", "bucket").orderBy(F.desc("count"), "value")
-    tops = None
-    for bucket, n in SPEC_LIMITS.items():
-        part = metrics.filter(F.col("bucket") == bucket).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
-        tops = part if tops is None else tops.unionByName(part)
+    limit = F.create_map(*[F.lit(x) for kv in SPEC_LIMITS.items() for x in kv])[F.col("bucket")]
+    tops = metrics.filter(F.col("bucket").isin(*SPEC_LIMITS)).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max(SPEC_LIMITS.values())).filter(F.col("rn") <= limit)
 
     def listed(bucket: str) -> Column:
         rows = F.array_sort(F.collect_list(F.when(F.col("bucket") == bucket, F.struct("rn", "value"))))

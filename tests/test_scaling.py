@@ -50,3 +50,12 @@ def test_citations_meet_what_they_cite_in_one_join(spark):
     assert sorted((r.claim_id, r.reason, r.cited) for r in out.collect()) == [
         ("a", "observation-slices-missing", "o1"), ("a", "slice-outside-bundles", "s9"), ("a", "supporting-and-counter", "s1"), ("a", "unknown-slice", "s9")]
     assert len(re.findall(r"\bJoin\b", optimized(out))) == 1
+
+
+def test_style_specs_read_texts_once(spark):
+    from proofmill.operators import style
+
+    sources = spark.createDataFrame([("w", "a.css", "p { color: #fff; font-size: 12px; border-radius: 4px; } h1 { font-size: 30px; font-size: 30px }"), ("v", "b.css", ".card { }")], "workspace string, path string, content string")
+    out = style.style_spec_facts(style.style_metrics(sources))
+    assert "regexp" not in optimized(out)
+    assert {(r.workspace, tuple(r.colors or ()), len(r.font_sizes or ())) for r in out.collect()} == {("w", ("#fff",), 2), ("v", (), 0)}
