@@ -59,3 +59,15 @@ def test_style_specs_read_texts_once(spark):
     out = style.style_spec_facts(style.style_metrics(sources))
     assert "regexp" not in optimized(out)
     assert {(r.workspace, tuple(r.colors or ()), len(r.font_sizes or ())) for r in out.collect()} == {("w", ("#fff",), 2), ("v", (), 0)}
+
+
+def test_tasks_with_equal_wishes_meet_repositories_once(spark):
+    from proofmill.operators import domain
+
+    concepts = spark.createDataFrame([(f"t{i}", "capability", n, name, []) for i in range(6) for n, name in enumerate(["retry budget", "json dumps" if i % 2 else "gone word"])],
+                                     "task_id string, kind string, ordinal int, name string, aliases array<string>")
+    slices = spark.createDataFrame([(f"s{i}", "r", f"p{i % 5}", ["implementation"], "a retry budget" if i % 2 else "json dumps retry") for i in range(20)],
+                                   "slice_id string, full_name string, path string, evidence_roles array<string>, content string")
+    out = domain.content_capability_coverage(concepts, slices)
+    assert {(r.task_id, r.matched, r.total, r.paths) for r in out.collect()} == {(f"t{i}", 2 if i % 2 else 1, 2, 5) for i in range(6)}
+    assert "Expand" not in optimized(out)
