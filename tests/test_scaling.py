@@ -71,3 +71,19 @@ def test_tasks_with_equal_wishes_meet_repositories_once(spark):
     out = domain.content_capability_coverage(concepts, slices)
     assert {(r.task_id, r.matched, r.total, r.paths) for r in out.collect()} == {(f"t{i}", 2 if i % 2 else 1, 2, 5) for i in range(6)}
     assert "Expand" not in optimized(out)
+
+
+def test_only_the_first_of_equal_repositories_are_searched(spark, monkeypatch):
+    from proofmill.operators import domain
+
+    kept = {}
+    real = domain.landed
+    monkeypatch.setattr(domain, "landed", lambda df, name: kept.setdefault(name, real(df, name)))
+    rows = [(f"o/r{i:03d}", "hot ring", [], 100 + i % 50, False, False, "rust" if i % 2 else None) for i in range(200)]
+    repositories = spark.createDataFrame(rows, "full_name string, description string, topics array<string>, stars long, archived boolean, fork boolean, language string")
+    queries = spark.createDataFrame([("t", 1, "hot ring", None), ("t", 2, "ring", "Rust"), ("t", 3, "cold ring", None)], "task_id string, query_no long, query string, language string")
+    got = sorted((r.query_no, r.hit_rank, r.full_name) for r in domain.search_topk(queries, repositories).collect())
+    order = sorted(rows, key=lambda r: (-r[3], r[0]))
+    want = [(1, n + 1, r[0]) for n, r in enumerate(order[:12])] + [(2, n + 1, r[0]) for n, r in enumerate([r for r in order if r[6] == "rust"][:12])]
+    assert got == want
+    assert kept["search-tokens"].count() == 24
