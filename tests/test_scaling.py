@@ -87,3 +87,12 @@ def test_only_the_first_of_equal_repositories_are_searched(spark, monkeypatch):
     want = [(1, n + 1, r[0]) for n, r in enumerate(order[:12])] + [(2, n + 1, r[0]) for n, r in enumerate([r for r in order if r[6] == "rust"][:12])]
     assert got == want
     assert kept["search-tokens"].count() == 24
+
+
+def test_score_matrix_is_one_aggregate(spark):
+    from proofmill.operators import scoring
+
+    rows = spark.createDataFrame([("t", "r", "risk", 3), ("t", "r", "domain", 5), ("t", "q", "risk", 1)], "task_id string, full_name string, dimension string, score long")
+    out = scoring.score_matrix(rows)
+    assert {(r.full_name, r.domain, r.risk, r.design) for r in out.collect()} == {("r", 5, 3, None), ("q", None, 1, None)}
+    assert optimized(out).count("Aggregate") == 1
