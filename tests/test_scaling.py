@@ -96,3 +96,14 @@ def test_score_matrix_is_one_aggregate(spark):
     out = scoring.score_matrix(rows)
     assert {(r.full_name, r.domain, r.risk, r.design) for r in out.collect()} == {("r", 5, 3, None), ("q", None, 1, None)}
     assert optimized(out).count("Aggregate") == 1
+
+
+def test_rounds_of_observations_are_one_table_and_need_no_broadcast(spark):
+    from proofmill.operators import observations
+
+    rows = spark.createDataFrame([("r", "contracts", f"d{i}", "syntactic", ["p"], [f"s{i}", f"s{i + 1}"]) for i in range(9)],
+                                 "full_name string, section string, discriminator string, strength string, paths array<string>, slice_ids array<string>")
+    out = observations.select_observations(rows, spark.createDataFrame([("s1", 5)], "slice_id string, relevance long"))
+    assert sorted(r.place for r in out.collect()) == list(range(1, 10))
+    plan = optimized(out)
+    assert plan.count("Relation") == 1 and "Union" not in plan
