@@ -107,3 +107,19 @@ def test_rounds_of_observations_are_one_table_and_need_no_broadcast(spark):
     assert sorted(r.place for r in out.collect()) == list(range(1, 10))
     plan = optimized(out)
     assert plan.count("Relation") == 1 and "Union" not in plan
+
+
+def test_packs_are_dealt_over_tasks_and_lie_in_one_file(spark, tmp_path):
+    from proofmill.sources import sinks
+
+    rows = spark.range(0, 1200, 1, 4).select((F.col("id") % 120).cast("string").alias("pack_id"), "id")
+    sinks.write_pack({"rows": rows}, str(tmp_path))
+    back = sinks.read_pack(spark, str(tmp_path), "rows").select("pack_id", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task"))
+    files = back.groupBy("pack_id").agg(F.countDistinct("task").alias("n"), F.min("task").alias("task"), F.count("*").alias("rows"))
+    assert files.filter("n <> 1 or rows <> 10").count() == 0 and files.count() == 120
+    assert files.select("task").distinct().count() == 3
+    assert spark.read.json(f"{tmp_path}/manifest").count() == 120
+    hot = spark.range(100).select(F.when(F.col("id") < 90, "hot").alias("pack_id"), "id")
+    dealt = sinks.deal_packs(hot, hot.groupBy("pack_id").agg(F.count("*").alias("rows")), "pack_id", rows=10)
+    tasks = {r["pack_id"]: r["n"] for r in dealt.withColumn("task", F.spark_partition_id()).groupBy("pack_id").agg(F.countDistinct("task").alias("n")).collect()}
+    assert tasks["hot"] > 2 and tasks[None] == 1 and sorted(r["id"] for r in dealt.collect()) == list(range(100))
