@@ -14,6 +14,7 @@ from proofmill.functions import text as tx
 from proofmill.operators.domain import match_terms
 from proofmill.operators.structure import cap_per_group
 from proofmill.params import DEFAULT, Params
+from proofmill.sources.sinks import landed
 
 KEY = ["repository", "review_no"]
 RISK = {"low": 0, "medium": 1, "high": 2}
@@ -54,7 +55,9 @@ def domain_review(reviews: DataFrame, fit_slices: DataFrame, cited_slices: DataF
     ok = F.col("is_cited").isNotNull() & (F.col("owner") == F.col("repository"))
     unbound = bound.filter(~F.coalesce(ok, F.lit(False))).select(*KEY, F.concat(F.lit("evidence-unbound:"), "slice_id").alias("reason"))
     behaving = bound.filter(ok & pt.is_behavior_code(F.col("path")))
-    texts = own.join(behaving.select("slice_id").distinct(), "slice_id", "left_semi").select("slice_id", tx.normalize_text(F.col("content")).alias("norm"))
+    # Only text of behavior code is dealt by slice, once; the cited part of it is landed, since the index and the check both read it.
+    code = own.filter(pt.is_behavior_code(F.col("path"))).select("slice_id", "content")
+    texts = landed(code.join(behaving.select("slice_id").distinct(), "slice_id", "left_semi").select("slice_id", tx.normalize_text(F.col("content")).alias("norm")), "cited-texts")
     hits = match_terms(texts, ["slice_id"], "norm", terms).select("slice_id").distinct()
     supported = behaving.join(hits, "slice_id", "left_semi").select(*KEY).distinct().withColumn("supported", F.lit(True))
     counts = fit.groupBy(*KEY).agg(F.count("*").alias("n_fit"))

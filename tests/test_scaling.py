@@ -123,3 +123,66 @@ def test_packs_are_dealt_over_tasks_and_lie_in_one_file(spark, tmp_path):
     dealt = sinks.deal_packs(hot, hot.groupBy("pack_id").agg(F.count("*").alias("rows")), "pack_id", rows=10)
     tasks = {r["pack_id"]: r["n"] for r in dealt.withColumn("task", F.spark_partition_id()).groupBy("pack_id").agg(F.countDistinct("task").alias("n")).collect()}
     assert tasks["hot"] > 2 and tasks[None] == 1 and sorted(r["id"] for r in dealt.collect()) == list(range(100))
+
+
+def test_review_lands_only_cited_code(spark, monkeypatch):
+    from proofmill.operators import review as rv
+
+    kept, real = [], rv.landed
+    monkeypatch.setattr(rv, "landed", lambda df, name: kept.append((name, sorted(r["slice_id"] for r in df.collect()))) or real(df, name))
+    reviews = spark.createDataFrame([("r", 1, "same-domain", "shares the product responsibility")], "repository string, review_no bigint, relation string, rationale string")
+    cited = spark.createDataFrame([("r", 1, "a"), ("r", 1, "b")], "repository string, review_no bigint, slice_id string")
+    slices = spark.createDataFrame([("a", "r", "src/app/m.py", "a retry"), ("b", "r", "README.md", "retry"), ("c", "r", "src/app/n.py", "retry")], "slice_id string, full_name string, path string, content string")
+    out = rv.domain_review(reviews, cited, cited, slices, spark.createDataFrame([("retry",)], "term string"), spark.createDataFrame([("r", 60)], "repository string, domain bigint"))
+    assert out.collect() == [] and kept == [("cited-texts", ["a"])]
+
+
+def test_refs_are_dealt_and_sorted_once(spark):
+    from proofmill.operators import domain
+
+    rows = spark.createDataFrame([("t", 1, "a/b"), ("t", 2, "A/b.git"), ("u", 1, "x"), ("v", 1, "c/d@r")], "task_id string, seq bigint, requested string")
+    good, bad = domain.parse_repository_refs(rows)
+    plan = domain.judged_refs(rows, rows_per_task=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and len(re.findall(r"\bSort \[", plan)) == 1 and ", 2), REPARTITION_BY_NUM" in plan
+    assert sorted(tuple(r) for r in good.collect()) == [("t", 1, "a/b", None), ("v", 1, "c/d", "r")]
+    assert sorted(tuple(r) for r in bad.collect()) == [("t", 2, "duplicate"), ("u", 1, "name-shape")]
+
+
+def test_lineage_knows_concepts_from_one_aggregate(spark):
+    from proofmill.operators import lineage
+
+    concepts = spark.createDataFrame([(1, "test"), (2, "other"), (3, "other")], "concept_no bigint, kind string")
+    links = spark.createDataFrame([(1, "c"), (1, "c"), (1, "gone")], "concept_no bigint, claim_id string")
+    claims = spark.createDataFrame([("c", "inferred", ["s"], ["o"])], "claim_id string, status string, slice_ids array<string>, observation_ids array<string>")
+    slices = spark.createDataFrame([(1, "s"), (2, "t")], "concept_no bigint, slice_id string")
+    seen = spark.createDataFrame([("o", "testConcepts", "strong")], "observation_id string, section string, strength string")
+    out = lineage.concept_lineage(concepts, links, slices, claims, seen, spark.createDataFrame([(2, "reject"), (1, "adapt")], "concept_no bigint, decision string"))
+    assert "LeftAnti" not in optimized(out)
+    assert sorted(tuple(r) for r in out.collect()) == [
+        (1, "duplicate-claim", "c"), (1, "unknown-claim", "gone"), (2, "evidence-not-from-claims", "t"), (2, "no-claims", ""), (3, "no-claims", ""), (3, "only-negative-space", "")]
+
+
+def test_texts_are_normalised_once_for_all_terms(spark):
+    from proofmill.functions import text as tx
+
+    rows = spark.createDataFrame([(1, "theStore of the"), (2, "other"), (3, None)], "id int, text string")
+    out = tx.with_terms_held(rows, "text", {"a": "the", "b": "of the", "c": "Store"}).drop("text")
+    assert {tuple(r) for r in out.collect()} == {(1, True, True, True), (2, False, False, False), (3, None, None, None)}
+    assert optimized(out).count("regexp_replace(") == 3
+
+
+def test_files_of_a_batch_leave_the_parser_in_small_parts():
+    import pyarrow as pa
+
+    from proofmill.operators import adapters
+
+    def odd(path, content):
+        if content == "broken":
+            raise KeyError(path)
+        return {"imports": [dict(module=content, names=[], level=0, line=1, scope="module", context=[])]}
+
+    batch = pa.RecordBatch.from_pylist([{"content_hash": str(i), "path": f"p{i}", "content": c} for i, c in enumerate(["a", "broken", "long text", "d", "e"])])
+    parts = list(adapters._runner(odd, 8, files=2)(iter([batch])))
+    assert [p.num_rows for p in parts] == [2, 2, 1]
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["status"] for r in rows] == ["parsed", "unavailable", "budget-exceeded", "parsed", "parsed"] and rows[0]["imports"][0]["module"] == "a"
