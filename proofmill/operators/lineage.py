@@ -123,23 +123,23 @@ def concept_lineage(concepts: DataFrame, concept_claims: DataFrame, concept_slic
     key = ["concept_no"]
     links = concept_claims.select("concept_no", "claim_id")
     c = claims.select("claim_id", "status", "slice_ids", "observation_ids")
-    counted = links.groupBy("concept_no", "claim_id").agg(F.count("*").alias("n"))
+    # Links are dealt by claim once, for their count and for the claims; what is known per concept comes from one aggregate.
+    counted = links.repartition("claim_id").groupBy("concept_no", "claim_id").agg(F.count("*").alias("n"))
     joined = landed(counted.join(c, "claim_id", "left"), "concept-claims")
     unknown_claim = joined.filter("status is null").select(*key, F.lit("unknown-claim").alias("reason"), F.col("claim_id").alias("cited"))
     repeated = joined.filter("n > 1").select(
         *key, F.lit("duplicate-claim").alias("reason"), F.col("claim_id").alias("cited")).distinct()
-    bare = concepts.select(*key).join(joined.select(*key).distinct(), key, "left_anti").select(*key, F.lit("no-claims").alias("reason"), F.lit("").alias("cited"))
     mine = joined.filter("status is not null")
     # Both sides of the comparison in one aggregate: what only one of them holds is a violation.
     both = mine.select(*key, F.explode("slice_ids").alias("slice_id"), F.lit(False).alias("own")).unionByName(concept_slices.select(*key, "slice_id", F.lit(True).alias("own")))
     sides = both.groupBy(*key, "slice_id").agg(F.bool_and("own").alias("only_own"), F.bool_or("own").alias("own")).filter("only_own or not own")
     uneven = sides.select(*key, F.when(F.col("own"), "evidence-not-from-claims").otherwise("claim-evidence-omitted").alias("reason"), F.col("slice_id").alias("cited"))
-    status = mine.groupBy(*key).agg(F.bool_or(F.col("status") == "unknown").alias("any_unknown"), F.bool_or(F.col("status") == "inferred").alias("any_inferred"))
-    seen = mine.select(*key, F.explode("observation_ids").alias("observation_id")).distinct().join(observations.select("observation_id", "section", "strength"), "observation_id").filter(
+    status = joined.groupBy(*key).agg(F.bool_or(F.col("status") == "unknown").alias("any_unknown"), F.bool_or(F.col("status") == "inferred").alias("any_inferred"), F.lit(True).alias("any_claim"))
+    seen = mine.select(*key, F.explode("observation_ids").alias("observation_id")).join(observations.select("observation_id", "section", "strength"), "observation_id").filter(
         "strength <> 'missing'")
     sections = seen.groupBy(*key).agg(F.collect_set("section").alias("sections"))  # at most eight names
     j = concepts.join(status, key, "left").join(sections, key, "left").join(mappings.select("concept_no", "decision"), key, "left")
-    live = j.filter(F.coalesce(F.col("decision") != "reject", F.lit(True)))
+    live = F.coalesce(F.col("decision") != "reject", F.lit(True))
     none = F.array().cast("array<string>")
     got = F.coalesce("sections", none)
     inferred = F.coalesce("any_inferred", F.lit(False))
@@ -155,8 +155,9 @@ def concept_lineage(concepts: DataFrame, concept_claims: DataFrame, concept_slic
         (~inferred & (F.col("kind") == "specification") & lacks(["contracts"]), "no-contract-section"),
         (~inferred & (F.col("kind") == "specification") & lacks(["failureSemantics"]), "no-failure-section"),
         (~inferred & (F.col("kind") == "test") & lacks(["testConcepts"]), "no-test-section"))
-    out = live.select(*key, F.explode(rules).alias("reason"), F.lit("").alias("cited"))
-    for part in (unknown_claim, repeated, bare, uneven):
+    bare = F.when(F.col("any_claim").isNull(), F.array(F.lit("no-claims"))).otherwise(none)
+    out = j.select(*key, F.explode(F.concat(F.when(live, rules).otherwise(none), bare)).alias("reason"), F.lit("").alias("cited"))
+    for part in (unknown_claim, repeated, uneven):
         out = out.unionByName(part)
     return out
 
