@@ -277,21 +277,28 @@ def surfaces_of(path: str) -> Surfaces:
 
 
 def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", into: str = "ids", memory_words: int = MEMORY_WORDS,
-           chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+           chunk_bytes: int = CHUNK_BYTES, round_trip: str | None = None) -> DataFrame:
     """docs with one more column `into` of piece ids (a column of that name is replaced); one pass, no shuffle.
 
-    memory_words and chunk_bytes trade memory for time; results do not depend on them.
+    round_trip names a further column: whether the ids decode to the text (a null text counts as true).  It is made in the same pass, so
+    a task needs one Python worker, not a second one for `decode`.  memory_words and chunk_bytes trade memory for time; results do not
+    depend on them.
     """
     path = model or default_model()
-    docs = docs.drop(into)
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
+    added = [T.StructField(into, T.ArrayType(T.IntegerType()))] + ([T.StructField(round_trip, T.BooleanType())] if round_trip else [])
+    docs = docs.drop(*[f.name for f in added])
+    schema = T.StructType([*docs.schema.fields, *added])
 
     def run(batches):
         encoder = encoder_of(path, memory_words)
         for part in released(chunks(batches, text_col, chunk_bytes), encoder):
-            ids, ends = encoder(part.column(text_col).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=part.column(text_col).is_null())
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, into])
+            texts = part.column(text_col).to_pylist()
+            ids, ends = encoder(texts)
+            columns = [*part.columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=part.column(text_col).is_null())]
+            if round_trip:
+                decode = encoder.vocabulary.decode
+                columns.append(pa.array([t is None or decode(ids[a:b].tolist()) == t for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist())], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -206,3 +206,14 @@ def test_a_large_record_is_read_in_bounded_memory(tmp_path):
         found, after = read_member(Watched(source, len(data), 0), 0, False)
     assert found["id"] == 7 and found["payload_bytes"] == 40_000_000 and found["payload_digest"] == base64.b32encode(hashlib.sha1(payload).digest()).decode() and after == len(data)
     assert 0 < most < 20 * warc.READ_BYTES and time.process_time() - begun < 10, (most, time.process_time() - begun)
+
+
+def test_token_ids_and_round_trip_are_one_pass(ready, awkward):
+    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars")
+    out = corpus_pipeline.token_ids(ready, docs, "")
+    assert out.columns == [*docs.columns, "ids", "round_trip"]
+    want = sentencepiece.decode(sentencepiece.encode(docs), into="decoded").withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+    key = lambda r: repr((r.doc_id, r.text, r.lang, r.ids, r.round_trip))
+    assert sorted(map(key, out.collect())) == sorted(map(key, want.collect()))
+    assert out.where("not round_trip").count() == 1 and out.where("text is null and not round_trip").count() == 0
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
