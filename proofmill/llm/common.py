@@ -17,6 +17,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Rows in one Arrow batch; with a mean text of a few kB a batch stays in the low megabytes.
 BATCH_ROWS = 512
+#: Bits of the filter that `perhaps_among` broadcasts (4 MB at most, whatever the input). Results do not depend on it.
+FILTER_BITS = 1 << 25
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -62,6 +64,22 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
+def perhaps_among(rows: DataFrame, column: str, known: DataFrame, known_column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose value may be among the known ones, so that the exact join after it shuffles few others.
+
+    A Bloom filter with one hash: bitmaps of a fixed total size are broadcast.  A row that has a partner always stays, some others do
+    (the more, the more values are known); rows without a value go.
+    """
+    slot = lambda value: F.pmod(F.xxhash64(value), F.lit(bits))
+    at = slot(F.col(known_column))
+    maps = known.where(F.col(known_column).isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    near = rows.where(F.col(column).isNotNull()).withColumn("_slot", slot(F.col(column)))
+    met = near.join(F.broadcast(maps), F.bitmap_bucket_number("_slot") == F.col("_bucket"))
+    spot = F.bitmap_bit_position("_slot")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (spot % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def bound(value: Column, use) -> Column:
     """use(value) with value computed once, wherever the optimizer moves the expression (an alias may be copied into each of its uses)."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import computed, text_or_empty, words, written
+from proofmill.llm.common import computed, perhaps_among, text_or_empty, words, written
 from proofmill.llm.near_dedup import WordHashes, mixed
 
 WINDOW = 50
@@ -228,11 +228,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = written(described(texts, window, gram), "anchors")
     classes = rows.where(F.col("id").isNotNull() & (F.col("n_words") >= window)).groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_words").alias("n_words"), F.first("anchors").alias("anchors"))
     classes = written(classes, "classes")
-    anchored = classes.select("rep", "digest", F.explode("anchors").alias("anchor"))
+    # A number stands for (rep, digest) until the anchors are known; classes that shared one would only have more windows looked at.
+    numbered = classes.select("rep", "digest", F.xxhash64("rep", "digest").alias("class_no"), "anchors")
+    anchored = numbered.select("class_no", F.explode("anchors").alias("anchor"))
     shared = anchored.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = anchored.join(shared, "anchor").groupBy("rep", "digest").agg(F.collect_list("anchor").alias("recurring"))
+    recurring = anchored.join(shared, "anchor").groupBy("class_no").agg(F.collect_list("anchor").alias("recurring"))
+    wanted = written(numbered.drop("anchors").join(recurring, "class_no").drop("class_no"), "wanted")
     several = rows.where("id is not null").groupBy(F.col("id").alias("rep"), "digest").agg((F.count("*") > 1).alias("several")).where("several")
-    met = texts.join(wanted.join(several, ["rep", "digest"], "left"), F.col("id") == F.col("rep"))
+    met = perhaps_among(texts, "id", wanted, "rep").join(wanted.join(several, ["rep", "digest"], "left"), F.col("id") == F.col("rep"))
     met = written(met.select("id", "text", "digest", "recurring", F.coalesce("several", F.lit(False)).alias("several")), "sharing")  # later steps read these texts only
     # A row given more than once counts once, or its places would cancel in the xor below.
     once = met.where("several").groupBy("id", "digest", F.array_join(words(F.col("text")), " ").alias("text")).agg(F.first("recurring").alias("recurring"))
@@ -247,7 +250,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shard = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // SHARD_WORDS)))).cast("int")
 
     starts = passages.select("h1", "h2", "first")
-    there = found.select("h1", "h2", "id").join(starts, ["h1", "h2"]).where("id > first").select("h1", "h2", "id").distinct()
+    there = perhaps_among(found.select("h1", "h2", "id"), "h1", starts, "h1").join(starts, ["h1", "h2"]).where("id > first").select("h1", "h2", "id").distinct()
     there = written(there.withColumn("shard", shard), "occurrences")
     dealt = passage_texts(sharing, passages, window).join(there.select("h1", "h2", "shard").distinct(), ["h1", "h2"])
     reps = sharing.select("id", "text").join(there.select("id").distinct(), "id", "left_semi").withColumn("shard", shard)

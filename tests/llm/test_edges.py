@@ -217,3 +217,28 @@ def test_token_ids_and_round_trip_are_one_pass(ready, awkward):
     assert sorted(map(key, out.collect())) == sorted(map(key, want.collect()))
     assert out.where("not round_trip").count() == 1 and out.where("text is null and not round_trip").count() == 0
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_filter_before_a_shuffle_loses_no_partner(ready, monkeypatch):
+    from proofmill.llm import common
+
+    known = ready.createDataFrame([(i,) for i in (0, -1, 7, 2**62, -(2**62), 63, 64, 32768, None, 7)], "k bigint")
+    rows = ready.range(-3000, 3000).unionByName(known.select(F.col("k").alias("id")))
+    for bits, most in ((common.FILTER_BITS, 14), (64, 6010)):
+        kept = [r.id for r in common.perhaps_among(rows, "id", known, "k", bits).collect()]
+        assert {0, -1, 7, 2**62, -(2**62), 63, 64} <= set(kept) and None not in kept and len(kept) <= most
+    assert common.perhaps_among(rows, "id", known.limit(0), "k").isEmpty()
+    # Only texts that share something, and only windows that may begin a passage, go into the shuffles of the joins.
+    let_in = []
+
+    def counted(found, column, *more):
+        out = common.perhaps_among(found, column, *more)
+        let_in.append((found.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(substring_dedup, "perhaps_among", counted)
+    docs = ready.createDataFrame([(i, prose(i % 60 if i in (3, 63) else i, 200)) for i in range(70)], "doc_id bigint, text string")
+    out = substring_dedup.repeated_passages(docs.unionByName(ready.createDataFrame([(100, prose(5, 90) + " other end")], "doc_id bigint, text string")))
+    assert {r.id: r.n_removed for r in out.where("n_removed > 0").collect()} == {63: 200, 100: 90}
+    (texts, met), (windows, starts) = let_in
+    assert texts == 71 and met <= 4 and starts <= 4 < windows
