@@ -46,6 +46,15 @@ def reduce_candidates(rows: DataFrame) -> DataFrame:
     return best.unionByName(rows.filter("endpoint"))
 
 
+#: Tasks over which the candidates of one task and repository are dealt when they meet its state.
+SPREAD = 8
+
+
+def _apart(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: however small it is in one round, the rounds together would send it through the driver."""
+    return side.hint("shuffle_hash")
+
+
 def _weight(feature: Column) -> Column:
     return F.when(feature.startswith("modality:"), 1000).when(feature.startswith("role:"), 200).when(
         feature == "relationship:anchor", 80).when(feature == "relationship:target", 40).otherwise(20)
@@ -68,8 +77,8 @@ def _backed(live: DataFrame, state: DataFrame, edges: DataFrame) -> DataFrame:
     own = ends.filter("src = dst")
     near = live.filter("endpoint").select("task_id", "full_name", "slice_id", "path", "start_line", "end_line", "chosen")
     files = state.filter("going").select("task_id", "full_name", F.explode(F.array_distinct(F.col("chosen.path"))).alias("other"))
-    open_ends = files.join(ends.filter("src <> dst"), ["full_name", "other"])
-    met = near.join(open_ends, ["task_id", "full_name", "path"]).unionByName(near.join(own, ["full_name", "path"]).select(*near.columns, "other", "src", "dst", "s", "e"))
+    open_ends = _apart(files).join(ends.filter("src <> dst"), ["full_name", "other"])
+    met = near.join(_apart(open_ends), ["task_id", "full_name", "path"]).unionByName(near.join(_apart(own), ["full_name", "path"]).select(*near.columns, "other", "src", "dst", "s", "e"))
     mine = F.transform(F.filter("chosen", lambda c: c["path"] == F.col("src")), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))
     it = F.array(F.struct(F.col("start_line").alias("s"), F.col("end_line").alias("e")))
     spans = F.when(F.col("path") == F.col("src"), F.concat(mine, it)).otherwise(mine)
@@ -84,13 +93,14 @@ def _pick(state: DataFrame, pool: DataFrame, edges: DataFrame | None) -> DataFra
     Weights are recomputed for all candidates that still fit; the best is a minimum with partial aggregates, so the candidates of
     one task are spread over many tasks of the cluster and one row each leaves them.
     """
-    live = pool.join(state.filter("going").select("task_id", "full_name", "room", "covered", "chosen"), ["task_id", "full_name"]).filter(
+    going = state.filter("going").select("task_id", "full_name", "room", "covered", "chosen", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("share"))
+    live = pool.withColumn("share", F.pmod(F.xxhash64("slice_id"), F.lit(SPREAD)).cast("int")).join(_apart(going), ["task_id", "full_name", "share"]).drop("share").filter(
         (F.col("chars") <= F.col("room")) & ~F.exists("chosen", lambda c: c["slice_id"] == F.col("slice_id")))
     gained = F.filter("features", lambda f: ~F.array_contains("covered", f))
     if edges is None:
         rows = live.withColumn("gained", gained)
     else:
-        rows = live.join(_backed(live, state, edges), ["task_id", "slice_id"], "left").na.fill(0, ["as_source", "as_target", "as_both"])
+        rows = live.join(_apart(_backed(live, state, edges)), ["task_id", "slice_id"], "left").na.fill(0, ["as_source", "as_target", "as_both"])
         new = lambda name: ~F.array_contains("covered", name)
         backs = (F.col("as_source") + F.col("as_target") > 0) & new("role:relationship")
         anchors = F.col("anchor") & (F.col("out_edges") > F.col("as_source")) & new("relationship:anchor")
@@ -103,7 +113,7 @@ def _pick(state: DataFrame, pool: DataFrame, edges: DataFrame | None) -> DataFra
     best = rows.groupBy("task_id").agg(F.min(rank).alias("b"))
     took = F.coalesce(F.col("b.loss") < 0, F.lit(False))
     item = F.struct("b.slice_id", "b.path", F.col("b.start_line").alias("s"), F.col("b.end_line").alias("e"), (-F.col("b.loss")).alias("gain"), F.col("b.gained").alias("gains"), F.col("b.chars").alias("chars"))
-    return state.join(best, "task_id", "left").select(
+    return state.join(_apart(best), "task_id", "left").select(
         "task_id", "full_name", F.when(took, F.col("slots") - 1).otherwise(F.col("slots")).alias("slots"), F.when(took, F.col("room") - F.col("b.chars")).otherwise(F.col("room")).alias("room"),
         F.when(took, F.concat("covered", "b.gained")).otherwise(F.col("covered")).alias("covered"), F.when(took, F.array_append("chosen", item)).otherwise(F.col("chosen")).alias("chosen"),
         (F.col("going") & took & (F.col("slots") > 1)).alias("going"))
@@ -114,11 +124,11 @@ def select_cover(selected: DataFrame, candidates: DataFrame, relations: DataFram
 
     Candidates are reduced first, to the frontier of each feature set plus the slices of relation endpoints.  Picks are rounds over
     all tasks at once (`_pick`); between two rounds a task is one row, whose lists are bounded by the slice budget, landed in the shared
-    folder.  A repository's budget depends on what the task's repositories before it used, so repositories of equal rank go together.
+    folder.  No side of a join of the rounds is sent through the driver, since there are many rounds and a task more for every two repositories.  A repository's budget depends on what the task's repositories before it used, so repositories of equal rank go together.
     """
     reduced = reduce_candidates(candidates)
     edges, at = relation_ends(relations)
-    rows = selected.select("task_id", "full_name", "selection_rank").join(reduced, "full_name").join(at, ["full_name", "path"], "left").na.fill(0, ["out_edges", "in_edges", "own_edges"])
+    rows = _apart(selected.select("task_id", "full_name", "selection_rank")).join(reduced, "full_name").join(_apart(at), ["full_name", "path"], "left").na.fill(0, ["out_edges", "in_edges", "own_edges"])
     rows = landed(rows, "cover-candidates")
     named = rows.select("task_id", "full_name", "selection_rank").distinct()
     turns = landed(named.withColumn("turn", F.row_number().over(Window.partitionBy("task_id").orderBy("selection_rank")))
@@ -133,23 +143,23 @@ def select_cover(selected: DataFrame, candidates: DataFrame, relations: DataFram
         left = F.col("turns") - F.col("turn") + 1
         slots = F.floor((F.lit(params.max_slices) - F.col("slices")) / left)
         room = F.floor((F.lit(params.slice_characters) - F.col("spent")) / left)
-        state = landed(turns.filter(F.col("turn") == turn).join(used, "task_id").select("task_id", "full_name", slots.alias("slots"), room.alias("room"), none.alias("covered"), items.alias("chosen"),
+        state = landed(turns.filter(F.col("turn") == turn).join(_apart(used), "task_id").select("task_id", "full_name", slots.alias("slots"), room.alias("room"), none.alias("covered"), items.alias("chosen"),
                                                                                        (slots > 0).alias("going")), "cover-state")
-        pool = rows.join(turns.filter(F.col("turn") == turn).select("task_id", "full_name"), ["task_id", "full_name"], "left_semi")
+        pool = rows.join(_apart(turns.filter(F.col("turn") == turn).select("task_id", "full_name")), ["task_id", "full_name"], "left_semi")
         if turn > 1 or not turns.filter("turn > 1").isEmpty():
             pool = landed(pool, "cover-pool")
         while not state.filter("going").isEmpty():
             state = landed(_pick(state, pool, known), "cover-state")
         done.append(state)
         here = state.select("task_id", F.size("chosen").cast("long").alias("n"), F.aggregate("chosen", F.lit(0).cast("long"), lambda t, c: t + c["chars"]).alias("c"))
-        used = used.join(here, "task_id", "left").select("task_id", (F.col("slices") + F.coalesce("n", F.lit(0))).alias("slices"), (F.col("spent") + F.coalesce("c", F.lit(0))).alias("spent"))
+        used = used.join(_apart(here), "task_id", "left").select("task_id", (F.col("slices") + F.coalesce("n", F.lit(0))).alias("slices"), (F.col("spent") + F.coalesce("c", F.lit(0))).alias("spent"))
     final = done[0] if done else turns.limit(0).select("task_id", "full_name", F.lit(0).alias("slots"), F.lit(0).alias("room"), none.alias("covered"), items.alias("chosen"))
     for state in done[1:]:
         final = final.unionByName(state)
     picked = final.select("task_id", "full_name", F.posexplode("chosen").alias("nth", "c")).select(
         "task_id", "full_name", "c.slice_id", (F.col("nth") + 1).cast("long").alias("place"), F.lit("selected").alias("status"), "c.gain", "c.gains")
-    rest = rows.select("task_id", "full_name", "slice_id", "chars").join(final.select("task_id", "full_name", "slots", "room"), ["task_id", "full_name"]).join(
-        picked.select("task_id", "full_name", "slice_id"), ["task_id", "full_name", "slice_id"], "left_anti")
+    rest = rows.select("task_id", "full_name", "slice_id", "chars").join(_apart(final.select("task_id", "full_name", "slots", "room")), ["task_id", "full_name"]).join(
+        _apart(picked.select("task_id", "full_name", "slice_id")), ["task_id", "full_name", "slice_id"], "left_anti")
     full = (F.col("chars") > F.col("room")) | (F.col("slots") <= 0)
     return picked.unionByName(rest.select("task_id", "full_name", "slice_id", F.lit(None).cast("long").alias("place"), F.when(full, "budget").otherwise("redundant").alias("status"),
                                           F.lit(0).cast("long").alias("gain"), none.alias("gains")))

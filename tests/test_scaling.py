@@ -186,3 +186,26 @@ def test_files_of_a_batch_leave_the_parser_in_small_parts():
     assert [p.num_rows for p in parts] == [2, 2, 1]
     rows = [r for p in parts for r in p.to_pylist()]
     assert [r["status"] for r in rows] == ["parsed", "unavailable", "budget-exceeded", "parsed", "parsed"] and rows[0]["imports"][0]["module"] == "a"
+
+
+def test_rounds_of_a_cover_send_no_join_side_through_the_driver(spark, monkeypatch):
+    from proofmill.operators import cover
+
+    plans = []
+    real = cover.landed
+
+    def kept(df, name):
+        if name == "cover-state":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(cover, "landed", kept)
+    shape = ("full_name string, slice_id string, path string, start_line bigint, end_line bigint, relevance bigint, revision string, chars bigint, plain boolean, anchor boolean, "
+             "features array<string>, endpoint boolean")
+    rows = spark.createDataFrame([("r", f"s{i}", f"p{i % 3}", 1, 9, i, "v", 10, False, i == 1, [f"task:{i % 4}"], True) for i in range(30)], shape)
+    relations = spark.createDataFrame([("r", "p0", "p1", "p0", "https://host.example/x#L1-L2")], "full_name string, src string, dst string, evidence_path string, source_url string")
+    out = cover.select_cover(spark.createDataFrame([("t", "r", 1)], "task_id string, full_name string, selection_rank long"), rows, relations)
+    assert out.count() == 30 and out.filter("status = 'selected'").count() >= 4
+    assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p]
+    # The candidates of one task and repository meet its state in several tasks.
+    assert any("share" in p for p in plans)
