@@ -209,3 +209,16 @@ def test_rounds_of_a_cover_send_no_join_side_through_the_driver(spark, monkeypat
     assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p]
     # The candidates of one task and repository meet its state in several tasks.
     assert any("share" in p for p in plans)
+
+
+def test_the_tree_is_landed_without_file_contents(spark, monkeypatch):
+    from proofmill.plans import registry, views
+
+    registry.load()
+    monkeypatch.setattr(views, "_LANDED_AT", {})
+    inputs = views.Inputs(spark, "/root/testdata/sf0.001")
+    tree = inputs("v_tree")
+    assert {name for _app, _folder, name in views._LANDED_AT} == {"v_tree"}
+    blobs = inputs.sql("select full_name, revision, path, 'blob' as type, cast(length(content) as bigint) as size from v_blobs")
+    assert {name for _app, _folder, name in views._LANDED_AT} == {"v_tree", "v_files", "v_extra"}
+    assert tree.exceptAll(blobs).isEmpty() and blobs.exceptAll(tree).isEmpty() and tree.schema.simpleString() == blobs.schema.simpleString()
