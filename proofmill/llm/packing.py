@@ -12,8 +12,8 @@
 
 `certificate` compares the number of sequences with the bound of the whole table.
 
-The tokenizer is read, never trained.  Words (runs without ASCII white space) are tokenized once while a worker remembers them; nothing
-in the pre-tokenizer reaches across white space.
+The tokenizer is read, never trained.  Nothing in the pre-tokenizer reaches across white space, and it cuts plain words at the ends of
+letters and at digits.  These parts are tokenized once while a worker remembers them; the ids of words and texts are put together from theirs.
 
 Defined results: a null text counts as empty and is the one id 0; repeated rows, rows with equal ids and rows without an id are each packed
 by themselves; other columns are not read.
@@ -21,7 +21,7 @@ by themselves; other columns are not read.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from functools import cache
 from itertools import count
@@ -40,11 +40,16 @@ from proofmill.llm.sentencepiece import chunks
 CAPACITY = 2048
 PARTITION_ROWS = 20_000
 CHUNK_BYTES = 4_000_000
-#: Words that are tokenized as one line where it is certain which ids belong to which word.
-LINE_WORDS = 500
-#: Plain words (ASCII and Latin-1 letters; no apostrophe: contractions; no "<|": special strings) and the parts into which the pre-tokenizer cuts them.
-PLAIN = re.compile(r"(?!.*<\|)[\x21-\x26\x28-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-PARTS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]|[^A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: Parts that are tokenized as one line.
+LINE_PARTS = 500
+#: Plain words (ASCII and Latin-1 letters; no apostrophe: contractions; no "<|": special strings), and what ends a run of letters in them.
+PLAIN = r"^[\x21-\x26\x28-\x7e\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+$"
+NO_LETTERS = r"([^A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+|[0-9])"
+#: The steps before the model that cut plain words into runs of letters, digits and runs of other characters, in lower case.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Largest k of the rounding functions u(k).
 LARGEST_K = 100
 
@@ -56,55 +61,90 @@ def default_tokenizer() -> str:
 
 
 class Tokens:
-    """Ids of words; lines of plain words are tokenized together, and the marks of word ends tell them apart."""
+    """Ids of parts of words.
+
+    Where the tokenizer is known to cut plain words into lower-case parts, these are given to its model alone, many in a line, and the marks
+    of word ends tell them apart.  All else is tokenized as whole words.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
         mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        if mark:
+        self.cuts = bool(mark) and made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        if self.cuts:
             for piece, i in self.tokenizer.get_vocab().items():
-                ends[i] = piece.endswith(mark)
-        self.ends = ends if mark else None
-
-    def alone(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def __call__(self, words: list[str]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
-        parts = [1 if w.isalpha() and w.isascii() else len(PARTS.findall(w)) if PLAIN.fullmatch(w) else 0 for w in words] if self.ends is not None else [0] * len(words)
-        plain, counts = [w for w, n in zip(words, parts) if n], [n for n in parts if n]
+                self.ends[i] = piece.endswith(mark)
+            self.lines = Tokenizer.from_file(path)
+            self.lines.normalizer = normalizers.Sequence([])
+            self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def parts(self, words: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """(the parts of all words one after another, where each word's parts end, from 0); a word that is not plain is one part."""
+        if not self.cuts:
+            return words.dictionary_encode(), np.arange(len(words) + 1)
+        plain = pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring(words, "<|"))
+        apart = pc.utf8_lower(pc.replace_substring_regex(words, NO_LETTERS, r" \1 "))
+        return split(pc.if_else(plain, apart, words))
+
+    def __call__(self, parts: list[str]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
         order, lengths, values = [], [], []
-        others = [w for w, n in zip(words, parts) if not n]
-        lines = range(0, len(plain), LINE_WORDS)
-        for at, ids in zip(lines, self.alone([" ".join(plain[i : i + LINE_WORDS]) for i in lines])):
+        plain = pc.and_not(pc.match_substring_regex(pa.array(parts), PLAIN), pc.match_substring(pa.array(parts), "<|")).to_pylist() if self.cuts else [False] * len(parts)
+        others = [w for w, is_plain in zip(parts, plain) if not is_plain]
+        plain = [w for w, is_plain in zip(parts, plain) if is_plain]
+        lines = [plain[i : i + LINE_PARTS] for i in range(0, len(plain), LINE_PARTS)]
+        for line, ids in zip(lines, encoded(self.lines, [" ".join(line) for line in lines]) if lines else []):
             ids = np.array(ids, dtype=np.int64)
-            ends, cuts = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(counts[at : at + LINE_WORDS])
-            if len(ends) == cuts[-1]:
-                order += plain[at : at + LINE_WORDS]
-                lengths.append(np.diff(ends[cuts - 1], prepend=0))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(line):
+                order += line
+                lengths.append(np.diff(ends, prepend=0))
                 values.append(ids)
             else:
-                others += plain[at : at + LINE_WORDS]
-        rest_lengths, rest = ragged(self.alone(others))
+                others += line
+        rest_lengths, rest = ragged(encoded(self.tokenizer, others))
         return [*order, *others], [(np.concatenate([*lengths, rest_lengths]), np.concatenate([*values, rest]))]
 
 
+def encoded(tokenizer, texts: list[str]) -> list[list[int]]:
+    return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 @cache
 def memory_of(path: str) -> Remembered:
     """A worker keeps it for its next tasks."""
     return Remembered(Tokens(path), 1)
 
 
-def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """(the words of all texts one after another, where each text's words end, from 0)."""
-    lists = pc.ascii_split_whitespace(texts.fill_null(""))
-    words = lists.flatten()
-    of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
-    there = pc.not_equal(words, "")  # white space at a text's ends leaves empty words
-    counts = np.bincount(of[there.to_numpy(zero_copy_only=False)], minlength=len(lists))
-    return words.filter(there).dictionary_encode(), np.concatenate([[0], np.cumsum(counts)])
+def split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(what lies between white space in all texts, one after another, where that of each text ends, from 0); white space at a text's ends leaves empty strings."""
+    lists = pc.ascii_split_whitespace(texts)
+    return lists.flatten().dictionary_encode(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+
+
+def binary(ends: np.ndarray, data) -> pa.LargeBinaryArray:
+    """Byte strings that lie one after another in `data`; ends from 0."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, dtype=np.int64)), data])
+
+
+def merged(strings: pa.LargeBinaryArray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The byte strings between two ends put together, without a copy."""
+    bounds = np.frombuffer(strings.buffers()[1], dtype=np.int64, count=len(strings) + 1) if len(strings) else np.zeros(1, dtype=np.int64)
+    return binary(bounds[ends], strings.buffers()[2] or pa.py_buffer(b""))
+
+
+def ids_of(texts: pa.Array, memory: Remembered) -> tuple[np.ndarray, memoryview]:
+    """(where the bytes of each text's ids end, from 0, the ids of all texts as unsigned little-endian 32-bit numbers)."""
+    words, text_ends = split(texts.fill_null(""))
+    parts, word_ends = memory.learn.parts(words.dictionary)
+    values, part_ends = memory.gather(0, memory.at(parts.dictionary.to_numpy(zero_copy_only=False).tolist()))
+    by_part = binary(part_ends * 4, pa.py_buffer(values.astype("<u4")))
+    by_word = merged(by_part.take(parts.indices), word_ends)
+    by_text = merged(by_word.take(words.indices), text_ends)
+    return np.frombuffer(by_text.buffers()[1], dtype=np.int64, count=len(texts) + 1), memoryview(by_text.buffers()[2])
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -112,16 +152,15 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        memory, task, numbers = memory_of(path), TaskContext.get().partitionId() << 40, count()
+        memory, task, numbers, end = memory_of(path), TaskContext.get().partitionId() << 40, count(), np.array([end_id], dtype="<u4").tobytes()
         for part in chunks(batches, "the_text", CHUNK_BYTES):
-            words, ends = words_of(part.column("the_text"))
-            at = memory.at(words.dictionary.to_pylist())[words.indices.to_numpy()]
-            values, word_ends = memory.gather(0, at)
-            bounds = word_ends[ends] + np.arange(len(ends))  # every text before has one more id
-            ids = np.full(bounds[-1], end_id, dtype="<u4")
-            ids[np.arange(len(values)) + np.repeat(np.arange(part.num_rows), np.diff(word_ends[ends]))] = values
-            rows = [(i, k, at - a, min(capacity, b - at), zlib.crc32(ids[at : min(at + capacity, b)]), task + next(numbers))
-                    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) for k, at in enumerate(range(a, b, capacity))]
+            bounds, ids = ids_of(part.column("the_text"), memory)
+            rows = []
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                total = (b - a) // 4 + 1
+                for k, at in enumerate(range(0, total, capacity)):
+                    crc = zlib.crc32(ids[a + 4 * at : min(a + 4 * (at + capacity), b)])
+                    rows.append((i, k, at, min(capacity, total - at), zlib.crc32(end, crc) if at + capacity >= total else crc, task + next(numbers)))
             if not rows:
                 continue
             of, *columns = zip(*rows)

@@ -62,6 +62,21 @@ def test_packing_of_odd_texts_and_ids(ready, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_packing_tokenizes_a_run_of_letters_once():
+    """Words that differ in case, digits and punctuation share what is remembered; the ids are the library's."""
+    from tokenizers import Tokenizer
+
+    letters = "".join(chr(c) for c in range(0xC0, 0x100))
+    texts = ["Word, word WORD! (word) 7word7 wo'rd", None, "", " word  7\t", letters, "don't <|endoftext|> a<|b word中word \x85word", "ÉCOLE-école×école"]
+    memory = packing.Remembered(packing.Tokens(packing.default_tokenizer()), 1)
+    packing.ids_of(packing.pa.array(texts[:4]), memory)
+    assert set(memory.places) == {"word", ",", "!", "(", ")", "7", "wo'rd", ""}
+    ends, ids = packing.ids_of(packing.pa.array(texts), memory)
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    got = [np.frombuffer(ids[a:b], dtype="<u4").tolist() for a, b in zip(ends[:-1], ends[1:])]
+    assert got == [library.encode(text or "", add_special_tokens=False).ids for text in texts]
+
+
 def test_packing_meets_its_bound(ready):
     packed = packing.pack(ready.read.parquet(f"{DATA}/sf0.01/documents.parquet"))
     used, bound = packing.certificate(packed)
