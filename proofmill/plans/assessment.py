@@ -82,7 +82,7 @@ def flagged(v):
 
 def assessed(v, requested=None):
     cand = disc.ranked(v).select("task_id", "full_name", "candidate_rank")
-    return sc.assess_repositories(cand, v("v_catalog"), sc.tree_flags(v("v_tree")), disc.found_domain(v), now(), tree_key="tree_name")
+    return sc.assess_repositories(cand, disc.found_catalog(v), sc.tree_flags(v("v_tree")), disc.found_domain(v), now(), tree_key="tree_name")
 
 
 def _register_score(name, fn):
@@ -321,7 +321,7 @@ def _(v):
     from proofmill.params import DEFAULT
     params = replace(DEFAULT, min_coverage=60, required_categories=("automation", "overview", "test"))
     cov = sc.coverage_score(qualified(v), params).withColumnRenamed("full_name", "full_name")
-    gated = sc.coverage_gate(assessed(v).join(v("v_catalog").select("full_name", "tree_name"), "full_name"), cov,
+    gated = sc.coverage_gate(assessed(v).join(disc.found_catalog(v).select("full_name", "tree_name"), "full_name"), cov,
                              readable(v)[1].withColumnRenamed("full_name", "tree_name"), params, key="tree_name")
     return gated.select("task_id", "full_name", F.array_join("rejection_reasons", "|").alias("rejections"))
 

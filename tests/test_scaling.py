@@ -222,3 +222,25 @@ def test_the_tree_is_landed_without_file_contents(spark, monkeypatch):
     blobs = inputs.sql("select full_name, revision, path, 'blob' as type, cast(length(content) as bigint) as size from v_blobs")
     assert {name for _app, _folder, name in views._LANDED_AT} == {"v_tree", "v_files", "v_extra"}
     assert tree.exceptAll(blobs).isEmpty() and blobs.exceptAll(tree).isEmpty() and tree.schema.simpleString() == blobs.schema.simpleString()
+
+
+def test_scores_of_found_repositories_aggregate_only_their_lines(spark, monkeypatch):
+    from proofmill.plans import discovery, registry, views
+
+    queries = registry.spark_queries()
+    monkeypatch.setattr(views, "_LANDED_AT", {})
+    rows = sorted(queries["score_matrix"](spark, "/root/testdata/sf0.001").collect())
+    assert not [name for _app, _folder, name in views._LANDED_AT if name == "v_catalog"]
+    inputs = views.Inputs(spark, "/root/testdata/sf0.001")
+    # A search makes no column that needs the suppliers of every part.
+    searched = inputs.unlanded("v_catalog").select("full_name", "stars")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in "\n".join(line.split("Relation")[0] for line in searched.split("\n"))
+    found = discovery.found_catalog(inputs)
+    names = discovery.hits(inputs).select("full_name").distinct()
+    whole = inputs("v_catalog").join(names, "full_name", "left_semi").select(*found.columns)
+    assert 0 < found.count() and found.exceptAll(whole).isEmpty() and whole.exceptAll(found).isEmpty()
+    # The whole catalogue is landed now and is read instead.
+    again = views.Inputs(spark, "/root/testdata/sf0.001")
+    kept = discovery.found_catalog(again).select(*found.columns)
+    assert kept.exceptAll(whole).isEmpty() and whole.exceptAll(kept).isEmpty()
+    assert sorted(queries["score_matrix"](spark, "/root/testdata/sf0.001").collect()) == rows
