@@ -232,3 +232,18 @@ def test_roles_of_exports_error_signals_and_variants(spark):
     assert found["Shape"].a == ["contract", "data-model"] and found["inner"].s == ["contract"] and found["inner"].i == [] and found["Suite"].s == ["test"] and found["Suite"].i == []
     few = spark.createDataFrame([r[:12] for r in rows], base)
     assert {r.name: r.s for r in few.select("name", wn.semantic_roles(few).alias("s")).collect()}["_shared"] == []
+
+
+def test_capability_coverage_lists_supporting_paths(spark):
+    from proofmill.operators import domain
+
+    concepts = spark.createDataFrame([("t", "capability", 1, "Retry Budget", ["again"]), ("t", "capability", 2, "json dumps", []), ("t", "capability", 3, "gone word", []),
+                                      ("u", "capability", 1, "json dumps", []), ("u", "capability", 2, "again", []), ("u", "purpose", 0, "json", [])],
+                                     "task_id string, kind string, ordinal int, name string, aliases array<string>")
+    slices = spark.createDataFrame([("s1", "r", "src/b.py", ["implementation"], "a retry\n budget"), ("s2", "r", "src/b.py", ["implementation"], "try again, json"), ("s3", "r", "src/a.py", ["implementation"], "again"),
+                                    ("s4", "r", "tests/c.py", ["test"], "json.dumps(x)"), ("s5", "r", "docs/d.md", [], "json dumps again"), ("s6", "q", "x.py", ["test"], "budget"), ("s7", "q", "y.py", ["test"], "nothing")],
+                                   "slice_id string, full_name string, path string, evidence_roles array<string>, content string")
+    out = {(r.task_id, r.full_name): (r.matched, r.total, r.paths, r.evidence) for r in domain.content_capability_coverage(concepts, slices).collect()}
+    assert out == {("t", "r"): (2, 3, 3, ["json dumps: src/b.py, tests/c.py", "retry budget: src/a.py, src/b.py"]),
+                   ("t", "q"): (1, 3, 1, ["retry budget: x.py"]),
+                   ("u", "r"): (2, 2, 3, ["again: src/a.py, src/b.py", "json dumps: src/b.py, tests/c.py"])}
