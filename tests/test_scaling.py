@@ -244,3 +244,46 @@ def test_scores_of_found_repositories_aggregate_only_their_lines(spark, monkeypa
     kept = discovery.found_catalog(again).select(*found.columns)
     assert kept.exceptAll(whole).isEmpty() and whole.exceptAll(kept).isEmpty()
     assert sorted(queries["score_matrix"](spark, "/root/testdata/sf0.001").collect()) == rows
+
+
+def test_observations_are_settled_wherever_their_places_are(spark, monkeypatch):
+    from proofmill.fixed_values import STRENGTH_LEVELS
+    from proofmill.operators import observations
+
+    names = []
+    real = observations.landed
+    monkeypatch.setattr(observations, "landed", lambda df, name: names.append(name) or real(df, name))
+    # Two observations a file, files of five strengths: a second one comes before the first ones of weaker files.
+    rows = spark.createDataFrame([("r", "contracts", f"f{level}{k}", strength, [f"p{level}"], [f"s{level}"]) for level, strength in enumerate(STRENGTH_LEVELS) for k in range(2)],
+                                 "full_name string, section string, discriminator string, strength string, paths array<string>, slice_ids array<string>")
+    out = observations.select_observations(rows, spark.createDataFrame([("s1", 5)], "slice_id string, relevance long"))
+    assert [r.discriminator for r in out.orderBy("place").collect()] == [f"f{level}{k}" for level in (4, 3, 2, 1, 0) for k in range(2)]
+    assert names.count("observation-ranks") == 3
+
+
+def test_copies_of_an_observation_stay(spark):
+    from proofmill.operators import observations
+
+    shape = "full_name string, section string, discriminator string, strength string, paths array<string>, slice_ids array<string>"
+    rows = spark.createDataFrame([("r", "contracts", "a", "syntactic", ["p"], ["s1", "s1"])] * 2 + [(None, "contracts", "b", "textual", ["p"], ["s1"]), ("r", None, None, "resolved", [None], ["s1"])], shape)
+    out = observations.select_observations(rows, spark.createDataFrame([("s1", 50)], "slice_id string, relevance long"))
+    # A null path or section is not shared with others; copies weigh twice.
+    assert sorted((r.full_name or "", r.discriminator or "", r.place, round(r.utility, 6)) for r in out.collect()) == [
+        ("", "b", 1, 1130.5), ("r", "", 3, 1320.5), ("r", "a", 1, 2280.5), ("r", "a", 2, 2280.5)]
+
+
+def test_landing_leaves_no_shuffle_files(spark):
+    import time
+
+    from proofmill.sources import sinks
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before, set_before = files(), spark.conf.get(sinks.CLEANUP)
+    table = sinks.landed(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 20
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(sinks.CLEANUP) == set_before and table.count() == 7
