@@ -10,7 +10,7 @@ from proofmill.functions import paths as pt
 from proofmill.functions import text as tx
 from proofmill.functions.frames import stage
 from proofmill.operators.intervals import semantic_window
-from proofmill.operators.windows import with_terms
+from proofmill.operators.windows import listed_terms, with_listed
 from proofmill.params import DEFAULT, Params
 from proofmill.sources.sinks import landed
 
@@ -21,11 +21,14 @@ def cover_candidates(kept: DataFrame, relations: DataFrame, terms: DataFrame) ->
     roles = F.transform(F.filter("architecture_roles", lambda r: r != "relationship"), lambda r: F.concat(F.lit("role:"), r))
     low = F.lower(F.concat("path", F.lit("\n"), "content"))
     words = F.transform(F.filter("terms", lambda t: F.contains(low, t)), lambda t: F.concat(F.lit("task:"), t))
+    # The terms are landed, so that their true size decides whether texts are dealt by repository to meet them; relations meet feature rows.
+    listed = landed(listed_terms(terms), "cover-terms")
+    rows = with_listed(kept, listed).select(
+        "full_name", "slice_id", "path", "start_line", "end_line", "relevance", "revision", F.length("content").cast("long").alias("chars"),
+        (~semantic_window(F.col("strategy"))).alias("plain"), F.array_contains("architecture_roles", "relationship").alias("anchor"),
+        F.array_sort(F.array_distinct(F.concat(kinds, roles, words))).alias("features"))
     ends = relations.select("full_name", F.explode(F.array("src", "dst")).alias("path")).distinct().withColumn("endpoint", F.lit(True))
-    rows = with_terms(kept, terms).join(ends, ["full_name", "path"], "left")
-    return rows.select("full_name", "slice_id", "path", "start_line", "end_line", "relevance", "revision", F.length("content").cast("long").alias("chars"),
-                       (~semantic_window(F.col("strategy"))).alias("plain"), F.array_contains("architecture_roles", "relationship").alias("anchor"),
-                       F.array_sort(F.array_distinct(F.concat(kinds, roles, words))).alias("features"), F.coalesce("endpoint", F.lit(False)).alias("endpoint"))
+    return rows.join(ends, ["full_name", "path"], "left").select(*rows.columns, F.coalesce("endpoint", F.lit(False)).alias("endpoint"))
 
 
 def reduce_candidates(rows: DataFrame) -> DataFrame:

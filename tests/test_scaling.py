@@ -287,3 +287,20 @@ def test_landing_leaves_no_shuffle_files(spark):
     while (left := files() - before) and time.time() < until:
         time.sleep(0.2)
     assert not left and spark.conf.get(sinks.CLEANUP) == set_before and table.count() == 7
+
+
+def test_cover_candidates_are_joined_without_texts(spark, monkeypatch):
+    from proofmill.operators import windows
+    from proofmill.plans import evidence, registry, views
+
+    registry.load()
+    monkeypatch.setattr(views, "_LANDED_AT", {})
+    kept = {}
+    real = windows.landed
+    monkeypatch.setattr(windows, "landed", lambda df, name: kept.setdefault(name, real(df, name)))
+    inputs = views.Inputs(spark, "/root/testdata/sf0.001")
+    rows = evidence.cover_rows(inputs)
+    assert "content" not in optimized(rows)
+    assert "content" not in kept["slice-bodies"].columns and dict(kept["slice-bodies"].dtypes)["body"] == "binary"
+    ids = windows.dedupe_slices(inputs("v_slices"), inputs("v_relations")).filter("status = 'kept'").join(evidence.rel.pinned(inputs), "slice_id", "left_semi")
+    assert 0 < rows.count() == ids.count()
