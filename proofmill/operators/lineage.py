@@ -13,7 +13,7 @@ from proofmill import fixed_values as fv
 from proofmill.functions import strength as sg
 from proofmill.functions import text as tx
 from proofmill.functions.frames import stage
-from proofmill.sources.sinks import landed
+from proofmill.sources.sinks import landed, work_folder, write_table
 
 CLAIM = ["concept_no", "claim_id"]
 
@@ -48,24 +48,55 @@ def _world(bundles: DataFrame, bundle_slices: DataFrame, slices: DataFrame, obse
                                            F.collect_set("slice_id").alias("held"))
 
 
+#: Claims checked in one turn, and the most turns: the shuffles of a turn are deleted after it, but every turn reads the claims again.
+CLAIMS_A_TURN, MOST_TURNS = 4_000_000, 8
+
+
 def claim_checks(claims: DataFrame, bundles: DataFrame, bundle_slices: DataFrame, slices: DataFrame, observations: DataFrame,
-                 observation_slices: DataFrame) -> DataFrame:
+                 observation_slices: DataFrame, claims_a_turn: int = CLAIMS_A_TURN) -> DataFrame:
     """All claim rules; one row per broken rule (CLAIM, reason, cited).
 
     Citations meet what can be cited (`_world`) in one join and come back together as one row per claim; its rules are decided on that row.
+    Both ways are shuffles many times as large as the claims, so many claims go in turns, dealt by the hash of their key: the broken rules
+    of a turn are landed, and only one turn's shuffles are on disk at once.
     """
+    spark = claims.sparkSession
+    world = landed(_world(bundles, bundle_slices, slices, observations, observation_slices), "citable")
+    turns = max(1, min(MOST_TURNS, -(-claims.count() // claims_a_turn)))
+    if turns == 1:
+        return _broken_rules(claims, world)
+    folder = work_folder(spark)
+    paths = [f"{folder}/broken-rules-{turn}" for turn in range(turns)]
+    for turn, path in enumerate(paths):
+        broken = _broken_rules(claims.filter(F.pmod(F.xxhash64(*CLAIM), F.lit(turns)) == turn), world)
+        write_table(broken, path)
+    return spark.read.schema(broken.schema).parquet(*paths)
+
+
+#: A citation's role is sent as its number here, plus the others where they hold (of the claim, of the citation, of what it cites).
+ROLES, SURE, BOTH, KNOWN, EXPLICIT = ["bundle", "support", "counter", "observation"], 4, 8, 16, 32
+
+
+def _broken_rules(claims: DataFrame, world: DataFrame) -> DataFrame:
     c, no = F.col, F.lit(False)
-    kind = F.when(c("role").isin("support", "counter"), "slice").otherwise(c("role")).alias("kind")
-    facts = citations(claims).select(*CLAIM, (c("status") != "unknown").alias("sure"), "role", kind, "id", "both")
-    entry = F.struct("role", "id", "sure", "both", F.coalesce("known", no).alias("known"), F.coalesce("explicit", no).alias("explicit"), "rank",
-                     F.coalesce("held", F.expr("cast(array() as array<string>)")).alias("held"))
-    cited = facts.join(_world(bundles, bundle_slices, slices, observations, observation_slices), ["kind", "id"], "left").select(*CLAIM, entry.alias("entry"))
+    flag = lambda condition, n: F.when(condition, n).otherwise(0)
+    told = F.array_position(F.array(*[F.lit(r) for r in ROLES]), c("role")) - 1 + flag(c("status") != "unknown", SURE) + flag(c("both"), BOTH)
+    # One text names the kind and the id: the first letter is the kind's.
+    kind = F.when(c("role").isin("support", "counter"), "s").otherwise(F.substring("role", 1, 1))
+    facts = citations(claims).select(*CLAIM, told.cast("int").alias("told"), F.concat(kind, "id").alias("of"))
+    citable = world.select(F.concat(F.substring("kind", 1, 1), "id").alias("of"), (flag(c("known"), KNOWN) + flag(c("explicit"), EXPLICIT)).alias("found"), "rank", F.when(F.size("held") > 0, c("held")).alias("held"))
+    cited = facts.join(citable, "of", "left").select(*CLAIM, (c("told") + F.coalesce("found", F.lit(0))).alias("told"), "of", "rank", "held")
     head = F.struct("status", "confidence", c("n_limitations").cast("long").alias("n_limitations"), *[F.size(name).alias(f"n_{name}") for name in ("slice_ids", "bundle_ids", "observation_ids")])
-    rows = cited.unionByName(claims.select(*CLAIM, head.alias("head")), allowMissingColumns=True).groupBy(*CLAIM).agg(
-        F.collect_list("entry").alias("entries"), F.collect_list("head").alias("heads"))
+    entry = F.when(c("told").isNotNull(), F.struct("told", F.expr("substring(of, 2)").alias("id"), "rank", F.coalesce("held", F.expr("cast(array() as array<string>)")).alias("held")))
+    # Flat rows are dealt by claim before they are listed: hardly two rows of a claim are together until then.
+    rows = cited.unionByName(claims.select(*CLAIM, head.alias("head")), allowMissingColumns=True).repartition(*CLAIM).groupBy(*CLAIM).agg(
+        F.collect_list(entry).alias("entries"), F.collect_list("head").alias("heads"))
 
     def having(*roles: str):
-        return F.filter("entries", lambda e: e["role"].isin(*roles))
+        return F.filter("entries", lambda e: e["told"].bitwiseAND(3).isin(*[ROLES.index(r) for r in roles]))
+
+    def has(e, n: int):
+        return e["told"].bitwiseAND(n) > 0
 
     rows = stage(rows, bundles=having("bundle"), seen=having("observation"), cites=having("support", "counter"), backs=having("support"))
     rows = stage(rows, allowed=F.array_distinct(F.flatten(c("bundles.held"))), observed=F.array_distinct(F.flatten(c("seen.held"))))
@@ -81,11 +112,11 @@ def claim_checks(claims: DataFrame, bundles: DataFrame, bundle_slices: DataFrame
     aligned = lambda e: F.size(F.array_intersect(e["held"], c("aligned")))
     # Each citation of a slice that breaks a rule is a violation of its own.
     by_citation = F.concat(
-        rules("cites", (lambda e: ~e["known"], "unknown-slice"), (lambda e: ~allowed(e), "slice-outside-bundles")),
-        rules("backs", (lambda e: e["sure"] & ~(allowed(e) & F.array_contains("observed", e["id"])), "evidence-without-observation"),
-              (lambda e: e["sure"] & e["both"], "supporting-and-counter")),
-        rules("bundles", (lambda e: ~e["known"], "unknown-bundle")),
-        rules("seen", (lambda e: ~e["known"], "unknown-observation")),
+        rules("cites", (lambda e: ~has(e, KNOWN), "unknown-slice"), (lambda e: ~allowed(e), "slice-outside-bundles")),
+        rules("backs", (lambda e: has(e, SURE) & ~(allowed(e) & F.array_contains("observed", e["id"])), "evidence-without-observation"),
+              (lambda e: has(e, SURE) & has(e, BOTH), "supporting-and-counter")),
+        rules("bundles", (lambda e: ~has(e, KNOWN), "unknown-bundle")),
+        rules("seen", (lambda e: ~has(e, KNOWN), "unknown-observation")),
         rules("backed", (lambda e: (F.size(e["held"]) > 0) & (aligned(e) == 0), "observation-not-backed"),
               (lambda e: aligned(e) < F.size(e["held"]), "observation-slices-missing")))
 
@@ -94,8 +125,8 @@ def claim_checks(claims: DataFrame, bundles: DataFrame, bundle_slices: DataFrame
         limit = sg.ceiling(F.coalesce(F.array_min(F.transform("seen", lambda e: e["rank"])), F.lit(0)))
         names = tx.reasons(
             ((status != "unknown") & (h["n_bundle_ids"] == 0), "no-bundle"), ((status != "unknown") & (h["n_observation_ids"] == 0), "no-observation"),
-            ((status == "explicit") & ~F.exists("bundles", lambda e: e["explicit"]), "explicit-without-explicit-bundle"),
-            ((status == "explicit") & ~F.exists("backs", lambda e: e["explicit"]), "explicit-without-design-document"),
+            ((status == "explicit") & ~F.exists("bundles", lambda e: has(e, EXPLICIT)), "explicit-without-explicit-bundle"),
+            ((status == "explicit") & ~F.exists("backs", lambda e: has(e, EXPLICIT)), "explicit-without-design-document"),
             (status.isin("explicit", "observed", "inferred") & (h["n_slice_ids"] == 0), "no-supporting-evidence"),
             (status.isin("observed", "inferred") & (conf > limit), "confidence-above-ceiling"),
             ((status == "inferred") & (h["n_limitations"] == 0), "inferred-without-limitations"), ((status == "inferred") & (conf > 0.8), "inferred-confidence"),

@@ -208,7 +208,7 @@ union all select concept_no, claim_id, 'observation-slices-missing', observation
 union all select concept_no, claim_id, 'evidence-without-observation', slice_id from o_cs c where positive and status <> 'unknown' and not exists (select 1 from o_back b where aligned and b.claim_id = c.claim_id and b.slice_id = c.slice_id)
 union all select concept_no, claim_id, 'supporting-and-counter', unnest(list_intersect(slice_ids, counter_ids)) from v_claims where status <> 'unknown'""")
 def _(v):
-    return ln.claim_checks(v("v_claims"), v("v_claim_bundles"), v("v_claim_bundle_slices"), v("v_claim_slices"), v("v_claim_obs"), v("v_claim_obs_slices"))
+    return ln.claim_checks(v.unlanded("v_claims"), v("v_claim_bundles"), v("v_claim_bundle_slices"), v("v_claim_slices"), v("v_claim_obs"), v("v_claim_obs_slices"))
 
 
 @query("common_evidence", "select concept_no, claim_id, unnest(list_intersect(slice_ids, counter_ids)) as slice_id from v_claims")

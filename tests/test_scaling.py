@@ -289,7 +289,7 @@ def test_landing_leaves_no_shuffle_files(spark):
     assert not left and spark.conf.get(sinks.CLEANUP) == set_before and table.count() == 7
 
 
-def test_cover_candidates_are_joined_without_texts(spark, monkeypatch):
+def test_cover_candidates_are_joined_without_texts(spark, monkeypatch, tmp_path):
     from proofmill.operators import windows
     from proofmill.plans import evidence, registry, views
 
@@ -298,9 +298,33 @@ def test_cover_candidates_are_joined_without_texts(spark, monkeypatch):
     kept = {}
     real = windows.landed
     monkeypatch.setattr(windows, "landed", lambda df, name: kept.setdefault(name, real(df, name)))
-    inputs = views.Inputs(spark, "/root/testdata/sf0.001")
+    texts = [(i, "\n".join(f"line {n} of {i % 70} runs" for n in range(12)), "en", "src1", 200) for i in range(240)]
+    spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    inputs = views.Inputs(spark, str(tmp_path))
     rows = evidence.cover_rows(inputs)
     assert "content" not in optimized(rows)
     assert "content" not in kept["slice-bodies"].columns and dict(kept["slice-bodies"].dtypes)["body"] == "binary"
     ids = windows.dedupe_slices(inputs("v_slices"), inputs("v_relations")).filter("status = 'kept'").join(evidence.rel.pinned(inputs), "slice_id", "left_semi")
     assert 0 < rows.count() == ids.count()
+
+
+def test_claims_in_turns_break_the_same_rules(spark, monkeypatch):
+    from proofmill.operators import lineage
+
+    statuses = ["explicit", "observed", "inferred", "unknown", None]
+    rows = [(i % 7 or None, f"c{i % 40}" if i % 11 else None, statuses[i % 5], (i % 10) / 10, i % 2, [f"s{i % 9}", f"s{i % 4}", None][: i % 4], [f"s{i % 5}"] if i % 3 else None,
+             [f"b{i % 4}", "b-none"][: i % 3], [f"o{i % 6}"][: i % 2]) for i in range(120)]
+    claims = spark.createDataFrame(rows, "concept_no long, claim_id string, status string, confidence double, n_limitations long, slice_ids array<string>, counter_ids array<string>, bundle_ids array<string>, observation_ids array<string>")
+    pair = lambda rows, a, b: spark.createDataFrame(rows, f"{a} string, {b} string")
+    world = [pair([("b0", "explicit"), ("b1", "observed"), ("b2", "observed")], "bundle_id", "ceiling"), pair([("b0", "s0"), ("b0", "s1"), ("b1", "s2"), ("b3", "s3"), ("b2", None)], "bundle_id", "slice_id"),
+             pair([(f"s{i}", "docs/adr/1.md" if i % 2 else "x.py") for i in range(7)], "slice_id", "path"), pair([(f"o{i}", s) for i, s in enumerate(["textual", "syntactic", "resolved", "missing"])], "observation_id", "strength"),
+             pair([("o0", "s0"), ("o1", "s1"), ("o1", "s2"), ("o5", "s5")], "observation_id", "slice_id")]
+    whole = lineage.claim_checks(claims, *world)
+    made = []
+    real = lineage.write_table
+    monkeypatch.setattr(lineage, "write_table", lambda df, path: made.append(path) or real(df, path))
+    turns = lineage.claim_checks(claims, *world, claims_a_turn=30)
+    assert len(made) == 4 and not re.findall(r"\bJoin\b", optimized(turns))
+    seen = lambda df: sorted(str(tuple(r)) for r in df.select("concept_no", "claim_id", "reason", "cited").collect())
+    assert seen(turns) == seen(whole) and len({r.reason for r in whole.collect()}) >= 12
+    assert len(re.findall(r"\bJoin\b", optimized(whole))) == 1
